@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, secret_scan
+from . import exact_dedup, packing, secret_scan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,12 +27,23 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets)}
+    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op10_warc": """
+            WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+                 k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+            SELECT page_id, n AS payload_bytes, h AS payload_digest,
+                   CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+            FROM k""",
         "op4_exact_dedup": r"""
             WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                               sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
