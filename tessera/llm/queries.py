@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, secret_scan, warc
+from . import exact_dedup, ngram_join, packing, secret_scan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +32,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets, op10_warc)}
+    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets, op10_warc, op8_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -44,6 +49,21 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
             FROM k""",
+        "op8_ngram_jaccard": r"""
+            WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GROUP BY 1),
+                 w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM t),
+                 s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                              ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+                       FROM w WHERE len(w) > 0),
+                 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+                 c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+                 l AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+                 r AS (SELECT id AS node, id AS reach FROM t UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+                 k AS (SELECT node, min(reach) AS class_id FROM r GROUP BY node),
+                 m AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+            SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.id = t.id) THEN k.class_id ELSE d.doc_id END AS class_id,
+                   coalesce(m.n_links, 0) AS n_links
+            FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN k ON k.node = t.id LEFT JOIN m ON m.a = t.id""",
         "op4_exact_dedup": r"""
             WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                               sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
