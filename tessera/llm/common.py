@@ -73,3 +73,19 @@ def pieces(schema: pa.Schema, rows: list[tuple], at_most: int = 5000) -> Iterato
     for k in range(0, len(rows), at_most):
         part = rows[k : k + at_most]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose (id, th) isn't in gone, a materialised table, with all columns as they are."""
+    a, b = fresh(docs, "gone_id"), fresh(docs, "gone_th")
+    gone = broadcast_if_small(gone.select(F.col("id").alias(a), F.col("th").alias(b)), 32)
+    th = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col(a)) & (th == F.col(b)), "left_anti")

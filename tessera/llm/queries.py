@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, packing, secret_scan, warc
+from . import exact_dedup, line_dedup, ngram_join, packing, secret_scan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,13 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets, op10_warc, op8_ngram_jaccard)}
+    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets, op10_warc, op8_ngram_jaccard, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -64,6 +69,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.id = t.id) THEN k.class_id ELSE d.doc_id END AS class_id,
                    coalesce(m.n_links, 0) AS n_links
             FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN k ON k.node = t.id LEFT JOIN m ON m.a = t.id""",
+        "op9_line_dedup": r"""
+            WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
+                       FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+                 u AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS place FROM l WHERE length(line) >= 20 GROUP BY 1, 2),
+                 c AS (SELECT a.line, b.line AS other FROM u a JOIN u b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.place < a.place
+                       WHERE left(a.line, (a.n - 1) // 2) = left(b.line, (a.n - 1) // 2) OR right(a.line, (a.n - 1) // 2) = right(b.line, (a.n - 1) // 2)),
+                 z AS (SELECT DISTINCT line FROM c WHERE levenshtein(line, other) <= 1),
+                 k AS (SELECT l.*, u.line IS NULL OR (u.place = (l.doc_id, l.pos) AND z.line IS NULL) AS stays
+                       FROM l LEFT JOIN u ON u.line = l.line LEFT JOIN z ON z.line = l.line)
+            SELECT doc_id, count(*) FILTER (WHERE NOT stays) AS n_removed,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
+            FROM k GROUP BY doc_id""",
         "op4_exact_dedup": r"""
             WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                               sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
