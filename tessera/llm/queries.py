@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, ngram_join, packing, secret_scan, warc
+from . import exact_dedup, line_dedup, ngram_join, packing, quality, secret_scan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +41,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "log_weight", "n_grams", "p_target", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets, op10_warc, op8_ngram_jaccard, op9_line_dedup)}
+    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets, op10_warc, op8_ngram_jaccard, op9_line_dedup, op6_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
