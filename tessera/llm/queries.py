@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, ngram_join, packing, quality, secret_scan, warc
+from . import decontaminate, exact_dedup, line_dedup, ngram_join, packing, quality, secret_scan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,8 +46,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "log_weight", "n_grams", "p_target", "kept")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "coverage", "item_id", "n_items", "leaked")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets, op10_warc, op8_ngram_jaccard, op9_line_dedup, op6_quality)}
+    return {f.__name__: f for f in (op4_exact_dedup, op7_packing, op2_secrets, op10_warc, op8_ngram_jaccard, op9_line_dedup, op6_quality, op1_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
