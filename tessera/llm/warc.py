@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_dir
+from .common import arrow_map, broadcast_if_small, materialize, shared_dir
 from .exact_dedup import ddl
 
 LEAST, ROLL_BYTES, SHARD_BYTES, RANGES = 1000, 16 << 20, 32 << 20, 4096
@@ -61,10 +61,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each gzip member of a file."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+    at = 0
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof and at < len(data):
+            part = data[at : at + (1 << 16)]
+            parts.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = dict(line.split(": ", 1) for line in lines[1:])
@@ -132,6 +136,7 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     order = F.coalesce("id", F.lit(-(2**63)))
     # A payload that only one page has needs no partner: only digests met twice are joined back.
     twice = rows.filter(F.length("payload") >= least).groupBy("sha1").agg(F.max(order).alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("sha1", "keeper")
+    twice = broadcast_if_small(materialize(twice, "twice"), 64)
     shard = F.coalesce(F.element_at(F.lit(shard_of), F.expr(f"cast(floor((id - {lo}) / {width}) as int) + 1")), F.lit(0)).cast("int")
     joined = rows.join(twice, "sha1", "left").withColumn("shard", shard)
     dealt = joined.repartitionById(shard_of[-1] + 1, "shard").sortWithinPartitions("shard", "id", "sha1", "url")
@@ -208,7 +213,7 @@ def round_trip(pages: DataFrame, **options: object) -> DataFrame:
     base = shared_dir(spark).rstrip("/")
     root = f"{base if '://' in base else f'file://{base}' if base.startswith('/') else base.replace('file:', 'file://', 1)}/warc-{uuid.uuid4().hex}"
     write(pages, root, **options)
-    found = read(spark, root).drop("payload", "url")
+    found = materialize(read(spark, root).drop("payload", "url"), "read")
     sizes = found.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("whole"))
     met = found.filter("record_type = 'revisit'").select("payload_digest").distinct()
     return found.join(sizes.join(met, "payload_digest", "left_semi"), "payload_digest", "left").select("page_id", F.coalesce("payload_bytes", "whole").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
