@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, broadcast_if_small, keyed, materialize, same_row
+from .common import arrow_map, broadcast_if_small, fresh, keyed, materialize, same_row, without
 from .exact_dedup import ddl
 from .graph import components
 from .words import WordHashes, runs, word_hashes
@@ -272,3 +272,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", "th", F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         (F.col("set").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))).alias("keep"),
     )
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of docs, with all columns, of which one document of each class stays: the one of the smallest id. Of rows equal in id and text one stays."""
+    found = materialize(ngram_join(docs, id_col, text_col, **options).select("id", "th", "keep").groupBy("id", "th").agg(F.max("keep").alias("keep"), F.count("*").alias("n")), "classes")
+    kept = without(docs, found.filter("NOT keep OR n > 1"), id_col, text_col)
+    twice = found.filter("keep AND n > 1")
+    if twice.isEmpty():
+        return kept
+    a, b = fresh(docs, "twice_id"), fresh(docs, "twice_th")
+    named = docs.withColumn(a, docs[id_col]).withColumn(b, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    again = named.join(twice, named[a].eqNullSafe(twice["id"]) & (named[b] == twice["th"]), "left_semi").dropDuplicates([a, b])
+    return kept.unionByName(again.drop(a, b))
