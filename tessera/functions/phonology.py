@@ -21,7 +21,7 @@ PAUSES = "array<struct<position:int,type:string>>"
 
 _TWO = frozenset(v for v in C.VOWELS + C.CONSONANTS if len(v) == 2)
 _VOWELS, _CONSONANTS, _WS, _SVARA = frozenset(C.VOWELS), frozenset(C.CONSONANTS), frozenset(C.PY_WS), frozenset(C.SVARA)
-_ZERO_WIDTH = frozenset("​‌‍﻿")
+_ZERO_WIDTH = frozenset("\u200b\u200c\u200d\ufeff")
 
 
 def part(text: str, superscript: bool = False, change: bool = True, svara: bool = False) -> tuple:
@@ -38,7 +38,7 @@ def vowel_at(text: str, i: int) -> str:
 
 
 def is_mark(c: str) -> bool:
-    return "̀" <= c <= "ͯ"
+    return "\u0300" <= c <= "\u036f"
 
 
 class Scan:
@@ -254,19 +254,18 @@ def insertions(text: str, pair: str, letter: str) -> list[tuple[int, str]]:
 def _column(kind: str, produce: Callable, *columns: Column) -> Column:
     """A vectorised function over text (and a second column, if given); null gives null."""
 
-    if len(columns) == 1:
-
-        @F.pandas_udf(kind)
-        def one(text: pd.Series) -> pd.Series:
-            return text.map(lambda t: None if t is None else produce(t))
+    def f(text: pd.Series, other: pd.Series | None = None) -> pd.Series:
+        found = (produce(t) if other is None else produce(t, o) for t, o in zip(text, text if other is None else other, strict=True) if t is not None)
+        return pd.Series([None if t is None else next(found) for t in text], dtype=object)
 
-        return one(*columns)
+    if len(columns) == 1:
+        return F.pandas_udf(_typed(lambda text: f(text), "text"), kind)(*columns)
+    return F.pandas_udf(_typed(lambda text, other: f(text, other), "text", "other"), kind)(*columns)
 
-    @F.pandas_udf(kind)
-    def two(text: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else produce(t, o) for t, o in zip(text, other, strict=True)], dtype=object)
 
-    return two(*columns)
+def _typed(f: Callable, *names: str) -> Callable:
+    f.__annotations__ = dict.fromkeys((*names, "return"), pd.Series)
+    return f
 
 
 def _edits(found: list[tuple]) -> list[dict]:
