@@ -40,7 +40,7 @@ def on(name: str, source: str, key: str, value: Callable[[], Column], sql: str |
 
 
 def literal(v: object) -> str:
-    return "NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+    return "NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
 
 
 def fixed(name: str, rows: list[tuple], schema: str, query: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
@@ -160,11 +160,12 @@ add("verse_zip", lambda s, d: table(s, d, DOCS).select("doc_id", F.posexplode(L.
     """WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS x, [lang, source] AS y FROM documents), n AS (SELECT doc_id, x, y, unnest(range(1, greatest(len(x), 2) + 1)) AS i FROM a)
        SELECT doc_id, coalesce(x[i], '') AS devanagari, coalesce(y[i], '') AS transliteration, '' AS translation FROM n WHERE coalesce(x[i], '') <> '' OR coalesce(y[i], '') <> ''""")
 SPANS = "SELECT user_id, event_id, epoch_us(ts) / 1e6 AS start FROM events"
-add("cut_selection", lambda s, d: I.cut_selection(_spans(table(s, d, "events")), table(s, d, "events").groupBy("user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("sel_start")).withColumn("sel_end", F.col("sel_start") + 3600), "user_id").select("event_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("stop")),
-    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + 60 AS b FROM events), s AS (SELECT user_id, min(a) AS s FROM e GROUP BY user_id),
-       p AS (SELECT event_id, a, b, s, s + 3600 AS t FROM e JOIN s USING (user_id))
-       SELECT event_id, round(a, 4) AS start, round(least(b, CASE WHEN a < t AND b > s THEN s ELSE b END), 4) AS stop FROM p WHERE least(b, CASE WHEN a < t AND b > s THEN s ELSE b END) - a > 0.01
-       UNION ALL SELECT event_id, round(greatest(a, t), 4), round(b, 4) FROM p WHERE a < t AND b > s AND b - greatest(a, t) > 0.01""")
+MICROS = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
+add("cut_selection", lambda s, d: I.cut_selection(_spans(table(s, d, "events")), table(s, d, "events").groupBy("user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("sel_start")).withColumn("sel_end", F.col("sel_start") + 3600), "user_id").select("event_id", MICROS("start").alias("start"), MICROS("end").alias("stop")),
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + 60000000 AS b FROM events), s AS (SELECT user_id, min(a) AS s FROM e GROUP BY user_id),
+       p AS (SELECT event_id, a, b, s, s + 3600000000 AS t FROM e JOIN s USING (user_id))
+       SELECT event_id, a AS start, least(b, CASE WHEN a < t AND b > s THEN s ELSE b END) AS stop FROM p WHERE least(b, CASE WHEN a < t AND b > s THEN s ELSE b END) - a > 10000
+       UNION ALL SELECT event_id, greatest(a, t), b FROM p WHERE a < t AND b > s AND b - greatest(a, t) > 10000""")
 
 
 def _spans(events: DataFrame) -> DataFrame:
