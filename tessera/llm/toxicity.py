@@ -233,8 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Both labels in proportion: how much likelier a form is in a toxic text.
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (n - toxic + 1))
     counted = arrow_map(rows.select("text", "toxic"), _forms, "form string, toxic bigint, other bigint").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    # Less one standard error, so that forms met a few times by chance stay out.
+    sure = odds - F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     least = max(3, round(toxic * 0.004))
-    lexicon = {r[0]: r[1] for r in counted.filter(F.col("toxic") >= least).select("form", odds.alias("odds")).filter("odds > 2.5").orderBy(F.desc("odds"), "form").limit(LEXICON).collect()}
+    lexicon = {r[0]: r[1] for r in counted.filter(F.col("toxic") >= least).select("form", sure.alias("sure")).filter("sure > 2").orderBy(F.desc("sure"), "form").limit(LEXICON).collect()}
     got = arrow_map(rows, _featured(lexicon), "toxic int, fold boolean, x array<double>").toPandas()
     return Model(lexicon, np.array(got["x"].tolist()), got["toxic"].to_numpy(float), got["fold"].to_numpy(bool))
 
