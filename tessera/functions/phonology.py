@@ -5,6 +5,7 @@ A text is scanned once for the neighbours of every position, so each producer is
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Callable
 
@@ -19,8 +20,15 @@ EDITS = f"array<struct<idx:int,del:int,parts:array<{PART}>,changed:boolean>>"
 HOLDINGS = "array<struct<position:int,length:int,type:string>>"
 PAUSES = "array<struct<position:int,type:string>>"
 
-_TWO = frozenset(v for v in C.VOWELS + C.CONSONANTS if len(v) == 2)
+_ASPIRATES, _DIPHTHONGS = frozenset(C.ASPIRATES), frozenset(v for v in C.VOWELS if len(v) == 2)
 _VOWELS, _CONSONANTS, _WS, _SVARA = frozenset(C.VOWELS), frozenset(C.CONSONANTS), frozenset(C.PY_WS), frozenset(C.SVARA)
+_V = f"(?:{'|'.join(sorted(C.VOWELS, key=len, reverse=True))})"
+_S = f"[{C.SVARA}]*"
+#: A pause's place: after oṁ and a space, or between two vowels with a space (and marks) between.
+_PAUSE = re.compile(f"oṁ |({_V}){_S} {_S}(?=({_V}))")
+_ANY = f"(?>{'|'.join(C.ASPIRATES)}|[{''.join(c for c in C.CONSONANTS if len(c) == 1)}])"
+#: The start of a cluster, in a text without annotations.
+_CLUSTER = re.compile(f"{_ANY}[{re.escape(C.PY_WS)}\u0300-\u036f{C.SVARA}]*+{_ANY}")
 _ZERO_WIDTH = frozenset("\u200b\u200c\u200d\ufeff")
 
 
@@ -30,11 +38,13 @@ def part(text: str, superscript: bool = False, change: bool = True, svara: bool
 
 def consonant_at(text: str, i: int) -> str:
     """The consonant that starts at i, the longer one first; empty if none."""
-    return next((t for t in (text[i : i + 2], text[i : i + 1]) if t in _CONSONANTS and (len(t) == 1 or t in _TWO)), "")
+    two = text[i : i + 2]
+    return two if two in _ASPIRATES else two[:1] if two[:1] in _CONSONANTS else ""
 
 
 def vowel_at(text: str, i: int) -> str:
-    return next((t for t in (text[i : i + 2], text[i : i + 1]) if t in _VOWELS), "")
+    two = text[i : i + 2]
+    return two if two in _DIPHTHONGS else two[:1] if two[:1] in _VOWELS else ""
 
 
 def is_mark(c: str) -> bool:
@@ -93,25 +103,7 @@ def svarabhakti(text: str) -> list[tuple]:
 
 def pauses(text: str) -> list[tuple[int, str]]:
     """(position, type) of pauses: after oṁ and a space, and between a word's last and the next one's first vowel (long: a long before a short one)."""
-    out, i = [], 0
-    while i < len(text):
-        if text.startswith("oṁ ", i):
-            out.append((i + 3, "short"))
-            i += 3
-            continue
-        vowel = vowel_at(text, i) if text[i] not in _SVARA else ""
-        if vowel:
-            k = i + len(vowel)
-            while k < len(text) and text[k] in _SVARA:
-                k += 1
-            if text[k : k + 1] == " ":
-                k += 1
-                while k < len(text) and text[k] in _SVARA:
-                    k += 1
-                if second := vowel_at(text, k):
-                    out.append((k, "long" if vowel in C.LONG_VOWELS and second in C.SHORT_VOWELS else "short"))
-        i += len(vowel) or 1
-    return out
+    return [(m.end(), "long" if m[1] in C.LONG_VOWELS and m[2] in C.SHORT_VOWELS else "short") for m in _PAUSE.finditer(text)]
 
 
 def cluster(s: Scan, i: int) -> tuple[list[tuple[str, int, bool]], int]:
@@ -163,7 +155,13 @@ def holding_type(s: Scan, i: int, diphthong_long: bool = False) -> str:
 def holdings(text: str, diphthong_long: bool = False) -> list[tuple[int, int, str]]:
     """(position, length, type) for each cluster of two consonants or more."""
     s, out, i = Scan(text), [], 0
+    plain = C.CANDRABINDU not in text
     while i < len(text):
+        if plain:
+            m = _CLUSTER.search(text, i)
+            if not m:
+                break
+            i = m.start()
         value = "" if s.annotation[i] or text[i] == "|" else consonant_at(text, i)
         if not value:
             i += 1
