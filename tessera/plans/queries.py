@@ -155,11 +155,9 @@ fixed("region_target", RT, RT_SCHEMA, lambda t: _regions(t).alias("r").join(_tar
 fixed("next_unassigned_target", RT, RT_SCHEMA, lambda t: K.next_unassigned(_targets(t), _regions(t), "audio_id"), "SELECT audio_id, min(ord) AS ord FROM fx t WHERE kind = 't' AND NOT EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) GROUP BY audio_id")
 fixed("target_has_region", RT, RT_SCHEMA, lambda t: K.with_region(_targets(t), _regions(t), "audio_id").select("audio_id", "ord"), "SELECT audio_id, ord FROM fx t WHERE kind = 't' AND EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord)")
 fixed("remove_target", *FX, lambda t: K.remove_target(t, 1).select("id", "target_index"), "SELECT id, CASE WHEN target_index <> 1 THEN target_index - CAST(target_index > 1 AS INTEGER) END AS target_index FROM fx")
-ARRAYS = "SELECT doc_id, string_split(text, chr(10)) AS a, regexp_split_to_array(lang || ' ' || source, ' ') AS b FROM documents"
 add("verse_zip", lambda s, d: table(s, d, DOCS).select("doc_id", F.posexplode(L.verse_zip(F.split("text", "\n"), F.array("lang", "source"), F.array(F.lit("")))).alias("n", "v")).select("doc_id", "v.devanagari", "v.transliteration", "v.translation"),
     """WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS x, [lang, source] AS y FROM documents), n AS (SELECT doc_id, x, y, unnest(range(1, greatest(len(x), 2) + 1)) AS i FROM a)
        SELECT doc_id, coalesce(x[i], '') AS devanagari, coalesce(y[i], '') AS transliteration, '' AS translation FROM n WHERE coalesce(x[i], '') <> '' OR coalesce(y[i], '') <> ''""")
-SPANS = "SELECT user_id, event_id, epoch_us(ts) / 1e6 AS start FROM events"
 MICROS = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
 add("cut_selection", lambda s, d: I.cut_selection(_spans(table(s, d, "events")), table(s, d, "events").groupBy("user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("sel_start")).withColumn("sel_end", F.col("sel_start") + 3600), "user_id").select("event_id", MICROS("start").alias("start"), MICROS("end").alias("stop")),
     """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + 60000000 AS b FROM events), s AS (SELECT user_id, min(a) AS s FROM e GROUP BY user_id),
@@ -326,7 +324,6 @@ for _name, _rule, _pair, _new in (("insert_jna", T.insert_jna, "jñ", "jgñ"), (
     on(_name, DOCS, "doc_id", lambda r=_rule: F.md5(r(text)), f"md5(array_to_string(string_split(text, '{_pair}'), '{_new}'))")
 add("svarabhakti", lambda s, d: table(s, d, DOCS).select("doc_id", F.size(P.svarabhakti_edits(text)).alias("n")), LETTERS_SQL + " SELECT doc_id, count(*) FILTER (WHERE ch = 'r' AND next_letter IN ('s', 'ś', 'ṣ', 'h', 'ṛ')) AS n FROM w GROUP BY doc_id")
 add("svarabhakti_text", lambda s, d: table(s, d, DOCS).select("doc_id", F.md5(P.apply_edits(text, P.svarabhakti_edits(text))).alias("by_edits"), F.md5(T.svarabhakti_text(text)).alias("by_pattern")))
-VOWEL_TAIL, VOWEL_HEAD = "(ai|au|[aāiīuūṛṝḷḹeo])", "[aāiīuūṛṝḷḹeo]"
 add("pauses", lambda s, d: table(s, d, DOCS).select("doc_id", F.size(P.pauses_of(F.lower("text"))).alias("n")),
     """WITH c AS (SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS ch FROM (SELECT doc_id, string_split(lower(text), '') AS s FROM documents)), w AS (SELECT *, lag(ch) OVER o AS before, lead(ch) OVER o AS after FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
        SELECT doc_id, count(*) FILTER (WHERE ch = ' ' AND before IN ('a','ā','i','ī','u','ū','ṛ','ṝ','ḷ','ḹ','e','o') AND after IN ('a','ā','i','ī','u','ū','ṛ','ṝ','ḷ','ḹ','e','o')) AS n FROM w GROUP BY doc_id""")
@@ -336,7 +333,6 @@ SAMPLE_ROWS = [(i, t, src) for i, t in enumerate(SAMPLES) for src in ("yajurveda
 fixed("collect_samyukta", SAMPLE_ROWS, "id int, t string, source string", lambda t: t.filter("source = 'smriti'").select("id", F.size(P.holdings_of(F.col("t"))).alias("n")))
 fixed("select_holding", SAMPLE_ROWS, "id int, t string, source string", lambda t: t.filter("source = 'smriti'").select("id", F.explode(P.holdings_of(F.col("t"))).alias("h")).select("id", "h.position", "h.length"))
 fixed("holding_type", SAMPLE_ROWS, "id int, t string, source string", lambda t: t.filter("source = 'smriti'").select("id", F.explode(P.holdings_of(F.col("t"))).alias("h")).select("id", "h.position", "h.type"))
-_before = "regexp_extract(t, 'ṁ *(.)', 1)"
 fixed("anusvara", SAMPLE_ROWS, "id int, t string, source string", lambda t: t.select("id", "source", P.apply_edits(F.col("t"), P.anusvara_edits(F.col("t"), F.col("source"))).alias("value")),
       """SELECT id, source, CASE WHEN t LIKE 'oṁ%' OR source = 'smriti' OR instr(t, 'ṁ') = 0 THEN t WHEN n IN ('v', 'l', 'y') THEN replace(t, 'ṁ', 'ṁ' || translate(n, 'vly', 'uli')) WHEN source = 'rigveda' OR t LIKE '%ṁ jñ%' THEN t
              WHEN n IN ('ś', 'ṣ', 's', 'h', 'r') THEN replace(t, 'ṁ', 'm̐g' || CASE WHEN regexp_matches(t, 'ṁ [śṣshr][kgcjṭḍtdpbmyrlvśṣsh]') THEN CASE WHEN regexp_matches(t, '[aiu]ṁ') THEN 'g' ELSE '' END ELSE 'ṁ' END)
@@ -350,7 +346,6 @@ add("apply_edits", lambda s, d: table(s, d, DOCS).select("doc_id", F.md5(P.apply
 add("rule_pipeline", lambda s, d: pipelines.rule_pipeline(table(s, d, DOCS).select("doc_id", "text"), rules=("normalize", "sv", "vy")).select("doc_id", F.md5("text").alias("value")), f"SELECT doc_id, md5(replace(replace({NORMALIZE_SQL}, 'sv', 'suv'), 'vy', 'vuy')) AS value FROM documents")
 
 # ---- date, math, array, map and JSON scalars ---------------------------------------------------------------------------------
-VALUE_AGE = "epoch_us(ts) / 1e6"
 on("format_time", "events", "event_id", lambda: T.format_time(F.col("value") - 30), "CASE WHEN v < 0 THEN '-' ELSE '' END || CAST(floor(abs(v) / 60) AS BIGINT) || ':' || printf('%02d', CAST(floor(abs(v) % 60) AS BIGINT)) || '.' || printf('%03d', CAST(floor((abs(v) % 1) * 1000) AS BIGINT))".replace("v)", "value - 30)").replace("v <", "value - 30 <"))
 fixed("parse_time", [("1:01.500",), ("0:00",), ("x",), ("1:2:3",), ("-1:30",), (":5",)], "t string", lambda t: t.select("t", F.round(T.parse_time(F.col("t")), 6).alias("value")), "SELECT t, CASE WHEN len(string_split(t, ':')) = 2 THEN round(try_cast(split_part(t, ':', 1) AS DOUBLE) * 60 + coalesce(try_cast(split_part(t, ':', 2) AS DOUBLE), 0), 6) END AS value FROM fx")
 on("format_duration", "events", "event_id", lambda: T.format_duration(F.floor(F.col("value") * 10)), "CASE WHEN floor(value * 10) = 0 THEN '—' ELSE CAST(floor(floor(value * 10) / 60) AS BIGINT) || ':' || printf('%02d', CAST(floor(value * 10) % 60 AS BIGINT)) END")
