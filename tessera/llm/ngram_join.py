@@ -240,7 +240,6 @@ def _blocked(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: id, th (see keyed()), class_id, n_links (other texts at the threshold or above), keep (the row's text is the one of its class that stays)."""
-    spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     signed = materialize(arrow_map(rows, _sign(k), ddl(SIGNED)), "signed")
     texts = signed.filter("set IS NOT NULL").groupBy("set", "th").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"))
