@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, fresh, keyed, materialize
 
-SHORTEST, SEGMENT = 20, 128
+SHORTEST, SEGMENT = 20, 192
 
 
 def _lines(rows: DataFrame, shortest: int) -> DataFrame:
@@ -34,8 +34,8 @@ def _place() -> Column:
 
 def _anchors(lines: DataFrame, segment: int) -> DataFrame:
     """A row for each class (own length, or one more) and segment: key of the class and all the line but the segment, long (own length), segment."""
-    cuts = f"""explode(flatten(transform(array(n, n + 1), c -> transform(sequence(0, greatest(4, cast(ceil(c / {segment}) as int)) - 1),
-               s -> named_struct('c', c, 'b', cast(floor(s * c / greatest(4, ceil(c / {segment}))) as int), 'e', cast(floor((s + 1) * c / greatest(4, ceil(c / {segment}))) as int))))))"""
+    cuts = f"""explode(flatten(transform(array(n, n + 1), c -> transform(sequence(0, greatest(3, cast(ceil(c / {segment}) as int)) - 1),
+               s -> named_struct('c', c, 'b', cast(floor(s * c / greatest(3, ceil(c / {segment}))) as int), 'e', cast(floor((s + 1) * c / greatest(3, ceil(c / {segment}))) as int))))))"""
     out = lines.withColumn("at", F.expr(cuts))
     key = F.expr("xxhash64(at.c, at.b, substring(line, 1, at.b), substring(line, n - (at.c - at.e) + 1))")
     return out.withColumn("key", key).withColumn("long", F.col("at.c") == F.col("n")).withColumn("seg", F.expr("substring(line, at.b + 1, n - at.b - (at.c - at.e))")).drop("at")
