@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if its measured size is below this; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 #: Arrow batches sent to Python hold at most this many bytes, and rows.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -47,10 +47,10 @@ def _shape(token: str) -> str:
 
 
 class Tokens(dict):
-    """token -> (its hash, its shape's hash); emptied when it has grown to `most` tokens."""
+    """token -> (its hash, its shape's hash); emptied when it has grown to 100,000 tokens."""
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[token] = h = (xxhash.xxh64_intdigest(token), xxhash.xxh64_intdigest("shape " + _shape(token)))
         return h

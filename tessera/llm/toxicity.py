@@ -51,7 +51,7 @@ def forms(word: str) -> list[str]:
 
 
 class Codes(dict):
-    """word as written -> (flags, weight); emptied when it has grown to 300,000 words."""
+    """word as written -> (flags, weight); emptied when it has grown to 100,000 words."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
@@ -62,7 +62,7 @@ class Codes(dict):
         return got[0], max(got[1:], default=0.0)
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         low = word.lower()
         whole, stem = self._weight(low)

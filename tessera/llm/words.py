@@ -14,7 +14,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 class WordHashes(dict):
     """word -> hash. It is emptied when it has grown to `most` words, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 
