@@ -9,7 +9,8 @@ stretches lie equally around equal triggers. From this:
 2. The parse: for each other trigger the span of all its stretches is one string, counted as such; if it is found again, so
    is each of its stretches.
 3. Where a context has different spans and one of them is unique (at the edges of repeated regions), these are compared in blocks of a few
-   stretches, each different span being taken once; and where blocks differ likewise, stretch by stretch.
+   stretches, each different span being taken once; and where blocks with the same core (what all their stretches hold) differ likewise,
+   stretch by stretch.
 4. The repeated stretches of a document, in order, give the runs of bytes to remove.
 
 A suffix array of the whole corpus would be one sequential structure. The question asked of it (which stretches of a fixed length have
@@ -40,7 +41,7 @@ LENGTH, WINDOW, GRAM = 200, 128, 12
 #: Bytes after a trigger that each stretch assigned to it holds.
 CONTEXT = LENGTH - WINDOW + 1
 #: Rows are combined in each task in batches of this many.
-COMBINE = 400_000
+COMBINE = 200_000
 #: Spans whose stretches must be told apart are compared in blocks of this many first.
 BLOCK = 8
 
@@ -169,7 +170,7 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parse(step: int) -> Callable:
-    """Rows (id, th, text, places): each place's string, or that of each block of `step` of its stretches, counted from the trigger. x: the context and the block."""
+    """Rows (id, th, text, places): each place's string, or that of each block of `step` of its stretches, counted from the trigger. x: what every stretch of the place, or block, holds."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Combiner()
@@ -184,7 +185,9 @@ def _parse(step: int) -> Callable:
                 first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (block[1:] != block[:-1])]))
                 a, b = start[first], np.append(start[first[1:] - 1], start[-1]) + 1
                 place, block = place[first], block[first]
-                x = (h.of(at[place], at[place] + CONTEXT) + block.astype(np.uint64) * np.uint64(_P)).view(np.int64)
+                # What all stretches of a whole block hold, also where the block is cut off by its place.
+                last = at[place] - block * step
+                x = h.of(last, np.maximum(last - step + 1 + LENGTH, at[place] + CONTEXT) if step > WINDOW else last - step + 1 + LENGTH).view(np.int64)
                 found.add(_two(h, a, b - 1 + LENGTH), i, th, pack(a, b, at[place]), x if step > 1 else 0, 1 + again[place])
                 if found.size >= COMBINE:
                     yield from found.out()
