@@ -2,13 +2,15 @@
 
 A text is the first layer. Each layer is searched for secrets; then what it holds in URL escapes, Unicode escapes and base64
 (of text or of gzip, zlib, bzip2, xz or zstd data) is unwrapped into further layers, which join the worklist until nothing new
-appears. A layer met before (same content from the same place) is not taken up again, so cycles end. Every layer
+appears. Base64 is also read across the lines that it is wrapped in. Compressed data, from base64 or from escapes, is inflated with all
+its members, and again for as long as the output is itself compressed. A layer met before (same content from the same place) is not taken up again, so cycles end. Every layer
 carries, for each of its characters, the range of the original text that it comes from; spans are reported in code points of the original,
 end exclusive.
 
 Defined results. A null text counts as empty and has no spans. Repeated rows give repeated results; an empty table an
-empty table. Columns other than the id and the text are not read. A compressed layer is unwrapped up to `most` bytes, a guard against
-decompression bombs.
+empty table. Columns other than the id and the text are not read. What compressed data hold is searched to its end; past `most` bytes it
+is inflated as a stream and searched in pieces of about that size, cut where no secret, escape or base64 can run across.
+Data whose first member is damaged don't count as compressed; data that end early count as far as they go.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,24 @@ ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\x[0-9A-Fa-f]{2})+)|\\u\{([0-9
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: What a token is cut at, if it isn't base64 as a whole.
 BASE64_PART = re.compile(r"[A-Za-z0-9+/]{12,}={0,2}")
-MOST = 64 << 20
+#: Base64 over several lines, each but the last of one length.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t>]*+)+[A-Za-z0-9+/_-]++={0,2}")
+WRAPPED_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Where compressed data may begin among characters that stand for bytes.
+COMPRESSED = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+BYTES = re.compile(r"[\x00-\xff]+")
+#: Further escapes among bytes that are written as in source code.
+PLAIN = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+BYTE_ESCAPE = {
+    "url": re.compile(r"%([0-9A-Fa-f]{2})"),
+    "form": re.compile(r"%([0-9A-Fa-f]{2})|(\+)"),
+    "code": re.compile(r"""\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,2})\}|\\U000000([0-9A-Fa-f]{2})|\\([nrt0abfv\\'"/])"""),
+    "entity": re.compile(r"(&\#[0-9]{1,3};|&\#[xX]0{0,4}[0-9A-Fa-f]{1,2};|&(?:amp|lt|gt|quot|apos);)"),
+    "plus": re.compile(r"U\+00([0-9A-Fa-f]{2})\b\x20?"),
+}
+#: Where a long text may be cut: no pattern, escape or wrapped base64 runs across.
+CUT = re.compile(rb"[^A-Za-z0-9+/_=\s-]\r?\n|\n\r?\n|[\x00-\x08\x0e-\x1f]")
+MOST, STEP = 64 << 20, 1 << 20
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_layers", pa.int64()), ("decoded_spans", pa.string())])
 
@@ -130,25 +150,113 @@ def unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(parts), lo, hi, f"{layer.how}>escape")
 
 
-def inflated(raw: bytes, most: int) -> bytes | None:
-    """What gzip, zlib, bzip2, xz or zstd data hold, up to most bytes; None for anything else."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, most)
-        if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(raw, most)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, most)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                return r.read(most)
-    except Exception:  # each library raises errors of its own for data that only look compressed
-        return None
-    return None
+def signature(raw: bytes) -> str | None:
+    if raw[:2] == b"\x1f\x8b":
+        return "gzip"
+    if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return "zlib"
+    return "bz2" if raw[:3] == b"BZh" else "xz" if raw[:6] == b"\xfd7zXZ\x00" else "zstd" if raw[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _member(kind: str, raw: bytes, more: Iterator[bytes], rest: list[bytes]) -> Iterator[bytes]:
+    """What the one member at the start of raw and more holds, in short pieces; what follows it goes to rest."""
+    if kind in ("gzip", "zlib"):
+        d = zlib.decompressobj(31 if kind == "gzip" else 15)
+    elif kind == "zstd":
+        import zstandard
+
+        d = zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
+    else:
+        d = bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor()
+    while True:
+        if kind in ("gzip", "zlib"):
+            out = d.decompress(raw, STEP)
+            raw = d.unconsumed_tail
+        elif kind == "zstd":  # has no bound of the output; so much input holds 32 MiB at most
+            out, left = d.decompress(raw[:1024]), raw[1024:]
+            raw = left
+        else:
+            out, raw = d.decompress(raw, STEP), b""
+        if out:
+            yield out
+        if d.eof:
+            rest.append(d.unused_data + (raw if kind == "zstd" else b""))
+            return
+        if not raw and (kind == "zstd" or len(out) < STEP):
+            if (raw := next(more, b"")) == b"":
+                return
+
+
+def members(chunks: Iterator[bytes], rest: list[bytes] | None = None) -> Iterator[bytes]:
+    """What compressed data hold, all members in a row. Raises an error where the first is damaged. What follows the last one goes to rest."""
+    raw, n, rest = b"", 0, [] if rest is None else rest
+    while True:
+        while len(raw := raw.lstrip(b"\0") if n else raw) < 6 and (new := next(chunks, b"")):
+            raw += new
+        if (kind := signature(raw)) is None:
+            rest[:] = [raw]
+            return
+        after: list[bytes] = []
+        try:
+            yield from _member(kind, raw, chunks, after)
+        except Exception:  # each library raises errors of its own for data that only look compressed
+            if not n:
+                raise
+            rest[:] = [raw]
+            return
+        raw, n = b"".join(after), n + 1
+
+
+def _filled(chunks: Iterator[bytes], most: int) -> tuple[bytes, bool]:
+    """The chunks up to most bytes or a little more, and whether there are others."""
+    parts, n = [], 0
+    for x in chunks:
+        parts.append(x)
+        n += len(x)
+        if n > most:
+            return b"".join(parts), True
+    return b"".join(parts), False
+
+
+def cut(chunks: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """The chunks in pieces of about most bytes; a piece is longer where there is no place to cut."""
+    held, limit = bytearray(), most
+    for x in chunks:
+        held += x
+        if len(held) > limit:
+            width, at = 1 << 16, 0
+            while not at and width < 2 * len(held):
+                at = max((m.end() for m in CUT.finditer(held, max(0, len(held) - width))), default=0)
+                width *= 2
+            if at:
+                yield bytes(held[:at])
+                del held[:at]
+            limit = max(most, 2 * len(held))
+    if held:
+        yield bytes(held)
+
+
+def inflated(raw: bytes, most: int) -> tuple[Iterator[bytes], int, int] | None:
+    """What gzip, zlib, bzip2, xz or zstd data hold, inflated until it is no longer compressed, in pieces; how many times; the bytes of raw
+    that were read. None for anything else."""
+    source, head, n, used, seen = lambda: iter((raw,)), raw, 0, len(raw), set()
+    while signature(head):
+        if n:
+            if (name := hashlib.sha256(head).digest()) in seen:
+                break
+            seen.add(name)
+        rest: list[bytes] = []
+        inner = lambda s=source, r=rest: members(s(), r)
+        try:
+            new, more = _filled(inner(), most)
+        except Exception:  # only looks compressed
+            break
+        if not new:
+            break
+        if not n and not more:
+            used -= len(b"".join(rest))
+        source, head, n = inner if more else lambda x=new: iter((x,)), new, n + 1
+    return (cut(source(), most), n, used) if n else None
 
 
 def _readable(raw: bytes) -> bool:
@@ -162,34 +270,112 @@ def _readable(raw: bytes) -> bool:
         return False
 
 
-def _base64(token: str, start: int, most: int) -> tuple[str, np.ndarray, np.ndarray, str] | None:
-    """The text that a token at start holds, where each character comes from, and how; None if it is neither readable text nor compressed data."""
+def _pieces(layer: Layer, found: tuple[Iterator[bytes], int, int], start: int, end: int, how: str) -> Iterator[Layer]:
+    """A layer for each piece of inflated data, every character of which comes from start to end of the layer."""
+    a, b = layer.origin(start, end)
+    try:
+        for piece in found[0]:
+            text = _chars(piece)[0] if len(piece) < STEP else _text(piece)
+            yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), f"{layer.how}>{how}{'>compressed' * found[1]}")
+    except Exception:  # damaged past the first piece
+        return
+
+
+def _text(raw: bytes) -> str:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def _base64(layer: Layer, token: str, at: np.ndarray, most: int) -> Iterator[Layer]:
+    """The layers that a token holds, whose characters are at these places: none if it is neither readable text nor compressed data."""
     bare = token.rstrip("=").translate({45: 43, 95: 47})
     bare = bare[:-1] if len(bare) % 4 == 1 else bare
     try:
         raw = base64.b64decode(bare + "=" * (-len(bare) % 4))
     except binascii.Error:
-        return None
-    if (data := inflated(raw, most)) is not None:
-        text = _chars(data)[0]
-        return text, np.full(len(text), start), np.full(len(text), start + len(token)), "base64>compressed"
-    if _readable(raw):
+        return
+    if (found := inflated(raw, most)) is not None:
+        yield from _pieces(layer, found, int(at[0]), int(at[-1]) + 1, "base64")
+    elif raw and _readable(raw):
         text, sizes = _chars(raw)
         ends = np.cumsum(sizes, dtype=int)
-        return text, start + (ends - np.array(sizes, int)) * 8 // 6, start + -(-ends * 8 // 6), "base64"
-    return None
+        lo, hi = at[(ends - np.array(sizes, int)) * 8 // 6], at[-(-ends * 8 // 6) - 1] + 1
+        if layer.lo is not None:
+            lo, hi = layer.lo[lo], layer.hi[hi - 1]
+        yield Layer(text, lo, hi, f"{layer.how}>base64")
+
+
+def _any(layers: Iterator[Layer]) -> Iterator[Layer] | None:
+    first = next(layers, None)
+    return None if first is None else chain([first], layers)
+
+
+def _wrapped(layer: Layer, most: int) -> Iterator[Layer]:
+    """The layers of base64 over several lines: those of one length and a shorter last one, which may also be a word that follows."""
+    for m in WRAPPED.finditer(layer.text):
+        lines = [(x.group(), m.start() + x.start()) for x in WRAPPED_LINE.finditer(m.group())]
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and len(lines[j][0]) == len(lines[i][0]):
+                j += 1
+            ends = [j + 1] if j < len(lines) and len(lines[j][0]) < len(lines[i][0]) else []
+            for end in [*ends, j]:
+                if end > i + 1:
+                    token, at = "".join(t for t, _ in lines[i:end]), np.concatenate([np.arange(p, p + len(t)) for t, p in lines[i:end]])
+                    if got := _any(_base64(layer, token, at, most)):
+                        yield from got
+                        break
+            i = j
 
 
 def unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
     """A layer for each base64 token that holds readable text or compressed data."""
+    one = lambda m, start: _base64(layer, m.group(), np.arange(start + m.start(), start + m.end()), most)
     for m in BASE64.finditer(layer.text):
-        whole = _base64(m.group(), m.start(), most)
-        for got in [whole] if whole else [_base64(x.group(), m.start() + x.start(), most) for x in BASE64_PART.finditer(m.group()) if x.group() != m.group()]:
-            if got and got[0]:
-                text, lo, hi, how = got
-                if layer.lo is not None:
-                    lo, hi = layer.lo[lo], layer.hi[np.minimum(hi, len(layer.text)) - 1]
-                yield Layer(text, lo, hi, f"{layer.how}>{how}")
+        if whole := _any(one(m, 0)):
+            yield from whole
+        else:
+            for x in BASE64_PART.finditer(m.group()):
+                if x.group() != m.group():
+                    yield from one(x, m.start())
+    yield from _wrapped(layer, most)
+
+
+def _byte(m: re.Match) -> str:
+    """The byte that an escape stands for, as a character."""
+    code = next(g for g in m.groups() if g is not None)
+    if code[0] == "&":
+        return html.unescape(code) if code[1] != "#" else chr(int(code[3:-1], 16) if code[2] in "xX" else int(code[2:-1]))
+    if code == "+":
+        return " "
+    return PLAIN.get(code, code) if m.re is BYTE_ESCAPE["code"] and m.lastindex == 5 else chr(int(code, 16))
+
+
+def escaped_data(layer: Layer, most: int) -> Iterator[Layer]:
+    """The layers of compressed data whose bytes are written with escapes of one kind (beside bytes that are written as they are)."""
+    text = layer.text
+    for kind, mark in (("url", "%"), ("form", "%"), ("code", "\\"), ("entity", "&#"), ("plus", "U+")):
+        if mark not in text or kind == "form" and "+" not in text:
+            continue
+        parts, ats, end = [], [], 0
+        for m in BYTE_ESCAPE[kind].finditer(text):
+            parts += [text[end : m.start()], _byte(m)]
+            ats += [np.arange(end, m.start()), np.array([m.start()])]
+            end = m.end()
+        if not parts:
+            continue
+        at = np.concatenate([*ats, np.arange(end, len(text) + 1)])
+        view, done = "".join([*parts, text[end:]]), 0
+        for m in COMPRESSED.finditer(view):
+            if m.start() < done:
+                continue
+            raw = BYTES.match(view, m.start()).group().encode("latin-1")
+            if (found := inflated(raw, most)) is not None:
+                done = m.start() + found[2]
+                yield from _pieces(layer, found, int(at[m.start()]), int(at[done]), "escape")
 
 
 def scan(text: str, most: int = MOST) -> tuple[list[tuple], dict[tuple, str], int]:
@@ -210,6 +396,7 @@ def scan(text: str, most: int = MOST) -> tuple[list[tuple], dict[tuple, str], in
         n += 1
         if (x := unescaped(layer)) is not None:
             work.append(x)
+            work.extend(escaped_data(layer, most))
         work.extend(unwrapped(layer, most))
     return base, added, n
 

@@ -136,6 +136,58 @@ def test_cycles_end():
     assert secret_scan.scan(text)[2] < 20
 
 
+def _packed(how, raw):
+    import bz2
+    import lzma
+
+    import zstandard
+
+    return {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}[how](raw)
+
+
+PACKED = ("gzip", "zlib", "bz2", "xz", "zstd")
+BYTES_AS = {
+    "base64": lambda b: base64.b64encode(b).decode(),
+    "mime": lambda b: base64.encodebytes(b).decode().strip(),
+    "url": lambda b: urllib.parse.quote(b, ""),
+    "form": lambda b: urllib.parse.quote_plus(b),
+    "all_url": lambda b: "".join(f"%{x:02X}" for x in b),
+    "hex": lambda b: "".join(f"\\x{x:02x}" for x in b),
+    "repr": lambda b: repr(b),
+    "unicode": lambda b: "".join(f"\\u{x:04x}" for x in b),
+    "entities": lambda b: "".join(f"&#{x};" for x in b),
+}
+
+
+def _found(text, coded, **more):
+    base, added, _ = secret_scan.scan(text, **more)
+    a = text.index(coded)
+    return not [s for s in base if s[1] == 0] and any(k == 0 and a <= x < y <= a + len(coded) for x, k, y in added)
+
+
+@pytest.mark.parametrize("written", BYTES_AS)
+@pytest.mark.parametrize("outer", [None, "gzip", "zstd"])
+@pytest.mark.parametrize("inner", PACKED)
+def test_compressed_secrets(inner, outer, written):
+    rng = random.Random(5)
+    noise = "".join(rng.choice("ghijklmnop .,\n") for _ in range(300))
+    raw = _packed(inner, f"{noise}\n{SECRET}\n".encode())
+    coded = BYTES_AS[written](_packed(outer, raw) if outer else raw)
+    assert _found(f"ü before: {coded}\nafter it", coded)
+
+
+@pytest.mark.parametrize("how", PACKED)
+def test_secrets_in_later_members_and_past_the_piece(how):
+    for raw in (_packed(how, b"nothing\n") + _packed(how, SECRET.encode()), _packed(how, SECRET[:9].encode()) + _packed(how, SECRET[9:].encode()), _packed(how, b"some words.\n" * 20000 + SECRET.encode()), _packed("gzip", _packed(how, random.Random(1).randbytes(9000) + b".\n" + SECRET.encode()))):
+        coded = base64.b64encode(raw).decode()
+        assert _found(f"a {coded} b", coded, most=1000)
+
+
+def test_wrapped_base64_that_a_word_follows():
+    text = "x: " + base64.encodebytes(b"q" * 50 + SECRET.encode() + b"z" * 39).decode() + "follows"
+    assert [k for _, k, _ in secret_scan.scan(text)[1]].count(0) >= 1
+
+
 # ---- repeats -----------------------------------------------------------------------------------------------------------------
 def brute_repeats(texts):
     count = Counter(b[p : p + 200] for b in texts for p in range(len(b) - 199))
