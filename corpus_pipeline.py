@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier one equals, or nearly so, go; so do documents of which nothing is left. n_chars follows the text."""
-    done = line_dedup.line_dedup(docs)
+    """Lines of any length that an earlier one equals, or longer ones nearly so, go; so do documents of which nothing is left. n_chars follows the text."""
+    done = line_dedup.line_dedup(docs, exact=1)
     done = done.filter((F.col("removed_lines") == 0) | (F.trim("text") != ""))
     return done.select(*[F.when(F.col("removed_lines") > 0, F.char_length("text").cast(kind)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes])
 

@@ -7,7 +7,8 @@ character of the segment deleted. Equal variants at one position are replacement
 insertion. Variants meet in aggregates that keep the earliest line, never in pairs, and what they suggest is verified by the edit
 distance of the lines themselves.
 
-Defined results. A null text counts as empty. Lines end at a newline. Lines under `shortest` characters (blank ones too) always stay. Null
+Defined results. A null text counts as empty. Lines end at a newline. Lines under `shortest` characters have no near match; those under
+`exact` characters, and blank ones under `shortest`, always stay. Null
 ids come last in order; rows equal in id and text count as one row and get the same result. A document without removed lines is
 returned as it is. An empty table gives an empty table. Extra columns are kept as they are.
 """
@@ -22,9 +23,10 @@ from .common import broadcast_if_small, fresh, keyed, materialize
 SHORTEST, SEGMENT = 20, 192
 
 
-def _lines(rows: DataFrame, shortest: int) -> DataFrame:
+def _lines(rows: DataFrame, shortest: int, exact: int) -> DataFrame:
     """(id, th, pos, line, n, h1, h2) of the lines that may go. h1, h2: a digest of the line."""
-    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).filter(F.col("n") >= shortest)
+    long = F.col("n") >= shortest
+    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).filter(long | (F.col("n") >= exact) & F.col("line").rlike(r"\S") if exact < shortest else long)
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
@@ -64,11 +66,11 @@ def near_lines(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return checked.select("h1", "h2").distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, segment: int = SEGMENT) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, segment: int = SEGMENT, exact: int = SHORTEST) -> DataFrame:
     """The rows of docs, the text without the lines that go, and `removed_lines`, their number (in place of a column of docs that is so named)."""
-    lines = _lines(keyed(docs, id_col, text_col), shortest)
+    lines = _lines(keyed(docs, id_col, text_col), shortest, exact)
     seen = materialize(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "lines")
-    near = materialize(near_lines(lines, segment), "nearlines").withColumn("near", F.lit(True))
+    near = materialize(near_lines(lines.filter(F.col("n") >= shortest), segment), "nearlines").withColumn("near", F.lit(True))
     marks = materialize(seen.join(near, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "marks")
     gone = lines.select("h1", "h2", _place().alias("place")).join(broadcast_if_small(marks, 56), ["h1", "h2"]).filter("near OR place <> first")
     gid, gth, pos = (fresh(docs, x) for x in ("gone_id", "gone_th", "gone_pos"))

@@ -377,6 +377,13 @@ def test_lines_by_brute_force(spark):
     assert {i: t or "" for i, t in got.items()} == want
 
 
+def test_short_lines_that_repeat_go(spark):
+    long = "a line of more than twenty characters"
+    texts = ["short\n\n \nshort\n" + long, "", "\nshor\nshort\n" + long + "s", None, "x\nx"]
+    got = {r.doc_id: r.text or "" for r in line_dedup.line_dedup(docs_of(spark, texts), exact=1).collect()}
+    assert got == {0: "short\n\n \n" + long, 1: "", 2: "\nshor", 3: "", 4: "x"}
+
+
 # ---- decontamination ---------------------------------------------------------------------------------------------------------
 def test_leaks_and_reordered_leaks(spark):
     rng = random.Random(17)

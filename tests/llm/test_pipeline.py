@@ -33,6 +33,12 @@ def test_stages(spark, tmp_path):
     assert after.join(labels.filter("quality = 0"), "doc_id", "left_semi").count() == 0
 
 
+def test_lines_of_any_length(spark):
+    docs = spark.createDataFrame([(0, "short\nother", "en", "s", 11), (1, "short\nnew", "en", "s", 9)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.line_deduplication(spark, docs, SF).orderBy("doc_id").collect()
+    assert [(r.text, r.n_chars) for r in got] == [("short\nother", 11), ("new", 3)]
+
+
 def test_every_operator_has_a_query():
     assert sorted({int(n[2:].split("_")[0]) for n in queries()}) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
