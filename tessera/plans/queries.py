@@ -369,8 +369,20 @@ on("now_seconds", "events", "event_id", lambda: F.unix_timestamp(F.col("ts").cas
 _speech = lambda s, d: table(s, d, "events").groupBy((F.col("user_id") % 4).alias("audio_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda e: F.when(F.floor(e["event_id"] / 800) % 2 == 0, e["value"]).otherwise(0.0)).alias("pcm"))
 add("detect_speech", lambda s, d: _speech(s, d).select("audio_id", F.posexplode(A.detect_speech("pcm", F.lit(100))).alias("n", "i")).select("audio_id", "n", "i.start", F.col("i.end").alias("stop")))
 add("auto_split", lambda s, d: I.merge_to_count(_speech(s, d).select("audio_id", F.explode(A.detect_speech("pcm", F.lit(100))).alias("i")).select("audio_id", "i.start", "i.end"), 3, "audio_id").select("audio_id", "start", F.col("end").alias("stop")))
-_lines = lambda s, d: table(s, d, "conversations").filter("conv_id < 4").select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("ord"), T.syllable_count(text).alias("syllables"), F.lit(None).cast("double").alias("beats"), F.endswith("text", F.lit(".")).alias("pause_after"))
-_audio = lambda s, d: _speech(s, d).select("audio_id", (F.size("pcm") / 100.0).alias("duration"), A.detect_speech("pcm", F.lit(100)).alias("speech"))
+_lines = lambda s, d: table(s, d, "conversations").select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("ord"), T.syllable_count(text).alias("syllables"), F.lit(None).cast("double").alias("beats"), F.endswith("text", F.lit(".")).alias("pause_after"))
+_audio = lambda s, d: _recordings(s, d).select("audio_id", (F.size("pcm") / 100.0).alias("duration"), A.detect_speech("pcm", F.lit(100)).alias("speech"))
+
+
+def _recordings(s: SparkSession, d: str) -> DataFrame:
+    """A recording (audio_id, pcm) for each conversation, of all events: these are dealt over as many signals as there are conversations (or events, if
+    fewer; then conversations share signals). An event sounds for 80 ms; five loud ones and five silent ones take turns."""
+    talks = table(s, d, "conversations").filter("conv_id IS NOT NULL").select(F.col("conv_id").alias("audio_id")).distinct()
+    sizes = talks.agg(F.max("audio_id").alias("last")).crossJoin(table(s, d, "events").agg(F.count("*").alias("events"))).select(F.expr("least(last + 1, events)").alias("n"))
+    played = F.flatten(F.transform("e", lambda e, i: F.array_repeat(F.when(F.floor(i / 5) % 2 == 0, e["value"]).otherwise(0.0), 8)))
+    signals = table(s, d, "events").crossJoin(F.broadcast(sizes)).groupBy(F.expr("pmod(event_id, n)").alias("signal")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("e")).select("signal", played.alias("pcm"))
+    return talks.crossJoin(F.broadcast(sizes)).withColumn("signal", F.expr("pmod(audio_id, n)")).join(signals, "signal").select("audio_id", "pcm")
+
+
 add("auto_align", lambda s, d: A.auto_align(_audio(s, d), _lines(s, d)).withColumnRenamed("end", "stop"))
 add("align_dp", lambda s, d: A.auto_align(_audio(s, d), _lines(s, d)).filter("method = 'aligned'").withColumnRenamed("end", "stop"))
 add("pick_boundaries", lambda s, d: A.auto_align(_audio(s, d).withColumn("speech", F.lit(None).cast(A.INTERVALS)), _lines(s, d)).withColumnRenamed("end", "stop"))
