@@ -150,6 +150,14 @@ def pick_boundaries(times: list[float], desired: list[float]) -> list[float]:
     return out[::-1]
 
 
+def boundary_times(duration: float, intervals: list[tuple[float, float]] | None, syllables: np.ndarray) -> tuple[list[float], np.ndarray]:
+    """The middles of the gaps between intervals; the edges of targets in proportion to syllables, over the intervals, or the whole where there are none."""
+    share = np.concatenate([[0], np.cumsum(syllables)]) / syllables.sum()
+    if not intervals:
+        return [], share * duration
+    return [(a[1] + b[0]) / 2 for a, b in zip(intervals, intervals[1:], strict=False)], intervals[0][0] + share * (intervals[-1][1] - intervals[0][0])
+
+
 def regions_of(duration: float, intervals: list[tuple[float, float]] | None, weights: np.ndarray, syllables: np.ndarray, hints: np.ndarray) -> list[tuple]:
     """(start, end, target, confidence, method): in proportion where there is no signal or no speech; else aligned, or by boundaries near the expected ones."""
     n = len(weights)
@@ -160,8 +168,7 @@ def regions_of(duration: float, intervals: list[tuple[float, float]] | None, wei
     found = [(intervals[j][0], intervals[j][1], i, min(0.98, max(0.05, 1 - c / 3)), "aligned") for i, j, c in align(weights, hints, intervals) if intervals[j][1] > intervals[j][0] + 0.01]
     if found:
         return sorted(found)
-    edges = intervals[0][0] + share * (intervals[-1][1] - intervals[0][0])
-    middles = [(a[1] + b[0]) / 2 for a, b in zip(intervals, intervals[1:], strict=False)]
+    middles, edges = boundary_times(duration, intervals, syllables)
     inner = pick_boundaries(middles, edges[1:-1].tolist())
     bounds = [edges[0], *inner, edges[-1]]
     return [(bounds[i], bounds[i + 1], i, 0.52, "boundaries") for i in range(n)]
@@ -185,3 +192,21 @@ def auto_align(recordings: DataFrame, targets: DataFrame, key: str = "audio_id")
 
     kind = dict(recordings.dtypes)[key]
     return recordings.groupBy(key).cogroup(targets.groupBy(key)).applyInPandas(one, f"{key} {kind}, {REGION}")
+
+
+def boundaries(recordings: DataFrame, targets: DataFrame, key: str = "audio_id") -> DataFrame:
+    """(key, n, desired, picked): for each expected boundary between targets the gap of the recording's speech that pick_boundaries takes; tables as for auto_align."""
+
+    def one(k: tuple, audio: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
+        columns = [key, "n", "desired", "picked"]
+        if not len(audio) or not len(text):
+            return pd.DataFrame(columns=columns)
+        syllables = text.sort_values("ord")["syllables"].fillna(0).to_numpy(float)
+        row = audio.iloc[0]
+        intervals = None if row["speech"] is None else [(s["start"], s["end"]) for s in row["speech"]]
+        middles, edges = boundary_times(float(row["duration"]), intervals, np.where(syllables > 0, syllables, 1.0))
+        desired = edges[1:-1].tolist()
+        return pd.DataFrame([(k[0], i, d, float(p)) for i, (d, p) in enumerate(zip(desired, pick_boundaries(middles, desired), strict=True))], columns=columns)
+
+    kind = dict(recordings.dtypes)[key]
+    return recordings.groupBy(key).cogroup(targets.groupBy(key)).applyInPandas(one, f"{key} {kind}, n int, desired double, picked double")

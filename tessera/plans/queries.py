@@ -385,7 +385,7 @@ def _recordings(s: SparkSession, d: str) -> DataFrame:
 
 add("auto_align", lambda s, d: A.auto_align(_audio(s, d), _lines(s, d)).withColumnRenamed("end", "stop"))
 add("align_dp", lambda s, d: A.auto_align(_audio(s, d), _lines(s, d)).filter("method = 'aligned'").withColumnRenamed("end", "stop"))
-add("pick_boundaries", lambda s, d: A.auto_align(_audio(s, d).withColumn("speech", F.lit(None).cast(A.INTERVALS)), _lines(s, d)).withColumnRenamed("end", "stop"))
+add("pick_boundaries", lambda s, d: A.boundaries(_audio(s, d), _lines(s, d)))
 fixed("install_regions", *FX, lambda t: I.install_regions(_end(t), F.lit(2.5)).select("id", "start", F.col("end").alias("stop")), "SELECT id, start, least(2.5, stop) AS stop FROM fx WHERE least(2.5, stop) - start > 0.01")
 fixed("uniform_confidence", RT, RT_SCHEMA, lambda t: _targets(t).join(_regions(t).select("audio_id", F.col("target_index").alias("ord"), F.lit(0.52).alias("c")).distinct(), ["audio_id", "ord"], "left").select("audio_id", "ord", F.when(F.col("c").isNull(), F.lit("unmatched")).otherwise(F.lit("matched")).alias("status"), "c"), "SELECT audio_id, ord, CASE WHEN m THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN m THEN 0.52::DOUBLE END AS c FROM (SELECT *, EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) AS m FROM fx t WHERE kind = 't')")
 
