@@ -7,12 +7,12 @@ open at the end of a task are merged into one, then those of up to 1024 tasks, t
 sequence of the whole result is padded.
 
 Defined results. A null text counts as empty: its only token is the closing id. Rows that are repeated are packed as often as
-they occur. An empty table gives an empty table. Columns other than the id and the text are not read.
+they occur. An empty table gives an empty table. Ids are integers (or null). Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -32,18 +32,33 @@ WINDOW, OPEN, CLOSING = 2048, 64, 1
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("left", pa.int64()), ("ids", pa.binary())])
 RESULT = PIECE.names[:7]
 
-_encoders: dict[str, object] = {}
+_encoders: dict[str, Callable[[str], np.ndarray]] = {}
+#: Texts longer than this are encoded in parts, cut where no piece of the tokenizer's pattern and no added token runs across.
+PART = 1 << 18
+BREAK = re.compile(r"(?<=[A-Za-z0-9.,;])(?=[ \n])")
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """text -> ids by the ranks in path (byte_bpe_50k.tiktoken holds the vocabulary of byte_bpe_50k.json; the ids are the same)."""
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """text in parts of at least `size` characters each but the last; a part is longer where there is no place to cut."""
+    start = 0
+    while len(text) - start > size and (m := BREAK.search(text, start + size)):
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:]
+
+
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """text -> ids, as the tokenizer of the JSON file at path gives them; strings of its added tokens become these."""
     if path not in _encoders:
-        import tiktoken
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+
+        def encode(text: str) -> np.ndarray:
+            return np.concatenate([np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4") for p in parts(text)])
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path].encode_ordinary
+        _encoders[path] = encode
+    return _encoders[path]
 
 
 class Packer:
@@ -116,14 +131,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = WINDOW, most_open: int = OPEN, closing: int = CLOSING, fan_in: int = 1024) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(path), TaskContext.get().partitionId()
         packer = Packer(task << 32, window, most_open)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packer.add(doc, np.array([*encode(text), closing], "<u4"))
+                packer.add(doc, np.append(encode(text), np.array([closing], "<u4")))
             yield _batch(packer.taken())
         packer.merge()
         packer.rest(task)

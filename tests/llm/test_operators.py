@@ -273,7 +273,6 @@ def test_packing_is_lossless_and_tight(spark):
     rng = random.Random(2)
     texts = [prose(rng, rng.choice([0, 3, 80, 700, 4000])) + rng.choice(["", " <|endoftext|>", "é日本🙂", "\n\n  x's 12"]) for _ in range(150)] + [None]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
     rows = packing.pack(docs_of(spark, texts).repartition(6), fan_in=2).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -297,6 +296,63 @@ def test_packing_is_lossless_and_tight(spark):
     assert max(sizes) <= 2048 and sum(s < 2048 for s in sizes) <= 1
 
 
+def test_ids_of_long_texts_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encode, rng = Tokenizer.from_file(path), packing.encoder(path), random.Random(8)
+    assert 50256 in encode("a <|endoftext|> b")
+    odd = "".join(rng.choice(["ab", " ", "  ", "\n", "\u3000", "\x1f", "é", "日本", "1", "42", "'s", "!?", "<|endoftext|>", "<|endof", ". "]) for _ in range(30_000))
+    for text in (" " * 2_000_000, "a" * 300_000, "\n" * 300_000, "7" * 300_000, "x y " * 100_000, odd, prose(rng, 60_000), "word. " * 50_000 + " " * 300_000 + "end"):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    for size in (1, 7, 100):
+        assert "".join(packing.parts(odd, size)) == odd
+        assert np.concatenate([encode(p) for p in packing.parts(odd, size)]).tolist() == t.encode(odd, add_special_tokens=False).ids
+
+
+def test_a_very_long_run_is_packed(spark):
+    rows = packing.pack(docs_of(spark, [" " * 2_000_000, "short"])).collect()
+    assert sum(r.length for r in rows if r.doc_id == 0) == 2_000_001
+    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 2048)
+
+
+@given(st.lists(st.integers(1, 25), max_size=60), st.integers(1, 4))
+@settings(max_examples=200)
+def test_best_fit_by_brute_force(sizes, most_open):
+    """The same placements as a plain list of windows: the least room that is enough; else a new one; else the fullest is topped up and emitted."""
+    packer = packing.Packer(0, 10, most_open)
+    windows, placed = [], []
+    for doc, size in enumerate(sizes):
+        packer.add(doc, np.zeros(size, "<u4"))
+        start = 0
+        while size - start >= 10:
+            placed.append((doc, start, 10, 0))
+            start += 10
+        while start < size:
+            left = size - start
+            fitting = [w for w in windows if 10 - w[0] >= left]
+            if fitting:
+                w = min(fitting, key=lambda w: (10 - w[0], w[1]))
+            elif len(windows) < most_open:
+                windows.append(w := [0, packer_order(windows, placed)])
+            else:
+                w = min(windows, key=lambda w: (10 - w[0], w[1]))
+            n = min(left, 10 - w[0])
+            placed.append((doc, start, n, w[0]))
+            w[0] += n
+            start += n
+            if w[0] == 10:
+                windows.remove(w)
+    packer.rest(None)
+    assert sorted((r[0], r[1], r[2], r[6]) for r in packer.taken()) == sorted(placed)
+
+
+def packer_order(windows, placed):
+    """A number for a new window that is larger than those before it."""
+    return len(placed)
+
+
 # ---- near duplicates ---------------------------------------------------------------------------------------------------------
 def shingles(text):
     w = WORD.findall((text or "").lower())
