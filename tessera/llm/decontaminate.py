@@ -1,16 +1,17 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are sequences of words. A run of `shortest` words that both have is a seed. For each document and
-item with a seed in common, the longest match of unmarked words is sought by running Karp-Rabin hashes along the diagonals, marked as a tile, and
-so on until no match of that length is left. An item counts as leaked into a document if the tiles cover at least `threshold` of
-its words, in whatever order its parts stand there.
-
-The items are taken in blocks of bounded size, each shipped to all workers, which hold it beside the documents they read: one
-block for a usual benchmark, more for one beyond `block_bytes`.
-
-Defined results. A null text counts as empty. Items of fewer than `shortest` words are too short to tell and are left out. Repeated
-items count once per item id; repeated rows of docs fare alike. Empty tables give no leaks. Columns other than id and text are not
-read.
+Documents and benchmark items are sequences of words. A run of `shortest` words of an item is a seed (an item of fewer words is one seed in
+itself). Documents are read once, beside a bit filter of all seeds, which leaves of each document the passages that seeds
+stand in. Their seeds are joined with those of the items; for each document and item with a seed in common, the longest match of unmarked words
+is sought by running Karp-Rabin hashes over both (a window of the item is found in the document by its rolling hash), marked as a tile, and so on until no match of
+a seed's length is left. An item counts as leaked into a document if the tiles cover at least `threshold` of its words, in whatever order its
+parts stand there.
+
+What is broadcast is the filter, of 16 bits a seed and 16 MB at most; a fuller filter only lets more passages through to the join. Memory for a pair is in proportion to
+the passages and the item, whatever they repeat.
+
+Defined results. A null text counts as empty. Items without a word never leak. Repeated items count once per item id; repeated
+rows of docs fare alike. Empty tables give no leaks. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,99 +23,173 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keyed, materialize
-from .exact_dedup import ddl
+from .common import arrow_map, broadcast_if_small, keyed, materialize, same_row
 from .words import WordHashes, runs, word_hashes
 
-SHORTEST, THRESHOLD, BLOCK_BYTES = 5, 0.5, 8 << 20
-HIT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64())])
-
-
-def tiles(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in doc, start in item, length), the longest first, then the first in the item and the document.
-    (i, j): where runs of `shortest` words of the document and the item have equal hashes."""
-    equal = np.ones(len(i), bool)
-    for k in range(shortest):
-        equal &= doc[i + k] == item[j + k]
-    i, j = i[equal], j[equal]
-    out = []
-    while len(i):
-        order = np.lexsort((i, i - j))
-        i, j = i[order], j[order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(i - j) != 0)]))
-        length = np.diff(np.append(first, len(i))) + shortest - 1
-        best = np.lexsort((i[first], j[first], -length))[0]
-        a, b, n = int(i[first[best]]), int(j[first[best]]), int(length[best])
-        out.append((a, b, n))
-        free = ((i + shortest <= a) | (i >= a + n)) & ((j + shortest <= b) | (j >= b + n))
-        i, j = i[free], j[free]
+SHORTEST, THRESHOLD = 5, 0.5
+#: Bits of the filter for each seed, and at most.
+SEED_BITS, MOST_BITS = 16, 1 << 27
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+class Rolling:
+    """Karp-Rabin hashes of all windows of a sequence, of any length, mod 2**64."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        power, back = np.ones(n, np.uint64), np.ones(n, np.uint64)
+        np.multiply.accumulate(np.full(max(0, n - 1), _BASE, np.uint64), out=power[1:])
+        np.multiply.accumulate(np.full(max(0, n - 1), _INVERSE, np.uint64), out=back[1:])
+        self.back = back
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power, dtype=np.uint64)])
+
+    def windows(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
+def _free(marked: np.ndarray, n: int) -> np.ndarray:
+    """Where windows of n words without a marked one begin."""
+    sums = np.concatenate([[0], np.cumsum(marked)])
+    return np.flatnonzero(sums[n:] == sums[:-n])
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, shortest: int, apart: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Tiles (start in doc, start in item, length): the longest first, then the first in the item, then in the document.
+    apart: True for places of doc that no match runs across."""
+    a, b = Rolling(doc), Rolling(item)
+    used, marked = np.zeros(len(doc), bool) if apart is None else apart.copy(), np.zeros(len(item), bool)
+    out: list[tuple[int, int, int]] = []
+
+    def meet(n: int) -> bool:
+        return bool(np.isin(b.windows(_free(marked, n), n), a.windows(_free(used, n), n)).any())
+
+    top = min(len(doc), len(item)) + 1
+    while top > shortest and meet(shortest):
+        # The longest match is of n words: n words meet, top don't.
+        n = shortest
+        while top - n > 1:
+            middle = (n + top) // 2
+            n, top = (middle, top) if meet(middle) else (n, middle)
+        i, j = _free(used, n), _free(marked, n)
+        hi, hj = a.windows(i, n), b.windows(j, n)
+        order = np.argsort(hi, kind="stable")
+        i, hi = i[order], hi[order]
+        lo, end = np.searchsorted(hi, hj, "left"), np.searchsorted(hi, hj, "right")
+        later: dict[int, int] = {}
+        for q in np.flatnonzero(end > lo).tolist():
+            y = int(j[q])
+            if marked[y : y + n].any():
+                continue
+            k = later.get(int(lo[q]), int(lo[q]))
+            while k < end[q]:
+                x = int(i[k])
+                if not used[x] and not used[x + n - 1] and not used[x : x + n].any() and np.array_equal(doc[x : x + n], item[y : y + n]):
+                    break
+                k += 1
+            later[int(lo[q])] = k
+            if k < end[q]:
+                out.append((x, y, n))
+                used[x : x + n] = marked[y : y + n] = True
+        top = n
     return out
 
 
-class Items:
-    """The items of a block, with an index of their seeds."""
+def _items(k: int) -> Callable:
+    """Rows (item_id, text) -> (item_id, th, words, seeds, shortest)."""
 
-    def __init__(self, items: list[tuple[int | None, str]], shortest: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        words = [(i, word_hashes(text, known)) for i, text in items]
-        self.items = [(i, w) for i, w in words if len(w) >= shortest]
-        found = [(runs(w, shortest), k) for k, (_, w) in enumerate(self.items)]
-        seeds = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.uint64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds = seeds[order]
-        self.item = np.concatenate([np.full(len(f), k) for f, k in found])[order] if found else np.zeros(0, int)
-        self.place = np.concatenate([np.arange(len(f)) for f, _ in found])[order] if found else np.zeros(0, int)
-
-    def covered(self, doc: np.ndarray, shortest: int) -> Iterator[tuple[int | None, float]]:
-        """(item, share of its words in tiles) for each item with a seed in doc."""
-        if len(doc) < shortest or not len(self.seeds):
-            return
-        own = runs(doc, shortest)
-        lo, hi = np.searchsorted(self.seeds, own, "left"), np.searchsorted(self.seeds, own, "right")
-        at = np.flatnonzero(hi > lo)
-        if not len(at):
-            return
-        n = hi[at] - lo[at]
-        i = np.repeat(at, n)
-        s = np.repeat(lo[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, j = self.item[s], self.place[s]
-        for k in np.unique(item):
-            mine = item == k
-            name, words = self.items[k]
-            yield name, sum(t[2] for t in tiles(doc, words, i[mine], j[mine], shortest)) / len(words)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, th, item_id, coverage) for each document (see keyed()) and item with a seed in common."""
-    spark, rows = docs.sparkSession, keyed(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL")
-    blocks = -(-(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // block_bytes)
-    found = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shipped = spark.sparkContext.broadcast(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        hits = materialize(arrow_map(rows, _search(shipped, shortest), ddl(HIT)), "leaks")
-        found = hits if found is None else found.unionByName(hits)
-    return spark.createDataFrame([], ddl(HIT)) if found is None else found
-
-
-def _search(shipped: object, shortest: int) -> Callable:
+        for batch in batches:
+            words = [word_hashes(t, known) for t in batch.column(2).to_pylist()]
+            seeds = [np.unique(runs(w, k)).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(seeds, pa.list_(pa.int64())), pa.array([min(k, len(w)) for w in words], pa.int32())], names=["item_id", "ih", "item", "seeds", "shortest"])
+
+    return f
+
+
+def _bits(size: int) -> Callable:
+    """Rows (seeds) -> one row of each task: the filter of its seeds."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, known = Items(shipped.value, shortest), WordHashes()
+        bits = np.zeros(size, bool)
         for batch in batches:
-            out = []
-            for i, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(i, th, item, share) for item, share in items.covered(word_hashes(text, known), shortest)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], g.type) for k, g in enumerate(HIT)], schema=HIT)
+            bits[np.array(batch.column(0).flatten(), np.int64).view(np.uint64) & np.uint64(size - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     return f
 
 
+def passages(words: np.ndarray, bits: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """What seeds (of these lengths, in the filter) cover of a document, with a 0 between passages; and those seeds."""
+    found = []
+    for k in lengths:
+        if len(words) >= k:
+            own = runs(words, k)
+            slot = own & np.uint64(len(bits) * 8 - 1)
+            at = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8) & 1)
+            if len(at):
+                found.append((at, at + k, own[at]))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    start, end, seeds = (np.concatenate(x) for x in zip(*found, strict=True))
+    at = np.flatnonzero(np.cumsum(np.bincount(start, minlength=len(words) + 1) - np.bincount(end, minlength=len(words) + 1)))
+    return np.insert(words[at], np.flatnonzero(np.diff(at) > 1) + 1, 0), np.unique(seeds)
+
+
+def _search(shipped: object, lengths: list[int]) -> Callable:
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = np.frombuffer(shipped.value, np.uint8), WordHashes()
+        for batch in batches:
+            found = [passages(word_hashes(t, known), bits, lengths) for t in batch.column(2).to_pylist()]
+            has = [k for k, (_, seeds) in enumerate(found) if len(seeds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has, pa.int64())), batch.column(1).take(pa.array(has, pa.int64())), pa.array([found[k][0].tobytes() for k in has], pa.binary()), pa.array([found[k][1].view(np.int64) for k in has], pa.list_(pa.int64()))], names=["id", "th", "doc", "seeds"])
+
+    return f
+
+
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, th, item_id, doc, item, shortest) -> (id, th, item_id, coverage)."""
+    for batch in batches:
+        share = []
+        for doc, item, k in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
+            doc, item = np.frombuffer(doc, np.uint64), np.frombuffer(item, np.uint64)
+            share.append(sum(t[2] for t in tiles(doc, item, k, doc == 0)) / len(item))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(share, pa.float64())], names=["id", "th", "item_id", "coverage"])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, most_bits: int = MOST_BITS) -> DataFrame:
+    """(id, th, item_id, coverage) for each document (see keyed()) and item with a seed in common."""
+    spark, rows = docs.sparkSession, keyed(docs, id_col, text_col)
+    kind, item_kind = dict(rows.dtypes)["id"], dict(benchmark.dtypes)[item_col]
+    items = keyed(benchmark, item_col, item_text).select(F.col("id").alias("item_id"), F.col("th").alias("ih"), "text").distinct()
+    items = materialize(arrow_map(items, _items(shortest), f"item_id {item_kind}, ih bigint, item binary, seeds array<bigint>, shortest int").filter("shortest > 0"), "items")
+    n = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    size = min(most_bits, 1 << max(10, (SEED_BITS * n - 1).bit_length()))
+    parts = arrow_map(items.select("seeds").coalesce(4), _bits(size), "bits binary").collect()
+    bits = np.zeros(size // 8, np.uint8)
+    for r in parts:
+        bits |= np.frombuffer(r[0], np.uint8)
+    shipped = spark.sparkContext.broadcast(bits.tobytes())
+    lengths = sorted(r[0] for r in items.select("shortest").distinct().collect())
+    hits = materialize(arrow_map(rows, _search(shipped, lengths), f"id {kind}, th bigint, doc binary, seeds array<bigint>"), "hits")
+    shipped.unpersist()
+    seeds = broadcast_if_small(items.select("item_id", "ih", F.explode("seeds").alias("seed")), 24)
+    pairs = materialize(hits.select("id", "th", F.explode("seeds").alias("seed")).join(seeds, "seed").select("id", "th", "item_id", "ih").distinct(), "pairs")
+    known = broadcast_if_small(items.select(F.col("item_id").alias("own_id"), F.col("ih").alias("own_ih"), "item", "shortest"), F.length("item") + 32)
+    once = hits.select("id", "th", "doc").dropDuplicates(["id", "th"])
+    met = pairs.join(known, pairs["item_id"].eqNullSafe(known["own_id"]) & (pairs["ih"] == known["own_ih"]))
+    met = met.join(once, same_row(met, once)).select(met["id"], met["th"], "item_id", "doc", "item", "shortest")
+    return arrow_map(met, _tiled, f"id {kind}, th bigint, item_id {item_kind}, coverage double")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, **options: object) -> DataFrame:
     """One row per row of docs: id, th, coverage (the most of any item's words in tiles), item_id (the first such item, if any), n_items leaked, leaked."""
     rows = keyed(docs, options.get("id_col", "doc_id"), options.get("text_col", "text")).select("id", "th")
     found = leaks(docs, benchmark, **options).groupBy(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "item_id").agg(F.max("coverage").alias("coverage"))
     best = found.groupBy("hit_id", "hit_th").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "item_id")).alias("best"), F.sum((F.col("coverage") >= threshold - 1e-9).cast("bigint")).alias("n"))
-    out = rows.join(best, rows["id"].eqNullSafe(best["hit_id"]) & (rows["th"] == best["hit_th"]), "left")
+    best = materialize(best, "leaks")
+    small = broadcast_if_small(best, 64)
+    out = rows.join(small, rows["id"].eqNullSafe(small["hit_id"]) & (rows["th"] == small["hit_th"]), "left")
     coverage = F.coalesce(-F.col("best.c"), F.lit(0.0))
     return out.select("id", "th", coverage.alias("coverage"), F.col("best.item_id").alias("item_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_items"), (coverage >= threshold - 1e-9).alias("leaked"))

@@ -447,35 +447,71 @@ def test_leaks_and_reordered_leaks(spark):
     halves = items[1].split()
     texts = [prose(rng, 50) + " " + items[0] + " " + prose(rng, 50), prose(rng, 9) + " " + " ".join(halves[25:]) + " . " + prose(rng, 5) + " " + " ".join(halves[:25]), " ".join(items[2].split()[:12]) + " " + prose(rng, 80), prose(rng, 200), items[3].upper(), None, ""]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    for block_bytes in (1 << 20, 300):
-        got = {r.id: r for r in decontaminate.decontaminate(docs_of(spark, texts), bench, block_bytes=block_bytes).collect()}
+    for most_bits in (1 << 27, 16):
+        got = {r.id: r for r in decontaminate.decontaminate(docs_of(spark, texts), bench, most_bits=most_bits).collect()}
         assert [got[i].leaked for i in range(7)] == [True, True, False, False, True, False, False]
         assert [got[i].item_id for i in (0, 1, 4)] == [0, 1, 3]
         assert got[1].coverage == 1.0 and 0.2 < got[2].coverage < 0.4
 
 
+def test_items_of_any_length(spark):
+    items = ["alpha beta", "gamma", "one two three four", "", None, "delta " * 7, "Alpha, beta!"]
+    texts = ["x alpha beta y", "beta alpha", "GAMMA rays", "one two three", "four one two three four", "delta delta delta delta", "delta " * 5, "gammas", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    docs = spark.createDataFrame([(f"d{k}", t, "item", "seeds") for k, t in enumerate(texts)], "doc_id string, text string, item_id string, seeds string")
+    got = {r.id: (r.item_id, r.n_items, r.leaked) for r in decontaminate.decontaminate(docs, bench).collect()}
+    none = (None, 0, False)
+    assert got == {"d0": (0, 2, True), "d1": none, "d2": (1, 1, True), "d3": none, "d4": (2, 1, True), "d5": none, "d6": (5, 1, True), "d7": none, "d8": none}
+
+
+def test_coverage_of_whole_texts_by_brute_force(spark):
+    rng = random.Random(37)
+    pool = [prose(rng, 3) for _ in range(12)]
+    items = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(12)] + ["same " * 12]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) + rng.choice(["", " same" * 40]) for _ in range(40)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.id: r for r in decontaminate.decontaminate(docs_of(spark, texts), bench).collect()}
+    for d, text in enumerate(texts):
+        share = [sum(n for _, _, n in greedy_tiles(text.split(), item.split(), min(5, len(item.split())))) / len(item.split()) for item in items]
+        best = max(share)
+        assert got[d].coverage == pytest.approx(best)
+        assert got[d].n_items == sum(x >= 0.5 for x in share) and got[d].leaked == (best >= 0.5)
+        assert got[d].item_id == (share.index(best) if best else None)
+
+
+def test_repetitive_texts_take_memory_in_proportion():
+    import tracemalloc
+
+    doc, item = np.full(60_000, 5, np.uint64), np.full(400, 5, np.uint64)
+    tracemalloc.start()
+    assert decontaminate.tiles(doc, item, 5) == [(0, 0, 400)]
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+
+
+def greedy_tiles(doc, item, shortest):
+    used, marked, out = [False] * len(doc), [False] * len(item), []
+    while True:
+        best = None
+        for a in range(len(doc)):
+            for b in range(len(item)):
+                n = 0
+                while a + n < len(doc) and b + n < len(item) and doc[a + n] == item[b + n] and not used[a + n] and not marked[b + n]:
+                    n += 1
+                if n >= shortest and (best is None or (-n, b, a) < (-best[2], best[1], best[0])):
+                    best = (a, b, n)
+        if best is None:
+            return out
+        a, b, n = best
+        used[a : a + n], marked[b : b + n] = [True] * n, [True] * n
+        out.append(best)
+
+
 def test_tiles_by_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(200):
         doc, item = rng.integers(0, 3, rng.integers(3, 25)).astype(np.uint64), rng.integers(0, 3, rng.integers(3, 12)).astype(np.uint64)
-        pairs = [(i, j) for i in range(len(doc) - 2) for j in range(len(item) - 2) if (doc[i : i + 3] == item[j : j + 3]).all()]
-        i, j = (np.array([p[k] for p in pairs], int) for k in (0, 1))
-        used, marked, want = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-        while True:
-            best = None
-            for a in range(len(doc)):
-                for b in range(len(item)):
-                    n = 0
-                    while a + n < len(doc) and b + n < len(item) and doc[a + n] == item[b + n] and not used[a + n] and not marked[b + n]:
-                        n += 1
-                    if n >= 3 and (best is None or (-n, b, a) < (-best[2], best[1], best[0])):
-                        best = (a, b, n)
-            if best is None:
-                break
-            a, b, n = best
-            used[a : a + n], marked[b : b + n] = True, True
-            want.append(best)
-        assert decontaminate.tiles(doc, item, i, j, 3) == want
+        assert decontaminate.tiles(doc, item, 3) == greedy_tiles(doc.tolist(), item.tolist(), 3)
 
 
 # ---- WARC --------------------------------------------------------------------------------------------------------------------
@@ -506,3 +542,43 @@ def test_warc_bytes_are_the_same_again(spark, tmp_path):
     assert files[0] == files[1] and len(files[0]) > 6
     (root / "stray.warc.gz").write_bytes(b"left by a lost task")
     assert warc.read(spark, f"file://{root}").count() == 40
+
+
+def _sizes(keys, firsts):
+    """Bytes of each shard, worked out in plain Python."""
+    out = [0] * len(firsts)
+    for k in keys:
+        out[sum(tuple(f) <= k[:3] for f in firsts) - 1] += k[3]
+    return out
+
+
+@pytest.mark.parametrize("ids", ["whole range", "outlier", "equal", "null", "dense"])
+def test_shards_are_even_whatever_the_ids(spark, ids):
+    rng = random.Random(29)
+    n = 9000
+    of = {"whole range": lambda i: rng.randint(-(2**63), 2**63 - 1), "outlier": lambda i: 2**50 if i == 5 else i, "equal": lambda i: 7, "null": lambda i: None, "dense": lambda i: i}[ids]
+    keys = [(int((x := of(i)) is not None), -(2**63) if x is None else x, rng.randint(-(2**63), 2**63 - 1), 300 + rng.randint(0, 900)) for i in range(n)]
+    t = spark.createDataFrame(keys, "known int, id bigint, tie bigint, size bigint")
+    firsts, sizes = warc.ranges(t, n, 500)
+    assert firsts == sorted(firsts) and sum(sizes) == sum(k[3] for k in keys)
+    held = [0] * len(firsts)
+    for k in keys:
+        held[sum(tuple(f) <= k[:3] for f in firsts) - 1] += 1
+    assert max(held) <= 500 and _sizes(keys, firsts) == sizes
+    cuts = warc.shards(t, 50_000)
+    assert cuts == warc.shards(t.repartition(5), 50_000)
+    assert all(25_000 < x < 100_000 for x in _sizes(keys, cuts)[:-1]) and len(cuts) > 80
+
+
+def test_warc_of_ids_at_the_ends_of_the_range(spark):
+    rng = random.Random(31)
+    big = prose(rng, 400)
+    ids = [-(2**63), -(2**62) - 3, -1, 0, 2**53 + 1, 2**62 + 9, 2**63 - 1, None, None, 5, 5, 5]
+    rows = [(i, f"u{k % 11}", big if k % 2 or k == 9 else prose(rng, 300), "clash", 1) for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, shard string, known int")
+    got = warc.round_trip(pages, shard_bytes=4000).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(map(str, ids))
+    copies = [r for r in got if r.payload_bytes == len(big)]
+    assert [r.page_id for r in copies if r.record_type == "response"] == [2**62 + 9]
+    assert {r.refers_to for r in copies if r.record_type == "revisit"} == {2**62 + 9}
+    assert {r.payload_digest for r in copies} == {hashlib.sha1(big.encode()).hexdigest()}
