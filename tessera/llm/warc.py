@@ -1,16 +1,17 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are range-sorted by page id: bounds come from an exact histogram of bytes over a fixed number of id ranges, so
-the same table gives the same shards on any cluster. Each shard is one task, which writes files that roll once their compressed size
+Records are range-sorted by page id, and shards are cut at exact sums of bytes: an exact histogram over the ids, which splits every range
+with too many rows again (and rows of one id by a hash of payload and address), gives ranges that one task can sort; running sums of bytes within and before
+them give the first key of each shard. So the same table gives the same shards on any cluster, whatever its ids. Each shard is one task, which writes files that roll once their compressed size
 reaches a bound. Headers and digests are made anew from the payload. A file is written under a temporary name, renamed when complete, and counts
 only if its shard's manifest, written last and renamed likewise, lists it with its size and digest; a task that is run again writes the same
 bytes under the same names. The reader takes the files that the manifests list.
 
 Of records with equal payloads of at least `least` bytes, the one with the largest id is a response, the others are revisits of it; smaller ones
-are all responses. Of rows repeated in full, one stands for the response.
+are all responses. Of rows of that id with that payload, the one whose hash is largest is the response; of rows repeated in full, which stay in one shard, the first.
 
 Defined results. A null payload counts as empty; a null url leaves out the target header. A null id sorts first and has the
-record name "null". Empty tables give an archive without files and an empty table. Columns other than the three are not read.
+record name "null". Ids are integers of 64 bits. Empty tables give an archive without files and an empty table. Columns other than the three are not read.
 """
 
 from __future__ import annotations
@@ -19,17 +20,24 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, broadcast_if_small, materialize, shared_dir
 from .exact_dedup import ddl
 
-LEAST, ROLL_BYTES, SHARD_BYTES, RANGES = 1000, 16 << 20, 32 << 20, 4096
+LEAST, ROLL_BYTES, SHARD_BYTES = 1000, 16 << 20, 32 << 20
+#: Shards grow beyond SHARD_BYTES where there would be more than this many; so many first keys, of 17 bytes, are broadcast at most.
+MOST_SHARDS = 100_000
+#: A range of keys that is sorted in one task has at most this many rows, or this share of all.
+RANGE_ROWS, RANGE_SHARE = 4096, 4096
+LOWEST = -(2**63)
 #: Archives are the same from run to run, so records carry this date unless another is given.
 DATE = "2000-01-01T00:00:00Z"
 FILE = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
@@ -111,49 +119,109 @@ class Shard:
         return self.files
 
 
-def bounds(pages: DataFrame, shard_bytes: int, ranges: int = RANGES) -> tuple[int, int, list[int]]:
-    """The first id, the width of a range of ids, and the shard of each range. At most `ranges` counts reach the driver, whatever the table's size."""
-    lo, hi = pages.agg(F.min("id"), F.max("id")).first()
-    if lo is None:
-        return 0, 1, [0]
-    width = -(-(hi - lo + 1) // ranges)
-    found = dict(pages.filter("id IS NOT NULL").groupBy(F.expr(f"cast(floor((id - {lo}) / {width}) as bigint)").alias("r")).agg(F.sum(F.length("payload") + 300).alias("n")).collect())
-    out, shard, held = [], 0, 0
-    for r in range(-(-(hi - lo + 1) // width)):
-        n = found.get(r, 0)
-        if held and held + n > shard_bytes:
-            shard, held = shard + 1, 0
-        held += n
-        out.append(shard)
-    return lo, width, out
-
-
-def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = LEAST, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> list[str]:
+Key = tuple[int, int, int]
+
+
+def packed(known: np.ndarray, ids: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Keys (known, id, tie) as byte strings of the same order. known: 0 where the id is null."""
+    out = np.empty((len(ids), 17), np.uint8)
+    out[:, 0] = known
+    for k, x in ((1, ids), (9, tie)):
+        out[:, k : k + 8] = (np.asarray(x, np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def index_of(firsts: list[Key]) -> Callable[..., Column]:
+    """A function of the columns known, id and tie: the last of the keys `firsts`, which rise from the least, that isn't after them."""
+    table = packed(*(np.array([f[k] for f in firsts], np.int64) for k in range(3)))
+
+    @F.pandas_udf("int")
+    def f(known: pd.Series, ids: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(table, packed(known.to_numpy(), ids.to_numpy(), tie.to_numpy()), "right").astype(np.int32) - 1)
+
+    return f
+
+
+def ranges(keys: DataFrame, n: int, most: int) -> tuple[list[Key], list[int]]:
+    """First keys of ranges that hold at most `most` of the n rows of keys (but for rows equal in the whole key), and the bytes of each.
+
+    Ranges with more rows are halved eight times over, until there are none; those that are left over at each turn are n / most at most.
+    """
+    lo, hi = keys.filter("known = 1").agg(F.min("id"), F.max("id")).first()
+    shift = 0 if lo is None else next(s for s in range(0, 72, 8) if s == 64 or lo >> s == hi >> s)
+    # A node is (known, id >> a, tie >> b), where 64 bits less are none; each with its rows and bytes.
+    leaves: list[tuple[Key, int, int]] = []
+    level, heavy = (shift, 64), None
+    while heavy is None or heavy:
+        a, b = level
+        prefix = [F.col("known"), _shifted("id", a), _shifted("tie", b)]
+        part = keys
+        if heavy is not None:
+            up = [F.col("known"), _shifted("id", last[0]), _shifted("tie", last[1])]  # noqa: F821
+            wanted = keys.sparkSession.createDataFrame(heavy, "hk int, hi bigint, ht bigint")
+            part = keys.join(F.broadcast(wanted), (up[0] == F.col("hk")) & (up[1] == F.col("hi")) & (up[2] == F.col("ht")), "left_semi")
+        found = part.groupBy(*[c.alias(x) for c, x in zip(prefix, "kit", strict=True)]).agg(F.count("*"), F.sum("size")).collect()
+        heavy = []
+        for k, i, t, rows, size in found:
+            if rows > most and (a, b) != (0, 0):
+                heavy.append((k, i, t))
+            else:
+                leaves.append(((k, i << a if a < 64 else LOWEST, t << b if b < 64 else LOWEST), rows, size))
+        last, level = level, (a - 8, 64) if a else (0, b - 8)
+    firsts, sizes, held = [], [], 0
+    for first, rows, size in sorted(leaves):
+        if firsts and held + rows <= most:
+            held, sizes[-1] = held + rows, sizes[-1] + size
+        else:
+            firsts.append(first)
+            sizes.append(size)
+            held = rows
+    return firsts, sizes
+
+
+def _shifted(column: str, bits: int) -> Column:
+    return F.lit(0).cast("bigint") if bits == 64 else F.shiftright(column, bits)
+
+
+def shards(keys: DataFrame, shard_bytes: int | None) -> list[Key]:
+    """The first key of each shard: one for every shard_bytes of the rows of keys (known, id, tie, size) in order."""
+    n, total = keys.agg(F.count("*"), F.sum("size")).first()
+    if not n:
+        return []
+    shard_bytes = shard_bytes or max(SHARD_BYTES, -(-total // MOST_SHARDS))
+    firsts, sizes = ranges(keys, n, max(RANGE_ROWS, n // RANGE_SHARE))
+    before = F.lit([0, *np.cumsum(sizes)[:-1].tolist()])
+    t = keys.withColumn("range", index_of(firsts)("known", "id", "tie"))
+    t = t.withColumn("at", F.expr("coalesce(sum(size) OVER (PARTITION BY range ORDER BY known, id, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    shard = F.floor((F.element_at(before, F.col("range") + 1) + F.col("at")).cast("decimal(38,0)") / shard_bytes).cast("bigint")
+    return sorted(tuple(r["first"]) for r in t.groupBy(shard.alias("shard")).agg(F.min(F.struct("known", "id", "tie")).alias("first")).collect())
+
+
+def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = LEAST, roll: int = ROLL_BYTES, shard_bytes: int | None = None, date: str = DATE) -> list[str]:
     """Write the archive under root (a URI that the driver and the executors can reach); gives the names of its manifests."""
-    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload"))
-    lo, width, shard_of = bounds(rows, shard_bytes)
-    order = F.coalesce("id", F.lit(-(2**63)))
+    rows = pages.select(F.col(id_col).cast("bigint").alias("own_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("known", F.col("own_id").isNotNull().cast("int")).withColumn("id", F.coalesce("own_id", F.lit(LOWEST))).withColumn("tie", F.xxhash64("sha1", "url"))
+    keys = materialize(rows.select("known", "id", "tie", "sha1", (F.length("payload") + 300).cast("bigint").alias("size")), "keys")
+    firsts = shards(keys, shard_bytes)
     # A payload that only one page has needs no partner: only digests met twice are joined back.
-    twice = rows.filter(F.length("payload") >= least).groupBy("sha1").agg(F.max(order).alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("sha1", "keeper")
+    twice = keys.filter(F.col("size") >= least + 300).groupBy("sha1").agg(F.max(F.struct("known", "id", "tie")).alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("sha1", "keeper")
     twice = broadcast_if_small(materialize(twice, "twice"), 64)
-    shard = F.coalesce(F.element_at(F.lit(shard_of), F.expr(f"cast(floor((id - {lo}) / {width}) as int) + 1")), F.lit(0)).cast("int")
-    joined = rows.join(twice, "sha1", "left").withColumn("shard", shard)
-    dealt = joined.repartitionById(shard_of[-1] + 1, "shard").sortWithinPartitions("shard", "id", "sha1", "url")
-    dealt = dealt.select("shard", "id", "url", "payload", "sha1", "keeper", (F.length("payload") >= least).alias("big"))
+    joined = rows.join(twice, "sha1", "left").withColumn("shard", index_of(firsts)("known", "id", "tie") if firsts else F.lit(0))
+    dealt = joined.repartitionById(max(1, len(firsts)), "shard").sortWithinPartitions("shard", "known", "id", "tie")
+    dealt = dealt.select("shard", "own_id", "url", "payload", F.lower(F.hex("sha1")).alias("sha1"), "keeper.known", F.col("keeper.id").alias("keeper_id"), F.col("keeper.tie").alias("keeper_tie"), "tie", (F.length("payload") >= least).alias("big"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last, out = None, None, []
         for batch in batches:
-            for s, i, url, payload, sha1, keeper, big in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, i, url, payload, sha1, known, keeper, keeper_tie, tie, big in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now.shard != s:
                     out += now.close() if now else []
                     now = Shard(root, s, roll)
-                at = -(2**63) if i is None else i
-                # Rows of the keeper's id stand together here; all but the first of them revisit it.
-                revisit = bool(big) and keeper is not None and (at != keeper or last == (i, sha1))
-                last = (i, sha1)
-                now.put(record(i, url, payload, sha1, None if keeper == -(2**63) else keeper, revisit, date))
+                first = known is not None and (known, keeper, keeper_tie) == (i is not None, LOWEST if i is None else i, tie)
+                # Rows equal to the response stand together here; all but the first of them revisit it.
+                revisit = big and known is not None and (not first or last == (i, tie))
+                last = (i, tie)
+                now.put(record(i, url, payload, sha1, keeper if known else None, revisit, date))
         out += now.close() if now else []
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(FILE)], schema=FILE)
 
@@ -200,7 +268,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
                         rows, held = [], 0
                 yield _rows(rows)
 
-    return arrow_map(files.repartition(max(1, min(len(names) * 2, 4000)), "file"), parse, ddl(READ))
+    return arrow_map(files.repartition(len(names) * 2, "file"), parse, ddl(READ))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
