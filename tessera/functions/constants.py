@@ -9,8 +9,20 @@ PY_WS = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u20
 # Accent marks, and what they are standardised from.
 SVARITA, ANUDATTA, UDATTA, TICK, DOT, CANDRABINDU = "\u030d", "\u0331", "\u030e", "\u02ce", "·", "\u0310"
 SVARA = ANUDATTA + SVARITA + UDATTA + TICK + DOT
-STANDARD_FROM = "̡॒̲̠॑᳚́ṃꣳōē"
-STANDARD_TO = "̱̱̱̱̍̎̎ṁṁoe"
+STANDARD = (
+    ("\u0951", "\u030d"),  # devanagari stress sign udatta
+    ("\u0952", "\u0331"),  # devanagari stress sign anudatta
+    ("\u0332", "\u0331"),  # combining low line
+    ("\u0320", "\u0331"),  # combining minus sign below
+    ("\u0321", "\u0331"),  # combining palatalized hook below
+    ("\u1cda", "\u030e"),  # vedic tone double svarita
+    ("\u0341", "\u030e"),  # combining acute tone mark
+    ("ṃ", "ṁ"),  # latin small letter m with dot below
+    ("ꣳ", "ṁ"),  # devanagari sign candrabindu virama
+    ("ō", "o"),  # latin small letter o with macron
+    ("ē", "e"),  # latin small letter e with macron
+)
+STANDARD_FROM, STANDARD_TO = ("".join(side) for side in zip(*STANDARD, strict=True))
 
 # Sounds by class.
 SHORT_VOWELS = ("a", "i", "u", "ṛ", "ḷ")
@@ -28,14 +40,80 @@ VOICED = ("g", "gh", "j", "jh", "ḍ", "ḍh", "d", "dh", "b", "bh", "m")
 SVARABHAKTI_BEFORE = ("s", "ś", "ṣ", "h", "ṛ")
 BIJA = ("oṁ", "auṁ", "hrīṁ", "śrīṁ", "klīṁ", "aiṁ", "sauṁ", "krīṁ", "hlīṁ", "strīṁ", "blūṁ", "glauṁ", "hauṁ", "huṁ", "phaṭ", "dūṁ", "gaṁ", "drāṁ", "grīṁ", "kṣrauṁ")
 
-# Phonemes as (IAST, Devanagari, Telugu, Tamil, Tamil approximation, ITRANS), by kind. "-" stands for none.
-PHONEMES = {
-    "vowel": """a अ అ அ - a|ā आ ఆ ஆ - aa|i इ ఇ இ - i|ī ई ఈ ஈ - ii|u उ ఉ உ - u|ū ऊ ఊ ஊ - uu|ṛ ऋ ఋ - ரு R^i|ṝ ॠ ౠ - - R^I|ḷ ऌ ఌ - - L^i|ḹ ॡ ౡ - - L^I|e ए ఏ ஏ - e|ai ऐ ఐ ஐ - ai|o ओ ఓ ஓ - o|au औ ఔ ஔ - au""",
-    "consonant": """k क క க - k|kh ख ఖ - க kh|g ग గ - க g|gh घ ఘ - க gh|ṅ ङ ఙ ங - N^|c च చ ச - ch|ch छ ఛ - ச Ch|j ज జ ஜ - j|jh झ ఝ - ஜ jh|ñ ञ ఞ ஞ - ~n|ṭ ट ట ட - T|ṭh ठ ఠ - ட Th|ḍ ड డ - ட D|ḍh ढ ఢ - ட Dh|ṇ ण ణ ண - N|t त త த - t|th थ థ - த th|d द ద - த d|dh ध ధ - த dh|n न న ந - n|p प ప ப - p|ph फ ఫ - ப ph|b ब బ - ப b|bh भ భ - ப bh|m म మ ம - m|y य య ய - y|r र ర ர - r|l ल ల ல - l|v व వ வ - v|ś श శ ஶ - sh|ṣ ष ష ஷ - Sh|s स స ஸ - s|h ह హ ஹ - h|ḻ ळ ళ ழ - lh""",
-    "special": """ṁ ं ం ஂ - M/ḥ ः ః ஃ - H/' ऽ ఽ - - .a/। । । । - |/॥ ॥ ॥ ॥ - ||""",
-}
-# Vowel signs in Devanagari, Telugu and Tamil ("-" for none).
-VOWEL_SIGNS = "ā ा ా ா|i ि ి ி|ī ी ీ ீ|u ु ు ு|ū ू ూ ூ|ṛ ृ ృ -|ṝ ॄ ౄ -|ḷ ॢ ౢ -|ḹ ॣ ౣ -|e े ే ே|ai ै ై ை|o ो ో ோ|au ौ ౌ ௌ"
+# Phonemes by their IAST, Devanagari, Telugu and Tamil letters, the nearest Tamil letter where there is no own one, ITRANS, and kind.
+PHONEME_FIELDS = ("iast", "devanagari", "telugu", "tamil", "tamil_approx", "itrans", "kind")
+PHONEMES = (
+    ("a", "अ", "అ", "அ", None, "a", "vowel"),
+    ("ā", "आ", "ఆ", "ஆ", None, "aa", "vowel"),
+    ("i", "इ", "ఇ", "இ", None, "i", "vowel"),
+    ("ī", "ई", "ఈ", "ஈ", None, "ii", "vowel"),
+    ("u", "उ", "ఉ", "உ", None, "u", "vowel"),
+    ("ū", "ऊ", "ఊ", "ஊ", None, "uu", "vowel"),
+    ("ṛ", "ऋ", "ఋ", None, "ரு", "R^i", "vowel"),
+    ("ṝ", "ॠ", "ౠ", None, None, "R^I", "vowel"),
+    ("ḷ", "ऌ", "ఌ", None, None, "L^i", "vowel"),
+    ("ḹ", "ॡ", "ౡ", None, None, "L^I", "vowel"),
+    ("e", "ए", "ఏ", "ஏ", None, "e", "vowel"),
+    ("ai", "ऐ", "ఐ", "ஐ", None, "ai", "vowel"),
+    ("o", "ओ", "ఓ", "ஓ", None, "o", "vowel"),
+    ("au", "औ", "ఔ", "ஔ", None, "au", "vowel"),
+    ("k", "क", "క", "க", None, "k", "consonant"),
+    ("kh", "ख", "ఖ", None, "க", "kh", "consonant"),
+    ("g", "ग", "గ", None, "க", "g", "consonant"),
+    ("gh", "घ", "ఘ", None, "க", "gh", "consonant"),
+    ("ṅ", "ङ", "ఙ", "ங", None, "N^", "consonant"),
+    ("c", "च", "చ", "ச", None, "ch", "consonant"),
+    ("ch", "छ", "ఛ", None, "ச", "Ch", "consonant"),
+    ("j", "ज", "జ", "ஜ", None, "j", "consonant"),
+    ("jh", "झ", "ఝ", None, "ஜ", "jh", "consonant"),
+    ("ñ", "ञ", "ఞ", "ஞ", None, "~n", "consonant"),
+    ("ṭ", "ट", "ట", "ட", None, "T", "consonant"),
+    ("ṭh", "ठ", "ఠ", None, "ட", "Th", "consonant"),
+    ("ḍ", "ड", "డ", None, "ட", "D", "consonant"),
+    ("ḍh", "ढ", "ఢ", None, "ட", "Dh", "consonant"),
+    ("ṇ", "ण", "ణ", "ண", None, "N", "consonant"),
+    ("t", "त", "త", "த", None, "t", "consonant"),
+    ("th", "थ", "థ", None, "த", "th", "consonant"),
+    ("d", "द", "ద", None, "த", "d", "consonant"),
+    ("dh", "ध", "ధ", None, "த", "dh", "consonant"),
+    ("n", "न", "న", "ந", None, "n", "consonant"),
+    ("p", "प", "ప", "ப", None, "p", "consonant"),
+    ("ph", "फ", "ఫ", None, "ப", "ph", "consonant"),
+    ("b", "ब", "బ", None, "ப", "b", "consonant"),
+    ("bh", "भ", "భ", None, "ப", "bh", "consonant"),
+    ("m", "म", "మ", "ம", None, "m", "consonant"),
+    ("y", "य", "య", "ய", None, "y", "consonant"),
+    ("r", "र", "ర", "ர", None, "r", "consonant"),
+    ("l", "ल", "ల", "ல", None, "l", "consonant"),
+    ("v", "व", "వ", "வ", None, "v", "consonant"),
+    ("ś", "श", "శ", "ஶ", None, "sh", "consonant"),
+    ("ṣ", "ष", "ష", "ஷ", None, "Sh", "consonant"),
+    ("s", "स", "స", "ஸ", None, "s", "consonant"),
+    ("h", "ह", "హ", "ஹ", None, "h", "consonant"),
+    ("ḻ", "ळ", "ళ", "ழ", None, "lh", "consonant"),
+    ("ṁ", "ं", "ం", "ஂ", None, "M", "special"),
+    ("ḥ", "ः", "ః", "ஃ", None, "H", "special"),
+    ("'", "ऽ", "ఽ", None, None, ".a", "special"),
+    ("।", "।", "।", "।", None, "|", "special"),
+    ("॥", "॥", "॥", "॥", None, "||", "special"),
+)
+# Vowels and their signs in Devanagari, Telugu and Tamil; the inherent a has an empty one.
+VOWEL_SIGNS = (
+    ("a", "", "", ""),
+    ("ā", "ा", "ా", "ா"),
+    ("i", "ि", "ి", "ி"),
+    ("ī", "ी", "ీ", "ீ"),
+    ("u", "ु", "ు", "ு"),
+    ("ū", "ू", "ూ", "ூ"),
+    ("ṛ", "ृ", "ృ", None),
+    ("ṝ", "ॄ", "ౄ", None),
+    ("ḷ", "ॢ", "ౢ", None),
+    ("ḹ", "ॣ", "ౣ", None),
+    ("e", "े", "ే", "ே"),
+    ("ai", "ै", "ై", "ை"),
+    ("o", "ो", "ో", "ோ"),
+    ("au", "ौ", "ౌ", "ௌ"),
+)
 VIRAMA = {"devanagari": "्", "telugu": "్", "tamil": "்", "iast": "", "itrans": ""}
 SCRIPT_NAMES = {"iast": "IAST", "devanagari": "Devanagari", "telugu": "Telugu", "tamil": "Tamil", "itrans": "ITRANS"}
 ACCENTS = (ANUDATTA, SVARITA, UDATTA, CANDRABINDU)
@@ -46,16 +124,10 @@ LEAST_SCRIPT_SHARE = 0.25
 
 
 def phonemes() -> list[dict[str, str | None]]:
-    """One record per phoneme: iast, devanagari, telugu, tamil, tamil_approx, itrans, kind."""
-    out = []
-    for kind, text in PHONEMES.items():
-        for entry in text.split("/" if kind == "special" else "|"):
-            values = [None if v == "-" else v for v in entry.split(" ")]
-            out.append(dict(zip(("iast", "devanagari", "telugu", "tamil", "tamil_approx", "itrans"), values, strict=True)) | {"kind": kind})
-    return out
+    """One record per phoneme, by PHONEME_FIELDS."""
+    return [dict(zip(PHONEME_FIELDS, p, strict=True)) for p in PHONEMES]
 
 
 def vowel_signs() -> dict[str, dict[str, str | None]]:
-    """IAST vowel -> script -> sign; the inherent a has the empty one."""
-    rows = [entry.split(" ") for entry in VOWEL_SIGNS.split("|")]
-    return {"a": dict.fromkeys(("devanagari", "telugu", "tamil"), "")} | {r[0]: {s: None if v == "-" else v for s, v in zip(("devanagari", "telugu", "tamil"), r[1:], strict=True)} for r in rows}
+    """IAST vowel -> script -> sign."""
+    return {v: {"devanagari": devanagari, "telugu": telugu, "tamil": tamil} for v, devanagari, telugu, tamil in VOWEL_SIGNS}

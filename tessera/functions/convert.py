@@ -70,6 +70,19 @@ def script_name(script: Column) -> Column:
     return F.coalesce(F.element_at(_map(C.SCRIPT_NAMES), script), script)
 
 
+# Annotations that aren't written as a consonant without its vowel.
+WHOLE_ANNOTATIONS = {"g": "ग", "u": "उ", "i": "इ", "r": "र"}
+# Annotations that are.
+HALF_ANNOTATIONS = ("ś", "ṣ", "s", "ṅ", "ñ", "ṇ", "n", "m")
+
+
+def annotation_to_deva(annotation: Column) -> Column:
+    """An annotation in Devanagari; one that isn't known stays."""
+    letters = equivalents("devanagari")
+    table = WHOLE_ANNOTATIONS | {a: letters[a] + C.VIRAMA["devanagari"] for a in HALF_ANNOTATIONS}
+    return F.coalesce(F.element_at(_map(table), annotation), annotation)
+
+
 def deva_to_iast(text: Column) -> Column:
     """Devanagari to IAST, in built-in functions: consonants with their signs and accents become syllables. From the documentation only."""
     consonants = {p["devanagari"]: p["iast"] for p in C.phonemes() if p["kind"] == "consonant"}

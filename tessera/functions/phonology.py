@@ -1,6 +1,6 @@
 """Phonological rules on IAST text. Each producer reads the original text and gives edits; none changes it.
 
-A text is scanned once for the neighbours of every position, so each producer is linear. Positions count code points from 0.
+Texts without annotations go by compiled patterns; others are scanned once for the neighbours of every position. So each producer is linear. Positions count code points from 0.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,17 +19,25 @@ from . import constants as C
 PART = "struct<text:string,superscript:boolean,change:boolean,svara:boolean>"
 EDITS = f"array<struct<idx:int,del:int,parts:array<{PART}>,changed:boolean>>"
 HOLDINGS = "array<struct<position:int,length:int,type:string>>"
+CLUSTERS = "array<struct<position:int,consonants:int,held:int,length:int>>"
 PAUSES = "array<struct<position:int,type:string>>"
 
-_ASPIRATES, _DIPHTHONGS = frozenset(C.ASPIRATES), frozenset(v for v in C.VOWELS if len(v) == 2)
-_VOWELS, _CONSONANTS, _WS, _SVARA = frozenset(C.VOWELS), frozenset(C.CONSONANTS), frozenset(C.PY_WS), frozenset(C.SVARA)
+_ASPIRATES = frozenset(C.ASPIRATES)
+_CONSONANTS, _WS, _SVARA = frozenset(C.CONSONANTS), frozenset(C.PY_WS), frozenset(C.SVARA)
 _V = f"(?:{'|'.join(sorted(C.VOWELS, key=len, reverse=True))})"
 _S = f"[{C.SVARA}]*"
 #: A pause's place: after oṁ and a space, or between two vowels with a space (and marks) between.
 _PAUSE = re.compile(f"oṁ |({_V}){_S} {_S}(?=({_V}))")
 _ANY = f"(?>{'|'.join(C.ASPIRATES)}|[{''.join(c for c in C.CONSONANTS if len(c) == 1)}])"
-#: The start of a cluster, in a text without annotations.
-_CLUSTER = re.compile(f"{_ANY}[{re.escape(C.PY_WS)}\u0300-\u036f{C.SVARA}]*+{_ANY}")
+#: A cluster, and its consonants with the white space and marks before each, in a text without annotations.
+_CLUSTER = re.compile(f"{_ANY}(?:[{re.escape(C.PY_WS)}\u0300-\u036f{C.SVARA}]*+{_ANY})+")
+_MEMBER = re.compile(f"([{re.escape(C.PY_WS)}\u0300-\u036f{C.SVARA}]*+)({_ANY})")
+_NO_DOT = C.SVARA.replace(C.DOT, "")
+#: r, its marks, and then, past what isn't a letter, one that the dot stands before; in a text without annotations.
+_RHOTIC = re.compile(f"r[\u0300-\u036f{_NO_DOT}]*+(?=[{re.escape(C.PY_WS)}\u0300-\u036f{_NO_DOT}\u200b-\u200d]*+[{''.join(C.SVARABHAKTI_BEFORE)}])")
+#: Code points up to here are looked up in tables.
+_TABLE = 0x2000
+_IS_VOWEL, _IS_LONG = (np.array([chr(c) in {v for v in vowels if len(v) == 1} for c in range(_TABLE)]) for vowels in (C.VOWELS, C.LONG_VOWELS))
 _ZERO_WIDTH = frozenset("\u200b\u200c\u200d\ufeff")
 
 
@@ -42,11 +51,6 @@ def consonant_at(text: str, i: int) -> str:
     return two if two in _ASPIRATES else two[:1] if two[:1] in _CONSONANTS else ""
 
 
-def vowel_at(text: str, i: int) -> str:
-    two = text[i : i + 2]
-    return two if two in _DIPHTHONGS else two[:1] if two[:1] in _VOWELS else ""
-
-
 def is_mark(c: str) -> bool:
     return "\u0300" <= c <= "\u036f"
 
@@ -91,13 +95,19 @@ class Scan:
 
 def svarabhakti(text: str) -> list[tuple]:
     """A dot after r and its marks, where the next letter is a sibilant, h or vocalic r and no dot stands between."""
+    return [(k, 0, [part(C.DOT, svara=True)], True) for k in svarabhakti_places(text)]
+
+
+def svarabhakti_places(text: str) -> list[int]:
+    if C.CANDRABINDU not in text:
+        return [m.end() for m in _RHOTIC.finditer(text)]
     s, out = Scan(text), []
     for i, c in enumerate(text[:-1]):
         if c == "r" and (after := s.following(i)) and text[after[0]] in C.SVARABHAKTI_BEFORE and C.DOT not in text[i : after[0]]:
             k = i + 1
             while k < len(text) and (is_mark(text[k]) or text[k] in _SVARA):
                 k += 1
-            out.append((k, 0, [part(C.DOT, svara=True)], True))
+            out.append(k)
     return out
 
 
@@ -140,28 +150,28 @@ def held(parts: list[tuple[str, int, bool]]) -> int:
     return next(able, len(parts) - 1)
 
 
-def holding_type(s: Scan, i: int, diphthong_long: bool = False) -> str:
-    """long if the vowel before i is. Walking back, a diphthong's second half is met first and counts as itself, unless diphthong_long."""
-    for k in range(i - 1, -1, -1):
-        if s.text[k] in _SVARA or s.annotation[k]:
-            continue
-        if vowel := vowel_at(s.text, k):
-            if diphthong_long and k and s.text[k - 1 : k + 1] in ("ai", "au"):
-                vowel = s.text[k - 1 : k + 1]
-            return "long" if vowel in C.LONG_VOWELS else "short"
-    return "short"
+class Held(dict):
+    """A cluster as written -> (its number of consonants, offset of the one that is held, its length); emptied when it has grown to 50,000 clusters."""
 
+    def __missing__(self, text: str) -> tuple[int, int, int]:
+        if len(self) >= 50_000:
+            self.clear()
+        parts = [(m[2], m.start(2), any(c in _WS for c in m[1])) for m in _MEMBER.finditer(text)]
+        value, at, _ = parts[held(parts)]
+        self[text] = out = (len(parts), at, len(value))
+        return out
 
-def holdings(text: str, diphthong_long: bool = False) -> list[tuple[int, int, str]]:
-    """(position, length, type) for each cluster of two consonants or more."""
+
+_held = Held()
+
+
+def clusters(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, number of consonants, position of the one that is held, its length) for each cluster of two consonants or more."""
+    if C.CANDRABINDU not in text:
+        found = [(m.start(), _held[m.group()]) for m in _CLUSTER.finditer(text)]
+        return [(i, n, i + at, size) for i, (n, at, size) in found]
     s, out, i = Scan(text), [], 0
-    plain = C.CANDRABINDU not in text
     while i < len(text):
-        if plain:
-            m = _CLUSTER.search(text, i)
-            if not m:
-                break
-            i = m.start()
         value = "" if s.annotation[i] or text[i] == "|" else consonant_at(text, i)
         if not value:
             i += 1
@@ -171,11 +181,30 @@ def holdings(text: str, diphthong_long: bool = False) -> list[tuple[int, int, st
             i += len(value)
             continue
         target, at, _ = parts[held(parts)]
-        out.append((at, len(target), holding_type(s, at, diphthong_long)))
+        out.append((i, len(parts), at, len(target)))
         i = end
     return out
 
 
+def long_before(text: str, at: np.ndarray, diphthong_long: bool = False) -> np.ndarray:
+    """Whether the last vowel before each of the places is long. Of a diphthong that is its second letter, unless diphthong_long."""
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _TABLE - 1)
+    vowels = np.flatnonzero(_IS_VOWEL[codes])
+    k = np.searchsorted(vowels, at) - 1
+    last = vowels[np.maximum(k, 0)] if len(vowels) else np.zeros(len(at), int)
+    out = _IS_LONG[codes[last]] if len(codes) else np.zeros(len(at), bool)
+    if diphthong_long:
+        out = out | (last > 0) & (codes[np.maximum(last - 1, 0)] == ord("a")) & np.isin(codes[last], (ord("i"), ord("u")))
+    return out & (k >= 0)
+
+
+def holdings(text: str, diphthong_long: bool = False) -> list[tuple[int, int, str]]:
+    """(position, length, type) for each cluster of two consonants or more."""
+    found = clusters(text)
+    long = long_before(text, np.array([c[2] for c in found], int), diphthong_long) if found else ()
+    return [(at, size, "long" if x else "short") for (_, _, at, size), x in zip(found, long, strict=True)]
+
+
 def _yajurveda(s: Scan, i: int) -> list[tuple]:
     after = s.following(i, 3)
     letters = "".join(s.text[k] for k in after)
@@ -249,46 +278,76 @@ def insertions(text: str, pair: str, letter: str) -> list[tuple[int, str]]:
     return out
 
 
-def _column(kind: str, produce: Callable, *columns: Column) -> Column:
-    """A vectorised function over text (and a second column, if given); null gives null."""
+def _lists(texts: pa.Array, found: list[list], build: Callable[[list], pa.Array]) -> pa.Array:
+    """An array of lists: those of `found`, whose items `build` makes an array of; null where the text is."""
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    offsets = pa.array(ends, mask=np.append(np.array(texts.is_null()), False)) if texts.null_count else pa.array(ends)
+    return pa.ListArray.from_arrays(offsets, build([x for rows in found for x in rows]))
+
+
+def _structs(names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> Callable[[list], pa.Array]:
+    def f(rows: list[tuple]) -> pa.Array:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return f
+
+
+_part = _structs(("text", "superscript", "change", "svara"), (pa.string(), pa.bool_(), pa.bool_(), pa.bool_()))
+_pause = _structs(("position", "type"), (pa.int32(), pa.string()))
+_holding = _structs(("position", "length", "type"), (pa.int32(), pa.int32(), pa.string()))
+_cluster = _structs(("position", "consonants", "held", "length"), (pa.int32(),) * 4)
 
-    def f(text: pd.Series, other: pd.Series | None = None) -> pd.Series:
-        found = (produce(t) if other is None else produce(t, o) for t, o in zip(text, text if other is None else other, strict=True) if t is not None)
-        return pd.Series([None if t is None else next(found) for t in text], dtype=object)
 
+def _edit(rows: list[tuple]) -> pa.Array:
+    parts = [r[2] for r in rows]
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)], dtype=np.int32)), _part([p for ps in parts for p in ps]))
+    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), lists, pa.array([r[3] for r in rows], pa.bool_())], ("idx", "del", "parts", "changed"))
+
+
+def _column(kind: str, build: Callable[[list], pa.Array], produce: Callable, *columns: Column) -> Column:
+    """A function over Arrow batches of texts (and of a second column, if given); null gives null."""
     if len(columns) == 1:
-        return F.pandas_udf(_typed(lambda text: f(text), "text"), kind)(*columns)
-    return F.pandas_udf(_typed(lambda text, other: f(text, other), "text", "other"), kind)(*columns)
 
+        def one(text: pa.Array) -> pa.Array:
+            return _lists(text, [[] if t is None else produce(t) for t in text.to_pylist()], build)
 
-def _typed(f: Callable, *names: str) -> Callable:
-    f.__annotations__ = dict.fromkeys((*names, "return"), pd.Series)
-    return f
+        return F.arrow_udf(one, kind)(*columns)
 
+    def two(text: pa.Array, other: pa.Array) -> pa.Array:
+        return _lists(text, [[] if t is None else produce(t, o) for t, o in zip(text.to_pylist(), other.to_pylist(), strict=True)], build)
 
-def _edits(found: list[tuple]) -> list[dict]:
-    names = ("text", "superscript", "change", "svara")
-    return [{"idx": i, "del": n, "parts": [dict(zip(names, p, strict=True)) for p in parts], "changed": changed} for i, n, parts, changed in found]
+    return F.arrow_udf(two, kind)(*columns)
 
 
 def svarabhakti_edits(text: Column) -> Column:
-    return _column(EDITS, lambda t: _edits(svarabhakti(t)), text)
+    return _column(EDITS, _edit, svarabhakti, text)
+
+
+def svarabhakti_positions(text: Column) -> Column:
+    """The places of the dots alone."""
+    return _column("array<int>", lambda rows: pa.array(rows, pa.int32()), svarabhakti_places, text)
 
 
 def visarga_edits(text: Column) -> Column:
-    return _column(EDITS, lambda t: _edits(visarga(t)), text)
+    return _column(EDITS, _edit, visarga, text)
 
 
 def anusvara_edits(text: Column, source: Column, skip_bija: bool = True) -> Column:
-    return _column(EDITS, lambda t, s: _edits(anusvara(t, s, skip_bija)), text, source)
+    return _column(EDITS, _edit, lambda t, s: anusvara(t, s, skip_bija), text, source)
 
 
 def pauses_of(text: Column) -> Column:
-    return _column(PAUSES, lambda t: [dict(position=p, type=k) for p, k in pauses(t)], text)
+    return _column(PAUSES, _pause, pauses, text)
 
 
 def holdings_of(text: Column, diphthong_long: bool = False) -> Column:
-    return _column(HOLDINGS, lambda t: [dict(position=p, length=n, type=k) for p, n, k in holdings(t, diphthong_long)], text)
+    return _column(HOLDINGS, _holding, lambda t: holdings(t, diphthong_long), text)
+
+
+def clusters_of(text: Column) -> Column:
+    """Each cluster: its position, its number of consonants, which place is held, and that consonant's length."""
+    return _column(CLUSTERS, _cluster, clusters, text)
 
 
 def apply_edits(text: Column, edits: Column) -> Column:

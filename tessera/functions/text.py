@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as html_std
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,23 +68,35 @@ def compress_content(html: Column) -> Column:
     return trim_ws(F.regexp_replace(out, rf"\n{C.WS}*\n", "\n"))
 
 
-# The entities that are resolved in place, "&amp;" last so that nothing is resolved twice.
-ENTITIES = (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+def unescape(text: Column) -> Column:
+    """Character references resolved as browsers do: named, with or without a semicolon, decimal and hexadecimal. Two thousand names and the prefix rule for those without a
+    semicolon are a table of the standard library, so texts with an ampersand go through it, a batch at a time."""
+    return F.when(F.contains(text, F.lit("&")), F.arrow_udf(_unescaped, "string")(text)).otherwise(text)
+
+
+def _unescaped(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html_std.unescape(t) if "&" in t else "" for t in text.to_pylist()], pa.string())
+
+
+# What of a page isn't text, and what ends a line.
+DROPPED = (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>")
+LINE_END, TAG = r"(?i)<br\s*/?\s*>|</p>|</div>", r"<[^>]+>"
 
 
 def html_to_text(html: Column) -> Column:
-    """Text of a page: scripts and styles dropped, line ends for <br>, </p> and </div>, other tags dropped, common entities resolved."""
-    out = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
-    out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", "")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?\s*>|</p>|</div>", "\n")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
-    for entity, value in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(value))
-    return out
+    """Text of a page: scripts and styles dropped, line ends for <br>, </p> and </div>, other tags dropped, character references resolved."""
+    out = html
+    for pattern in DROPPED:
+        out = F.regexp_replace(out, pattern, "")
+    return unescape(F.regexp_replace(F.regexp_replace(out, LINE_END, "\n"), TAG, ""))
+
+
+# The title and the body of a page.
+TITLE, BODY = r"(?i)<title[^>]*>([^<]+)</title>", r"(?is)<body[^>]*>(.*?)</body>"
 
 
 def extract_title(html: Column, otherwise: Column) -> Column:
-    found = F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)
+    found = F.regexp_extract(html, TITLE, 1)
     return F.when(found != "", trim_ws(found)).otherwise(otherwise)
 
 
@@ -124,8 +139,7 @@ def open_mode(path: Column) -> Column:
 
 
 def import_html_body(html: Column) -> Column:
-    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)</body>", 1)
-    return F.when(F.regexp_like(html, F.lit(r"(?is)<body[^>]*>.*?</body>")), body).otherwise(html)
+    return F.when(F.regexp_like(html, F.lit(BODY)), F.regexp_extract(html, BODY, 1)).otherwise(html)
 
 
 def import_json_content(json: Column) -> Column:
@@ -284,6 +298,85 @@ def syllable_count(text: Column) -> Column:
     return F.regexp_count(F.lower(text), F.lit("ai|au|[aāiīuūṛṝḷḹeo]"))
 
 
+def one_of(values: tuple[str, ...]) -> str:
+    """A pattern of the longest of values at a place."""
+    return f"(?:{'|'.join(sorted(values, key=len, reverse=True))})"
+
+
+def consonant_at(text: Column, i: Column) -> Column:
+    """The consonant that starts at i (from 0), the longer one first; empty if none."""
+    return F.regexp_extract(F.substring(text, i + 1, F.lit(2)), f"^{one_of(C.CONSONANTS)}", 0)
+
+
+def vowel_at(text: Column, i: Column) -> Column:
+    return F.regexp_extract(F.substring(text, i + 1, F.lit(2)), f"^{one_of(C.VOWELS)}", 0)
+
+
+_VOWEL_LETTERS = "".join(v for v in C.VOWELS if len(v) == 1)
+
+
+def previous_vowel(text: Column, i: Column, also: str = "") -> Column:
+    """The last vowel letter (or letter of `also`) before i; empty if none. Of a diphthong that is its second letter."""
+    letters = _VOWEL_LETTERS + also
+    return F.regexp_extract(F.substring(text, F.lit(1), i), f"([{letters}])[^{letters}]*$", 1)
+
+
+def holding_type(text: Column, i: Column) -> Column:
+    """long if the vowel before i is, else short."""
+    return F.when(previous_vowel(text, i).isin(*(v for v in C.LONG_VOWELS if len(v) == 1)), F.lit("long")).otherwise(F.lit("short"))
+
+
+#: A nasalised m, its sign, and the superscripts that follow it; or a sign by itself.
+_ANNOTATION = f"m{C.CANDRABINDU}(?:gṁ?)?|{C.CANDRABINDU}"
+
+
+def annotations(text: Column) -> Column:
+    """The characters of text that are annotations."""
+    return F.filter(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"({_ANNOTATION})"), 1), lambda a: F.split(a, ""))), lambda c: c != "")
+
+
+def superscripts(text: Column) -> Column:
+    """The characters of text that are superscripts of a nasalised m: all of its annotation but the sign."""
+    return F.filter(annotations(text), lambda c: c != C.CANDRABINDU)
+
+
+def is_combining(c: Column) -> Column:
+    return F.regexp_like(c, F.lit(r"^[\x{300}-\x{36f}]$"))
+
+
+def is_svara(c: Column) -> Column:
+    return (F.length(c) == 1) & F.contains(F.lit(C.SVARA), c)
+
+
+def is_bija(word: Column) -> Column:
+    return F.lower(trim_ws(word)).isin(*C.BIJA)
+
+
+def rule_counts(text: Column) -> list[Column]:
+    """How often the insertion rules apply: n_sv, n_vy, n_jna."""
+    return [F.regexp_count(text, F.lit(pair)).alias(name) for name, pair in (("n_sv", "sv"), ("n_vy", "vy"), ("n_jna", "jñ"))]
+
+
+# What stands between letters: white space, marks, accents (and, looking ahead, characters without a width).
+_BETWEEN = rf"{C.WS[1:-1]}\x{{300}}-\x{{36f}}\x{{2ce}}·"
+_NO_WIDTH = r"\x{200b}-\x{200d}\x{feff}"
+
+
+def following_letters(text: Column, letter: str) -> Column:
+    """For each place of a letter that another follows, that one."""
+    return F.regexp_extract_all(text, F.lit(rf"{letter}(?=[{_BETWEEN}{_NO_WIDTH}]*+([^{_BETWEEN}{_NO_WIDTH}]))"), 1)
+
+
+def preceding_letters(text: Column, letter: str) -> Column:
+    """For each place of a letter that another precedes, that one."""
+    return F.regexp_extract_all(text, F.lit(rf"([^{_BETWEEN}])[{_BETWEEN}]*+(?={letter})"), 1)
+
+
+def is_guarded(path: Column, root: str) -> Column:
+    """The path begins with a root (as a prefix of the text: no separator is asked for), doubled slashes being one."""
+    return F.startswith(F.regexp_replace(path, "/+", "/"), F.lit(root))
+
+
 def token_pattern() -> str:
     two = [v for v in C.VOWELS + C.CONSONANTS if len(v) == 2]
     return f"({'|'.join(two)}|(?s:.))"

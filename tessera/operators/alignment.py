@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 INTERVALS = "array<struct<start:double,end:double>>"
 REGION = "start double, end double, target_index int, confidence double, method string"
@@ -61,6 +62,60 @@ def rms_energy(pcm: Column | str, rate: Column) -> Column:
     return _signals("array<double>", frame_energies, pcm, rate)
 
 
+def frame_sizes(rate: int) -> tuple[int, int]:
+    """Samples of a frame of 30 ms, and of the 10 ms between frames."""
+    return max(1, math.floor(rate * 0.03 + 0.5)), max(1, math.floor(rate * 0.01 + 0.5))
+
+
+def energy_table(samples: DataFrame, *key: str, rate: int, index: str = "i", value: str = "v") -> DataFrame:
+    """(key, frame, energy) of signals given as a row per sample: a sample adds to the few frames it lies in, so sums are combined before the shuffle."""
+    win, hop = frame_sizes(rate)
+    frames = F.sequence(F.greatest(F.lit(0), F.ceil((F.col(index) - (win - 1)) / hop)), F.floor(F.col(index) / hop))
+    parts = samples.select(*key, F.explode(frames).alias("frame"), F.col(value).alias("_v"))
+    sums = parts.groupBy(*key, "frame").agg(F.sum(F.col("_v") * F.col("_v")).alias("_sum"), F.count("*").alias("_n"))
+    return sums.filter(F.col("_n") == win).select(*key, "frame", F.sqrt(F.col("_sum") / win).alias("energy"))
+
+
+def loud_frames(energies: DataFrame, *key: str) -> DataFrame:
+    """energies with `loud`: above the threshold that three order statistics of the recording give."""
+    at = F.row_number().over(Window.partitionBy(*key).orderBy("energy", "frame")) - 1
+    ranked = energies.withColumn("_at", at).withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
+    # Shares of frames, and what their energies are multiplied with.
+    parts = [F.max(F.when(F.col("_at") == F.floor(F.col("_n") * share), F.col("energy") * times)).over(Window.partitionBy(*key)) for share, times in ((0.05, 3.5), (0.15, 1.5), (0.5, 0.2))]
+    return ranked.withColumn("loud", F.col("energy") > F.greatest(*parts, F.lit(0.005))).drop("_at", "_n")
+
+
+def vad_intervals(frames: DataFrame, *key: str, min_speech_ms: int = 200, min_gap_ms: int = 250) -> DataFrame:
+    """(key, start, end) of stretches of loud frames (key, frame, loud): silence of min_gap_ms closes one at its last loud frame; one still open at the end
+    of the signal ends there; shorter ones than min_speech_ms go."""
+    gap, least = round(min_gap_ms / 10), round(min_speech_ms / 10)
+    w = Window.partitionBy(*key).orderBy("frame")
+    t = frames.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).filter("loud")
+    new = F.coalesce(F.col("frame") - F.lag("frame").over(w) > gap, F.lit(True)).cast("int")
+    t = t.withColumn("_new", new).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.groupBy(*key, "_part").agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"), F.max("_n").alias("_n"))
+    t = t.withColumn("_b", F.when(F.col("_n") - 1 - F.col("_b") < gap, F.col("_n")).otherwise(F.col("_b")))
+    return t.filter(F.col("_b") - F.col("_a") >= least).select(*key, (F.col("_a") * 0.01).alias("start"), (F.col("_b") * 0.01).alias("end"))
+
+
+def speech_table(samples: DataFrame, *key: str, rate: int, index: str = "i", value: str = "v") -> DataFrame:
+    """(key, start, end): detect_speech() for signals given as a row per sample."""
+    return vad_intervals(loud_frames(energy_table(samples, *key, rate=rate, index=index, value=value), *key), *key)
+
+
+def alignment_figures(regions: DataFrame, intervals: DataFrame, *key: str) -> DataFrame:
+    """(key, matched, avg_confidence, intervals, avg_duration, unused_intervals) of the regions that were matched with a recording's intervals; nothing for one without regions."""
+    found = regions.groupBy(*key).agg(F.count("*").alias("matched"), F.avg(F.coalesce("confidence", F.lit(0.0))).alias("avg_confidence"))
+    have = intervals.groupBy(*key).agg(F.count("*").alias("intervals"), F.avg(F.greatest(F.lit(0.01), F.col("end") - F.col("start"))).alias("avg_duration"))
+    out = found.join(have, list(key), "left").withColumn("intervals", F.coalesce("intervals", F.lit(0)))
+    return out.withColumn("unused_intervals", F.greatest(F.lit(0), F.col("intervals") - F.col("matched")))
+
+
+def expected_boundaries(first: Column, last: Column, shares: Column) -> Column:
+    """The times of boundaries from their shares (0 to 1) of the stretch from first to last."""
+    return F.transform(shares, lambda x: first + x * (last - first))
+
+
 def peaks(samples: DataFrame, *key: str, index: str = "i", value: str = "v", points: int = 6000) -> DataFrame:
     """(key, bucket, peak): the largest magnitude of each of about `points` buckets."""
     n = samples.groupBy(*key).agg(F.max(index).alias("_n"))
@@ -110,11 +165,13 @@ def align(weights: np.ndarray, hints: np.ndarray, intervals: list[tuple[float, f
     best, step = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
     best[0, 1:], step[0, 1:] = np.cumsum(cost.skip_interval), 2
     best[1:, 0], step[1:, 0] = np.cumsum(cost.skip_target), 1
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            ways = (best[i - 1, j - 1] + cost.match[i - 1, j - 1], best[i - 1, j] + cost.skip_target[i - 1], best[i, j - 1] + cost.skip_interval[j - 1])
-            step[i, j] = k = min(range(3), key=ways.__getitem__)
-            best[i, j] = ways[k]
+    for d in range(2, n + m + 1):
+        # The cells (i, d - i) depend on the two diagonals before alone.
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        ways = np.stack([best[i - 1, j - 1] + cost.match[i - 1, j - 1], best[i - 1, j] + cost.skip_target[i - 1], best[i, j - 1] + cost.skip_interval[j - 1]])
+        step[i, j] = k = ways.argmin(0)
+        best[i, j] = ways[k, np.arange(len(i))]
     out, i, j = [], n, m
     while i or j:
         k = step[i, j]

@@ -42,15 +42,52 @@ def union_categories(catalog: DataFrame, most: int = 50) -> DataFrame:
     return first_wins(catalog, ["category", "filename"], ["pos"]).orderBy("category", "pos").limit(most)
 
 
-def recents_rank(recents: DataFrame) -> DataFrame:
-    """recents with rank: by the later of the two times, the earlier in the list first among equals."""
-    seen = F.greatest(F.coalesce("last_saved", F.lit(0)), F.coalesce("last_accessed", F.lit(0)))
-    return recents.withColumn("seen", seen).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("seen"), "ord")))
+def _seen() -> Column:
+    return F.greatest(F.coalesce("last_saved", F.lit(0)), F.coalesce("last_accessed", F.lit(0)))
+
+
+def recents_rank(recents: DataFrame, *owner: str) -> DataFrame:
+    """recents with rank in the list of each owner: by the later of the two times, the earlier in the list first among equals."""
+    return recents.withColumn("seen", _seen()).withColumn("rank", F.row_number().over(Window.partitionBy(*owner).orderBy(F.desc("seen"), "ord")))
 
 
 def recents_topk(recents: DataFrame, most: int = 20) -> DataFrame:
-    seen = F.greatest(F.coalesce("last_saved", F.lit(0)), F.coalesce("last_accessed", F.lit(0)))
-    return recents.withColumn("seen", seen).orderBy(F.desc("seen"), "ord").limit(most)
+    return recents.withColumn("seen", _seen()).orderBy(F.desc("seen"), "ord").limit(most)
+
+
+def recents_search(recents: DataFrame, query: str, current: str | None = None) -> DataFrame:
+    """Entries whose name, folder or path holds the query in either case, without the open one."""
+    hay = F.lower(F.concat_ws(" ", T.basename(F.col("path")), T.dirname(F.col("path")), F.col("path")))
+    found = recents.filter(F.contains(hay, F.lit(query.lower().strip())))
+    return found if current is None else found.filter(T.norm_path(F.col("path")) != T.norm_path(F.lit(current)))
+
+
+def recents_clean(recents: DataFrame) -> DataFrame:
+    """Entries with a path, missing times being 0."""
+    return recents.filter(F.coalesce("path", F.lit("")) != "").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("last_accessed", "last_saved")})
+
+
+def recents_remove(recents: DataFrame, gone: DataFrame) -> DataFrame:
+    """recents without the paths of `gone`, compared in normal form."""
+    paths = gone.select(T.norm_path(F.col("path")).alias("_gone")).distinct()
+    return recents.join(paths, T.norm_path(F.col("path")) == F.col("_gone"), "left_anti")
+
+
+def post_filter(items: DataFrame) -> DataFrame:
+    """Search results that have an address (url or link); without a kind they are posts."""
+    address = F.coalesce(F.nullif("url", F.lit("")), F.nullif("link", F.lit("")))
+    return items.filter(address.isNotNull()).withColumn("url", address).withColumn("subtype", F.coalesce(F.nullif("subtype", F.lit("")), F.lit("post")))
+
+
+def media_sort(files: DataFrame, modified: str, name: str) -> DataFrame:
+    """The newest first."""
+    return files.orderBy(F.desc(modified), name)
+
+
+def preview(items: Column, most: int = 3) -> Column:
+    """The first few of a list, and how many more there are."""
+    more = F.size(items) - most
+    return F.concat(F.array_join(F.slice(items, 1, most), "|"), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise(F.lit("")))
 
 
 def recents_upsert(recents: DataFrame, path: str, event: str, now: int, most: int = 50) -> DataFrame:
@@ -82,6 +119,23 @@ def dedup_filename(rows: DataFrame, name: str, order: str) -> DataFrame:
     return rows.withColumn("_k", k).withColumn("unique_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(base, F.lit("_"), F.col("_k").cast("string"), ext))).drop("_k")
 
 
+def region_target(regions: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """regions with what their target has."""
+    ord_ = targets.withColumnRenamed("ord", "target_index")
+    return regions.join(ord_, [key, "target_index"], "left")
+
+
+def remove_selected(regions: DataFrame, selected: DataFrame) -> DataFrame:
+    """regions without those whose id is selected."""
+    return regions.join(selected.select("id").distinct(), "id", "left_anti")
+
+
+def uniform_confidence(targets: DataFrame, regions: DataFrame, key: str, confidence: float = 0.52) -> DataFrame:
+    """targets with status, and one confidence for all that have a region."""
+    has = regions.select(key, F.col("target_index").alias("ord")).distinct().withColumn("confidence", F.lit(confidence))
+    return targets.join(has, [key, "ord"], "left").withColumn("status", F.when(F.col("confidence").isNull(), F.lit("unmatched")).otherwise(F.lit("matched")))
+
+
 def next_unassigned(targets: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     """(key, ord): the first target without a region."""
     free = targets.join(regions, (targets[key] == regions[key]) & (targets["ord"] == regions["target_index"]), "left_anti")

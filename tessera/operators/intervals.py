@@ -86,6 +86,11 @@ def resize_region(start: Column, end: Column, to: Column, duration: Column, left
     return F.struct(start.alias("start"), F.least(duration, F.greatest(to, start + 0.05)).alias("end"))
 
 
+def region_sort(regions: DataFrame) -> DataFrame:
+    """By start, the earlier made first among equals."""
+    return regions.orderBy("start", "id")
+
+
 def visible(mode: str, selected: Column, hidden: Column) -> Column:
     return {"selected": selected, "all": F.lit(True), "hidden": F.lit(False)}.get(mode, ~hidden)
 

@@ -76,13 +76,3 @@ def headings(html: Column) -> Column:
         return F.struct(F.concat(F.lit("heading-"), i.cast("string")).alias("id"), h["level"].cast("int").alias("level"), F.when(text == "", F.lit("Untitled")).otherwise(text).alias("text"))
 
     return F.transform(both, one)
-
-
-def letters(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, pos, ch, letter, prev_letter, next_letter): each character with the letters around it. The following letter is found
-    over the reversed order, where the frame only grows."""
-    chars = rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("(?s:.)"), 0)).alias("pos", "ch"))
-    blank = F.regexp_like("ch", F.lit(rf"(?:{C.WS}|[\x{{300}}-\x{{36f}}\x{{2ce}}·])"))
-    t = chars.withColumn("letter", F.when(~blank, F.col("ch"))).withColumn("plain", F.when(~F.regexp_like("ch", F.lit(r"[\x{200b}-\x{200d}\x{feff}]")), F.col("letter")))
-    back, ahead = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("prev_letter", F.last("letter", True).over(back)).withColumn("next_letter", F.last("plain", True).over(ahead)).drop("plain")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html as html_std
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,7 @@ def fixed(name: str, rows: list[tuple], schema: str, query: Callable[[DataFrame]
 
 
 WS = C.WS
+text_lower = lambda: F.lower(F.col("text"))
 DOCS, PAGES = "documents", "pages"
 #: The name of the column; functions take it as a column.
 text = "text"
@@ -120,17 +123,17 @@ add("scan_text_file", lambda s, d: table(s, d, DOCS).select("doc_id", F.octet_le
 
 # ---- projections, filters, predicates ----------------------------------------------------------------------------------------
 add("style_filter", lambda s, d: K.style_filter(table(s, d, DOCS), ["en", "de"], "lang").groupBy("lang").count().withColumnRenamed("count", "n"), "SELECT lang, count(*) AS n FROM documents WHERE lang NOT IN ('fr', 'es') GROUP BY lang")
-add("catalog_search", lambda s, d: K.search(table(s, d, DOCS).select("doc_id", F.col("source").alias("filename"), F.substring("text", 1, 200).alias("title"), F.col("lang").alias("romanized")), "EN the").select("doc_id"), "SELECT doc_id FROM documents WHERE len(list_filter(string_split('en the', ' '), lambda w: instr(lower(substr(text, 1, 200) || ' ' || lang || ' ' || source), w) = 0)) = 0")
+add("catalog_search", lambda s, d: K.search(table(s, d, DOCS).select("doc_id", F.col("source").alias("filename"), F.col("text").alias("title"), F.col("lang").alias("romanized")), "EN the").select("doc_id"), "SELECT doc_id FROM documents WHERE len(list_filter(string_split('en the', ' '), lambda w: instr(lower(concat_ws(' ', text, lang, source)), w) = 0)) = 0")
 QUERIES_FOLDED = [("Ṛgveda Śānti",), ("puruṣa sūktaṁ",), ("Ḷ ḻ ñ ṅ ṇ",)]
 fixed("query_fold", QUERIES_FOLDED, "q string", lambda t: t.select("q", T.query_fold(F.col("q")).alias("value")), "SELECT q, replace(replace(translate(lower(q), 'āīūṛṝḷḹṁṃḥṭḍṅñṇḻ', 'aiurrllmmhtdnnnl'), 'ś', 'sh'), 'ṣ', 'sh') AS value FROM fx")
-add("recents_search", lambda s, d: table(s, d, DOCS).select("doc_id", path().alias("path")).filter((F.instr(F.lower("path"), "src1") > 0) & (T.norm_path(F.col("path")) != "/library/src1/en 1.html")).select("doc_id"), f"SELECT doc_id FROM documents WHERE lower({PATHS_SQL}) LIKE '%src1%' AND lower({PATHS_SQL}) <> '/library/src1/en 1.html'")
+add("recents_search", lambda s, d: K.recents_search(table(s, d, DOCS).select("doc_id", path().alias("path")), " SRC1 ", "/library//SRC1/en 1.html").select("doc_id"), f"SELECT doc_id FROM documents WHERE lower({PATHS_SQL}) LIKE '%src1%' AND lower({PATHS_SQL}) <> '/library/src1/en 1.html'")
 LINES = [(1, "home | itx | pdf"), (1, "ॐ अग्निमीळे पुरोहितं"), (1, "ऋषिः मधुच्छन्दाः, छन्दः गायत्री"), (1, "अ॒ग्निमी॑ळे पु॒रोहि॑तं य॒ज्ञस्य॑ ।"), (1, "दे॒वमृ॒त्विज॑म् ॥ १ ॥"), (1, "होता॑रं रत्न॒धात॑मम् ॥ २.१ ॥"), (1, "अग्निः पूर्वेभि"), (1, "Encoded by क ख ग घ ङ च छ ज झ ञ ट ठ ड ढ"), (2, "रामो राजमणिः सदा विजयते ॥ १॥"), (2, "रामं रमेशं भजे"), (2, "x अ")]
 LINE_ROWS = [(k, n, line) for n, (k, line) in enumerate(LINES)]
 fixed("dev_line_filter", LINE_ROWS, "doc_id int, line_no int, line string", lambda t: t.filter(L.is_devanagari(F.col("line"))).select("doc_id", "line_no"), "SELECT doc_id, line_no FROM (SELECT *, len(list_filter(string_split(line, ''), lambda c: unicode(c) BETWEEN 2304 AND 2431)) AS n FROM fx) WHERE n >= 3 AND n > 0.3 * length(replace(line, ' ', ''))")
 FOOTER_SQL = "len(list_filter([" + ", ".join(map(literal, L.FOOTERS)) + "], lambda k: instr(lower(line), k) > 0)) > 0"
 fixed("footer_trim", LINE_ROWS, "doc_id int, line_no int, line string", lambda t: L.footer_trim(t, "doc_id").select("doc_id", "line_no"), f"SELECT doc_id, line_no FROM fx a WHERE EXISTS (SELECT 1 FROM fx b WHERE b.doc_id = a.doc_id AND b.line_no >= a.line_no AND NOT ({FOOTER_SQL.replace('line)', 'b.line)')}))")
 fixed("preamble_split", LINE_ROWS, "doc_id int, line_no int, line string", lambda t: L.preamble_split(t, "doc_id").select("doc_id", "line_no", "preamble"), "SELECT doc_id, line_no, EXISTS (SELECT 1 FROM fx b WHERE b.doc_id = a.doc_id AND (b.line LIKE '%' || chr(2385) || '%' OR b.line LIKE '%' || chr(2386) || '%')) AND NOT EXISTS (SELECT 1 FROM fx b WHERE b.doc_id = a.doc_id AND b.line_no <= a.line_no AND (b.line LIKE '%' || chr(2385) || '%' OR b.line LIKE '%' || chr(2386) || '%')) AS preamble FROM fx a")
-fixed("shlokam_filter", [(1, "u", None, None), (2, None, "l", "page"), (3, None, None, "post"), (4, "", None, "post")], "id int, url string, link string, subtype string", lambda t: t.filter((F.coalesce("url", F.lit("")) != "") | (F.coalesce("link", F.lit("")) != "")).select("id", F.coalesce("subtype", F.lit("post")).alias("subtype")), "SELECT id, coalesce(subtype, 'post') AS subtype FROM fx WHERE nullif(url, '') IS NOT NULL OR nullif(link, '') IS NOT NULL")
+fixed("shlokam_filter", [(1, "u", None, None), (2, None, "l", "page"), (3, None, None, "post"), (4, "", None, "post"), (5, "", "m", "")], "id int, url string, link string, subtype string", lambda t: K.post_filter(t).select("id", "url", "subtype"), "SELECT id, CASE WHEN length(url) > 0 THEN url ELSE link END AS url, CASE WHEN length(subtype) > 0 THEN subtype ELSE 'post' END AS subtype FROM fx WHERE length(url) > 0 OR length(link) > 0")
 fixed("attachment_filter", [(1, "a", "data:x"), (2, "", "data:x"), (3, "c", None)], "k int, id string, src string", lambda t: t.select(F.explode(documents.valid_attachments(F.array(F.struct("k", "id", "src")))).alias("a")).select("a.k"), "SELECT k FROM fx WHERE length(coalesce(id, '')) * length(coalesce(src, '')) > 0")
 REGIONS = [("a", 1, 0.0, 1.0, 0), ("a", 2, 1.1, 2.0, 1), ("a", 3, 2.2, 3.0, None), ("a", 4, 3.5, 3.505, 3), ("b", 5, 4.0, 3.0, 0), ("b", 6, 9.0, 11.0, 2)]
 REGION_SCHEMA = "audio_id string, id int, start double, end double, target_index int"
@@ -139,8 +142,7 @@ _end = lambda t: t.withColumnRenamed("stop", "end")
 fixed("region_validity", *FX, lambda t: t.select("id", I.valid_region(F.col("start"), F.col("stop"), F.lit(10.0)).alias("value")), "SELECT id, CASE WHEN stop - start <= 0 THEN 'empty' WHEN stop - 10 > 0.05 THEN 'beyond the end' END AS value FROM fx")
 fixed("region_min_len", *FX, lambda t: I.install_regions(_end(t), F.lit(10.0)).select("id", "start", F.col("end").alias("stop")), "SELECT id, greatest(0, start) AS start, least(10, stop) AS stop FROM fx WHERE least(10, stop) - greatest(0, start) > 0.01")
 fixed("visibility_mode", *FX, lambda t: t.select("id", *[I.visible(m, F.col("id") == 2, F.col("id") > 3).alias(m) for m in ("selected", "all", "hidden", "custom")]), "SELECT id, id = 2 AS selected, true AS \"all\", false AS hidden, id <= 3 AS custom FROM fx")
-on("path_guard", DOCS, "doc_id", lambda: F.startswith(path(), F.lit("/Library/src1")), f"{PATHS_SQL} LIKE '/Library/src1%'")
-
+on("path_guard", DOCS, "doc_id", lambda: T.is_guarded(F.concat(F.lit("/"), path()), "/Library/src1"), f"{PATHS_SQL} LIKE '/Library/src1%'")
 # ---- joins -------------------------------------------------------------------------------------------------------------------
 add("audio_hydrate", lambda s, d: K.lookup(table(s, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("id")), table(s, d, "customer").select((F.col("c_custkey") % 5).alias("id"), "c_custkey", "c_name"), "id", "c_custkey").select("n_nationkey", "c_name"),
     "SELECT n_nationkey, c_name FROM nation LEFT JOIN (SELECT c_custkey % 5 AS id, c_name FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey DESC) = 1) c ON c.id = n_regionkey")
@@ -151,7 +153,7 @@ RT = [("r", a, i, None, t) for a, i, _, _, t in REGIONS] + [("t", a, None, label
 RT_SCHEMA = "kind string, audio_id string, id int, label string, ord int"
 _regions = lambda t: t.filter("kind = 'r'").select("audio_id", "id", F.col("ord").alias("target_index"))
 _targets = lambda t: t.filter("kind = 't'").select("audio_id", "ord", "label")
-fixed("region_target", RT, RT_SCHEMA, lambda t: _regions(t).alias("r").join(_targets(t).alias("t"), F.expr("r.audio_id = t.audio_id AND target_index = ord"), "left").select("id", "label"), "SELECT id, (SELECT label FROM fx t WHERE t.kind = 't' AND t.audio_id = r.audio_id AND t.ord = r.ord) AS label FROM fx r WHERE kind = 'r'")
+fixed("region_target", RT, RT_SCHEMA, lambda t: K.region_target(_regions(t), _targets(t), "audio_id").select("id", "label"), "SELECT id, (SELECT label FROM fx t WHERE t.kind = 't' AND t.audio_id = r.audio_id AND t.ord = r.ord) AS label FROM fx r WHERE kind = 'r'")
 fixed("next_unassigned_target", RT, RT_SCHEMA, lambda t: K.next_unassigned(_targets(t), _regions(t), "audio_id"), "SELECT audio_id, min(ord) AS ord FROM fx t WHERE kind = 't' AND NOT EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) GROUP BY audio_id")
 fixed("target_has_region", RT, RT_SCHEMA, lambda t: K.with_region(_targets(t), _regions(t), "audio_id").select("audio_id", "ord"), "SELECT audio_id, ord FROM fx t WHERE kind = 't' AND EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord)")
 fixed("remove_target", *FX, lambda t: K.remove_target(t, 1).select("id", "target_index"), "SELECT id, CASE WHEN target_index <> 1 THEN target_index - CAST(target_index > 1 AS INTEGER) END AS target_index FROM fx")
@@ -206,18 +208,29 @@ CATALOG = "SELECT lang AS category, source AS filename, doc_id AS pos FROM docum
 _catalog = lambda s, d: table(s, d, DOCS).select(F.col("lang").alias("category"), F.col("source").alias("filename"), F.col("doc_id").alias("pos"))
 add("cross_category_distinct", lambda s, d: K.union_categories(_catalog(s, d)), f"SELECT category, filename, pos FROM (SELECT category, filename, min(pos) AS pos FROM ({CATALOG}) GROUP BY 1, 2) ORDER BY category, pos LIMIT 50")
 add("last_wins_by_pos", lambda s, d: K.last_wins(table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id"), "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
-add("rule_counts", lambda s, d: table(s, d, DOCS).select("lang", *[F.regexp_count(text, F.lit(p)).alias(p) for p in ("sv", "vy", "jñ")]).groupBy("lang").agg(*[F.sum(p).alias(n) for p, n in (("sv", "n_sv"), ("vy", "n_vy"), ("jñ", "n_jna"))]), "SELECT lang, sum(len(string_split(text, 'sv')) - 1) AS n_sv, sum(len(string_split(text, 'vy')) - 1) AS n_vy, sum(len(string_split(text, 'jñ')) - 1) AS n_jna FROM documents GROUP BY lang")
-
+_of_lang = lambda s, d: table(s, d, DOCS).select("lang", F.concat("text", F.lit(" jñāna "), "source", F.lit("vya"), F.lit(" svar")).alias("text"))
+add("rule_counts", lambda s, d: _of_lang(s, d).select("lang", *T.rule_counts(F.col("text"))).groupBy("lang").agg(*[F.sum(n).alias(n) for n in ("n_sv", "n_vy", "n_jna")]), "SELECT lang, sum(len(string_split(x, 'sv')) - 1) AS n_sv, sum(len(string_split(x, 'vy')) - 1) AS n_vy, sum(len(string_split(x, 'jñ')) - 1) AS n_jna FROM (SELECT lang, text || ' jñāna ' || source || 'vya' || ' svar' AS x FROM documents) GROUP BY lang")
 # ---- order-dependent computations --------------------------------------------------------------------------------------------
 LETTERS_SQL = f"""WITH c AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS ch FROM (SELECT doc_id, string_split(text, '') AS s FROM documents)),
     m AS (SELECT *, CASE WHEN NOT regexp_full_match(ch, '{WS}|[\\x{{300}}-\\x{{36f}}\\x{{2ce}}·]') THEN ch END AS letter FROM c),
     w AS (SELECT *, lead(letter IGNORE NULLS) OVER o AS next_letter, lag(letter IGNORE NULLS) OVER o AS prev_letter FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY pos))"""
-_pairs = lambda column: lambda s, d: L.letters(table(s, d, DOCS), "doc_id", text).filter(f"letter = 'r' AND {column} IS NOT NULL").groupBy(column).agg(F.count("*").alias("n"))
-add("next_letter", _pairs("next_letter"), f"{LETTERS_SQL} SELECT next_letter, count(*) AS n FROM w WHERE letter = 'r' AND next_letter IS NOT NULL GROUP BY 1")
-add("prev_letter", _pairs("prev_letter"), f"{LETTERS_SQL} SELECT prev_letter, count(*) AS n FROM w WHERE letter = 'r' AND prev_letter IS NOT NULL GROUP BY 1")
-fixed("prev_vowel", [("maitra", 3), ("karma", 2), ("taṁ ya", 4), ("tva", 0)], "t string, k int", lambda t: t.select("t", "k", F.regexp_extract(F.expr("substring(t, 1, k)"), "([aāiīuūṛṝḷḹeoṁṃḥ])[^aāiīuūṛṝḷḹeoṁṃḥ]*$", 1).alias("value")), "SELECT t, k, coalesce(list_last(list_filter(string_split(left(t, k), ''), lambda c: instr('aāiīuūṛṝḷḹeoṁṃḥ', c) > 0)), '') AS value FROM fx")
-VERSES_SQL = rf"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?i)<br\s*/?\s*>|</p>|</div>', chr(10), 'g'), '<[^>]+>', '', 'g') AS x FROM pages),
-    u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#039;', ''''), '&apos;', ''''), '&amp;', '&') AS x FROM t),
+_pairs = lambda name, found: lambda s, d: table(s, d, DOCS).select(F.explode(found(F.col("text"), "r")).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+add("next_letter", _pairs("next_letter", T.following_letters), f"{LETTERS_SQL} SELECT next_letter, count(*) AS n FROM w WHERE letter = 'r' AND next_letter IS NOT NULL GROUP BY 1")
+add("prev_letter", _pairs("prev_letter", T.preceding_letters), f"{LETTERS_SQL} SELECT prev_letter, count(*) AS n FROM w WHERE letter = 'r' AND prev_letter IS NOT NULL GROUP BY 1")
+on("prev_vowel", DOCS, "doc_id", lambda: T.previous_vowel(text_lower(), (F.col("doc_id") * 7 % F.length(text)).cast("int"), "ṁṃḥ"), "coalesce(list_last(list_filter(string_split(left(lower(text), CAST(doc_id * 7 % length(text) AS INTEGER)), ''), lambda c: instr('aāiīuūṛṝḷḹeoṁṃḥ', c) > 0)), '')", "length(text) > 0")
+# Character references by the table of the HTML standard: numbers, whole names, and the longest name without a semicolon that a reference begins with.
+CODES = ", ".join(f"{code}: {literal(value)}" for code, value in sorted(html_std._invalid_charrefs.items()) if value not in "\0\r")
+NAMES = ", ".join(f"{literal(name)}: {literal(value)}" for name, value in sorted(html5.items()))
+SHORT_NAMES = ", ".join(literal(name) for name in sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+TEXT_SQL = rf"""ent AS (SELECT map {{{NAMES}}} AS names, [{SHORT_NAMES}] AS short, map {{{CODES}}} AS codes),
+    t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?i)<br\s*/?\s*>|</p>|</div>', chr(10), 'g'), '<[^>]+>', '', 'g') AS x FROM pages),
+    r AS (SELECT page_id, x, generate_subscripts(refs, 1) AS k, unnest(refs) AS ref FROM (SELECT page_id, x, list_concat(regexp_extract_all(x, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\x0C <&#;]{{1,32}};?)'), ['']) AS refs FROM t)),
+    n AS (SELECT page_id, x, k, ref, CASE WHEN ref LIKE '&#%' THEN CASE WHEN lower(ref[3:3]) = 'x' THEN CAST('0x' || rtrim(ref[4:], ';') AS BIGINT) ELSE CAST(rtrim(ref[3:], ';') AS BIGINT) END END AS code FROM r),
+    v AS (SELECT page_id, x, k, ref, CASE WHEN ref = '' THEN '' WHEN code IS NOT NULL THEN coalesce(codes[code], CASE WHEN code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533) ELSE chr(code::INTEGER) END)
+                 ELSE coalesce(names[ref[2:]], (SELECT names[list_filter(short, lambda s: starts_with(ref[2:], s))[1]] || ref[2 + length(list_filter(short, lambda s: starts_with(ref[2:], s))[1]):]), ref) END AS value FROM n, ent),
+    w AS (SELECT page_id, any_value(regexp_split_to_array(x, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\x0C <&#;]{{1,32}};?)')) AS parts, list(value ORDER BY k) AS vals FROM v GROUP BY page_id),
+    u AS (SELECT page_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || vals[i]), '') AS x FROM w)"""
+VERSES_SQL = rf"""WITH {TEXT_SQL},
     l AS (SELECT page_id, generate_subscripts(s, 1) - 1 AS line_no, regexp_replace(unnest(s), '^{WS}+|{WS}+$', '', 'g') AS line FROM (SELECT page_id, string_split(x, chr(10)) AS s FROM u)),
     k AS (SELECT *, count(*) FILTER (WHERE regexp_matches(line, '[.!?]$')) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS verse_no FROM l WHERE line <> '')
     SELECT page_id, verse_no, string_agg(line, chr(10) ORDER BY line_no) AS verse, count(*) AS n_lines FROM k GROUP BY 1, 2"""
@@ -244,29 +257,32 @@ add("toc", lambda s, d: table(s, d, PAGES).select("page_id", F.explode(L.heading
        FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1) AS ls, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2) AS t FROM pages))""")
 _recents = lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("path"), (F.col("c_custkey") * 37 % 101).cast("bigint").alias("last_accessed"), (F.col("c_custkey") * 53 % 89).cast("bigint").alias("last_saved"))
 RECENTS_SQL = "(SELECT c_custkey AS ord, c_name AS path, c_custkey * 37 % 101 AS last_accessed, c_custkey * 53 % 89 AS last_saved FROM customer)"
-add("recents_rank", lambda s, d: K.recents_rank(K.recents_topk(_recents(s, d), 50)).select("ord", "rank"), f"SELECT ord, row_number() OVER (ORDER BY greatest(last_accessed, last_saved) DESC, ord) AS rank FROM {RECENTS_SQL} QUALIFY rank <= 50")
-
+_own_recents = lambda s, d: table(s, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") * 37 % 101).cast("bigint").alias("last_accessed"), F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") * 53 % 89).cast("bigint")).alias("last_saved"))
+add("recents_rank", lambda s, d: K.recents_rank(_own_recents(s, d), "owner").select("owner", "ord", "rank"), "SELECT o_custkey AS owner, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY greatest(o_orderkey * 37 % 101, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey * 53 % 89 ELSE 0 END) DESC, o_orderkey) AS rank FROM orders")
 # ---- sorts, limits, top-k ----------------------------------------------------------------------------------------------------
 add("recents_topk", lambda s, d: K.recents_topk(_recents(s, d)).select("ord", "path", "seen"), f"SELECT ord, path, greatest(last_accessed, last_saved) AS seen FROM {RECENTS_SQL} ORDER BY seen DESC, ord LIMIT 20")
 add("recents_cap", lambda s, d: K.recents_upsert(_recents(s, d), "Customer#000000003", "open", 1000).select("path", "last_accessed", "last_saved"),
     f"SELECT path, last_accessed, last_saved FROM (SELECT -1 AS ord, 'Customer#000000003' AS path, 1000 AS last_accessed, coalesce(max(last_saved), 0) AS last_saved FROM {RECENTS_SQL} WHERE lower(path) = 'customer#000000003' UNION ALL SELECT * FROM {RECENTS_SQL} WHERE lower(path) <> 'customer#000000003') ORDER BY ord LIMIT 50")
-add("media_sort", lambda s, d: table(s, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
-add("library_order", lambda s, d: K.library_order(K.library_tree(table(s, d, DOCS).select(path().alias("path")))).limit(30).select("path"), f"SELECT path FROM (SELECT DISTINCT array_to_string(p[1:i], '/') AS path, p[i] AS name, i < len(p) AS f FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT string_split(substr({PATHS_SQL}, 2), '/') AS p FROM documents))) ORDER BY f DESC, lower(name), path LIMIT 30")
-fixed("region_sort", *FX, lambda t: t.orderBy("start", "id").limit(3).select("id"), "SELECT id FROM fx ORDER BY start, id LIMIT 3")
+add("media_sort", lambda s, d: K.media_sort(table(s, d, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey")
+add("library_order", lambda s, d: K.library_order(K.library_tree(table(s, d, DOCS).select(path().alias("path")))).select("path", "is_folder"), f"SELECT path, f AS is_folder FROM (SELECT DISTINCT array_to_string(p[1:i], '/') AS path, p[i] AS name, i < len(p) AS f FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT string_split(substr({PATHS_SQL}, 2), '/') AS p FROM documents)))")
+fixed("region_sort", *FX, lambda t: I.region_sort(t).select("id"), "SELECT id FROM fx ORDER BY start, id")
 PLANS = [(n, p[2]) for n, p in K.METRES.items()] + [("last wins", "4̍2̱4̱0̍"), ("empty", "")]
 fixed("plan_sort", PLANS, "id string, plan string", lambda t: t.select("id", F.posexplode(K.svara_plan(F.col("plan"))).alias("n", "p")).select("id", "n", "p.pos", "p.mark"), "SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS n, pos, mark FROM (SELECT id, CAST(p AS INTEGER) AS pos, arg_max(m, k) AS mark FROM (SELECT id, generate_subscripts(a, 1) AS k, unnest(a) AS p, unnest(b) AS m FROM (SELECT id, regexp_extract_all(plan, '([0-9]+)([^0-9])', 1) AS a, regexp_extract_all(plan, '([0-9]+)([^0-9])', 2) AS b FROM fx)) WHERE p <> '0' GROUP BY 1, 2)")
-add("auto_svara_plan", QUERIES["plan_sort"], SQL["plan_sort"])
+# Positions and marks put together at random, more than one for some positions.
+PLAN_TEXT = "array_join(transform(sequence(1, 1 + id % 9), j -> concat((id * j * 7 + j) % 23, element_at(array('\u030d', '\u0331', '\u030e', '\u02ce', '·', '?'), cast((id + j * j) % 6 AS int) + 1))), '')"
+add("auto_svara_plan", lambda s, d: s.range(2000).select("id", K.svara_plan(F.expr(PLAN_TEXT)).alias("p")).select("id", F.posexplode("p").alias("n", "p")).select("id", "n", "p.pos", "p.mark"),
+    """WITH m AS (SELECT id, j, (id * j * 7 + j) % 23 AS pos, (['\u030d', '\u0331', '\u030e', '\u02ce', '·', '?'])[(id + j * j) % 6 + 1] AS mark FROM (SELECT unnest(range(2000)) AS id) CROSS JOIN (SELECT unnest(range(1, 10)) AS j) WHERE j <= 1 + id % 9),
+       l AS (SELECT id, pos, arg_max(mark, j) AS mark FROM m WHERE pos > 0 AND mark <> '?' GROUP BY 1, 2) SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS n, CAST(pos AS INTEGER) AS pos, mark FROM l""")
 add("result_limit", lambda s, d: K.search(_catalog(s, d).withColumnsRenamed({"category": "romanized"}).withColumn("title", F.lit("")), "src").orderBy("pos").limit(50).select("pos"), "SELECT doc_id AS pos FROM documents WHERE source LIKE '%src%' ORDER BY doc_id LIMIT 50")
-on("preview_limit", DOCS, "doc_id", lambda: F.concat(F.array_join(F.slice(F.split("text", " "), 1, 3), "|"), F.when(F.size(F.split("text", " ")) > 3, F.concat(F.lit(" +"), F.size(F.split("text", " ")) - 3)).otherwise(F.lit(""))), "array_to_string(string_split(text, ' ')[1:3], '|') || CASE WHEN len(string_split(text, ' ')) > 3 THEN ' +' || (len(string_split(text, ' ')) - 3) ELSE '' END")
+on("preview_limit", DOCS, "doc_id", lambda: K.preview(F.split("text", " ")), "array_to_string(string_split(text, ' ')[1:3], '|') || CASE WHEN len(string_split(text, ' ')) > 3 THEN ' +' || (len(string_split(text, ' ')) - 3) ELSE '' END")
 on("timeline_step", "events", "event_id", lambda: K.timeline_step(F.col("value")), "coalesce((SELECT min(s) FROM (SELECT unnest([0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0]::DOUBLE[]) AS s) WHERE s >= value), 600.0::DOUBLE)")
 
 # ---- set operations ----------------------------------------------------------------------------------------------------------
 add("union_categories", lambda s, d: K.first_wins(_catalog(s, d), ["filename"], ["category", "pos"]).select("category", "filename", "pos"), f"SELECT (arg_min(category, (category, pos))) AS category, filename, arg_min(pos, (category, pos)) AS pos FROM ({CATALOG}) GROUP BY filename")
 fixed("vowel_union", [(1,)], "id int", lambda t: t.select(F.explode(F.array_union(F.array(*map(F.lit, C.SHORT_VOWELS)), F.array(*map(F.lit, C.LONG_VOWELS)))).alias("v")), "SELECT unnest(string_split('a i u ṛ ḷ ā ī ū ṝ ḹ e ai o au', ' ')) AS v FROM fx")
 fixed("invert_selection", [(1, 2.0, 3.0, 5.0), (2, 0.02, 4.0, 5.0), (3, 0.0, 5.0, 5.0)], "id int, a double, b double, d double", lambda t: t.select("id", F.explode(I.invert_selection(F.col("a"), F.col("b"), F.col("d"))).alias("p")).select("id", "p.start", F.col("p.end").alias("stop")), "SELECT id, 0.0::DOUBLE AS start, a AS stop FROM fx WHERE a > 0.05 UNION ALL SELECT id, b, d FROM fx WHERE d - b > 0.05")
-add("recents_remove", lambda s, d: _recents(s, d).join(table(s, d, "customer").filter("c_nationkey = 3").select(T.norm_path(F.col("c_name")).alias("gone")), T.norm_path(F.col("path")) == F.col("gone"), "left_anti").select("ord"), "SELECT c_custkey AS ord FROM customer WHERE c_nationkey <> 3")
-fixed("remove_selected", *FX, lambda t: t.join(t.filter("id IN (2, 5)").select(F.col("id").alias("gone")), F.col("id") == F.col("gone"), "left_anti").select("id"), "SELECT id FROM fx EXCEPT SELECT unnest([2, 5])")
-
+add("recents_remove", lambda s, d: K.recents_remove(_recents(s, d), table(s, d, "customer").filter("c_nationkey = 3").select(F.upper("c_name").alias("path"))).select("ord"), "SELECT c_custkey AS ord FROM customer WHERE c_nationkey <> 3")
+fixed("remove_selected", *FX, lambda t: K.remove_selected(t, t.filter("id IN (2, 5)").select("id")).select("id"), "SELECT id FROM fx EXCEPT SELECT unnest([2, 5])")
 # ---- strings -----------------------------------------------------------------------------------------------------------------
 NORMALIZE_SQL = f"replace(regexp_replace(replace(replace(replace(replace(translate(lower(text), '{C.STANDARD_FROM}', '{C.STANDARD_TO}'), '(g)m', 'ṁ'), '(g)ṁ', 'ṁ'), '(g̱)ṁ', 'ṁ'), '(g̱)m', 'ṁ'), '\\.{WS}*\\.', '॥', 'g'), '.', '।')"
 on("normalize_text", DOCS, "doc_id", lambda: F.md5(T.normalize_text(text)), f"md5({NORMALIZE_SQL})")
@@ -294,24 +310,30 @@ fixed("phonemes_by_type", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.groupBy("kin
 DEVA = [("अग्नि", "agni"), ("राम", "rāma"), ("पु॒", "pu̱"), ("कृष्णः", "kṛṣṇaḥ"), ("ॐ", "oṁ"), ("१२", "12"), ("[abc]क", "[abc]ka"), ("धर्मं", "dharmaṁ")]
 fixed("deva_to_iast", DEVA, "d string, iast string", lambda t: t.select("d", V.deva_to_iast(F.col("d")).alias("value")), "SELECT d, iast AS value FROM fx")
 fixed("annotation_to_deva", [("g", "ग"), ("ś", "श्")], "a string, b string", lambda t: t.select("a", F.when(F.col("a") == "g", V.convert_syllable(F.col("a"), F.lit("a"), "devanagari")).otherwise(V.convert_bare(F.col("a"), "devanagari")).alias("value")), "SELECT a, b AS value FROM fx")
-on("clean_filename", DOCS, "doc_id", lambda: T.clean_filename(F.substring("text", 1, 80)), "translate(substr(text, 1, 80), '<>:\"/\\|?*', '_________')")
-on("clean_media_name", DOCS, "doc_id", lambda: T.clean_media_name(F.substring("text", 1, 80)), "regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9_.-]', '_', 'g')")
-on("clean_doc_name", DOCS, "doc_id", lambda: T.clean_doc_name(F.substring("text", 1, 80)), "array_to_string(regexp_extract_all(substr(text, 1, 80), '[a-zA-Z0-9_-]+'), '')")
+on("clean_filename", DOCS, "doc_id", lambda: F.md5(T.clean_filename(F.col(text))), "md5(translate(text, '<>:\"/\\|?*', '_________'))")
+on("clean_media_name", DOCS, "doc_id", lambda: F.md5(T.clean_media_name(F.col(text))), "md5(regexp_replace(text, '[^A-Za-z0-9_.-]', '_', 'g'))")
+on("clean_doc_name", DOCS, "doc_id", lambda: F.md5(T.clean_doc_name(F.col(text))), "md5(array_to_string(regexp_extract_all(text, '[a-zA-Z0-9_-]+'), ''))")
 add("dedup_filename", lambda s, d: K.dedup_filename(table(s, d, DOCS).select("doc_id", F.concat("source", F.lit(".txt")).alias("name")), "name", "doc_id").select("doc_id", "unique_name"), "SELECT doc_id, CASE WHEN k = 0 THEN source || '.txt' ELSE source || '_' || k || '.txt' END AS unique_name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)")
 on("clone_name", DOCS, "doc_id", lambda: T.clone_name(T.basename(path())), f"CASE WHEN regexp_matches(n, '(?i)[.](smdoc|html?)$') THEN regexp_replace(n, '(?i)([.](smdoc|html?))$', ' copy\\1') ELSE n || ' copy' END".replace("n,", f"(list_last(string_split({PATHS_SQL}, '/'))),").replace("ELSE n ||", f"ELSE (list_last(string_split({PATHS_SQL}, '/'))) ||"))
 on("basename", DOCS, "doc_id", lambda: T.basename(path()), f"list_last(string_split({PATHS_SQL}, '/'))")
 on("dirname", DOCS, "doc_id", lambda: T.dirname(path()), "'/Library/' || source")
 on("norm_path", DOCS, "doc_id", lambda: T.norm_path(F.concat(F.lit("C:\\\\X//"), path())), f"lower(regexp_replace(replace('C:' || chr(92) || chr(92) || 'X//' || {PATHS_SQL}, chr(92), '/'), '/+', '/', 'g'))")
-on("elide_path", DOCS, "doc_id", lambda: T.elide_path(F.substring("text", 1, 150)), "CASE WHEN length(substr(text, 1, 150)) <= 72 THEN substr(text, 1, 150) ELSE substr(text, 1, 18) || '…' || right(substr(text, 1, 150), 53) END")
+on("elide_path", DOCS, "doc_id", lambda: T.elide_path(F.col(text)), "CASE WHEN length(text) <= 72 THEN text ELSE substr(text, 1, 18) || '…' || right(text, 53) END")
 on("format_size", DOCS, "doc_id", lambda: T.format_size(F.length("text") * F.col("doc_id")), "CASE WHEN n = 0 THEN '' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) ELSE printf('%.1f MB', round(n / 1048576, 1)) END".replace("n ", "(length(text) * doc_id) "))
 on("format_ago", DOCS, "doc_id", lambda: T.format_ago(F.lit(1700000000) - F.col("doc_id") * 977, F.lit(1700000000)), "CASE WHEN a < 60 THEN 'Just now' WHEN a < 3600 THEN (a // 60) || ' min ago' WHEN a < 86400 THEN (a // 3600) || ' hours ago' WHEN a < 604800 THEN (a // 86400) || ' days ago' ELSE strftime(make_timestamp((1700000000 - a) * 1000000), '%Y-%m-%d') END".replace("a ", "(doc_id * 977) ").replace("- a)", "- doc_id * 977)"))
 on("html_to_text", PAGES, "page_id", lambda: F.md5(T.html_to_text(F.col("html"))))
-SQL["html_to_text"] = VERSES_SQL.split("    l AS (")[0].rstrip().rstrip(",") + " SELECT page_id, md5(x) AS value FROM u"
+SQL["html_to_text"] = f"WITH {TEXT_SQL} SELECT page_id, md5(x) AS value FROM u"
 on("extract_title", PAGES, "page_id", lambda: T.extract_title(F.col("html"), F.col("url")), f"coalesce(regexp_replace(nullif(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1), ''), '^{WS}+|{WS}+$', '', 'g'), url)")
-add("extract_links", lambda s, d: html.links(table(s, d, PAGES).withColumn("html", F.regexp_replace("html", 'href="/', 'href="cat/')), "page_id", "html", "cat").select("page_id", "href", "title"),
-    """WITH a AS (SELECT page_id, generate_subscripts(h, 1) AS k, trim(unnest(h)) AS href, trim(regexp_replace(unnest(t), '<[^>]+>', '', 'g')) AS title FROM (SELECT page_id, regexp_extract_all(x, '(?is)<a[^>]+href=["''](?:[^"'']*?cat/)?([^"'']+?)(?:\\.html)?["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(x, '(?is)<a[^>]+href=["''](?:[^"'']*?cat/)?([^"'']+?)(?:\\.html)?["''][^>]*>(.*?)</a>', 2) AS t FROM (SELECT page_id, replace(html, 'href="/', 'href="cat/') AS x FROM pages)))
-       SELECT page_id, href, arg_min(title, k) AS title FROM a WHERE href <> '' AND href NOT LIKE 'http%' AND href NOT LIKE '%/%' AND href NOT IN ('index', 'home', 'favicon') AND title <> '' GROUP BY 1, 2""")
-add("index_entry_filter", QUERIES["extract_links"], SQL["extract_links"])
+# The pages' links lead to documents of a folder here; some of its other links are kept as they are, and some names are given twice.
+LINKED = "regexp_replace(regexp_replace(html, 'href=\"/([a-m][^\"]*)\"', 'href=\"/cat/$1.html\"'), 'href=\"/([n-s][^\"]*)\"', 'href=\"https://x.org/cat/$1.HTML\" title=\"t\"')"
+LINKED_SQL = "regexp_replace(regexp_replace(html, 'href=\"/([a-m][^\"]*)\"', 'href=\"/cat/\\1.html\"', 'g'), 'href=\"/([n-s][^\"]*)\"', 'href=\"https://x.org/cat/\\1.HTML\" title=\"t\"', 'g')"
+_linked = lambda s, d: table(s, d, PAGES).withColumn("html", F.concat(F.expr(LINKED), F.lit('<a href="/cat/index.html">i</a><a href="/cat/one.html"> </a> | <em>One</em><a href="/cat/one.html">again</a><a href="/cat/b/two.html">2</a><a href="/cat/three">3</a>')))
+LINKS_SQL = f"""WITH x AS (SELECT page_id, {LINKED_SQL} || '<a href="/cat/index.html">i</a><a href="/cat/one.html"> </a> | <em>One</em><a href="/cat/one.html">again</a><a href="/cat/b/two.html">2</a><a href="/cat/three">3</a>' AS x FROM pages),
+    l AS (SELECT page_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS href, unnest(b) AS inner_html, unnest(c) AS em FROM (SELECT page_id, """ + ", ".join("""regexp_extract_all(x, '(?is)<a[^>]+href=[\"''](?:[^\"'']*?cat/)?([^\"'']+?)[.]html[\"''][^>]*>(.*?)</a>(?:\\s*\\|?\\s*(?:<em[^>]*>([^<]*)</em>))?', """ + f"{k}) AS {n}" for k, n in ((1, "a"), (2, "b"), (3, "c"))) + """ FROM x)),
+    a AS (SELECT page_id, pos, trim(href) AS href, trim(regexp_replace(inner_html, '<[^>]+>', '', 'g')) AS t, trim(coalesce(em, '')) AS em FROM l)"""
+add("extract_links", lambda s, d: html.all_links(_linked(s, d), "page_id", "html", "cat").select("page_id", "pos", "href", "title", "romanized"), LINKS_SQL + " SELECT page_id, pos, href, CASE WHEN t = '' THEN em ELSE t END AS title, CASE WHEN em = '' THEN href ELSE em END AS romanized FROM a")
+add("index_entry_filter", lambda s, d: html.links(_linked(s, d), "page_id", "html", "cat").select("page_id", "href", "title"),
+    LINKS_SQL + ", k AS (SELECT *, CASE WHEN t = '' THEN em ELSE t END AS title FROM a WHERE length(href) > 0 AND NOT starts_with(href, 'http') AND instr(href, '/') = 0 AND href NOT IN ('index', 'home', 'favicon')) SELECT page_id, href, arg_min(title, pos) AS title FROM k WHERE length(title) > 0 GROUP BY page_id, href")
 on("extract_divs", PAGES, "page_id", lambda: F.md5(F.array_join(L_blocks(), "|")), "md5(array_to_string(regexp_extract_all(html, '(?is)<div[^>]*class=[\"''][^\"'']*ad[^\"'']*[\"''][^>]*>(.*?)</div>', 1), '|'))")
 
 
@@ -359,7 +381,7 @@ on("default_region", "events", "event_id", lambda: F.round(I.default_region(F.co
 on("move_region", "events", "event_id", lambda: F.round(I.move_region(F.lit(10.0), F.lit(15.0), F.col("value") - 30, F.lit(60.0))["end"], 6), "round(greatest(0, least(55, value - 20)) + 5, 6)")
 on("resize_region", "events", "event_id", lambda: F.round(I.resize_region(F.lit(10.0), F.lit(15.0), F.col("value"), F.lit(60.0), False)["end"], 6), "round(least(60, greatest(value, 10.05)), 6)")
 on("format_audio_size", DOCS, "doc_id", lambda: T.format_audio_size(F.length("text") * F.col("doc_id")), "CASE WHEN n = 0 THEN '' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) ELSE printf('%.2f MB', round(n / 1048576, 2)) END".replace("n ", "(length(text) * doc_id) "))
-on("array_ops", DOCS, "doc_id", lambda: F.array_join(F.slice(F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 3))), 1, 5), ","), "array_to_string(list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 3)))[1:5], ',')")
+on("array_ops", DOCS, "doc_id", lambda: F.md5(F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 3))), ",")), "md5(array_to_string(list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 3))), ','))")
 on("map_ops", DOCS, "doc_id", lambda: F.element_at(F.map_from_arrays(F.array(F.lit("lang"), F.lit("source")), F.array("lang", "source")), "source"), "map(['lang', 'source'], [lang, source])['source']")
 on("json_ops", "events", "event_id", lambda: F.get_json_object(F.to_json(F.struct("event_type", "value")), "$.event_type"), "json_object('event_type', event_type) ->> '$.event_type'")
 fixed("data_uri", [("data:audio/mp3;base64,aGVsbG8=",), ("d2F2",)], "src string", lambda t: t.select("src", F.decode(documents.audio_bytes(F.col("src")), "utf-8").alias("value")), "SELECT src, decode(from_base64(list_last(string_split(src, ',')))) AS value FROM fx")
@@ -387,12 +409,12 @@ add("auto_align", lambda s, d: A.auto_align(_audio(s, d), _lines(s, d)).withColu
 add("align_dp", lambda s, d: A.auto_align(_audio(s, d), _lines(s, d)).filter("method = 'aligned'").withColumnRenamed("end", "stop"))
 add("pick_boundaries", lambda s, d: A.boundaries(_audio(s, d), _lines(s, d)))
 fixed("install_regions", *FX, lambda t: I.install_regions(_end(t), F.lit(2.5)).select("id", "start", F.col("end").alias("stop")), "SELECT id, start, least(2.5, stop) AS stop FROM fx WHERE least(2.5, stop) - start > 0.01")
-fixed("uniform_confidence", RT, RT_SCHEMA, lambda t: _targets(t).join(_regions(t).select("audio_id", F.col("target_index").alias("ord"), F.lit(0.52).alias("c")).distinct(), ["audio_id", "ord"], "left").select("audio_id", "ord", F.when(F.col("c").isNull(), F.lit("unmatched")).otherwise(F.lit("matched")).alias("status"), "c"), "SELECT audio_id, ord, CASE WHEN m THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN m THEN 0.52::DOUBLE END AS c FROM (SELECT *, EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) AS m FROM fx t WHERE kind = 't')")
-
+fixed("uniform_confidence", RT, RT_SCHEMA, lambda t: K.uniform_confidence(_targets(t), _regions(t), "audio_id").select("audio_id", "ord", "status", F.col("confidence").alias("c")), "SELECT audio_id, ord, CASE WHEN m THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN m THEN 0.52::DOUBLE END AS c FROM (SELECT *, EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) AS m FROM fx t WHERE kind = 't')")
 # ---- catalog and streams -----------------------------------------------------------------------------------------------------
 add("library_tree", lambda s, d: K.library_tree(table(s, d, DOCS).select(path().alias("path"))).groupBy("depth", "is_folder").agg(F.count("*").alias("n")), "SELECT 1 AS depth, true AS is_folder, 1 AS n UNION ALL SELECT 2, true, count(DISTINCT source) FROM documents UNION ALL SELECT 3, false, count(*) FROM documents")
-add("recents_upsert", QUERIES["recents_cap"], SQL["recents_cap"])
-fixed("recents_clean", [(1, "a", 5, None), (2, "b", None, None), (3, None, None, 7)], "ord int, path string, last_accessed bigint, last_saved bigint", lambda t: t.filter("path IS NOT NULL").select("ord", "path", F.coalesce("last_accessed", F.lit(0)).alias("last_accessed"), F.coalesce("last_saved", F.lit(0)).alias("last_saved")), "SELECT ord, path, ifnull(last_accessed, 0) AS last_accessed, ifnull(last_saved, 0) AS last_saved FROM fx WHERE path IS NOT NULL")
+add("recents_upsert", lambda s, d: K.recents_upsert(_recents(s, d), "CUSTOMER#000000005", "save", 2000, 1 << 30).select("path", "last_accessed", "last_saved"),
+    f"SELECT 'CUSTOMER#000000005' AS path, coalesce(max(last_accessed), 0) AS last_accessed, 2000 AS last_saved FROM {RECENTS_SQL} WHERE lower(path) = 'customer#000000005' UNION ALL SELECT path, last_accessed, last_saved FROM {RECENTS_SQL} WHERE lower(path) <> 'customer#000000005'")
+fixed("recents_clean", [(1, "a", 5, None), (2, "b", None, None), (3, None, None, 7)], "ord int, path string, last_accessed bigint, last_saved bigint", K.recents_clean, "SELECT ord, path, ifnull(last_accessed, 0) AS last_accessed, ifnull(last_saved, 0) AS last_saved FROM fx WHERE path IS NOT NULL")
 _actions = lambda s, d: table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
 add("recent_item", lambda s, d: K.recents_topk(_recents(s, d), 10).alias("r").join(table(s, d, "customer").alias("c"), F.expr("r.path = c.c_name"), "left").select("ord", "c_acctbal"), f"SELECT ord, c_acctbal FROM (SELECT * FROM {RECENTS_SQL} ORDER BY greatest(last_accessed, last_saved) DESC, ord LIMIT 10) JOIN customer ON c_name = path")
 add("stream_debounce", lambda s, d: S.debounce(_actions(s, d), "user_id", quiet="3600 seconds").groupBy("user_id").agg(F.count("*").alias("n_saves"), F.sum("n").alias("n")),

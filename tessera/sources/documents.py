@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -80,3 +80,9 @@ def valid_attachments(attachments: Column) -> Column:
 def audio_bytes(src: Column) -> Column:
     """The data of a data URI."""
     return F.unbase64(F.substring_index(src, ",", -1))
+
+
+def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, text) of the files under a path, each whole, as UTF-8."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.decode("content", "utf-8").alias("text"))

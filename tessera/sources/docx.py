@@ -91,3 +91,9 @@ def style_lookup(style: Column, table: dict[str, str]) -> Column:
     """The class of a style: of its own name, else of the first name that it begins with; else null."""
     exact = F.element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), style)
     return F.coalesce(exact, *[F.when(F.startswith(style, F.lit(k)), F.lit(v)) for k, v in table.items()])
+
+
+def import_docx(files: DataFrame, *key: str, content: str = "content") -> DataFrame:
+    """(key, para_no, html) of the paragraphs of word-processor files; empty ones go."""
+    run_table = files.lateralJoin(DocxRuns(F.col(content).outer())).drop(content)
+    return runs_to_html(run_table.select(*key, *[c.split(" ")[0] for c in RUN.split(", ")]), *key)

@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions import text as T
+
+# A paragraph, its class and inside; the forms of a line break that are read; the tags of runs.
 PARAGRAPH = r"""(?is)<p(?:\s+class=["']([^"']*)["'])?\s*>(.*?)</p>"""
+BREAK = "<br>|<br/>|<br />"
 
 
 def paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, para_no, classes, inner) of each <p>; <br> becomes a space."""
-    flat = F.regexp_replace(F.col(html), r"<br ?/?>", " ")
+    flat = F.regexp_replace(F.col(html), BREAK, " ")
     both = F.arrays_zip(F.regexp_extract_all(flat, F.lit(PARAGRAPH), 1).alias("classes"), F.regexp_extract_all(flat, F.lit(PARAGRAPH), 2).alias("inner"))
     out = pages.select(key, F.posexplode(both).alias("para_no", "p"))
     return out.select(key, "para_no", F.filter(F.split("p.classes", r"\s+"), lambda c: c != "").alias("classes"), F.col("p.inner").alias("inner"))
@@ -50,16 +54,27 @@ class InlineRuns:
             yield from inline_runs(inner)
 
 
-def links(pages: DataFrame, key: str, html: str, folder: str = "") -> DataFrame:
-    """(key, pos, href, title, romanized) of links to pages, in order: absolute ones, ones into other folders, and icons left out; the first of a name wins."""
-    prefix = f"(?:[^\"']*?{folder}/)?" if folder else "/?"
-    pattern = rf"""(?is)<a[^>]+href=["']{prefix}([^"']+?)(?:\.html)?["'][^>]*>(.*?)</a>(?:\s*\|?\s*(?:<em[^>]*>([^<]*)</em>))?"""
-    cols = [F.regexp_extract_all(html, F.lit(pattern), k).alias(n) for k, n in ((1, "href"), (2, "inner"), (3, "em"))]
+# A link to a page of a folder (put in for %s), its inside, and the emphasised name beside it; names that aren't documents.
+LINK = r"""(?is)<a[^>]+href=["'](?:[^"']*?%s/)?([^"']+?)\.html["'][^>]*>(.*?)</a>(?:\s*\|?\s*(?:<em[^>]*>([^<]*)</em>))?"""
+NO_DOCUMENTS = ("index", "home", "favicon")
+
+
+def is_entry(name: Column) -> Column:
+    """A link's name is that of a document of the folder: not absolute, not in another folder, no icon or index."""
+    return (name != "") & ~F.startswith(name, F.lit("http")) & ~F.contains(name, F.lit("/")) & ~name.isin(*NO_DOCUMENTS)
+
+
+def all_links(pages: DataFrame, key: str, html: str, folder: str) -> DataFrame:
+    """(key, pos, href, title, romanized) of links to pages (.html), in order."""
+    cols = [F.regexp_extract_all(html, F.lit(LINK % re.escape(folder)), k).alias(n) for k, n in ((1, "href"), (2, "inner"), (3, "em"))]
     out = pages.select(key, F.posexplode(F.arrays_zip(*cols)).alias("pos", "a"))
-    inner = F.trim(F.regexp_replace("a.inner", "<[^>]+>", ""))
-    em, href = F.trim("a.em"), F.trim("a.href")
-    out = out.select(key, "pos", href.alias("href"), F.when(inner != "", inner).otherwise(em).alias("title"), F.when(em != "", em).otherwise(href).alias("romanized"))
-    out = out.filter((F.col("href") != "") & ~F.startswith("href", F.lit("http")) & ~F.contains("href", F.lit("/")) & ~F.col("href").isin("index", "home", "favicon") & (F.col("title") != ""))
+    inner, em, href = T.trim_ws(F.regexp_replace("a.inner", "<[^>]+>", "")), T.trim_ws(F.col("a.em")), T.trim_ws(F.col("a.href"))
+    return out.select(key, "pos", href.alias("href"), F.when(inner != "", inner).otherwise(em).alias("title"), F.when(em != "", em).otherwise(href).alias("romanized"))
+
+
+def links(pages: DataFrame, key: str, html: str, folder: str) -> DataFrame:
+    """all_links() that are entries with a title; the first of a name wins."""
+    out = all_links(pages, key, html, folder).filter(is_entry(F.col("href")) & (F.col("title") != ""))
     return out.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY {key}, href ORDER BY pos)")).filter("rank = 1").drop("rank")
 
 
