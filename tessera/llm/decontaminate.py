@@ -7,7 +7,7 @@ is sought by running Karp-Rabin hashes over both (a window of the item is found
 a seed's length is left. An item counts as leaked into a document if the tiles cover at least `threshold` of its words, in whatever order its
 parts stand there.
 
-What is broadcast is the filter, of 16 bits a seed and 16 MB at most; a fuller filter only lets more passages through to the join. Memory for a pair is in proportion to
+What is broadcast is the filter, of 32 bits a seed and 16 MB at most; a fuller filter only lets more passages through to the join. Memory for a pair is in proportion to
 the passages and the item, whatever they repeat.
 
 Defined results. A null text counts as empty. Items without a word never leak. Repeated items count once per item id; repeated
@@ -27,8 +27,9 @@ from .common import arrow_map, broadcast_if_small, keyed, materialize, same_row
 from .words import WordHashes, runs, word_hashes
 
 SHORTEST, THRESHOLD = 5, 0.5
-#: Bits of the filter for each seed, and at most.
-SEED_BITS, MOST_BITS = 16, 1 << 27
+#: Bits of the filter for each seed, and at most; the slots of a seed.
+SEED_BITS, MOST_BITS = 32, 1 << 27
+SLOTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -108,13 +109,30 @@ def _items(k: int) -> Callable:
     return f
 
 
+def _slot(seeds: np.ndarray, k: int, size: int) -> np.ndarray:
+    return ((seeds * SLOTS[k]) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _in_filter(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The places of those seeds all of whose slots are set."""
+    at = np.arange(len(seeds))
+    for k in range(len(SLOTS)):
+        if not len(at):
+            break
+        slot = _slot(seeds[at], k, len(bits) * 8)
+        at = at[(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)]
+    return at
+
+
 def _bits(size: int) -> Callable:
     """Rows (seeds) -> one row of each task: the filter of its seeds."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, bool)
         for batch in batches:
-            bits[np.array(batch.column(0).flatten(), np.int64).view(np.uint64) & np.uint64(size - 1)] = True
+            seeds = np.array(batch.column(0).flatten(), np.int64).view(np.uint64)
+            for k in range(len(SLOTS)):
+                bits[_slot(seeds, k, size)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     return f
@@ -126,8 +144,7 @@ def passages(words: np.ndarray, bits: np.ndarray, lengths: list[int]) -> tuple[n
     for k in lengths:
         if len(words) >= k:
             own = runs(words, k)
-            slot = own & np.uint64(len(bits) * 8 - 1)
-            at = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8) & 1)
+            at = _in_filter(own, bits)
             if len(at):
                 found.append((at, at + k, own[at]))
     if not found:
