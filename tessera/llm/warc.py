@@ -36,7 +36,7 @@ LEAST, ROLL_BYTES, SHARD_BYTES = 1000, 16 << 20, 32 << 20
 #: Shards grow beyond SHARD_BYTES where there would be more than this many; so many first keys, of 17 bytes, are broadcast at most.
 MOST_SHARDS = 100_000
 #: A range of keys that is sorted in one task has at most this many rows, or this share of all.
-RANGE_ROWS, RANGE_SHARE = 4096, 4096
+RANGE_ROWS, RANGE_SHARE = 512, 4096
 LOWEST = -(2**63)
 #: Archives are the same from run to run, so records carry this date unless another is given.
 DATE = "2000-01-01T00:00:00Z"
