@@ -26,13 +26,14 @@ def devanagari_extraction(pages: DataFrame, key: str = "page_id", html: str = "h
 RULES = ("normalize", "jna", "sv", "vy", "svarabhakti", "anusvara", "visarga", "svarita", "final_m")
 
 
-def rule_pipeline(rows: DataFrame, text: str = "text", source: str | None = None, rules: tuple[str, ...] = RULES, skip_bija: bool = True) -> DataFrame:
-    """rows with the text after the rules that are on."""
+def rule_pipeline(rows: DataFrame, text: str = "text", source: str | Column | None = None, rules: tuple[str, ...] = RULES, skip_bija: bool = True) -> DataFrame:
+    """rows with the text after the rules that are on, for a tradition, or for that of each row."""
+    of = source if isinstance(source, Column) else F.lit(source).cast("string")
     step = {
         "normalize": T.normalize_text, "jna": T.insert_jna, "sv": T.insert_sv, "vy": T.insert_vy, "final_m": T.final_m_tick,
         "svarabhakti": lambda t: P.apply_edits(t, P.svarabhakti_edits(t)), "visarga": lambda t: P.apply_edits(t, P.visarga_edits(t)),
-        "anusvara": lambda t: P.apply_edits(t, P.anusvara_edits(t, F.lit(source).cast("string"), skip_bija)),
-        "svarita": lambda t: T.rigveda_svarita(t) if source == "rigveda" else t,
+        "anusvara": lambda t: P.apply_edits(t, P.anusvara_edits(t, of, skip_bija)),
+        "svarita": lambda t: F.when(of == "rigveda", T.rigveda_svarita(t)).otherwise(t),
     }
     out = rows
     for rule in RULES:

@@ -283,21 +283,82 @@ fixed("vowel_union", [(1,)], "id int", lambda t: t.select(F.explode(F.array_unio
 fixed("invert_selection", [(1, 2.0, 3.0, 5.0), (2, 0.02, 4.0, 5.0), (3, 0.0, 5.0, 5.0)], "id int, a double, b double, d double", lambda t: t.select("id", F.explode(I.invert_selection(F.col("a"), F.col("b"), F.col("d"))).alias("p")).select("id", "p.start", F.col("p.end").alias("stop")), "SELECT id, 0.0::DOUBLE AS start, a AS stop FROM fx WHERE a > 0.05 UNION ALL SELECT id, b, d FROM fx WHERE d - b > 0.05")
 add("recents_remove", lambda s, d: K.recents_remove(_recents(s, d), table(s, d, "customer").filter("c_nationkey = 3").select(F.upper("c_name").alias("path"))).select("ord"), "SELECT c_custkey AS ord FROM customer WHERE c_nationkey <> 3")
 fixed("remove_selected", *FX, lambda t: K.remove_selected(t, t.filter("id IN (2, 5)").select("id")).select("id"), "SELECT id FROM fx EXCEPT SELECT unnest([2, 5])")
+# ---- texts made of every kind of sign, from a range --------------------------------------------------------------------------
+SIGNS = [*C.VOWELS, *C.CONSONANTS, *"ḥṁrmaiāsśvy", " ", " ", " ", " ", "oṁ ", "\n", "|", "।", "॥", *C.SVARA, "\u0306", "m̐", "m̐g", "m̐gṁ", "̐", "jñ", "kṣ", "sv", "vy", "x"]
+SIGN_AT = f"(id * 7919 + j * j * 104729 + id * j * 31 + (id * j) % 97) % 1000003 % {len(SIGNS)}"
+TRADITIONS = ("yajurveda", "rigveda", "smriti")
+
+
+def signs(s: SparkSession, d: str) -> DataFrame:
+    """(id, source, t): texts of 1 to 18 signs."""
+    word = f"array_join(transform(sequence(1, 1 + id % 18), j -> element_at(array({in_list(SIGNS)}), cast({SIGN_AT} AS int) + 1)), '')"
+    return s.range(6000).select("id", F.expr(f"element_at(array({in_list(TRADITIONS)}), cast(id % 3 AS int) + 1)").alias("source"), F.expr(word).alias("t"))
+
+
+# The same in SQL: texts; their characters with flags; what stands before and after each. Annotations are shown as U+E001 in t2.
+SIGNS_SQL = f"""fx AS (SELECT id, ([{in_list(TRADITIONS)}])[id % 3 + 1] AS source, array_to_string(list_transform(range(1, id % 18 + 2), lambda j: ([{in_list(SIGNS)}])[CAST({SIGN_AT} AS INTEGER) + 1]), '') AS t FROM (SELECT unnest(range(6000)) AS id)),
+    t2 AS (SELECT *, replace(replace(replace(replace(t, 'm̐gṁ', repeat(chr(57345), 4)), 'm̐g', repeat(chr(57345), 3)), 'm̐', repeat(chr(57345), 2)), '̐', chr(57345)) AS t2 FROM fx),
+    ch AS (SELECT id, source, t, t2, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS c, unnest(b) AS c2 FROM (SELECT *, string_split(t, '') AS a, string_split(t2, '') AS b FROM t2)),
+    fl AS (SELECT *, NOT regexp_full_match(c2, '{WS}|[\\x{{300}}-\\x{{36f}}{C.SVARA}\\x{{e001}}]') AS letter FROM ch),
+    pl AS (SELECT id, list({{'pos': pos, 'c': c}} ORDER BY pos) AS l FROM fl WHERE letter GROUP BY id),
+    nx AS (SELECT fl.*, list_filter(l, lambda x: x.pos > fl.pos)[1:3] AS n, list_last(list_filter(l, lambda x: x.pos < fl.pos)).c AS p,
+                  coalesce(array_to_string(list_transform(list_filter(l, lambda x: x.pos > fl.pos)[1:3], lambda x: x.c), ''), '') AS letters FROM fl LEFT JOIN pl USING (id))"""
+VOWEL_SQL = f"(?:ai|au|[{''.join(v for v in C.VOWELS if len(v) == 1)}])"
+LONG_SQL = in_list(C.LONG_VOWELS)
+CONSONANT_SQL = f"(?:{'|'.join(C.ASPIRATES)}|[{''.join(c for c in C.CONSONANTS if len(c) == 1)}])"
+BETWEEN_SQL = f"[{WS[1:-1]}\\x{{300}}-\\x{{36f}}{C.SVARA}\\x{{e001}}]"
+# Clusters: runs of consonants across what isn't a letter; the members of each, with the white space before it; the one that is held.
+CLUSTERS_SQL = f"""tok AS (SELECT id, generate_subscripts(a, 1) AS k, unnest(a) AS tok FROM (SELECT *, regexp_extract_all(t2, '(?s){CONSONANT_SQL}(?:{BETWEEN_SQL}*{CONSONANT_SQL})*|.') AS a FROM t2)),
+    tk AS (SELECT *, sum(length(tok)) OVER (PARTITION BY id ORDER BY k) - length(tok) AS start, last_value(CASE WHEN tok IN ({in_list(v for v in C.VOWELS if len(v) == 1)}) THEN tok END IGNORE NULLS) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS vowel FROM tok),
+    mem AS (SELECT id, start, vowel, generate_subscripts(m, 1) AS k, unnest(m) AS m, len(m) AS size FROM (SELECT *, regexp_extract_all(tok, '{BETWEEN_SQL}*{CONSONANT_SQL}') AS m FROM tk WHERE regexp_matches(tok, '^{CONSONANT_SQL}')) WHERE len(m) > 1),
+    mc AS (SELECT *, regexp_extract(m, '{CONSONANT_SQL}$') AS c, regexp_matches(m, '^{BETWEEN_SQL}*?{WS}') AS gap, start + sum(length(m)) OVER (PARTITION BY id, start ORDER BY k) AS stop FROM mem),
+    mf AS (SELECT *, c = lead(c) OVER w AS twin, coalesce(min(k) FILTER (WHERE gap) OVER (PARTITION BY id, start), 1) AS first_k FROM mc WINDOW w AS (PARTITION BY id, start ORDER BY k)),
+    hk AS (SELECT id, start, any_value(size) AS size, coalesce(min(k) FILTER (WHERE twin), min(k) FILTER (WHERE k >= first_k AND (c NOT IN ({in_list(C.NO_HOLDING)}) OR gap AND c IN ({in_list(C.SIBILANTS)}))), max(k)) AS k FROM mf GROUP BY id, start),
+    hold AS (SELECT id, hk.start, hk.size, CAST(stop - length(c) AS INTEGER) AS held, length(c) AS length, CASE WHEN vowel IN ({LONG_SQL}) THEN 'long' ELSE 'short' END AS type FROM hk JOIN mf USING (id, start, k))"""
+# Decision tables of the rules for anusvara and visarga: `shown` is the new text, superscripts in brackets.
+PLAIN_SIGN = "CASE n[1].c WHEN 'v' THEN '[u]' WHEN 'l' THEN '[l]' WHEN 'y' THEN '[i]' ELSE '' END"
+ANUSVARA_SQL = f"""an AS (SELECT id, source, t, pos, 1 AS del, CASE
+      WHEN source = 'rigveda' THEN c || {PLAIN_SIGN}
+      WHEN source <> 'yajurveda' THEN 'ṁ'
+      WHEN letters = 'ghn' OR letters LIKE 'jñ%' THEN 'ṁ'
+      WHEN n[1].c IN ('ś', 'ṣ', 's', 'h', 'r') THEN 'm̐[g]' || CASE WHEN n[2].c IS NULL OR n[2].c NOT IN ({in_list(c for c in C.NON_VOWELS if len(c) == 1)}) THEN '[ṁ]' WHEN p IN ('a', 'i', 'u') THEN '[g]' ELSE '' END
+      WHEN n[1].c IN ('v', 'l', 'y') THEN 'ṁ' || {PLAIN_SIGN}
+      WHEN n[1].c IN ('k', 'g', 'ṅ') THEN 'ṅ' WHEN n[1].c IN ('c', 'j', 'ñ') THEN 'ñ' WHEN n[1].c IN ('ṭ', 'ḍ', 'ṇ') THEN 'ṇ' WHEN n[1].c IN ('t', 'd', 'n') THEN 'n' WHEN n[1].c IN ('p', 'b', 'm') THEN 'm' ELSE 'ṁ' END AS shown
+    FROM nx WHERE c2 IN ('ṁ', 'ṃ') AND lower(trim(regexp_extract(substr(t, 1, pos + 1), '[^\\n]*$'))) NOT IN ({in_list(C.BIJA)})
+    UNION ALL SELECT id, source, t, pos, 2, 'm̐' FROM nx WHERE source = 'rigveda' AND c = 'm' AND c2 = chr(57345) AND letters <> '' AND n[1].c IN ('ś', 'ṣ', 's', 'h', 'r'))"""
+VISARGA_SQL = f"""vi AS (SELECT id, t, pos, CASE
+      WHEN n[1].c = 'p' THEN 'ḥ[f]' WHEN n[1].c IN ('ś', 'ṣ', 's') THEN n[1].c
+      WHEN (n[1].c IN ({in_list(c for c in C.VOICED if len(c) == 1)}) OR n[1].c IN ({in_list(v for v in C.VOWELS if len(v) == 1)})) AND coalesce(p, '') NOT IN ('a', 'ā') THEN 'r'
+      WHEN letters LIKE 'kṣ%' THEN 'ḥ:' || CASE WHEN p IS NULL THEN '' ELSE '[' || p || ']' END
+      WHEN n[1].c = 'c' THEN 'ś' WHEN n[1].c = 'ṭ' THEN 'ṣ' WHEN n[1].c = 't' THEN 's' END AS shown FROM nx WHERE c = 'ḥ')"""
+_shown = lambda e: F.array_join(F.transform(e["parts"], lambda p: F.when(p["superscript"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"])), "")
+
+
+def _edit_rows(t: DataFrame, edits: Column) -> DataFrame:
+    return t.select("id", "source", F.explode(edits).alias("e")).select("id", "source", F.col("e.idx").alias("pos"), F.col("e.del").alias("del"), F.when(F.col("e.changed"), _shown(F.col("e"))).alias("shown"))
+
+
+def on_signs(name: str, query: Callable[[DataFrame], DataFrame], sql: str, *parts: str) -> None:
+    """A query over the texts of signs(); sql: the same over the tables of SIGNS_SQL (and of parts)."""
+    add(name, lambda s, d: query(signs(s, d)), f"WITH {', '.join((SIGNS_SQL, *parts))} {sql}")
+
+
 # ---- strings -----------------------------------------------------------------------------------------------------------------
 NORMALIZE_SQL = f"replace(regexp_replace(replace(replace(replace(replace(translate(lower(text), '{C.STANDARD_FROM}', '{C.STANDARD_TO}'), '(g)m', 'ṁ'), '(g)ṁ', 'ṁ'), '(g̱)ṁ', 'ṁ'), '(g̱)m', 'ṁ'), '\\.{WS}*\\.', '॥', 'g'), '.', '।')"
 on("normalize_text", DOCS, "doc_id", lambda: F.md5(T.normalize_text(text)), f"md5({NORMALIZE_SQL})")
 ANNOTATED = [(1, "tam̐gṁ śatru"), (2, "tam̐g"), (3, "tam̐ggṁ"), (4, "a̐b"), (5, "m̐ m̐gg g")]
 fixed("normalize_anusvara", ANNOTATED, "id int, t string", lambda t: t.select("id", T.normalize_anusvara(F.col("t")).alias("value"), T.normalize_anusvara(F.col("t"), True).alias("rigveda")), "SELECT id, replace(regexp_replace(t, 'm̐(gg?ṁ?)?', 'ṁ', 'g'), '̐', '') AS value, replace(replace(regexp_replace(t, 'm̐(gg?ṁ?)?', '\u0001', 'g'), '̐', ''), '\u0001', 'm̐') AS rigveda FROM fx")
-on("is_combining", DOCS, "doc_id", lambda: F.regexp_count(F.concat(text, F.lit("á̱")), F.lit(r"[\x{300}-\x{36f}]")), "len(regexp_extract_all(text || 'á̱', '[\\x{300}-\\x{36f}]'))")
-fixed("is_annotation", ANNOTATED, "id int, t string", lambda t: t.select("id", F.regexp_count("t", F.lit("m(?=̐)|̐|(?<=m̐)g|(?<=m̐g)ṁ")).alias("value")))
-fixed("is_svara", [(c,) for c in (*C.SVARA, "a", "m", "|")], "c string", lambda t: t.select("c", F.contains(F.lit(C.SVARA), F.col("c")).alias("value")), "SELECT c, regexp_full_match(c, '[\\x{331}\\x{30d}\\x{30e}\\x{2ce}\\x{b7}]') AS value FROM fx")
-fixed("consonant_at", [("khaga", 0), ("khaga", 1), ("khaga", 2), ("thin", 0), ("x", 0)], "t string, k int", lambda t: t.select("t", "k", F.regexp_extract(F.expr("substring(t, k + 1, 2)"), f"^({'|'.join(sorted(C.CONSONANTS, key=len, reverse=True))})", 1).alias("value")), f"SELECT t, k, CASE WHEN substr(t, k + 1, 2) IN ({in_list(C.ASPIRATES)}) THEN substr(t, k + 1, 2) WHEN substr(t, k + 1, 1) IN ({in_list(C.CONSONANTS)}) THEN substr(t, k + 1, 1) ELSE '' END AS value FROM fx")
-fixed("vowel_at", [("ai", 0), ("ai", 1), ("kau", 1), ("e", 0), ("k", 0)], "t string, k int", lambda t: t.select("t", "k", F.regexp_extract(F.expr("substring(t, k + 1, 2)"), f"^({'|'.join(sorted(C.VOWELS, key=len, reverse=True))})", 1).alias("value")), f"SELECT t, k, CASE WHEN substr(t, k + 1, 2) IN ('ai', 'au') THEN substr(t, k + 1, 2) WHEN substr(t, k + 1, 1) IN ({in_list(C.VOWELS)}) THEN substr(t, k + 1, 1) ELSE '' END AS value FROM fx")
+on_signs("is_combining", lambda t: t.select("id", F.posexplode(F.split("t", "")).alias("pos", "c")).filter(T.is_combining(F.col("c"))).select("id", "pos"), "SELECT id, pos FROM ch WHERE unicode(c) BETWEEN 768 AND 879")
+on_signs("is_annotation", lambda t: t.select("id", F.array_join(T.annotations(F.col("t")), "").alias("value")), "SELECT id, coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE c2 = chr(57345)), '') AS value FROM ch GROUP BY id")
+on_signs("is_candrabindu_superscript", lambda t: t.select("id", F.array_join(T.superscripts(F.col("t")), "").alias("value")), "SELECT id, coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE c2 = chr(57345) AND c <> '̐'), '') AS value FROM ch GROUP BY id")
+on_signs("is_svara", lambda t: t.select("id", F.posexplode(F.split("t", "")).alias("pos", "c")).filter(T.is_svara(F.col("c"))).select("id", "pos"), "SELECT id, pos FROM ch WHERE unicode(c) IN (817, 781, 782, 718, 183)")
+on_signs("consonant_at", lambda t: t.select("id", F.explode(F.sequence(F.lit(0), F.length("t") - 1)).alias("pos"), "t").select("id", "pos", T.consonant_at(F.col("t"), F.col("pos")).alias("value")), f"SELECT id, pos, CASE WHEN substr(t, pos + 1, 2) IN ({in_list(v for v in C.CONSONANTS if len(v) == 2)}) THEN substr(t, pos + 1, 2) WHEN c IN ({in_list(v for v in C.CONSONANTS if len(v) == 1)}) THEN c ELSE '' END AS value FROM ch")
+on_signs("vowel_at", lambda t: t.select("id", F.explode(F.sequence(F.lit(0), F.length("t") - 1)).alias("pos"), "t").select("id", "pos", T.vowel_at(F.col("t"), F.col("pos")).alias("value")), f"SELECT id, pos, CASE WHEN substr(t, pos + 1, 2) IN ({in_list(v for v in C.VOWELS if len(v) == 2)}) THEN substr(t, pos + 1, 2) WHEN c IN ({in_list(v for v in C.VOWELS if len(v) == 1)}) THEN c ELSE '' END AS value FROM ch")
 add("tokenize_phonemes", lambda s, d: table(s, d, DOCS).select("doc_id", F.size(T.tokenize_phonemes(F.lower("text"))).alias("n")), f"SELECT doc_id, length(regexp_replace(lower(text), '{'|'.join(v for v in C.VOWELS + C.CONSONANTS if len(v) == 2)}', '#', 'g')) AS n FROM documents")
 PHONEME_ROWS = [(p["iast"], p["devanagari"], p["telugu"], p["tamil"], p["tamil_approx"], p["itrans"], p["kind"]) for p in C.phonemes()]
 PHONEME_SCHEMA = "iast string, devanagari string, telugu string, tamil string, tamil_approx string, itrans string, kind string"
 fixed("phoneme_lookup", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.join(V.phoneme_table(t.sparkSession).select("iast", F.col("kind").alias("found")), "iast", "left").select("iast", "found"), "SELECT iast, kind AS found FROM fx")
-fixed("bija_lookup", [("oṁ",), ("hrīṁ",), ("taṁ",), ("phaṭ",)], "w string", lambda t: t.select("w", F.col("w").isin(*C.BIJA).alias("value")), f"SELECT w, list_contains([{in_list(C.BIJA)}], w) AS value FROM fx")
+fixed("bija_lookup", [("oṁ",), (" hrīṁ ",), ("taṁ",), ("PHAṬ",), ("",)], "w string", lambda t: t.select("w", T.is_bija(F.col("w")).alias("value")), f"SELECT w, list_contains([{in_list(C.BIJA)}], lower(trim(w))) AS value FROM fx")
 fixed("convert_phoneme", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.select("iast", *[V.convert_phoneme(F.col("iast"), s).alias(f"to_{s}") for s in V.SCRIPTS]), "SELECT iast, devanagari AS to_devanagari, telugu AS to_telugu, coalesce(tamil, tamil_approx) AS to_tamil, itrans AS to_itrans FROM fx")
 fixed("has_equivalent", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.select("iast", V.has_equivalent(F.col("iast"), "tamil").alias("value")), "SELECT iast, tamil IS NOT NULL AS value FROM fx")
 fixed("approximation", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.select("iast", V.approximation(F.col("iast"), "tamil").alias("value")), "SELECT iast, tamil_approx AS value FROM fx")
@@ -308,8 +369,14 @@ fixed("convert_string", WORDS, "w string", lambda t: t.select("w", V.convert_str
 fixed("script_name", [("tamil",), ("iast",), ("grantha",)], "s string", lambda t: t.select("s", V.script_name(F.col("s")).alias("value")), "SELECT s, CASE s WHEN 'iast' THEN 'IAST' WHEN 'itrans' THEN 'ITRANS' WHEN 'tamil' THEN 'Tamil' ELSE s END AS value FROM fx")
 fixed("phonemes_by_type", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM fx GROUP BY kind")
 DEVA = [("अग्नि", "agni"), ("राम", "rāma"), ("पु॒", "pu̱"), ("कृष्णः", "kṛṣṇaḥ"), ("ॐ", "oṁ"), ("१२", "12"), ("[abc]क", "[abc]ka"), ("धर्मं", "dharmaṁ")]
-fixed("deva_to_iast", DEVA, "d string, iast string", lambda t: t.select("d", V.deva_to_iast(F.col("d")).alias("value")), "SELECT d, iast AS value FROM fx")
-fixed("annotation_to_deva", [("g", "ग"), ("ś", "श्")], "a string, b string", lambda t: t.select("a", F.when(F.col("a") == "g", V.convert_syllable(F.col("a"), F.lit("a"), "devanagari")).otherwise(V.convert_bare(F.col("a"), "devanagari")).alias("value")), "SELECT a, b AS value FROM fx")
+# Syllables as the table of phonemes and the vowel signs give them, in both scripts; texts of eight of them.
+_letters = {p["iast"]: p["devanagari"] for p in C.phonemes()}
+_marks = {v: x["devanagari"] for v, x in C.vowel_signs().items()}
+SYLLABLES = [(_letters[c] + mark, c + v) for c in _letters if c in C.CONSONANTS and c not in "ṁṃḥ" for v, mark in _marks.items()] + [(_letters[c] + C.VIRAMA["devanagari"] + " ", c + " ") for c in _letters if c in C.CONSONANTS and c not in "ṁṃḥ"] + [(_letters[v], v) for v in C.VOWELS] + [("ं", "ṁ"), ("ः", "ḥ"), ("ऽ", "'"), ("॒", "̱"), ("॑", "̍"), ("१२ ", "12 "), (" । ", " | "), ("ॐ ", "oṁ "), ("[abc]", "[abc]")]
+SYLLABLE_AT = f"(id * 7919 + j * j * 104729 + id * j * 31) % 1000003 % {len(SYLLABLES)}"
+add("deva_to_iast", lambda s, d: s.range(4000).select("id", V.deva_to_iast(F.expr(f"array_join(transform(sequence(1, 8), j -> element_at(array({in_list(x for x, _ in SYLLABLES)}), cast({SYLLABLE_AT} AS int) + 1)), '')")).alias("value")),
+    f"SELECT id, array_to_string(list_transform(range(1, 9), lambda j: ([{in_list(x for _, x in SYLLABLES)}])[CAST({SYLLABLE_AT} AS INTEGER) + 1]), '') AS value FROM (SELECT unnest(range(4000)) AS id)")
+fixed("annotation_to_deva", [*((c, _letters.get(c), None) for c in ("g", "u", "i", "r", "ś", "ṣ", "s", "ṅ", "ñ", "ṇ", "n", "m")), ("ग", None, "ग"), ("x", None, "x"), ("", None, "")], "a string, own string, same string", lambda t: t.select("a", V.annotation_to_deva(F.col("a")).alias("value")), "SELECT a, coalesce(same, CASE WHEN a IN ('g', 'u', 'i', 'r') THEN own ELSE own || chr(2381) END) AS value FROM fx")
 on("clean_filename", DOCS, "doc_id", lambda: F.md5(T.clean_filename(F.col(text))), "md5(translate(text, '<>:\"/\\|?*', '_________'))")
 on("clean_media_name", DOCS, "doc_id", lambda: F.md5(T.clean_media_name(F.col(text))), "md5(regexp_replace(text, '[^A-Za-z0-9_.-]', '_', 'g'))")
 on("clean_doc_name", DOCS, "doc_id", lambda: F.md5(T.clean_doc_name(F.col(text))), "md5(array_to_string(regexp_extract_all(text, '[a-zA-Z0-9_-]+'), ''))")
@@ -321,8 +388,9 @@ on("norm_path", DOCS, "doc_id", lambda: T.norm_path(F.concat(F.lit("C:\\\\X//"),
 on("elide_path", DOCS, "doc_id", lambda: T.elide_path(F.col(text)), "CASE WHEN length(text) <= 72 THEN text ELSE substr(text, 1, 18) || '…' || right(text, 53) END")
 on("format_size", DOCS, "doc_id", lambda: T.format_size(F.length("text") * F.col("doc_id")), "CASE WHEN n = 0 THEN '' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) ELSE printf('%.1f MB', round(n / 1048576, 1)) END".replace("n ", "(length(text) * doc_id) "))
 on("format_ago", DOCS, "doc_id", lambda: T.format_ago(F.lit(1700000000) - F.col("doc_id") * 977, F.lit(1700000000)), "CASE WHEN a < 60 THEN 'Just now' WHEN a < 3600 THEN (a // 60) || ' min ago' WHEN a < 86400 THEN (a // 3600) || ' hours ago' WHEN a < 604800 THEN (a // 86400) || ' days ago' ELSE strftime(make_timestamp((1700000000 - a) * 1000000), '%Y-%m-%d') END".replace("a ", "(doc_id * 977) ").replace("- a)", "- doc_id * 977)"))
-on("html_to_text", PAGES, "page_id", lambda: F.md5(T.html_to_text(F.col("html"))))
-SQL["html_to_text"] = f"WITH {TEXT_SQL} SELECT page_id, md5(x) AS value FROM u"
+REFERENCES = "<p>&eacute; &#233; &#xE9 &copyright &notin; &notit; &#128; &bogus; &amp;amp; &#1114112; & x &#39;</p>"
+on("html_to_text", PAGES, "page_id", lambda: F.md5(T.html_to_text(F.concat("html", F.lit(REFERENCES)))))
+SQL["html_to_text"] = f"WITH {TEXT_SQL} SELECT page_id, md5(x) AS value FROM u".replace("regexp_replace(html,", f"regexp_replace(html || '{REFERENCES.replace(chr(39), chr(39) * 2)}',")
 on("extract_title", PAGES, "page_id", lambda: T.extract_title(F.col("html"), F.col("url")), f"coalesce(regexp_replace(nullif(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1), ''), '^{WS}+|{WS}+$', '', 'g'), url)")
 # The pages' links lead to documents of a folder here; some of its other links are kept as they are, and some names are given twice.
 LINKED = "regexp_replace(regexp_replace(html, 'href=\"/([a-m][^\"]*)\"', 'href=\"/cat/$1.html\"'), 'href=\"/([n-s][^\"]*)\"', 'href=\"https://x.org/cat/$1.HTML\" title=\"t\"')"
@@ -343,30 +411,39 @@ def L_blocks() -> Column:
 
 # ---- phonological rules ------------------------------------------------------------------------------------------------------
 for _name, _rule, _pair, _new in (("insert_jna", T.insert_jna, "jñ", "jgñ"), ("insert_sv", T.insert_sv, "sv", "suv"), ("insert_vy", T.insert_vy, "vy", "vuy")):
-    on(_name, DOCS, "doc_id", lambda r=_rule: F.md5(r(text)), f"md5(array_to_string(string_split(text, '{_pair}'), '{_new}'))")
-add("svarabhakti", lambda s, d: table(s, d, DOCS).select("doc_id", F.size(P.svarabhakti_edits(text)).alias("n")), LETTERS_SQL + " SELECT doc_id, count(*) FILTER (WHERE ch = 'r' AND next_letter IN ('s', 'ś', 'ṣ', 'h', 'ṛ')) AS n FROM w GROUP BY doc_id")
-add("svarabhakti_text", lambda s, d: table(s, d, DOCS).select("doc_id", F.md5(P.apply_edits(text, P.svarabhakti_edits(text))).alias("by_edits"), F.md5(T.svarabhakti_text(text)).alias("by_pattern")))
+    on_signs(_name, lambda t, r=_rule: t.select("id", r(F.col("t")).alias("value")), f"SELECT id, array_to_string(string_split(t, '{_pair}'), '{_new}') AS value FROM fx")
+SVARABHAKTI_SQL = "sb AS (SELECT id, t, pos + 1 + length(regexp_extract(substr(t, pos + 2), '^[\\x{300}-\\x{36f}%s]*')) AS place FROM nx WHERE c = 'r' AND n[1].c IN ('s', 'ś', 'ṣ', 'h', 'ṛ') AND instr(substr(t, pos + 1, n[1].pos - pos), '·') = 0)" % C.SVARA
+_dotted = lambda t: P.svarabhakti_positions(F.col(t))
+add("svarabhakti", lambda s, d: table(s, d, DOCS).select("doc_id", F.size(_dotted("text")).alias("n")), LETTERS_SQL + " SELECT doc_id, count(*) FILTER (WHERE ch = 'r' AND next_letter IN ('s', 'ś', 'ṣ', 'h', 'ṛ')) AS n FROM w GROUP BY doc_id")
+on_signs("svarabhakti_places", lambda t: t.select("id", F.explode(_dotted("t")).alias("place")), "SELECT id, place FROM sb", SVARABHAKTI_SQL)
+on_signs("svarabhakti_text", lambda t: t.select("id", P.apply_edits(F.col("t"), P.svarabhakti_edits(F.col("t"))).alias("value")), "SELECT id, (SELECT string_agg(CASE WHEN pos IN (SELECT place FROM sb WHERE sb.id = fx.id) THEN '·' ELSE '' END || c, '' ORDER BY pos) FROM ch WHERE ch.id = fx.id) || CASE WHEN EXISTS (SELECT 1 FROM sb WHERE sb.id = fx.id AND place = length(fx.t)) THEN '·' ELSE '' END AS value FROM fx", SVARABHAKTI_SQL)
 add("pauses", lambda s, d: table(s, d, DOCS).select("doc_id", F.size(P.pauses_of(F.lower("text"))).alias("n")),
     """WITH c AS (SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS ch FROM (SELECT doc_id, string_split(lower(text), '') AS s FROM documents)), w AS (SELECT *, lag(ch) OVER o AS before, lead(ch) OVER o AS after FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
        SELECT doc_id, count(*) FILTER (WHERE ch = ' ' AND before IN ('a','ā','i','ī','u','ū','ṛ','ṝ','ḷ','ḹ','e','o') AND after IN ('a','ā','i','ī','u','ū','ṛ','ṝ','ḷ','ḹ','e','o')) AS n FROM w GROUP BY doc_id""")
-add("holdings", lambda s, d: table(s, d, DOCS).select("doc_id", P.holdings_of(F.lower("text")).alias("h")).select("doc_id", F.size("h").alias("n"), F.size(F.filter("h", lambda x: x["type"] == "long")).alias("n_long")))
-SAMPLES = ["taṁ karoti", "taṁ vada", "taṁ śatru", "taṁ śrī", "tāṁ śrī", "taṁ jñāna", "taṁ api", "oṁ namaḥ", "rāmaḥ pacati", "rāmaḥ śete", "agniḥ gacchati", "rāmaḥ kṣetra", "rāmaḥ carati", "rāmaḥ", "taṁ yajñasya", "vāk sma", "maitra"]
-SAMPLE_ROWS = [(i, t, src) for i, t in enumerate(SAMPLES) for src in ("yajurveda", "rigveda", "smriti")]
-fixed("collect_samyukta", SAMPLE_ROWS, "id int, t string, source string", lambda t: t.filter("source = 'smriti'").select("id", F.size(P.holdings_of(F.col("t"))).alias("n")))
-fixed("select_holding", SAMPLE_ROWS, "id int, t string, source string", lambda t: t.filter("source = 'smriti'").select("id", F.explode(P.holdings_of(F.col("t"))).alias("h")).select("id", "h.position", "h.length"))
-fixed("holding_type", SAMPLE_ROWS, "id int, t string, source string", lambda t: t.filter("source = 'smriti'").select("id", F.explode(P.holdings_of(F.col("t"))).alias("h")).select("id", "h.position", "h.type"))
-fixed("anusvara", SAMPLE_ROWS, "id int, t string, source string", lambda t: t.select("id", "source", P.apply_edits(F.col("t"), P.anusvara_edits(F.col("t"), F.col("source"))).alias("value")),
-      """SELECT id, source, CASE WHEN t LIKE 'oṁ%' OR source = 'smriti' OR instr(t, 'ṁ') = 0 THEN t WHEN n IN ('v', 'l', 'y') THEN replace(t, 'ṁ', 'ṁ' || translate(n, 'vly', 'uli')) WHEN source = 'rigveda' OR t LIKE '%ṁ jñ%' THEN t
-             WHEN n IN ('ś', 'ṣ', 's', 'h', 'r') THEN replace(t, 'ṁ', 'm̐g' || CASE WHEN regexp_matches(t, 'ṁ [śṣshr][kgcjṭḍtdpbmyrlvśṣsh]') THEN CASE WHEN regexp_matches(t, '[aiu]ṁ') THEN 'g' ELSE '' END ELSE 'ṁ' END)
-             WHEN n IN ('k', 'g') THEN replace(t, 'ṁ', 'ṅ') ELSE t END AS value FROM (SELECT *, regexp_extract(t, 'ṁ +(.)', 1) AS n FROM fx)""")
-fixed("visarga", SAMPLE_ROWS, "id int, t string, source string", lambda t: t.filter("source = 'smriti'").select("id", P.apply_edits(F.col("t"), P.visarga_edits(F.col("t"))).alias("value")),
-      """SELECT id, CASE WHEN t LIKE '%ḥ p%' THEN replace(t, 'ḥ', 'ḥf') WHEN t LIKE '%ḥ ś%' THEN replace(t, 'ḥ', 'ś') WHEN t LIKE '%iḥ g%' THEN replace(t, 'ḥ', 'r') WHEN t LIKE '%ḥ kṣ%' THEN replace(t, 'ḥ', 'ḥ:a') WHEN t LIKE '%ḥ c%' THEN replace(t, 'ḥ', 'ś') ELSE t END AS value FROM fx WHERE source = 'smriti'""")
-fixed("rigveda_svarita", [("hotā̍raṁ", "hotā̎raṁ"), ("a̍gni", "a̍gni"), ("taṁ̍", "taṁ̎")], "t string, want string", lambda t: t.select("t", T.rigveda_svarita(F.col("t")).alias("value")), "SELECT t, want AS value FROM fx")
-fixed("final_m_tick", [("agnim", "agnimˎ"), ("agnim ।", "agnimˎ ।"), ("tam eva", "tam eva")], "t string, want string", lambda t: t.select("t", T.final_m_tick(F.col("t")).alias("value")), "SELECT t, want AS value FROM fx")
+on_signs("pause_places", lambda t: t.select("id", F.explode(P.pauses_of(F.col("t"))).alias("p")).select("id", "p.position", "p.type"), f"""SELECT id, position, type FROM (
+    SELECT id, pos + 1 + length(regexp_extract(substr(t, pos + 2), '^[{C.SVARA}]*')) AS position, CASE WHEN l IN ({LONG_SQL}) AND r IN ({in_list(C.SHORT_VOWELS)}) THEN 'long' ELSE 'short' END AS type
+    FROM (SELECT *, regexp_extract(substr(t, 1, pos), '({VOWEL_SQL})[{C.SVARA}]*$', 1) AS l, regexp_extract(substr(t, pos + 2), '^[{C.SVARA}]*({VOWEL_SQL})', 1) AS r FROM ch WHERE c = ' ') WHERE l <> '' AND r <> ''
+    UNION ALL SELECT id, pos + 1, 'short' FROM ch WHERE c = ' ' AND pos >= 2 AND substr(t, pos - 1, 2) = 'oṁ')""")
+add("holdings", lambda s, d: table(s, d, DOCS).select("doc_id", P.holdings_of(F.lower("text")).alias("h")).select("doc_id", F.size("h").alias("n"), F.size(F.filter("h", lambda x: x["type"] == "long")).alias("n_long"), F.aggregate("h", F.lit(0).cast("bigint"), lambda a, x: (a * 31 + x["position"] * 7 + x["length"]) % 1000003).alias("digest")),
+    f"""WITH t2 AS (SELECT doc_id AS id, lower(text) AS t2 FROM documents), {CLUSTERS_SQL}, g AS (SELECT id, list(held * 7 + length ORDER BY start) AS h, count(*) AS n, count(*) FILTER (WHERE type = 'long') AS n_long FROM hold GROUP BY id)
+       SELECT doc_id, coalesce(n, 0) AS n, coalesce(n_long, 0) AS n_long, coalesce(list_reduce(list_prepend(0::BIGINT, h), lambda a, x: (a * 31 + x) % 1000003), 0) AS digest FROM documents LEFT JOIN g ON g.id = doc_id""")
+on_signs("collect_samyukta", lambda t: t.select("id", F.explode(P.clusters_of(F.col("t"))).alias("c")).select("id", "c.position", "c.consonants"), "SELECT id, start AS position, size AS consonants FROM hold", CLUSTERS_SQL)
+on_signs("select_holding", lambda t: t.select("id", F.explode(P.clusters_of(F.col("t"))).alias("c")).select("id", "c.held", "c.length"), "SELECT id, held, length FROM hold", CLUSTERS_SQL)
+on_signs("holding_type", lambda t: t.select("id", F.explode(P.holdings_of(F.col("t"))).alias("h")).select("id", "h.position", "h.type"), "SELECT id, held AS position, type FROM hold", CLUSTERS_SQL)
+on_signs("holding_type_at", lambda t: t.select("id", "t", F.explode(F.sequence(F.lit(0), F.length("t"))).alias("pos")).select("id", "pos", T.holding_type(F.col("t"), F.col("pos")).alias("type")),
+         f"SELECT id, pos, CASE WHEN coalesce(list_last(list_filter(string_split(left(t, pos), ''), lambda c: instr('{''.join(v for v in C.VOWELS if len(v) == 1)}', c) > 0)), '') IN ({LONG_SQL}) THEN 'long' ELSE 'short' END AS type FROM (SELECT id, t, unnest(range(length(t) + 1)) AS pos FROM fx)")
+on_signs("anusvara", lambda t: _edit_rows(t, P.anusvara_edits(F.col("t"), F.col("source"))), "SELECT id, source, pos, del, shown FROM an", ANUSVARA_SQL)
+on_signs("visarga", lambda t: _edit_rows(t, P.visarga_edits(F.col("t"))).drop("source"), "SELECT id, pos, 1 AS del, shown FROM vi", VISARGA_SQL)
+# A svarita is put after every second sign.
+on_signs("rigveda_svarita", lambda t: t.select("id", T.rigveda_svarita(F.regexp_replace("t", "(..)", f"$1{C.SVARITA}")).alias("value")),
+         f"""SELECT id, string_agg(CASE WHEN c = '{C.SVARITA}' AND (substr(y, pos, 1) IN ({in_list(v for v in C.LONG_VOWELS if len(v) == 1)}) OR pos > 1 AND substr(y, pos - 1, 2) IN ('ai', 'au', 'aṁ', 'iṁ', 'uṁ', 'ṛṁ', 'ḷṁ')) THEN '{C.UDATTA}' ELSE c END, '' ORDER BY pos) AS value
+             FROM (SELECT id, y, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS c FROM (SELECT *, string_split(y, '') AS a FROM (SELECT id, regexp_replace(t, '(..)', '\\1{C.SVARITA}', 'g') AS y FROM fx))) GROUP BY id""")
+on_signs("final_m_tick", lambda t: t.select("id", T.final_m_tick(F.col("t")).alias("value")),
+         """SELECT id, string_agg(CASE WHEN tick THEN c || 'ˎ' ELSE c END, '' ORDER BY pos) AS value FROM (SELECT *, regexp_matches(left(t, pos + 1), 'm[\\x{300}-\\x{36f}]*$') AND NOT regexp_matches(substr(t, pos + 2), '^[\\x{300}-\\x{36f}]') AND regexp_matches(substr(t, pos + 2), '^[ \\t\\n\\x0b\\f\\r]*([\\n।॥]|$)') AS tick FROM ch) GROUP BY id""")
 on("syllable_count", DOCS, "doc_id", lambda: T.syllable_count(text), "length(regexp_replace(regexp_replace(lower(text), 'ai|au', 'a', 'g'), '[^aāiīuūṛṝḷḹeo]', '', 'g'))")
-add("apply_edits", lambda s, d: table(s, d, DOCS).select("doc_id", F.md5(P.apply_edits(text, P.visarga_edits(text))).alias("value")), "SELECT doc_id, md5(text) AS value FROM documents")
-add("rule_pipeline", lambda s, d: pipelines.rule_pipeline(table(s, d, DOCS).select("doc_id", "text"), rules=("normalize", "sv", "vy")).select("doc_id", F.md5("text").alias("value")), f"SELECT doc_id, md5(replace(replace({NORMALIZE_SQL}, 'sv', 'suv'), 'vy', 'vuy')) AS value FROM documents")
-
+on_signs("apply_edits", lambda t: t.select("id", P.apply_edits(F.col("t"), P.visarga_edits(F.col("t"))).alias("value")), "SELECT id, string_agg(coalesce(replace(replace(shown, '[', ''), ']', ''), c), '' ORDER BY pos) AS value FROM ch LEFT JOIN (SELECT id, pos, shown FROM vi) USING (id, pos) GROUP BY id", VISARGA_SQL)
+# All rules, in their order, for every tradition and every document; the rules one by one have SQL above.
+add("rule_pipeline", lambda s, d: pipelines.rule_pipeline(table(s, d, DOCS).crossJoin(F.broadcast(s.createDataFrame([(x,) for x in TRADITIONS], "tradition string"))).select("doc_id", "tradition", F.concat(F.lit("agniḥ atra taṁ śatruṁ jñāna svar vyoma darśana agnim\n"), "text").alias("text")), source=F.col("tradition")).select("doc_id", "tradition", F.md5("text").alias("value")))
 # ---- date, math, array, map and JSON scalars ---------------------------------------------------------------------------------
 on("format_time", "events", "event_id", lambda: T.format_time(F.col("value") - 30), "CASE WHEN v < 0 THEN '-' ELSE '' END || CAST(floor(abs(v) / 60) AS BIGINT) || ':' || printf('%02d', CAST(floor(abs(v) % 60) AS BIGINT)) || '.' || printf('%03d', CAST(floor((abs(v) % 1) * 1000) AS BIGINT))".replace("v)", "value - 30)").replace("v <", "value - 30 <"))
 fixed("parse_time", [("1:01.500",), ("0:00",), ("x",), ("1:2:3",), ("-1:30",), (":5",)], "t string", lambda t: t.select("t", F.round(T.parse_time(F.col("t")), 6).alias("value")), "SELECT t, CASE WHEN len(string_split(t, ':')) = 2 THEN round(try_cast(split_part(t, ':', 1) AS DOUBLE) * 60 + coalesce(try_cast(split_part(t, ':', 2) AS DOUBLE), 0), 6) END AS value FROM fx")
