@@ -8,6 +8,7 @@ from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions import convert as V
@@ -18,6 +19,7 @@ from ..operators import catalog as K
 from ..operators import intervals as I
 from ..operators import verses as L
 from ..sources import container, docx, documents, html
+from ..sources.shared import scratch
 from ..streaming import actions as S
 from . import pipelines
 
@@ -59,7 +61,7 @@ DOCS, PAGES = "documents", "pages"
 text = "text"
 
 # ---- sources and sinks -------------------------------------------------------------------------------------------------------
-on("scan_container", DOCS, "doc_id", lambda: F.md5(container.decompress(F.concat(F.lit(b""), F.encode("text", "utf-8")))), "md5(text)")
+add("scan_container", lambda s, d: table(s, d, DOCS).select("doc_id", F.md5(container.decompress(F.when(F.col("doc_id") % 3 == 0, F.encode("text", "utf-8")).when(F.col("doc_id") % 3 == 1, container.compress("text")).otherwise(container.compress_zlib("text")))).alias("value")), "SELECT doc_id, md5(text) AS value FROM documents")
 add("sink_container", lambda s, d: table(s, d, DOCS).select("doc_id", container.compress("text").alias("c")).select("doc_id", F.decode(F.substring("c", 1, 4), "utf-8").alias("mark"), F.md5(container.decompress("c")).alias("restored")), "SELECT doc_id, 'SMDI' AS mark, md5(text) AS restored FROM documents")
 PATHS = "concat('/Library/', source, '/', lang, ' ', doc_id, element_at(array('.smdoc', '.HTML', '.json', '.md', '.SMDOC', '.png', '.mp3', '.tar.gz'), cast(doc_id % 8 AS int) + 1))"
 PATHS_SQL = "('/Library/' || source || '/' || lang || ' ' || doc_id || (['.smdoc', '.HTML', '.json', '.md', '.SMDOC', '.png', '.mp3', '.tar.gz'])[doc_id % 8 + 1])"
@@ -85,7 +87,8 @@ add("create_document", lambda s, d: table(s, d, DOCS).select("doc_id", documents
 on("compress_content", PAGES, "page_id", lambda: F.md5(T.compress_content(F.col("html"))), f"md5(regexp_replace(regexp_replace(regexp_replace(html, '>{WS}{{2,}}<', '> <', 'g'), '\\n{WS}*\\n', chr(10), 'g'), '^{WS}+|{WS}+$', '', 'g'))")
 on("escape_html", PAGES, "page_id", lambda: F.md5(T.escape_html(F.col("html"))), "md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;'))")
 STYLE_ROWS = [(1, '{"doc-title":{"color":"red","fontSize":"12pt"},"other":{"color":"blue"}}'), (2, '{"doc-section":{"textAlign":"center"},"doc-title":{}}'), (3, None)]
-fixed("style_css", STYLE_ROWS, "id int, styles string", lambda t: t.select("id", F.coalesce(documents.style_css(F.from_json("styles", f"map<string,{documents.STYLE}>")), F.lit("")).alias("value")))
+fixed("style_css", STYLE_ROWS, "id int, styles string", lambda t: t.select("id", F.coalesce(documents.style_css(F.from_json("styles", f"map<string,{documents.STYLE}>")), F.lit("")).alias("value")),
+      "SELECT id, " + " || ".join(f"coalesce('.ql-{k} {{ ' || nullif(concat_ws('; ', " + ", ".join(f"'{css}: ' || nullif(styles ->> '$.\"{k}\".{field}', '')" for css, field in documents.PROPERTIES) + f"), '') || '; }}' || chr(10), '')" for k in documents.STYLE_KEYS) + " AS value FROM fx")
 add("to_html", lambda s, d: _pages(table(s, d, DOCS)).select("doc_id", F.md5("page").alias("value")),
     """SELECT doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html lang="en" data-theme="light">' || chr(10) || '<head>' || chr(10) || '<meta charset="UTF-8">' || chr(10) || '<title>' || source || '</title>' || chr(10) || '<style>' || chr(10) || '</style>' || chr(10)
        || '</head>' || chr(10) || '<body>' || chr(10) || '<div class="ql-editor">' || text || '</div>' || chr(10) || '</body>' || chr(10) || '</html>') AS value FROM documents""")
@@ -115,12 +118,26 @@ RUNS = [(0, 0, "ag", None, None, False), (0, 1, "̌", "Hold", None, False), (0,
 RUN_SCHEMA = "para_no int, run_no int, text string, char_style string, size_pt double, superscript boolean"
 _more = lambda t: t.withColumns({c: F.lit(False) for c in ("bold", "italic", "underline", "has_border")}).withColumn("border_sz", F.lit(0))
 fixed("docx_runs_to_html", RUNS, RUN_SCHEMA, lambda t: docx.runs_to_html(_more(t)))
-fixed("docx_format_run", RUNS, RUN_SCHEMA, lambda t: _more(t).select("para_no", "run_no", docx.format_run().alias("value")))
+fixed("docx_format_run", RUNS, RUN_SCHEMA, lambda t: _more(t).select("para_no", "run_no", docx.format_run().alias("value")),
+      """SELECT para_no, run_no, CASE WHEN char_style LIKE 'Insert%' OR coalesce(char_style, '') NOT IN (SELECT k FROM st) AND (coalesce(size_pt, 99) <= 9 OR superscript) THEN CASE WHEN superscript THEN '<sup>' ELSE '' END || '<span class="ql-change-style">' || x || '</span>' || CASE WHEN superscript THEN '</sup>' ELSE '' END
+             WHEN c IS NOT NULL AND trim(text) <> '' THEN '<span class="' || c || '">' || x || '</span>' ELSE x END AS value
+         FROM (SELECT fx.*, st.v AS c, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM fx LEFT JOIN st ON st.k = char_style)""".replace("st ", f"(VALUES {', '.join(f'({literal(k)}, {literal(v)})' for k, v in docx.STYLE_CLASS.items())}) AS st(k, v) ").replace("FROM st)", f"FROM (VALUES {', '.join(f'({literal(k)}, {literal(v)})' for k, v in docx.STYLE_CLASS.items())}) AS st(k, v))"))
 fixed("docx_title_detect", [(0, 24.0, False), (1, 12.0, True), (2, None, None), (3, 30.0, True)], "para_no int, size_pt double, centred boolean", lambda t: t.select("para_no", docx.is_title(F.col("para_no"), F.col("size_pt"), F.col("centred")).alias("value")), "SELECT para_no, para_no <= 2 AND (coalesce(size_pt, 0) >= 24 OR coalesce(centred, false)) AS value FROM fx")
 fixed("docx_hanging", [(1, 10.0, -5.0, None, None), (2, None, -5.0, 4.0, None), (3, 0.0, -5.0, 9.0, -1.0), (4, None, None, None, None)], "id int, l double, f double, sl double, sf double", lambda t: t.select("id", docx.is_hanging(F.col("l"), F.col("f"), F.col("sl"), F.col("sf")).alias("value")), "SELECT id, coalesce(coalesce(l, sl) > 0 AND coalesce(f, sf) < 0, false) AS value FROM fx")
+PARAGRAPHS = [(i, "word%d" % i, "é & <%d>" % (i * i), i % 3 == 0, i % 4 == 0) for i in range(40)]
+fixed("import_docx", PARAGRAPHS, "id int, a string, b string, bold boolean, raised boolean", lambda t: docx.import_docx(t.select("id", docx.written(F.col("a"), F.col("b"), F.col("bold"), F.col("raised")).alias("content")), "id"),
+      """SELECT id, unnest([0, 2]) AS para_no, unnest([CASE WHEN bold THEN '<strong>' || a || '</strong>' ELSE a END || CASE WHEN raised THEN '<sup><span class="ql-change-style">' || e || '</span></sup>' ELSE e END, 'end ' || a]) AS html
+         FROM (SELECT *, replace(replace(replace(b, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM fx)""")
 fixed("style_lookup", [("Heading 1",), ("Heading 1 Char",), ("Body",), ("Title",)], "style string", lambda t: t.select("style", docx.style_lookup(F.col("style"), {"Title": "ql-doc-title", "Heading 1": "ql-doc-section"}).alias("value")), "SELECT style, CASE WHEN style LIKE 'Title%' THEN 'ql-doc-title' WHEN style LIKE 'Heading 1%' THEN 'ql-doc-section' END AS value FROM fx")
-add("scan_text_file", lambda s, d: table(s, d, DOCS).select("doc_id", F.octet_length(text).alias("n_bytes"), F.md5("text").alias("digest")), "SELECT doc_id, octet_length(encode(text)) AS n_bytes, md5(text) AS digest FROM documents")
 
+
+def _text_files(s: SparkSession, d: str) -> DataFrame:
+    """The documents written to text files, an id in front of each, and read again."""
+    documents.write_texts(table(s, d, DOCS).select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text").alias("text")), top := scratch(s, "texts"))
+    return documents.read_texts(s, top).select(F.substring_index("text", " ", 1).cast("bigint").alias("doc_id"), F.expr("substring(text, instr(text, ' ') + 1)").alias("text"))
+
+
+add("scan_text_file", lambda s, d: _text_files(s, d).select("doc_id", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("digest")), "SELECT doc_id, octet_length(encode(text)) AS n_bytes, md5(text) AS digest FROM documents")
 # ---- projections, filters, predicates ----------------------------------------------------------------------------------------
 add("style_filter", lambda s, d: K.style_filter(table(s, d, DOCS), ["en", "de"], "lang").groupBy("lang").count().withColumnRenamed("count", "n"), "SELECT lang, count(*) AS n FROM documents WHERE lang NOT IN ('fr', 'es') GROUP BY lang")
 add("catalog_search", lambda s, d: K.search(table(s, d, DOCS).select("doc_id", F.col("source").alias("filename"), F.col("text").alias("title"), F.col("lang").alias("romanized")), "EN the").select("doc_id"), "SELECT doc_id FROM documents WHERE len(list_filter(string_split('en the', ' '), lambda w: instr(lower(concat_ws(' ', text, lang, source)), w) = 0)) = 0")
@@ -131,8 +148,8 @@ LINES = [(1, "home | itx | pdf"), (1, "ॐ अग्निमीळे पुर
 LINE_ROWS = [(k, n, line) for n, (k, line) in enumerate(LINES)]
 fixed("dev_line_filter", LINE_ROWS, "doc_id int, line_no int, line string", lambda t: t.filter(L.is_devanagari(F.col("line"))).select("doc_id", "line_no"), "SELECT doc_id, line_no FROM (SELECT *, len(list_filter(string_split(line, ''), lambda c: unicode(c) BETWEEN 2304 AND 2431)) AS n FROM fx) WHERE n >= 3 AND n > 0.3 * length(replace(line, ' ', ''))")
 FOOTER_SQL = "len(list_filter([" + ", ".join(map(literal, L.FOOTERS)) + "], lambda k: instr(lower(line), k) > 0)) > 0"
-fixed("footer_trim", LINE_ROWS, "doc_id int, line_no int, line string", lambda t: L.footer_trim(t, "doc_id").select("doc_id", "line_no"), f"SELECT doc_id, line_no FROM fx a WHERE EXISTS (SELECT 1 FROM fx b WHERE b.doc_id = a.doc_id AND b.line_no >= a.line_no AND NOT ({FOOTER_SQL.replace('line)', 'b.line)')}))")
-fixed("preamble_split", LINE_ROWS, "doc_id int, line_no int, line string", lambda t: L.preamble_split(t, "doc_id").select("doc_id", "line_no", "preamble"), "SELECT doc_id, line_no, EXISTS (SELECT 1 FROM fx b WHERE b.doc_id = a.doc_id AND (b.line LIKE '%' || chr(2385) || '%' OR b.line LIKE '%' || chr(2386) || '%')) AND NOT EXISTS (SELECT 1 FROM fx b WHERE b.doc_id = a.doc_id AND b.line_no <= a.line_no AND (b.line LIKE '%' || chr(2385) || '%' OR b.line LIKE '%' || chr(2386) || '%')) AS preamble FROM fx a")
+add("footer_trim", lambda s, d: L.footer_trim(_deva(s, d), "doc_id").select("doc_id", "line_no"), "")
+add("preamble_split", lambda s, d: _body(s, d).select("doc_id", "line_no", "preamble"), "")
 fixed("shlokam_filter", [(1, "u", None, None), (2, None, "l", "page"), (3, None, None, "post"), (4, "", None, "post"), (5, "", "m", "")], "id int, url string, link string, subtype string", lambda t: K.post_filter(t).select("id", "url", "subtype"), "SELECT id, CASE WHEN length(url) > 0 THEN url ELSE link END AS url, CASE WHEN length(subtype) > 0 THEN subtype ELSE 'post' END AS subtype FROM fx WHERE length(url) > 0 OR length(link) > 0")
 fixed("attachment_filter", [(1, "a", "data:x"), (2, "", "data:x"), (3, "c", None)], "k int, id string, src string", lambda t: t.select(F.explode(documents.valid_attachments(F.array(F.struct("k", "id", "src")))).alias("a")).select("a.k"), "SELECT k FROM fx WHERE length(coalesce(id, '')) * length(coalesce(src, '')) > 0")
 REGIONS = [("a", 1, 0.0, 1.0, 0), ("a", 2, 1.1, 2.0, 1), ("a", 3, 2.2, 3.0, None), ("a", 4, 3.5, 3.505, 3), ("b", 5, 4.0, 3.0, 0), ("b", 6, 9.0, 11.0, 2)]
@@ -184,25 +201,37 @@ add("text_stats", lambda s, d: table(s, d, DOCS).select("doc_id", F.length("text
     f"SELECT doc_id, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS words, len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_full_match(l, '{WS}*'))) AS paragraphs FROM documents")
 on("paragraph_count", PAGES, "page_id", lambda: T.p_tag_count(F.col("html")), "(length(html) - length(replace(html, '<p', ''))) // 2")
 EVENT_AGG = "count(*) AS n, round(sum(value), 3) AS total, round(avg(value), 6) AS mean, max(value) AS most"
+FIGURES = [("a", 0.0, 1.0, 0.5, 1), ("a", 2.0, 4.5, None, 1), ("a", 6.0, 6.0, None, 0), ("a", 7.0, 8.0, None, 0), ("b", 0.0, 2.0, 0.9, 1), ("c", 1.0, 2.0, None, 0), ("d", 3.0, 3.5, 0.25, 1), ("d", 4.0, 4.5, 0.75, 2)]
+FIGURE_SCHEMA = "audio_id string, start double, stop double, confidence double, n_regions int"
+_figures = lambda t: A.alignment_figures(_end(t).filter("n_regions > 0").withColumn("x", F.explode(F.sequence(F.lit(1), "n_regions"))), _end(t), "audio_id")
+_FIGURES_SQL = "SELECT audio_id, {} AS {} FROM (SELECT audio_id, sum(n_regions) AS m, sum(coalesce(confidence, 0) * n_regions) AS c, count(*) AS k, avg(greatest(0.01, stop - start)) AS d FROM fx GROUP BY audio_id) WHERE m > 0"
+for _name, _column_name, _sql in (("matched", "matched", "m"), ("avg_confidence", "avg_confidence", "round(c / m, 9)"), ("avg_duration", "avg_duration", "round(d, 9)"), ("unused_intervals", "unused_intervals", "greatest(0, k - m)")):
+    fixed(_name, FIGURES, FIGURE_SCHEMA, lambda t, c=_column_name: _figures(t).select("audio_id", F.round(c, 9).alias(c)), _FIGURES_SQL.format(_sql, _column_name))
+add("total_weight", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.round(F.sum(I.target_weight(F.when(F.col("value") > 50, F.col("value")), F.col("event_id").cast("int") % 3)), 3).alias("total")), "SELECT user_id, round(sum(CASE WHEN value > 50 THEN value WHEN event_id % 3 > 0 THEN event_id % 3 ELSE 1 END), 3) AS total FROM events GROUP BY user_id")
 add("interval_totals", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most")), f"SELECT event_type, {EVENT_AGG} FROM events GROUP BY event_type")
 add("energy_percentiles", lambda s, d: table(s, d, "events").groupBy("user_id").agg(A.energy_percentiles(F.collect_list("value")).alias("p")).select("user_id", "p.p05", "p.p15", "p.p50"), "SELECT user_id, v[CAST(floor(len(v) * 0.05) AS INTEGER) + 1] AS p05, v[CAST(floor(len(v) * 0.15) AS INTEGER) + 1] AS p15, v[CAST(floor(len(v) * 0.5) AS INTEGER) + 1] AS p50 FROM (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY user_id)")
-_pcm = lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda e: e["value"]).alias("pcm"))
-add("rms_energy", lambda s, d: _pcm(s, d).select("event_type", F.posexplode(A.rms_energy("pcm", F.lit(1000))).alias("frame", "e")).select("event_type", "frame", F.round("e", 6).alias("energy")),
-    """WITH v AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, value, count(*) OVER (PARTITION BY event_type) AS n FROM events),
-       f AS (SELECT event_type, i, n, sqrt(avg(value * value) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)) AS e FROM v)
-       SELECT event_type, i // 10 AS frame, round(e, 6) AS energy FROM f WHERE i % 10 = 0 AND i + 30 <= n""")
-add("peaks", lambda s, d: A.peaks(table(s, d, "events").select("event_type", (F.row_number().over(_by_event()) - 1).alias("i"), F.col("value").alias("v")), "event_type", points=50),
-    """WITH v AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, abs(value) AS v, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-       SELECT event_type, i // greatest(1, n // 50) AS bucket, max(v) AS peak FROM v GROUP BY 1, 2""")
-
-
-def _by_event():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("event_type").orderBy("event_id")
 
 
-fixed("mono_mix", [(1, [1.0, 2.0], [3.0, -2.0])], "id int, l array<double>, r array<double>".replace("l array<double>, r array<double>", "l array<double>,r array<double>"), lambda t: t.select("id", F.posexplode(A.mono_mix(F.col("l"), F.col("r"))).alias("i", "v")))
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    """(user_id, i, v): each user's events in order as a signal; an event sounds for eight samples, and five loud ones and five silent ones take turns."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    ranked = table(s, d, "events").select("user_id", (F.row_number().over(order) - 1).alias("r"), "value")
+    return ranked.select("user_id", F.explode(F.sequence(F.col("r") * 8, F.col("r") * 8 + 7)).alias("i"), F.when(F.floor(F.col("r") / 5) % 2 == 0, F.col("value")).otherwise(0.0).alias("v"))
+
+
+SIGNALS_SQL = """r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r, value FROM events),
+    v AS (SELECT user_id, r * 8 + k AS i, CASE WHEN r // 5 % 2 = 0 THEN value ELSE 0 END AS v FROM r CROSS JOIN (SELECT unnest(range(8)) AS k)),
+    f AS (SELECT user_id, i AS frame, sqrt(avg(v * v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) AS e, count(*) OVER (PARTITION BY user_id) - 2 AS n FROM v),
+    g AS (SELECT user_id, frame, e, n FROM f WHERE frame < n), s AS (SELECT user_id, list_sort(list(e)) AS l FROM g GROUP BY user_id),
+    h AS (SELECT g.*, e > greatest(l[CAST(floor(len(l) * 0.05) AS INTEGER) + 1] * 3.5, l[CAST(floor(len(l) * 0.15) AS INTEGER) + 1] * 1.5, l[CAST(floor(len(l) * 0.5) AS INTEGER) + 1] * 0.2, 0.005) AS loud FROM g JOIN s USING (user_id))"""
+# Stretches: a loud frame more than 25 after the last one begins another; the last one runs to the end unless 25 silent frames follow.
+STRETCHES_SQL = """SELECT user_id, round(a * 0.01::DOUBLE, 6) AS start, round(b * 0.01::DOUBLE, 6) AS stop FROM (SELECT user_id, min(frame) AS a, CASE WHEN any_value(n) - 1 - max(frame) < 25 THEN any_value(n) ELSE max(frame) END AS b FROM (
+    SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY user_id ORDER BY frame) AS k FROM (SELECT *, coalesce(frame - lag(frame) OVER (PARTITION BY user_id ORDER BY frame) > 25, true) AS fresh FROM {loud})) GROUP BY user_id, k) WHERE b - a >= 20"""
+add("rms_energy", lambda s, d: A.energy_table(_signals(s, d), "user_id", rate=1000).select("user_id", "frame", F.round("energy", 6).alias("energy")),
+    f"WITH {SIGNALS_SQL} SELECT user_id, i // 10 AS frame, round(e, 6) AS energy FROM (SELECT user_id, i, sqrt(avg(v * v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)) AS e, count(*) OVER (PARTITION BY user_id) AS n FROM v) WHERE i % 10 = 0 AND i + 30 <= n")
+add("peaks", lambda s, d: A.peaks(_signals(s, d), "user_id", points=50), f"WITH {SIGNALS_SQL}, m AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM v) SELECT user_id, i // greatest(1, n // 50) AS bucket, max(abs(v)) AS peak FROM m GROUP BY 1, 2")
+add("mono_mix", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("e")).select("user_id", F.posexplode(A.mono_mix(F.transform("e", lambda e: e["value"]), F.transform("e", lambda e: -e["event_id"] / 7.0))).alias("i", "v")).select("user_id", "i", F.round("v", 6).alias("v")),
+    "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, round((value - event_id / 7.0::DOUBLE) / 2, 6) AS v FROM events")
 add("first_wins_distinct", lambda s, d: K.first_wins(table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey"), "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
 CATALOG = "SELECT lang AS category, source AS filename, doc_id AS pos FROM documents"
 _catalog = lambda s, d: table(s, d, DOCS).select(F.col("lang").alias("category"), F.col("source").alias("filename"), F.col("doc_id").alias("pos"))
@@ -235,8 +264,21 @@ VERSES_SQL = rf"""WITH {TEXT_SQL},
     k AS (SELECT *, count(*) FILTER (WHERE regexp_matches(line, '[.!?]$')) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS verse_no FROM l WHERE line <> '')
     SELECT page_id, verse_no, string_agg(line, chr(10) ORDER BY line_no) AS verse, count(*) AS n_lines FROM k GROUP BY 1, 2"""
 add("verse_extraction", lambda s, d: pipelines.verse_extraction(table(s, d, PAGES), end=F.regexp_like("line", F.lit("[.!?]$"))), VERSES_SQL)
-fixed("verse_split", LINE_ROWS, "doc_id int, line_no int, line string", lambda t: L.verse_split(L.preamble_split(L.footer_trim(t.filter(L.is_devanagari(F.col("line"))), "doc_id"), "doc_id"), "doc_id").select("doc_id", "verse_no", "n_lines"))
-fixed("verse_number", LINE_ROWS, "doc_id int, line_no int, line string", lambda t: L.verse_split(t.filter("doc_id = 2"), "doc_id").select("verse_no", "n_lines"), f"SELECT coalesce(count(*) FILTER (WHERE b.line IS NOT NULL), 0) + 1 AS verse_no, 1 AS n_lines FROM fx a LEFT JOIN fx b ON b.doc_id = 2 AND b.line_no < a.line_no AND regexp_matches(b.line, '{L.VERSE_END}') WHERE a.doc_id = 2 AND a.line_no = 8 UNION ALL SELECT 2, 2")
+add("verse_split", lambda s, d: L.verse_split(_body(s, d), "doc_id").groupBy("doc_id").agg(F.max("verse_no").alias("verses"), F.sum("n_lines").alias("lines")), "")
+# Lines of all documents under Devanagari ones: every seventh ends a verse, the last ones are footers, accents begin at the third.
+DEVA_LINES = "concat(CASE WHEN line_no % 7 = 6 THEN concat('रामो राजमणिः ॥ ', line_no, ' ॥') WHEN line_no >= n - doc_id % 3 THEN 'Encoded by क ख ग घ' WHEN line_no = 2 THEN 'अ॒ग्निमी॑ळे पुरोहितं' WHEN line_no % 5 = 4 THEN line ELSE 'दे॒वं यज्ञस्य' END)"
+DEVA_SQL = "CASE WHEN line_no % 7 = 6 THEN 'रामो राजमणिः ॥ ' || line_no || ' ॥' WHEN line_no >= n - doc_id % 3 THEN 'Encoded by क ख ग घ' WHEN line_no = 2 THEN 'अ॒ग्निमी॑ळे पुरोहितं' WHEN line_no % 5 = 4 THEN line ELSE 'दे॒वं यज्ञस्य' END"
+_deva = lambda s, d: table(s, d, DOCS).select("doc_id", F.split("text", "[.\n]").alias("l")).select("doc_id", F.size("l").alias("n"), F.posexplode("l").alias("line_no", "line")).select("doc_id", "line_no", F.expr(DEVA_LINES).alias("line")).filter(L.is_devanagari(F.col("line")))
+DEVA_CTE = f"""dl AS (SELECT doc_id, len(l) AS n, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '[.\\n]') AS l FROM documents)),
+    dv AS (SELECT doc_id, line_no, {DEVA_SQL} AS line FROM dl), df AS (SELECT *, len(regexp_extract_all(line, '[\\x{{900}}-\\x{{97f}}]')) AS c FROM dv), dk AS (SELECT doc_id, line_no, line, line LIKE 'Encoded%' AS foot FROM df WHERE c >= 3 AND c > 0.3 * length(replace(line, ' ', ''))),
+    dt AS (SELECT * FROM (SELECT *, max(line_no) FILTER (WHERE NOT foot) OVER (PARTITION BY doc_id) AS last FROM dk) WHERE line_no <= last),
+    dp AS (SELECT *, coalesce(line_no < min(line_no) FILTER (WHERE regexp_matches(line, '[\\x{{951}}\\x{{952}}\\x{{1cda}}]')) OVER (PARTITION BY doc_id), false) AS pre FROM dt),
+    dn AS (SELECT *, CASE WHEN pre THEN 0 ELSE 1 + coalesce(count(*) FILTER (WHERE line LIKE '% ॥ % ॥') OVER (PARTITION BY doc_id, pre ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS verse_no FROM dp)"""
+_body = lambda s, d: L.preamble_split(L.footer_trim(_deva(s, d), "doc_id"), "doc_id")
+SQL["footer_trim"] = f"WITH {DEVA_CTE} SELECT doc_id, line_no FROM dt"
+SQL["preamble_split"] = f"WITH {DEVA_CTE} SELECT doc_id, line_no, pre AS preamble FROM dp"
+SQL["verse_split"] = f"WITH {DEVA_CTE} SELECT doc_id, max(verse_no) AS verses, count(*) AS lines FROM dn GROUP BY doc_id"
+add("verse_number", lambda s, d: L.verse_split(_body(s, d), "doc_id").select("doc_id", "verse_no", "n_lines", F.md5("verse").alias("verse")), f"WITH {DEVA_CTE} SELECT doc_id, verse_no, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS verse FROM dn GROUP BY 1, 2")
 add("merge_nearby", lambda s, d: I.merge_nearby(_spans(table(s, d, "events")), "user_id", gap=3600).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("end") - F.col("start")), 2).alias("total")),
     """WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + 60 AS b FROM events), i AS (SELECT *, coalesce(a - lag(b) OVER o > 3600, true) AS fresh FROM e WINDOW o AS (PARTITION BY user_id ORDER BY a)),
        g AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY user_id ORDER BY a, b) AS k FROM i), m AS (SELECT user_id, k, min(a) AS a, max(b) AS b FROM g GROUP BY 1, 2)
@@ -453,7 +495,7 @@ on("confidence", "events", "event_id", lambda: F.concat(F.format_string("%.4f",
 on("match_cost", "events", "event_id", lambda: F.round(I.match_cost(F.col("value"), F.lit(20.0), F.col("value") - 50, F.lit(100.0), F.col("value") > 30, F.col("value") / 100, F.col("value") / 50), 6), "round(greatest(0, 1.35 * abs(ln((value + 0.04) / 20.04)) + 0.95 * abs(value - 50) / 100 + CASE WHEN value > 30 THEN CASE WHEN value >= 16 THEN -0.18 ELSE 0.24 END ELSE 0 END - CASE WHEN value / 50 >= 0.2 THEN 0.1 ELSE 0 END), 6)")
 on("skip_costs", "events", "event_id", lambda: F.round(I.skip_target_cost(F.col("value")) + I.skip_interval_cost(F.col("value"), F.lit(20.0)), 6), "round(0.62 + least(1.45, 0.25 * value) + 0.45 + least(0.9, 0.4 * value / 20.03), 6)")
 on("target_weight", "events", "event_id", lambda: I.target_weight(F.when(F.col("value") > 50, F.col("value")), F.col("event_id").cast("int") % 3), "CASE WHEN value > 50 THEN value WHEN event_id % 3 > 0 THEN event_id % 3 ELSE 1 END")
-on("expected_boundaries", "events", "event_id", lambda: F.round(2.0 + F.col("value") / 100 * 7.5, 6), "round(2.0 + value / 100 * 7.5, 6)")
+on("expected_boundaries", "events", "event_id", lambda: F.array_join(F.transform(A.expected_boundaries(F.col("value"), F.col("value") + F.col("event_id"), F.array(F.lit(0.25), F.lit(0.5))), lambda x: F.format_string("%.4f", x)), " "), "printf('%.4f', round(value + event_id / 4, 4)) || ' ' || printf('%.4f', round(value + event_id / 2, 4))")
 on("default_region", "events", "event_id", lambda: F.round(I.default_region(F.col("value"), F.lit(40.0))["start"], 6), "round(greatest(0, value - 2), 6)")
 on("move_region", "events", "event_id", lambda: F.round(I.move_region(F.lit(10.0), F.lit(15.0), F.col("value") - 30, F.lit(60.0))["end"], 6), "round(greatest(0, least(55, value - 20)) + 5, 6)")
 on("resize_region", "events", "event_id", lambda: F.round(I.resize_region(F.lit(10.0), F.lit(15.0), F.col("value"), F.lit(60.0), False)["end"], 6), "round(least(60, greatest(value, 10.05)), 6)")
@@ -465,9 +507,18 @@ fixed("data_uri", [("data:audio/mp3;base64,aGVsbG8=",), ("d2F2",)], "src string"
 on("now_seconds", "events", "event_id", lambda: F.unix_timestamp(F.col("ts").cast("timestamp")), "floor(epoch(ts))::BIGINT")
 
 # ---- alignment ---------------------------------------------------------------------------------------------------------------
-_speech = lambda s, d: table(s, d, "events").groupBy((F.col("user_id") % 4).alias("audio_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda e: F.when(F.floor(e["event_id"] / 800) % 2 == 0, e["value"]).otherwise(0.0)).alias("pcm"))
-add("detect_speech", lambda s, d: _speech(s, d).select("audio_id", F.posexplode(A.detect_speech("pcm", F.lit(100))).alias("n", "i")).select("audio_id", "n", "i.start", F.col("i.end").alias("stop")))
-add("auto_split", lambda s, d: I.merge_to_count(_speech(s, d).select("audio_id", F.explode(A.detect_speech("pcm", F.lit(100))).alias("i")).select("audio_id", "i.start", "i.end"), 3, "audio_id").select("audio_id", "start", F.col("end").alias("stop")))
+
+add("detect_speech", lambda s, d: A.speech_table(_signals(s, d), "user_id", rate=100).select("user_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop")), f"WITH {SIGNALS_SQL} {STRETCHES_SQL.replace('{loud}', '(SELECT * FROM h WHERE loud)')}")
+add("detect_speech_arrays", lambda s, d: _signals(s, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("pcm")).select("user_id", F.explode(A.detect_speech("pcm", F.lit(100))).alias("x")).select("user_id", F.round("x.start", 6).alias("start"), F.round("x.end", 6).alias("stop")), SQL["detect_speech"])
+# Loudness given: a frame is loud where its event's value is above 40.
+add("vad_intervals", lambda s, d: A.vad_intervals(table(s, d, "events").select((F.col("event_id") % 7).alias("user_id"), F.floor(F.col("event_id") / 7).alias("frame"), (F.col("value") > 40).alias("loud")), "user_id", min_gap_ms=30, min_speech_ms=50).select("user_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop")),
+    "WITH g AS (SELECT event_id % 7 AS user_id, event_id // 7 AS frame, value > 40 AS loud, count(*) OVER (PARTITION BY event_id % 7) AS n FROM events) " + STRETCHES_SQL.replace("{loud}", "(SELECT * FROM g WHERE loud)").replace("25", "3").replace("20", "5"))
+# In whole hundredths, so that equal gaps are equal.
+add("auto_split", lambda s, d: I.merge_to_count(A.speech_table(_signals(s, d), "user_id", rate=100).select("user_id", F.round(F.col("start") * 100).alias("start"), F.round(F.col("end") * 100).alias("end")), 2, "user_id").select("user_id", "start", F.col("end").alias("stop")),
+    f"""WITH {SIGNALS_SQL}, st AS ({STRETCHES_SQL.replace('{loud}', '(SELECT * FROM h WHERE loud)').replace('round(a * 0.01::DOUBLE, 6)', 'a').replace('round(b * 0.01::DOUBLE, 6)', 'b')}), w AS (SELECT *, lead(start) OVER o - stop AS gap, row_number() OVER o AS i, count(*) OVER (PARTITION BY user_id) AS n FROM st WINDOW o AS (PARTITION BY user_id ORDER BY start)),
+       c AS (SELECT *, gap IS NULL OR row_number() OVER (PARTITION BY user_id ORDER BY gap NULLS LAST, i) > n - 2 AS cut FROM w),
+       k AS (SELECT *, coalesce(count(*) FILTER (WHERE cut) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c)
+       SELECT user_id, min(start)::DOUBLE AS start, max(stop)::DOUBLE AS stop FROM k GROUP BY user_id, k""")
 _lines = lambda s, d: table(s, d, "conversations").select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("ord"), T.syllable_count(text).alias("syllables"), F.lit(None).cast("double").alias("beats"), F.endswith("text", F.lit(".")).alias("pause_after"))
 _audio = lambda s, d: _recordings(s, d).select("audio_id", (F.size("pcm") / 100.0).alias("duration"), A.detect_speech("pcm", F.lit(100)).alias("speech"))
 
@@ -498,3 +549,11 @@ add("stream_debounce", lambda s, d: S.debounce(_actions(s, d), "user_id", quiet=
     "SELECT user_id, count(*) FILTER (WHERE fresh) AS n_saves, count(*) AS n FROM (SELECT user_id, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3600 SECOND, true) AS fresh FROM events) GROUP BY user_id")
 add("stream_flush", lambda s, d: S.flush(_actions(s, d), "payload", every="1 day").select("payload", F.unix_timestamp("flushed_at").alias("flushed_at"), "n"), "SELECT event_type AS payload, (floor(epoch(ts))::BIGINT // 86400 + 1) * 86400 AS flushed_at, count(*) AS n FROM events GROUP BY 1, 2")
 add("stream_latest", lambda s, d: S.latest(_actions(s, d), "user_id"), "SELECT user_id, arg_max(event_type, (ts, event_id)) AS payload FROM events GROUP BY user_id")
+
+
+def _drained(s: SparkSession, d: str) -> DataFrame:
+    """Every event, put into a queue in two parts and drained after each: what the first run has taken, the second doesn't."""
+    return S.drained(s, [table(s, d, "events").filter(f"event_id % 2 = {k}").select(F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.col("value").cast("string").alias("payload")) for k in (0, 1)], scratch(s, "queue")).select("seq", "type", "run")
+
+
+add("queue_drain", _drained, "SELECT event_id AS seq, event_type AS type, event_id % 2 + 1 AS run FROM events")

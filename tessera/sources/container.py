@@ -40,6 +40,11 @@ def compress(text: Column | str) -> Column:
     return _each("binary", sealed, text)
 
 
+def compress_zlib(text: Column | str) -> Column:
+    """The older kind of container."""
+    return _each("binary", lambda t: ZLIB_MARK + zlib.compress(t.encode()), text)
+
+
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
     """(path, json) of the documents under a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{smdoc,SMDOC}").option("recursiveFileLookup", "true").load(path)

@@ -86,3 +86,22 @@ def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataF
     """(path, text) of the files under a path, each whole, as UTF-8."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.decode("content", "utf-8").alias("text"))
+
+
+#: What ends a text in a file of several: the sign that separates records.
+RECORD_END = "\x1e"
+
+
+def write_texts(texts: DataFrame, path: str, text: str = "text") -> None:
+    """Write texts, which may have many lines, to text files. Spark's commit makes them appear whole or not at all."""
+    texts.select(text).write.option("lineSep", RECORD_END).text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(text) of files that write_texts() wrote."""
+    return spark.read.option("lineSep", RECORD_END).text(path).withColumnRenamed("value", "text")
+
+
+def write_pages(documents: DataFrame, path: str, document: str = "document") -> None:
+    """Write the page of its own of each parsed document to text files."""
+    write_texts(documents.select(to_html(F.col(document)).alias("text")), path)

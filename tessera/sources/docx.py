@@ -6,7 +6,9 @@ import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -97,3 +99,20 @@ def import_docx(files: DataFrame, *key: str, content: str = "content") -> DataFr
     """(key, para_no, html) of the paragraphs of word-processor files; empty ones go."""
     run_table = files.lateralJoin(DocxRuns(F.col(content).outer())).drop(content)
     return runs_to_html(run_table.select(*key, *[c.split(" ")[0] for c in RUN.split(", ")]), *key)
+
+
+def written(first: Column, second: Column, bold: Column, raised: Column) -> Column:
+    """A word-processor file of two paragraphs: the first of two runs (one perhaps bold, the other perhaps superscript), the second of "end" and the first run's text."""
+
+    def f(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        def one(x: str, y: str, strong: bool, high: bool) -> bytes:
+            run = lambda text, props: f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{escape(text)}</w:t></w:r>'
+            body = f"<w:p>{run(x, '<w:b/>' if strong else '')}{run(y, '<w:vertAlign w:val=\"superscript\"/>' if high else '')}</w:p><w:p/><w:p>{run('end ' + x, '')}</w:p>"
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>')
+            return out.getvalue()
+
+        return pd.Series([one(*r) for r in zip(a, b, c, d, strict=True)])
+
+    return F.pandas_udf(f, "binary")(first, second, bold, raised)

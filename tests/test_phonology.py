@@ -93,3 +93,39 @@ def test_columns_apply_edits_and_keep_nulls(spark):
 @pytest.mark.parametrize(("text", "want"), [("Agni. Rāma..", "agni। rāma॥"), ("A...B", "a॥।b"), ("1.5", "1।5"), ("saṃ (g)m", "saṁ ṁ"), ("(g)(g)m", "ṁ"), ("a॑", "a̍")])
 def test_normalize(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(T.normalize_text(F.col("t"))).first()[0] == want
+
+
+def test_rule_pipeline_by_brute_force(spark):
+    from tessera.plans import pipelines
+
+    texts = ["agniḥ atra taṁ śatruṁ Jñāna svar vyoma darśana agnim", "taṁ karoti.", "oṁ\nrāmaḥ pacati ।", "hotā̍raṁ vāk sma", ""]
+    rows = [(i, t, s) for i, t in enumerate(texts) for s in ("yajurveda", "rigveda", "smriti")]
+    out = pipelines.rule_pipeline(spark.createDataFrame(rows, "i int, text string, source string"), source=F.col("source"))
+    plain = spark.createDataFrame(rows, "i int, text string, source string").select("i", "source", T.normalize_text(F.col("text")).alias("n"))
+    tail = lambda t: spark.createDataFrame([(t,)], "t string").select(T.final_m_tick(F.col("t"))).first()[0]
+    svarita = lambda t: spark.createDataFrame([(t,)], "t string").select(T.rigveda_svarita(F.col("t"))).first()[0]
+    want = {}
+    for i, source, t in plain.collect():
+        t = t.replace("jñ", "jgñ").replace("sv", "suv").replace("vy", "vuy")
+        t = applied(t, P.svarabhakti(t))
+        t = applied(t, P.anusvara(t, source))
+        t = applied(t, P.visarga(t))
+        want[i, source] = tail(svarita(t) if source == "rigveda" else t)
+    assert {(r.i, r.source): r.text for r in out.collect()} == want
+
+
+@given(TEXT)
+def test_compiled_patterns_agree_with_the_scan(text):
+    s, found, i = P.Scan(text), [], 0
+    while i < len(text):
+        value = "" if s.annotation[i] or text[i] == "|" else P.consonant_at(text, i)
+        parts, end = P.cluster(s, i) if value else ([], i)
+        if len(parts) > 1:
+            target, at, _ = parts[P.held(parts)]
+            found.append((i, len(parts), at, len(target)))
+            i = end
+        else:
+            i += max(1, len(value))
+    assert P.clusters(text) == found
+    dots = [i for i, c in enumerate(text) if c == "r" and (a := s.following(i)) and text[a[0]] in "sśṣhṛ" and "·" not in text[i : a[0]]]
+    assert len(P.svarabhakti_places(text)) == len(dots)

@@ -165,3 +165,48 @@ def test_debounced_stream(spark, tmp_path):
     q = S.debounce(stream, "id").writeStream.format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.n, r.payload) for r in spark.table("debounced").orderBy("opened").collect()] == [(3, "1600"), (1, "5000")]
+
+
+def test_sorts_are_in_order(spark):
+    files = spark.createDataFrame([(i, i * 7 % 5, f"n{i}") for i in range(30)], "id int, modified int, name string")
+    got = [(r.modified, r.name) for r in K.media_sort(files, "modified", "name").collect()]
+    assert got == sorted(got, key=lambda r: (-r[0], r[1]))
+    nodes = K.library_tree(spark.createDataFrame([("/L/b/x.txt",), ("/L/A.txt",), ("/L/a/y.txt",)], "path string"))
+    assert [r.name for r in K.library_order(nodes).collect()] == ["a", "b", "L", "A.txt", "x.txt", "y.txt"]
+    regions = spark.createDataFrame([(1, 2.0), (2, 1.0), (3, 2.0)], "id int, start double")
+    assert [r.id for r in I.region_sort(regions).collect()] == [2, 1, 3]
+
+
+def test_texts_and_pages_as_files(spark, tmp_path):
+    texts = ["a\nb", "", "é\r\nü"]
+    documents.write_texts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(1), str(tmp_path / "t"))
+    assert sorted(r.text for r in documents.read_texts(spark, str(tmp_path / "t")).collect()) == sorted(texts)
+    json = spark.createDataFrame([('{"content":"<p>x</p>","meta":{"title":"A"}}',)], "j string").select(documents.parse_document(F.col("j")).alias("document"))
+    documents.write_pages(json, str(tmp_path / "p"))
+    page = documents.read_texts(spark, str(tmp_path / "p")).first().text
+    assert page.startswith("<!DOCTYPE html>") and "<title>A</title>" in page
+    (tmp_path / "one.html").write_text("<p>\n</p>")
+    assert documents.read_text_files(spark, str(tmp_path), "*.html").first().text == "<p>\n</p>"
+
+
+@given(st.integers(1, 12), st.integers(1, 15), st.integers(0, 10**6))
+def test_alignment_by_diagonals_is_that_by_cells(n, m, seed):
+    rng = np.random.default_rng(seed)
+    starts = np.cumsum(rng.uniform(0.3, 2, m))
+    intervals = [(s, s + d) for s, d in zip(starts, rng.uniform(0.1, 0.3, m), strict=True)]
+    weights, hints = rng.integers(1, 4, n).astype(float), rng.random(n) < 0.5
+    cost = A.Costs(weights, hints, intervals)
+    best, step = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), int)
+    best[0, 1:], step[0, 1:] = np.cumsum(cost.skip_interval), 2
+    best[1:, 0], step[1:, 0] = np.cumsum(cost.skip_target), 1
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            ways = (best[i - 1, j - 1] + cost.match[i - 1, j - 1], best[i - 1, j] + cost.skip_target[i - 1], best[i, j - 1] + cost.skip_interval[j - 1])
+            step[i, j] = ways.index(min(ways))
+            best[i, j] = min(ways)
+    want, i, j = set(), n, m
+    while i or j:
+        if step[i, j] == 0:
+            want.add(j - 1)
+        i, j = i - (step[i, j] != 2), j - (step[i, j] != 1)
+    assert {a[1] for a in A.align(weights, hints, intervals)} == want
