@@ -2,10 +2,10 @@
 
 A text is the first layer. Each layer is searched for secrets; then what it holds in URL escapes, Unicode escapes and base64
 (of text or of gzip, zlib, bzip2, xz or zstd data) is unwrapped into further layers, which join the worklist until nothing new
-appears. Base64 is also read across the lines that it is wrapped in. Compressed data, from base64 or from escapes, is inflated with all
+appears. Base64 may hold UTF-8, UTF-16 or Latin-1, may follow other signs of its alphabet (a path) and is also read across the lines that it is wrapped in. Compressed data, from base64 or from escapes, is inflated with all
 its members, and again for as long as the output is itself compressed. A layer met before (same content from the same place) is not taken up again, so cycles end. Every layer
 carries, for each of its characters, the range of the original text that it comes from; spans are reported in code points of the original,
-end exclusive.
+end exclusive. Base64 of fewer than 12 characters isn't taken up.
 
 Defined results. A null text counts as empty and has no spans. Repeated rows give repeated results; an empty table an
 empty table. Columns other than the id and the text are not read. What compressed data hold is searched to its end; past `most` bytes it
@@ -46,6 +46,8 @@ PATTERNS = (
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\x[0-9A-Fa-f]{2})+)|\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|(&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};)|U\+([0-9A-Fa-f]{4,6})\b")
+#: The same, or a plus sign, which takes no group.
+FORM_ESCAPE = re.compile(rf"{ESCAPE.pattern}|\+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: What a token is cut at, if it isn't base64 as a whole.
 BASE64_PART = re.compile(r"[A-Za-z0-9+/]{12,}={0,2}")
@@ -83,12 +85,26 @@ def matches(text: str) -> list[tuple[int, int, int]]:
 class Layer:
     """A decoded text; lo and hi: where each of its characters comes from in the original (None: it is the original)."""
 
-    def __init__(self, text: str, lo: np.ndarray | None = None, hi: np.ndarray | None = None, how: str = ""):
-        self.text, self.lo, self.hi, self.how = text, lo, hi, how
+    def __init__(self, text: str, lo: np.ndarray | None = None, hi: np.ndarray | None = None, how: str = "", whole: tuple[int, int] | None = None):
+        """whole: one range that all characters come from (of inflated data), in place of lo and hi."""
+        self.text, self.lo, self.hi, self.how, self.whole = text, lo, hi, how, whole
+
+    def decoded(self) -> bool:
+        return self.lo is not None or self.whole is not None
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
+        if self.whole:
+            return self.whole
         return (start, end) if self.lo is None else (int(self.lo[start:end].min()), int(self.hi[start:end].max()))
 
+    def within(self, text: str, lo: np.ndarray, hi: np.ndarray, how: str) -> Layer:
+        """A layer whose characters come from the places lo to hi - 1 of this one."""
+        if self.whole:
+            return Layer(text, how=f"{self.how}>{how}", whole=self.whole)
+        if self.lo is not None:
+            lo, hi = self.lo[lo], self.hi[hi - 1]
+        return Layer(text, lo.astype(np.int32), hi.astype(np.int32), f"{self.how}>{how}")
+
     def name(self) -> tuple:
         at = self.origin(0, len(self.text)) if self.text else (0, 0)
         return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), at
@@ -126,17 +142,17 @@ def _unescape(m: re.Match) -> list[tuple[str, int, int]]:
     return [(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�", at, m.end())]
 
 
-def unescaped(layer: Layer) -> Layer | None:
-    """The layer with its URL and Unicode escapes resolved, or None if it has none."""
+def unescaped(layer: Layer, form: bool = False) -> Layer | None:
+    """The layer with its URL and Unicode escapes resolved, or None if it has none. form: and with spaces for plus signs, as in forms."""
     text = layer.text
-    if not ("%" in text or "\\" in text or "&#" in text or "U+" in text):
+    if form and not ("%" in text and "+" in text) or not ("%" in text or "\\" in text or "&#" in text or "U+" in text):
         return None
     parts, lo, hi, end = [], [], [], 0
-    for m in ESCAPE.finditer(text):
+    for m in (FORM_ESCAPE if form else ESCAPE).finditer(text):
         parts.append(text[end : m.start()])
         lo.append(np.arange(end, m.start()))
         hi.append(np.arange(end, m.start()) + 1)
-        got = _unescape(m)
+        got = [(" ", m.start(), m.end())] if m.group() == "+" else _unescape(m)
         parts.append("".join(c for c, _, _ in got))
         lo.append(np.array([a for _, a, _ in got], int))
         hi.append(np.array([b for _, _, b in got], int))
@@ -145,9 +161,7 @@ def unescaped(layer: Layer) -> Layer | None:
         return None
     parts.append(text[end:])
     lo, hi = (np.concatenate([*x, np.arange(end, len(text)) + k]) for x, k in ((lo, 0), (hi, 1)))
-    if layer.lo is not None:
-        lo, hi = layer.lo[lo], layer.hi[hi - 1]
-    return Layer("".join(parts), lo, hi, f"{layer.how}>escape")
+    return layer.within("".join(parts), lo, hi, "form" if form else "escape")
 
 
 def signature(raw: bytes) -> str | None:
@@ -259,15 +273,28 @@ def inflated(raw: bytes, most: int) -> tuple[Iterator[bytes], int, int] | None:
     return (cut(source(), most), n, used) if n else None
 
 
-def _readable(raw: bytes) -> bool:
-    bad = sum(b < 9 or 13 < b < 32 or b == 127 for b in raw)
-    if bad:
-        return False
-    try:
-        raw.decode()
-        return True
-    except UnicodeDecodeError:
-        return False
+CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
+#: Latin-1 has no characters here that texts use.
+NO_LATIN = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f-\x9f]")
+
+
+def _read(raw: bytes) -> tuple[str, list[int]] | None:
+    """Bytes as text (UTF-8; UTF-16, if every second byte or so is 0; Latin-1) with the number of bytes of each character; None if they are no text."""
+    if not CONTROL.search(raw):
+        try:
+            text = raw.decode()
+            return text, [len(c.encode()) for c in text]
+        except UnicodeDecodeError:
+            return None if NO_LATIN.search(raw) else (raw.decode("latin-1"), [1] * len(raw))
+    if len(raw) >= 8 and raw.count(0) * 5 >= len(raw) * 2:
+        half = raw[: len(raw) & ~1]
+        try:
+            text = half.decode("utf-16-le" if half[1::2].count(0) >= half[::2].count(0) else "utf-16-be")
+        except UnicodeDecodeError:
+            return None
+        if not CONTROL.search(text.encode()):
+            return text, [4 if ord(c) > 0xFFFF else 2 for c in text]
+    return None
 
 
 def _pieces(layer: Layer, found: tuple[Iterator[bytes], int, int], start: int, end: int, how: str) -> Iterator[Layer]:
@@ -276,7 +303,7 @@ def _pieces(layer: Layer, found: tuple[Iterator[bytes], int, int], start: int, e
     try:
         for piece in found[0]:
             text = _chars(piece)[0] if len(piece) < STEP else _text(piece)
-            yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), f"{layer.how}>{how}{'>compressed' * found[1]}")
+            yield Layer(text, how=f"{layer.how}>{how}{'>compressed' * found[1]}", whole=(a, b))
     except Exception:  # damaged past the first piece
         return
 
@@ -298,13 +325,36 @@ def _base64(layer: Layer, token: str, at: np.ndarray, most: int) -> Iterator[Lay
         return
     if (found := inflated(raw, most)) is not None:
         yield from _pieces(layer, found, int(at[0]), int(at[-1]) + 1, "base64")
-    elif raw and _readable(raw):
-        text, sizes = _chars(raw)
-        ends = np.cumsum(sizes, dtype=int)
-        lo, hi = at[(ends - np.array(sizes, int)) * 8 // 6], at[-(-ends * 8 // 6) - 1] + 1
-        if layer.lo is not None:
-            lo, hi = layer.lo[lo], layer.hi[hi - 1]
-        yield Layer(text, lo, hi, f"{layer.how}>base64")
+    elif raw and (got := _read(raw)):
+        yield _mapped(layer, *got, at, 0)
+
+
+def _mapped(layer: Layer, text: str, sizes: list[int], at: np.ndarray, skipped: int) -> Layer:
+    """The layer of decoded text, given the bytes of each character, the places of the base64 characters and the number of decoded bytes before the text."""
+    ends = skipped + np.cumsum(sizes, dtype=int)
+    return layer.within(text, at[(ends - np.array(sizes, int)) * 8 // 6], at[-(-ends * 8 // 6) - 1] + 1, "base64")
+
+
+#: Text among bytes that are otherwise none.
+TEXT_RUN = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+#: Where compressed data may begin among bytes.
+COMPRESSED_BYTES = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+
+
+def _out_of_step(layer: Layer, token: str, start: int, most: int) -> Iterator[Layer]:
+    """The layers of base64 that something of its own alphabet stands before (a path, a word): each of the four steps is tried, and runs of text and compressed data are
+    taken from what comes out."""
+    token = token.rstrip("=").translate({45: 43, 95: 47})
+    for step in range(4):
+        part = token[step:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        at = np.arange(start + step, start + step + len(part))
+        for m in TEXT_RUN.finditer(raw):
+            yield _mapped(layer, m.group().decode(), [1] * (m.end() - m.start()), at, m.start())
+        for m in COMPRESSED_BYTES.finditer(raw):
+            if (step or m.start()) and (found := inflated(raw[m.start() :], most)) is not None:
+                yield from _pieces(layer, found, int(at[m.start() * 8 // 6]), int(at[-1]) + 1, "base64")
 
 
 def _any(layers: Iterator[Layer]) -> Iterator[Layer] | None:
@@ -335,12 +385,19 @@ def unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
     """A layer for each base64 token that holds readable text or compressed data."""
     one = lambda m, start: _base64(layer, m.group(), np.arange(start + m.start(), start + m.end()), most)
     for m in BASE64.finditer(layer.text):
-        if whole := _any(one(m, 0)):
-            yield from whole
+        got = one(m, 0)
+        if first := next(got, None):
+            yield first
+            yield from got
+            if first.text.isascii():
+                continue
         else:
             for x in BASE64_PART.finditer(m.group()):
                 if x.group() != m.group():
                     yield from one(x, m.start())
+        # What came out, if anything, may be chance.
+        if len(m.group()) >= 20:
+            yield from _out_of_step(layer, m.group(), m.start(), most)
     yield from _wrapped(layer, most)
 
 
@@ -384,7 +441,7 @@ def scan(text: str, most: int = MOST) -> tuple[list[tuple], dict[tuple, str], in
     have = set(base)
     while work:
         layer = work.popleft()
-        if layer.lo is not None:
+        if layer.decoded():
             if (name := layer.name()) in seen:
                 continue
             seen.add(name)
@@ -397,6 +454,8 @@ def scan(text: str, most: int = MOST) -> tuple[list[tuple], dict[tuple, str], in
         if (x := unescaped(layer)) is not None:
             work.append(x)
             work.extend(escaped_data(layer, most))
+        if (x := unescaped(layer, form=True)) is not None:
+            work.append(x)
         work.extend(unwrapped(layer, most))
     return base, added, n
 
