@@ -183,6 +183,51 @@ def test_secrets_in_later_members_and_past_the_piece(how):
         assert _found(f"a {coded} b", coded, most=1000)
 
 
+@pytest.mark.parametrize("before", ["http://host/p/", "/a/", "key", "abc/de/", "x_", "data-", "qrstuvwxyzqrstuvwxyz/"])
+@pytest.mark.parametrize("packed", [None, "gzip", "zstd"])
+def test_base64_out_of_step(before, packed):
+    raw = f"some words first, {SECRET} and more".encode()
+    coded = base64.b64encode(_packed(packed, raw) if packed else raw).decode()
+    assert _found(f"see {before}{coded} .", coded)
+
+
+@pytest.mark.parametrize("kind", ["utf-16-le", "utf-16-be", "utf-16", "latin-1"])
+def test_base64_of_other_encodings(kind):
+    coded = base64.b64encode(f"é: {SECRET}".encode(kind)).decode()
+    assert _found(f"a {coded} b", coded)
+
+
+def test_plus_signs_of_forms():
+    coded = urllib.parse.quote_plus("my password = hunter2hunter2&x=1")
+    assert "+" in coded and _found(f"q?{coded} .", coded)
+    twice = urllib.parse.quote_plus(coded)
+    assert _found(f"q?{twice} .", twice)
+
+
+def test_random_nestings():
+    """Codings in random order, one to four deep, are all undone; spans stay within the coded passage."""
+    rng = random.Random(47)
+    by = {**CODED, "mime": lambda x: base64.encodebytes(x.encode()).decode().strip(), "xz": lambda x: base64.b64encode(_packed("xz", x.encode())).decode(), "zstd_in_gzip": lambda x: base64.b64encode(gzip.compress(_packed("zstd", x.encode()))).decode()}
+    for _ in range(150):
+        names = [rng.choice(list(by)) for _ in range(rng.randint(1, 4))]
+        coded = SECRET
+        for name in names:
+            coded = by[name](coded)
+        if len(coded) > 200_000:
+            continue
+        assert _found(f"ü before: {coded}\nafter", coded), names
+
+
+def test_a_large_bomb_takes_little_memory():
+    import tracemalloc
+
+    coded = base64.b64encode(gzip.compress(b"some words.\n" * 2_000_000 + SECRET.encode(), 9)).decode()
+    tracemalloc.start()
+    assert _found(f"a {coded} b", coded)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
 def test_wrapped_base64_that_a_word_follows():
     text = "x: " + base64.encodebytes(b"q" * 50 + SECRET.encode() + b"z" * 39).decode() + "follows"
     assert [k for _, k, _ in secret_scan.scan(text)[1]].count(0) >= 1
@@ -233,6 +278,75 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+def test_trees_by_brute_force():
+    """The same splits and leaf values as a plain search over all features and cuts."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 6, (80, 3)).astype(float), rng.integers(0, 2, 80).astype(float)
+    model = toxicity.Trees.__new__(toxicity.Trees)
+    p = np.full(80, y.mean())
+    g, h = y - p, p * (1 - p)
+    feature, cut, value = model._grow(x.astype(int), g, h)
+    score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+
+    def grow(node, rows, depth):
+        if depth == toxicity.DEPTH:
+            assert value[node - (2**toxicity.DEPTH - 1)] == pytest.approx(toxicity.RATE * g[rows].sum() / (h[rows].sum() + 1))
+            return
+        gains = {}
+        for f in range(3):
+            for c in range(6):
+                left = rows[x[rows, f] <= c]
+                right = rows[x[rows, f] > c]
+                if h[left].sum() >= 1 and h[right].sum() >= 1:
+                    gains[f, c] = score(left) + score(right) - score(rows)
+        best = max(gains.values(), default=0)
+        if best > 1e-6:
+            assert gains[feature[node], cut[node]] == pytest.approx(best)
+        else:
+            assert cut[node] == toxicity.BINS
+        grow(2 * node + 1, rows[x[rows, feature[node]] <= cut[node]], depth + 1)
+        grow(2 * node + 2, rows[x[rows, feature[node]] > cut[node]], depth + 1)
+
+    grow(0, np.arange(80), 0)
+
+
+def test_isotonic_by_brute_force():
+    """Each value is the max over starts of the min over ends of the means between, with one of each label at the ends."""
+    rng = np.random.default_rng(6)
+    score, y = rng.permutation(40).astype(float), rng.integers(0, 2, 40).astype(float)
+    at, value = toxicity.isotonic(score, y)
+    v = [0.0, *y[np.argsort(score)], 1.0]
+    for k in range(40):
+        want = max(min(np.mean(v[a : b + 1]) for b in range(k + 1, 42)) for a in range(k + 2))
+        assert np.interp(k, at, value) == pytest.approx(np.clip(want, 1e-4, 1 - 1e-4))
+
+
+def test_features_by_brute_force():
+    rng = random.Random(41)
+    codes = toxicity.Codes({"idiot": 2.0, "idio~": 1.0, "scum": 3.0})
+    for _ in range(50):
+        words = [rng.choice(["you", "idiot", "1d10t", "idiots", "SCUM", "fine", "É", "𝐀b", "a.b", "soooo", "!!", "?"]) for _ in range(rng.randint(0, 30))]
+        text = " ".join(words)
+        got = dict(zip(toxicity.FEATURES, toxicity.features(text, codes), strict=True))
+        found = toxicity.WORD.findall(text)
+        n = max(1, len(found))
+        upper, alpha = sum(map(str.isupper, text)), sum(map(str.isalpha, text))
+        assert toxicity.letters(text) == (upper, alpha)
+        hits = sum(toxicity.plain(w.lower()) in ("idiot", "scum") for w in found)
+        assert got["hits"] == pytest.approx(hits / n) and got["you"] == pytest.approx(found.count("you") / n)
+        assert got["capitals"] == pytest.approx(upper / max(1, alpha)) and got["exclaims"] == pytest.approx(text.count("!") / max(1, len(text)))
+
+
+def test_calibration_rows_are_unseen_by_the_lexicon(spark):
+    """A word that only rows of the calibration fold hold isn't learned."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    marks = spark.createDataFrame([(i,) for i in ids], "i bigint").select("i", (F.pmod(F.xxhash64("i", F.lit(9)), F.lit(5)) == 0).alias("fold")).collect()
+    fold = {r.i for r in marks if r.fold}
+    rows = [(i, ("foldword " if i in fold else "plainword ") + "filler text" if i % 2 else "filler text only", "en", "s", 0) for i in ids]
+    model = toxicity.train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int"))
+    assert "plainword" in model.lexicon and "foldword" not in model.lexicon
+
+
 def test_isotonic_rises():
     x, y = np.random.default_rng(0).normal(size=200), np.random.default_rng(1).integers(0, 2, 200).astype(float)
     at, value = toxicity.isotonic(x, y)
@@ -250,6 +364,35 @@ def test_resampling_keeps_the_target_and_drops_the_rest(spark):
     assert sum(got[i].kept for i in range(200)) > 190
 
 
+def test_weights_and_draws_by_brute_force(spark):
+    """Log weights, expected number of target documents and the documents drawn, in plain Python."""
+    import math
+
+    rng = random.Random(43)
+    texts = [prose(rng, rng.randint(1, 30)) + rng.choice(["", "!!", " Ab 12", " a a"]) for _ in range(120)] + ["", None]
+    labels = {i: int(i % 3 == 0) for i in range(0, 60)}
+    raw, target, per = Counter(), Counter(), []
+    for i, t in enumerate(texts):
+        tokens = quality.TOKEN.findall(t or "")
+        known = quality.Tokens()
+        found = quality.grams(t or "", known).tolist()
+        assert len(found) == max(0, 3 * len(tokens) - 2) if tokens else not found
+        per.append(found)
+        raw.update(found)
+        if labels.get(i):
+            target.update(found)
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = lambda b: math.log(target[b] + quality.SMOOTHING) - math.log(raw[b] * scale + quality.SMOOTHING)
+    weight = [sum(map(ratio, found)) for found in per]
+    prior = (sum(labels.values()) + 0.5) / (len(labels) + 1)
+    k = round(sum(min(1.0, math.exp(min(0.0, math.log(prior) + w / 3))) for w in weight))
+    got = {r.id: r for r in quality.resample(docs_of(spark, texts).repartition(3), spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")).collect()}
+    assert [got[i].log_weight for i in range(len(texts))] == pytest.approx(weight)
+    noise = quality._gumbel(list(got), [got[i].th for i in got])
+    keys = {i: weight[i] + g for i, g in zip(got, noise, strict=True)}
+    assert {i for i in got if got[i].kept} == set(sorted(keys, key=keys.get, reverse=True)[:k])
+
+
 def test_k_largest(spark):
     rng = random.Random(6)
     values = [rng.choice([rng.randint(-(2**62), 2**62), 5, -5]) for _ in range(500)]
