@@ -2,8 +2,8 @@
 
 Features: densities of lexicon words and of their stems, written plainly or in disguise; how near these stand to a second
 person; capitals; punctuation; obfuscation; length. The lexicon is learned from labelled texts: words, and beginnings of words, that
-toxic texts hold far more often. Trees are grown on a bounded sample of labelled rows (`sample_rows`, the smallest hashes); a fifth of it
-is kept back to calibrate the scores. Labels are learned only from rows that are not held out: crc32 of the id as text, mod
+toxic texts hold far more often. Trees are grown on a bounded sample of labelled rows (`sample_rows`, the smallest hashes); a fifth of it,
+which neither the lexicon nor the trees see, is kept back to calibrate the scores. Labels are learned only from rows that are not held out: crc32 of the id as text, mod
 5, is not 0. The model is a few hundred kilobytes whatever the table's size.
 
 Defined results. A null text counts as empty; an empty text has a score like any other. A null id is not held out and never learned from. Without
@@ -40,6 +40,23 @@ MARK_RUN, SPACED = re.compile(r"[!?*#$%&]{2,}"), re.compile(r"(?<!\w)(?:\w[ .*_-
 SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
+#: Of each code point of the first plane: 1 for a capital, 2 for a letter.
+_KIND = np.array([chr(c).isupper() | chr(c).isalpha() << 1 for c in range(0x10000)], np.uint8)
+
+
+def letters(text: str) -> tuple[int, int]:
+    """The number of capitals, and of letters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    far = codes > 0xFFFF
+    if far.any():
+        rest = [chr(c) for c in codes[far].tolist()]
+        codes = codes[~far]
+    else:
+        rest = []
+    count = np.bincount(_KIND[codes], minlength=4)
+    return int(count[1] + count[3]) + sum(c.isupper() for c in rest), int(count[2] + count[3]) + sum(c.isalpha() for c in rest)
+
+
 def plain(word: str) -> str:
     """A word without disguises: look-alike characters replaced, marks left out, runs of a letter cut to one."""
     return REPEATED.sub(r"\1", re.sub(r"[\W_]", "", word.translate(DISGUISE)))
@@ -77,17 +94,17 @@ class Codes(dict):
 
 
 def features(text: str, codes: Codes) -> list[float]:
-    pairs = [codes[w] for w in WORD.findall(text)]
+    pairs = np.array([codes[w] for w in WORD.findall(text)], np.float64).reshape(-1, 2)
     n, length = max(1, len(pairs)), max(1, len(text))
-    code = np.array([p[0] for p in pairs], np.int64)
-    weight = np.array([p[1] for p in pairs])
+    code, weight = pairs[:, 0].astype(np.int64), pairs[:, 1]
     hit, you = np.flatnonzero(code & (HIT | STEM)), np.flatnonzero(code & YOU)
     near = 0
     if len(hit) and len(you):
         k = np.searchsorted(you, hit)
         near = int((np.minimum(np.abs(hit - you[np.maximum(k - 1, 0)]), np.abs(hit - you[np.minimum(k, len(you) - 1)])) <= 5).sum())
     count = [int(np.count_nonzero(code & f)) for f in (HIT, STEM, HIDDEN, YOU, CAPS, ODD)]
-    upper, alpha = sum(map(str.isupper, text)), max(1, sum(map(str.isalpha, text)))
+    upper, alpha = letters(text)
+    alpha = max(1, alpha)
     marks = len(MARK_RUN.findall(text)) if any(c in text for c in "!?*#$%&") else 0
     other = length - alpha - text.count(" ") - text.count("\n")
     return [
@@ -230,9 +247,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not toxic or toxic == n:
         return Model({}, None, np.full(n or 0, float(bool(toxic))), None)
+    # The lexicon is counted on the rows that the trees are grown on; those kept back for calibration aren't seen.
+    seen = rows.filter("NOT fold")
+    n, toxic = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     # Both labels in proportion: how much likelier a form is in a toxic text.
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (n - toxic + 1))
-    counted = arrow_map(rows.select("text", "toxic"), _forms, "form string, toxic bigint, other bigint").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counted = arrow_map(seen.select("text", "toxic"), _forms, "form string, toxic bigint, other bigint").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     # Less one standard error, so that forms met a few times by chance stay out.
     sure = odds - F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     least = max(3, round(toxic * 0.004))
