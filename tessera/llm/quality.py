@@ -69,11 +69,10 @@ def grams(text: str, known: Tokens) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, total = Tokens(), np.zeros((2, 1 << BUCKET_BITS), np.int64)
     for batch in batches:
-        for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = np.bincount(grams(text, known), minlength=1 << BUCKET_BITS)
-            total[0] += found
-            if target:
-                total[1] += found
+        found = [grams(text, known) for text in batch.column(0).to_pylist()]
+        for k, part in enumerate((found, [g for g, target in zip(found, batch.column(1).to_pylist(), strict=True) if target])):
+            if part:
+                total[k] += np.bincount(np.concatenate(part), minlength=1 << BUCKET_BITS)
     has = np.flatnonzero(total[0])
     yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[0][has]), pa.array(total[1][has])], schema=COUNTS)
 
