@@ -31,16 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: The tables that this process has written.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back. A lost executor costs no recomputation of what is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that materialize() has written so far; gives their number. Results that are still to be read from them are lost: call it once these are written."""
+    done, jvm = 0, spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def bounded(spark: SparkSession) -> None:
-    """Bound the memory that a batch of rows takes in a Python worker, whatever the length of the texts."""
+    """Bound the memory that a batch of rows takes in a Python worker, whatever the length of the texts. The two settings hold for the session from then on."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

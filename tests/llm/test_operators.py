@@ -64,6 +64,55 @@ def test_messy_tables(spark, messy):
     assert near.filter("doc_id = 4 AND text LIKE '% %'").count() <= 2
 
 
+def test_values_of_messy_tables(spark, messy):
+    """Nulls, empty texts, ties and repeated rows have the results that the docstrings state."""
+    rows = [(r.doc_id, r.text) for r in messy.collect()]
+    plain = lambda t: (t or "").translate(dict.fromkeys(map(ord, " \t\n\x0b\x0c\r")))
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[plain(t)].append((-len(t or ""), i is None, i or 0))
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(messy).collect())
+    want = Counter()
+    for i, t in rows:
+        best = min(groups[plain(t)])
+        want[i, None if best[1] else best[2], len(groups[plain(t)]), hashlib.sha256(plain(t).encode()).hexdigest()] += 1
+    assert got == want
+    assert exact_dedup.exact_dedup(messy).filter("kept").count() == len(groups)
+    removed = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(messy).collect())
+    kept = brute_repeats([(t or "").encode() for _, t in rows])
+    assert removed == Counter((i, len((t or "").encode()), len((t or "").encode()) - len(k)) for (i, t), k in zip(rows, kept, strict=True))
+    assert Counter(r.doc_id for r in secret_scan.secret_scan(messy).filter("n_layers >= 1").collect()) == Counter(i for i, _ in rows)
+    links = {(r.id, r.th): r.n_links for r in ngram_join.ngram_join(messy).collect()}
+    assert all(n == 0 for (i, _), n in links.items() if i in (0, 1, 2))
+    lines = {(r.doc_id, r.text) for r in line_dedup.line_dedup(messy).collect()}
+    assert {(0, None), (1, ""), (2, " ")} <= lines
+
+
+def test_long_texts(spark):
+    """Half a megabyte of one sign, of one word, of white space, and of prose."""
+    rng = random.Random(59)
+    texts = ["z" * 500_000, "word " * 100_000, " " * 500_000, prose(rng, 90_000), "\n" * 300_000, "é日🙂" * 100_000]
+    docs = docs_of(spark, texts)
+    assert exact_dedup.exact_dedup(docs).filter("kept").count() == 5
+    assert [r.n_removed for r in repeats.remove_repeats(docs).orderBy("doc_id").collect()] == [500_000, 500_000, 500_000, 0, 300_000, 900_000]
+    assert secret_scan.secret_scan(docs).count() == 6
+    bench = spark.createDataFrame([(0, "word " * 50), (1, texts[3][-200:])], "item_id bigint, text string")
+    assert sorted(r.id for r in decontaminate.decontaminate(docs, bench).filter("leaked").collect()) == [1, 3]
+    assert ngram_join.ngram_join(docs).filter("n_links > 0").count() == 0
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id bigint, quality int, toxic int")
+    assert quality.resample(docs, labels).count() == 6
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 6
+    assert line_dedup.line_dedup(docs_of(spark, ["z" * 50_000, "z" * 50_001, "\n" * 300_000])).select(F.sum("removed_lines")).first()[0] == 1
+
+
+def test_tables_are_cleared(spark):
+    from tessera.llm import common
+
+    table = common.materialize(spark.range(5), "test")
+    assert table.count() == 5 and common.clear(spark) >= 1
+    assert not common._written
+
+
 def test_empty_tables(spark, messy):
     none = messy.limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import zlib
+
 import corpus_pipeline
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from test_operators import greedy_tiles, prose, shingles
 
-from tessera.llm import packing
+from tessera.llm import packing, quality
 from tessera.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +48,136 @@ def test_lines_of_any_length(spark):
 def test_every_operator_has_a_query():
     assert sorted({int(n[2:].split("_")[0]) for n in queries()}) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
+
+
+def within_one_edit(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    p = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[p + (len(a) == len(b)) :] == b[p + 1 :]
+
+
+@pytest.fixture(scope="module")
+def fixture(spark, tmp_path_factory):
+    """Documents of every kind that a stage acts on, some of them repeated in full, null or empty; labels and a benchmark beside them."""
+    rng = random.Random(61)
+    lines = [prose(rng, rng.randint(1, 12)) for _ in range(14)]
+    items = [prose(rng, 24) for _ in range(4)]
+    texts = []
+    for i in range(90):
+        own = [rng.choice(lines) if rng.random() < 0.5 else prose(rng, rng.randint(1, 14)) for _ in range(rng.randint(1, 6))]
+        if i % 9 == 0:
+            own.append(items[i % 4])
+        if i % 11 == 0 and texts:
+            own = (texts[rng.randrange(len(texts))] or "x").split("\n")
+            own[-1] += rng.choice(["", "x", " one more word"])
+        texts.append("\n".join(own))
+    texts += [None, "", "\n", "### ###", texts[3], "junk### " * 30]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 1), (None, texts[5], "de", "t", 2), (7, None, None, None, None)]
+    top = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame([(i, int("###" not in (t or "")), 0) for i, t in enumerate(texts) if i % 2], "doc_id bigint, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{top}/benchmark.parquet")
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), str(top)
+
+
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_first_stage_by_brute_force(spark, fixture):
+    docs, top = fixture
+    kept = {(r.id, r.th) for r in quality.resample(docs, spark.read.parquet(f"{top}/labels.parquet")).collect() if r.kept}
+    named = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    want = sorted(repr(r) for r, n in zip(docs.collect(), named.collect(), strict=True) if (n.doc_id, n.th) in kept)
+    got = corpus_pipeline.quality_classifier(spark, docs, top)
+    assert rows_of(got) == want and got.columns == docs.columns
+    assert not got.filter("text LIKE 'junk###%'").count()
+
+
+def test_line_stage_by_brute_force(spark, fixture):
+    docs, top = fixture
+    rows = docs.collect()
+    place = lambda r: (r.doc_id is None, r.doc_id or 0)
+    named = {(r.doc_id, r.text or ""): [] for r in rows}
+    first = {}
+    order = sorted({(place(r), r.text or "") for r in rows if r.text}, key=lambda x: x[0])
+    for _, text in order:
+        for line in text.split("\n"):
+            if line.strip():
+                first.setdefault(line, len(first))
+    near = {x for x in first for y in first if len(x) >= 20 and len(y) >= 20 and first[y] < first[x] and within_one_edit(x, y)}
+    seen, want = set(), {}
+    for key, text in order:
+        kept = []
+        for line in text.split("\n"):
+            if not line.strip() or line not in seen and line not in near:
+                kept.append(line)
+            seen.add(line)
+        want[key, text] = "\n".join(kept)
+    out = []
+    for r in rows:
+        text = r.text or ""
+        new = want.get((place(r), text), text)
+        if new == text:
+            out.append(repr(tuple(r)))
+        elif new.strip():
+            out.append(repr((r.doc_id, new, r.lang, r.source, len(new))))
+    assert named
+    got = corpus_pipeline.line_deduplication(spark, docs, top)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(out)
+
+
+def test_near_duplicate_stage_by_brute_force(spark, fixture):
+    docs, top = fixture
+    texts = {}
+    for r in docs.collect():
+        key = r.text or ""
+        texts[key] = min(texts.get(key, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    names = [t for t in texts if shingles(t)]
+    root = {t: t for t in names}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for a in names:
+        for b in names:
+            if a != b and len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) >= 0.8 - 1e-9:
+                x, y = sorted((find(a), find(b)), key=texts.get)
+                root[y] = x
+    got = corpus_pipeline.near_duplicates(spark, docs, top)
+    kept = {r.text or "" for r in got.collect()}
+    assert {t for t in kept if shingles(t)} == {t for t in names if find(t) == t}
+    wordless = [t for t in texts if not shingles(t)]
+    assert {t for t in kept if not shingles(t)} == set(wordless)
+    assert got.filter(F.length("text") > 8).groupBy("text").count().filter("count > 1").count() == 0
+
+
+def test_decontamination_stage_by_brute_force(spark, fixture):
+    docs, top = fixture
+    items = [r.text.split() for r in spark.read.parquet(f"{top}/benchmark.parquet").collect()]
+    leaked = lambda t: any(sum(n for _, _, n in greedy_tiles((t or "").replace("\n", " ").lower().split(), i, 5)) >= len(i) / 2 for i in items)
+    want = sorted(repr(r) for r in docs.collect() if not leaked(r.text))
+    assert rows_of(corpus_pipeline.benchmark_decontamination(spark, docs, top)) == want
+    assert len(want) < docs.count() - 5
+
+
+def test_packing_stage_by_brute_force(spark, fixture):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs, top = fixture
+    docs = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {}
+    for r in corpus_pipeline.pack(spark, docs, top).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for r in docs.collect():
+        ids, at = [*t.encode(r.text or "", add_special_tokens=False).ids, 1], 0
+        for start, length, crc in sorted(got.pop(r.doc_id)):
+            assert start == at and crc == zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    assert not got
