@@ -5,7 +5,7 @@ Lines within one edit agree on all but one of a few segments, so each line first
 under its own length and the next; only where different lines share a key are variants made: the key with every single
 character of the segment deleted. Equal variants at one position are replacements of each other; a variant equal to a shorter line is an
 insertion. Variants meet in aggregates that keep the earliest line, never in pairs, and what they suggest is verified by the edit
-distance of the lines themselves.
+distance of the lines themselves. Long lines are cut into few segments first, and those that are shared are cut again.
 
 Defined results. A null text counts as empty. Lines end at a newline. Lines under `shortest` characters have no near match; those under
 `exact` characters, and blank ones under `shortest`, always stay. Null
@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, fresh, keyed, materialize
 
 SHORTEST, SEGMENT = 20, 192
+#: A line is cut into at most this many segments; those of long lines are cut again, so that keys cost time in proportion to a line's length.
+PARTS = 32
+#: Up to this many characters the library's edit distance is taken; its time grows with the square of the length.
+MEASURED = 1000
 
 
 def _lines(rows: DataFrame, shortest: int, exact: int) -> DataFrame:
@@ -34,21 +38,53 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos")
 
 
+def _cuts(length: str, segment: int) -> str:
+    """SQL of the segments (c, b, e) of a class of lines of this length c: each from b to e."""
+    n = f"least({PARTS}, greatest(3, cast(ceil({length} / {segment}) as int)))"
+    return f"transform(sequence(0, {n} - 1), s -> named_struct('c', {length}, 'b', cast(floor(s * cast({length} as bigint) / {n}) as int), 'e', cast(floor((s + 1) * cast({length} as bigint) / {n}) as int)))"
+
+
 def _anchors(lines: DataFrame, segment: int) -> DataFrame:
-    """A row for each class (own length, or one more) and segment: key of the class and all the line but the segment, long (own length), segment."""
-    cuts = f"""explode(flatten(transform(array(n, n + 1), c -> transform(sequence(0, greatest(3, cast(ceil(c / {segment}) as int)) - 1),
-               s -> named_struct('c', c, 'b', cast(floor(s * c / greatest(3, ceil(c / {segment}))) as int), 'e', cast(floor((s + 1) * c / greatest(3, ceil(c / {segment}))) as int))))))"""
-    out = lines.withColumn("at", F.expr(cuts))
+    """A row for each class (own length, or one more) and segment: key of the class and all the line but the segment, long (own length), seg (the segment)."""
+    out = lines.withColumn("at", F.expr(f"explode(concat({_cuts('n', segment)}, {_cuts('(n + 1)', segment)}))"))
     key = F.expr("xxhash64(at.c, at.b, substring(line, 1, at.b), substring(line, n - (at.c - at.e) + 1))")
     return out.withColumn("key", key).withColumn("long", F.col("at.c") == F.col("n")).withColumn("seg", F.expr("substring(line, at.b + 1, n - at.b - (at.c - at.e))")).drop("at")
 
 
+def _finer(near: DataFrame, segment: int) -> DataFrame:
+    """Rows of near with their segments cut again, where different lines still share the key. Lines that share several keys (those of one sign, say) go on with one."""
+    own = F.xxhash64("h1", "h2", "long").cast("decimal(38,0)")
+    groups = near.groupBy("key").agg(F.count("*").alias("n"), F.sum(own).alias("s"), F.min(own).alias("lo"), F.max(own).alias("hi"))
+    near = near.join(groups.groupBy("n", "s", "lo", "hi").agg(F.min("key").alias("key")).select("key"), "key")
+    t = near.withColumn("m", F.length("seg")).withColumn("at", F.expr(f"explode({_cuts('(length(seg) + if(long, 0, 1))', segment)})"))
+    key = F.expr("xxhash64(key, at.c, at.b, substring(seg, 1, at.b), substring(seg, m - (at.c - at.e) + 1))")
+    t = t.select(key.alias("key"), "h1", "h2", "place", F.expr("substring(seg, at.b + 1, m - at.b - (at.c - at.e))").alias("seg"), "long").dropDuplicates(["key", "h1", "h2"])
+    t = materialize(t, "finer")
+    shared = t.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("long").alias("long")).filter("lo <> hi AND long").select("key")
+    return t.join(shared, "key")
+
+
+def _within_one_edit(a: str, b: str) -> Column:
+    """The edit distance is 0 or 1: measured, or, of long lines, told by what is equal before and after the first difference, which is sought by halves."""
+    same = f"aggregate(transform(sequence(0, 30), k -> shiftleft(1, 30 - k)), 0, (x, w) -> if(x + cast(w as bigint) <= least(length({a}), length({b})) AND substring({a}, 1, x + w) = substring({b}, 1, x + w), x + w, x))"
+    rest = f"""CASE length({a}) - length({b}) WHEN 0 THEN substring({a}, same + 2) = substring({b}, same + 2) WHEN 1 THEN substring({a}, same + 2) = substring({b}, same + 1)
+               WHEN -1 THEN substring({a}, same + 1) = substring({b}, same + 2) ELSE false END"""
+    return F.expr(f"CASE WHEN greatest(length({a}), length({b})) <= {MEASURED} THEN levenshtein({a}, {b}, 1) BETWEEN 0 AND 1 ELSE element_at(transform(array({same}), same -> {rest}), 1) END")
+
+
 def near_lines(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(h1, h2) of each line that has an earlier one at an edit distance of exactly one."""
     keys = _anchors(lines, segment).groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("long").alias("long"))
     keys = materialize(keys.filter("lo <> hi AND long").select("key"), "anchors")
     near = _anchors(lines, segment).join(broadcast_if_small(keys, 8), "key").groupBy("key", "h1", "h2").agg(F.min(_place()).alias("place"), F.any_value("line").alias("line"), F.any_value("seg").alias("seg"), F.any_value("long").alias("long"))
     near = materialize(near, "near")
+    whole = near.groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
+    coarse = near = near.drop("line")
+    # Both sides of an insertion are cut again, or neither.
+    cut_again = F.expr(f"length(seg) + if(long, 0, 1) > {segment}")
+    while not (coarse := coarse.filter(cut_again)).isEmpty():
+        coarse = materialize(_finer(coarse, segment), "near")
+        near = near.filter(~cut_again).unionByName(coarse)
     # kind 1: replacements; 2 and 3: the longer and the shorter line of an insertion.
     deleted = "concat(substring(seg, 1, i), substring(seg, i + 2))"
     variants = f"""explode(if(long,
@@ -60,9 +96,8 @@ def near_lines(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     firsts = made.groupBy("v").agg(*by_kind, F.count("*").alias("n")).filter("n > 1").drop("n")
     earlier = F.expr("CASE kind WHEN 1 THEN first1 WHEN 2 THEN first3 ELSE first2 END")
     pairs = made.join(firsts, "v").withColumn("other", earlier).filter("other.place < own.place").select("own.h1", "own.h2", F.col("other.h1").alias("g1"), F.col("other.h2").alias("g2")).distinct()
-    whole = near.groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
     other = whole.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other"))
-    checked = pairs.join(whole, ["h1", "h2"]).join(other, ["g1", "g2"]).filter(F.levenshtein("line", "other", 1).between(0, 1))
+    checked = pairs.join(whole, ["h1", "h2"]).join(other, ["g1", "g2"]).filter(_within_one_edit("line", "other"))
     return checked.select("h1", "h2").distinct()
 
 

@@ -625,6 +625,41 @@ def test_lines_by_brute_force(spark):
     assert {i: t or "" for i, t in got.items()} == want
 
 
+def test_lines_of_a_megabyte(spark):
+    """Long lines within one edit go, wherever the edit stands; at a distance of two they stay."""
+    rng = random.Random(53)
+    a = prose(rng, 200_000)
+    n = len(a)
+    assert n > 1_000_000
+    texts = [a, a[: n // 3] + "Q" + a[n // 3 :], a[: n - 5] + a[n - 4 :], "Z" + a[1:], a[:7000] + "QQ" + a[7000:], a[:90_000], a[:6200], a[:3000] + "Q" + a[3001:6200], a[:6000] + "R" + a[6000:6200], "y" * 300_000, "y" * 300_001, "y" * 300_003]
+    got = {r.doc_id: r.removed_lines for r in line_dedup.line_dedup(docs_of(spark, texts)).select("doc_id", "removed_lines").collect()}
+    assert [i for i in got if got[i]] == [1, 2, 3, 7, 8, 10]
+
+
+@pytest.mark.parametrize("parts", [3, 32])
+def test_lines_cut_in_levels_by_brute_force(spark, monkeypatch, parts):
+    """Segments of six characters, cut over and over, and the edit check of long lines, find what plain comparison finds."""
+    monkeypatch.setattr(line_dedup, "PARTS", parts)
+    monkeypatch.setattr(line_dedup, "MEASURED", 0)
+    rng = random.Random(67)
+    base = [prose(rng, rng.randint(10, 40)) for _ in range(6)] + ["a" * 120, "ab" * 90]
+    lines = []
+    for _ in range(120):
+        x = rng.choice(base)
+        k = rng.randrange(len(x))
+        lines.append(rng.choice([x, x[:k] + x[k + 1 :], x[:k] + "Q" + x[k:], x[:k] + rng.choice("ab") + x[k + 1 :], x[:k] + "ZZ" + x[k:]]))
+    first = {line: i for i, line in reversed(list(enumerate(lines)))}
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        a, b = sorted((a, b), key=len)
+        p = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+        return a[p + (len(a) == len(b)) :] == b[p + 1 :]
+    want = {i for i, x in enumerate(lines) if first[x] < i or any(first[y] < first[x] and near(x, y) for y in first)}
+    got = line_dedup.line_dedup(docs_of(spark, lines), segment=6).filter("removed_lines > 0").select("doc_id").collect()
+    assert {r.doc_id for r in got} == want and 20 < len(want) < 110
+
+
 def test_short_lines_that_repeat_go(spark):
     long = "a line of more than twenty characters"
     texts = ["short\n\n \nshort\n" + long, "", "\nshor\nshort\n" + long + "s", None, "x\nx"]
