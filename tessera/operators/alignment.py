@@ -1,12 +1,13 @@
-"""Speech detection and alignment of text sections to intervals: one recording is one group of a grouped map."""
+"""Speech detection and alignment of text sections to intervals: one recording is one row, with its targets in a list."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -231,39 +232,45 @@ def regions_of(duration: float, intervals: list[tuple[float, float]] | None, wei
     return [(bounds[i], bounds[i + 1], i, 0.52, "boundaries") for i in range(n)]
 
 
-def auto_align(recordings: DataFrame, targets: DataFrame, key: str = "audio_id") -> DataFrame:
-    """Regions of each recording (key, duration, speech: its intervals or null) for its targets (key, ord, syllables, beats, pause_after)."""
+def _with_targets(recordings: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """(key, duration, speech, targets): a row per recording, with the list of its targets in order."""
+    listed = targets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("syllables", F.lit(0)).cast("double").alias("syllables"), F.coalesce("beats", F.lit(0.0)).cast("double").alias("beats"), F.coalesce("pause_after", F.lit(False)).alias("pause_after")))).alias("targets"))
+    return recordings.join(listed, key).select(key, F.col("duration").cast("double").alias("duration"), "speech", "targets")
+
+
+def _each(rows: DataFrame, one: Callable[[float, list | None, np.ndarray, np.ndarray, np.ndarray], list[tuple]], key: str, schema: str) -> DataFrame:
+    """The rows that `one` gives for each row of _with_targets(), after its key; one: of duration, intervals, weights, syllables, pause hints."""
+    names = [key, *(c.split(" ")[0] for c in schema.split(", "))]
 
-    def one(k: tuple, audio: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
-        columns = [key, *(c.split(" ")[0] for c in REGION.split(", "))]
-        if not len(audio) or not len(text):
-            return pd.DataFrame(columns=columns)
-        text = text.sort_values("ord")
-        syllables = text["syllables"].fillna(0).to_numpy(float)
-        syllables = np.where(syllables > 0, syllables, 1.0)
-        beats = text["beats"].fillna(0).to_numpy(float)
-        row = audio.iloc[0]
-        intervals = None if row["speech"] is None else [(s["start"], s["end"]) for s in row["speech"]]
-        found = regions_of(float(row["duration"]), intervals, np.where(beats > 0, beats, syllables), syllables, text["pause_after"].fillna(False).to_numpy(bool))
-        return pd.DataFrame([(k[0], float(a), float(b), int(i), float(c), m) for a, b, i, c, m in found], columns=columns)
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for k, duration, speech, text in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                syllables = np.array([t["syllables"] for t in text])
+                syllables = np.where(syllables > 0, syllables, 1.0)
+                beats = np.array([t["beats"] for t in text])
+                intervals = None if speech is None else [(s["start"], s["end"]) for s in speech]
+                found = one(duration, intervals, np.where(beats > 0, beats, syllables), syllables, np.array([t["pause_after"] for t in text], bool))
+                keys += [k.as_py()] * len(found)
+                out += found
+            kinds = {"double": pa.float64(), "int": pa.int32(), "string": pa.string()}
+            columns = [pa.array(c, kinds[x.split(" ")[1]]) for c, x in zip(zip(*out, strict=True) if out else [()] * (len(names) - 1), schema.split(", "), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *columns], names=names)
 
-    kind = dict(recordings.dtypes)[key]
-    return recordings.groupBy(key).cogroup(targets.groupBy(key)).applyInPandas(one, f"{key} {kind}, {REGION}")
+    return rows.mapInArrow(f, f"{key} {dict(rows.dtypes)[key]}, {schema}")
+
+
+def auto_align(recordings: DataFrame, targets: DataFrame, key: str = "audio_id") -> DataFrame:
+    """Regions of each recording (key, duration, speech: its intervals or null) for its targets (key, ord, syllables, beats, pause_after)."""
+    return _each(_with_targets(recordings, targets, key), regions_of, key, REGION)
 
 
 def boundaries(recordings: DataFrame, targets: DataFrame, key: str = "audio_id") -> DataFrame:
     """(key, n, desired, picked): for each expected boundary between targets the gap of the recording's speech that pick_boundaries takes; tables as for auto_align."""
 
-    def one(k: tuple, audio: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
-        columns = [key, "n", "desired", "picked"]
-        if not len(audio) or not len(text):
-            return pd.DataFrame(columns=columns)
-        syllables = text.sort_values("ord")["syllables"].fillna(0).to_numpy(float)
-        row = audio.iloc[0]
-        intervals = None if row["speech"] is None else [(s["start"], s["end"]) for s in row["speech"]]
-        middles, edges = boundary_times(float(row["duration"]), intervals, np.where(syllables > 0, syllables, 1.0))
+    def one(duration: float, intervals: list | None, weights: np.ndarray, syllables: np.ndarray, hints: np.ndarray) -> list[tuple]:
+        middles, edges = boundary_times(duration, intervals, syllables)
         desired = edges[1:-1].tolist()
-        return pd.DataFrame([(k[0], i, d, float(p)) for i, (d, p) in enumerate(zip(desired, pick_boundaries(middles, desired), strict=True))], columns=columns)
+        return [(i, d, float(p)) for i, (d, p) in enumerate(zip(desired, pick_boundaries(middles, desired), strict=True))]
 
-    kind = dict(recordings.dtypes)[key]
-    return recordings.groupBy(key).cogroup(targets.groupBy(key)).applyInPandas(one, f"{key} {kind}, n int, desired double, picked double")
+    return _each(_with_targets(recordings, targets, key), one, key, "n int, desired double, picked double")
