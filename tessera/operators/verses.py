@@ -12,6 +12,8 @@ from ..functions import text as T
 # The end of a verse, footers, accents of the source script.
 VERSE_END = rf"[।॥]{C.WS}*[0-9०-९][.0-9०-९]*{C.WS}*॥?{C.WS}*$"
 FOOTERS = ("encoded", "proofread", "send corrections", "sanskritdocuments.org", "last updated", "latest update", "% text title", "% file name")
+# A heading, its level and inside.
+HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
 ACCENTED = r"[\x{951}\x{952}\x{1cda}]"
 
 
@@ -68,8 +70,7 @@ def verse_zip(devanagari: Column, transliteration: Column, translation: Column)
 
 def headings(html: Column) -> Column:
     """(id, level, text) of a page's headings, in order."""
-    pattern = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
-    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), 1).alias("level"), F.regexp_extract_all(html, F.lit(pattern), 2).alias("inner"))
+    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(HEADING), 1).alias("level"), F.regexp_extract_all(html, F.lit(HEADING), 2).alias("inner"))
 
     def one(h: Column, i: Column) -> Column:
         text = T.trim_ws(F.regexp_replace(h["inner"], "<[^>]+>", ""))

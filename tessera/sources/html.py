@@ -12,7 +12,7 @@ from pyspark.sql.functions import udtf
 
 from ..functions import text as T
 
-# A paragraph, its class and inside; the forms of a line break that are read; the tags of runs.
+# A paragraph, its class and inside; the forms of a line break that are read.
 PARAGRAPH = r"""(?is)<p(?:\s+class=["']([^"']*)["'])?\s*>(.*?)</p>"""
 BREAK = "<br>|<br/>|<br />"
 
@@ -25,6 +25,7 @@ def paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
     return out.select(key, "para_no", F.filter(F.split("p.classes", r"\s+"), lambda c: c != "").alias("classes"), F.col("p.inner").alias("inner"))
 
 
+# The tags whose formats runs carry, text between them, and the class of a span.
 _TOKEN = re.compile(r"<(/?)(strong|em|u|sup|sub|span)([^>]*)>|([^<]+)", re.I | re.S)
 _CLASS = re.compile(r"""class=["']([^"']*)["']""")
 RUN = "run_no int, text string, bold boolean, italic boolean, underline boolean, superscript boolean, subscript boolean, classes array<string>"
@@ -78,6 +79,10 @@ def links(pages: DataFrame, key: str, html: str, folder: str) -> DataFrame:
     return out.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY {key}, href ORDER BY pos)")).filter("rank = 1").drop("rank")
 
 
+# A block whose class holds a name (put in for %s), up to the first closing tag.
+BLOCK = r"""(?is)<div[^>]*class=["'][^"']*%s[^"']*["'][^>]*>(.*?)</div>"""
+
+
 def blocks(html: Column, name: str) -> Column:
     """The insides of <div>s whose class holds a name, up to the first closing tag."""
-    return F.regexp_extract_all(html, F.lit(rf"""(?is)<div[^>]*class=["'][^"']*{name}[^"']*["'][^>]*>(.*?)</div>"""), 1)
+    return F.regexp_extract_all(html, F.lit(BLOCK % re.escape(name)), 1)
