@@ -186,6 +186,14 @@ def clone_name(name: Column) -> Column:
     return F.concat(base, F.lit(" copy"), ext)
 
 
+def path_form(path: Column) -> Column:
+    """A path without empty and "." parts, with each ".." taken back, its case kept; relative ones from the root, as an absolute path is made of them there."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    # An array that grows by parts and loses its last at "..".
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).otherwise(F.array_append(done, p)))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def norm_path(path: Column) -> Column:
     return F.lower(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+", "/"))
 

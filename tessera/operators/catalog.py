@@ -64,7 +64,7 @@ def recents_search(recents: DataFrame, query: str, current: str | None = None) -
 
 def recents_clean(recents: DataFrame) -> DataFrame:
     """Entries with a path, missing times being 0."""
-    return recents.filter(F.coalesce("path", F.lit("")) != "").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("last_accessed", "last_saved")})
+    return recents.filter(F.trim(F.coalesce("path", F.lit(""))) != "").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("last_accessed", "last_saved")})
 
 
 def recents_remove(recents: DataFrame, gone: DataFrame) -> DataFrame:
@@ -90,13 +90,19 @@ def preview(items: Column, most: int = 3) -> Column:
     return F.concat(F.array_join(F.slice(items, 1, most), "|"), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise(F.lit("")))
 
 
-def recents_upsert(recents: DataFrame, path: str, event: str, now: int, most: int = 50) -> DataFrame:
-    """The list with a path moved to its head; opening and saving each set their own time, importing none."""
-    mine = T.norm_path(F.col("path")) == T.norm_path(F.lit(path))
-    old = recents.filter(mine).agg(F.max("last_accessed").alias("a"), F.max("last_saved").alias("s"))
-    stamp = lambda kind, column: F.lit(now).cast("bigint") if event == kind else F.coalesce(column, F.lit(0)).cast("bigint")
-    head = old.select(F.lit(-1).alias("ord"), F.lit(path).alias("path"), stamp("open", F.col("a")).alias("last_accessed"), stamp("save", F.col("s")).alias("last_saved"))
-    return head.unionByName(recents.filter(~mine).select("ord", "path", "last_accessed", "last_saved")).orderBy("ord").limit(most)
+def recents_upsert(recents: DataFrame, path: str, event: str, now: int, most: int | None = 50) -> DataFrame:
+    """(ord, path, last_accessed, last_saved): the list with a path moved to its head; opening and saving each set their own time, importing none.
+
+    Paths are compared and the new one is stored in normal form (T.path_form: no empty, "." or ".." parts), with their case: entries that differ in case
+    are two. Without `most` the rows come in no order, ord telling theirs, and nothing is sorted.
+    """
+    mine = T.path_form(F.col("path")) == T.path_form(F.lit(path))
+    # The first entry of the path, as it is found from the head; an empty list gives none.
+    old = recents.filter(mine).agg(F.min_by(F.struct("last_accessed", "last_saved"), "ord").alias("o"))
+    stamp = lambda kind, column: F.lit(now).cast("bigint") if event == kind else F.coalesce(F.col(column), F.lit(0)).cast("bigint")
+    head = old.select(F.lit(-1).cast("bigint").alias("ord"), T.path_form(F.lit(path)).alias("path"), stamp("open", "o.last_accessed").alias("last_accessed"), stamp("save", "o.last_saved").alias("last_saved"))
+    out = head.unionByName(recents.filter(~mine).select(F.col("ord").cast("bigint").alias("ord"), "path", "last_accessed", "last_saved"))
+    return out if most is None else out.orderBy("ord").limit(most)
 
 
 def library_order(nodes: DataFrame) -> DataFrame:
@@ -160,8 +166,9 @@ def svara_plan(plan: Column) -> Column:
     """(pos, mark) of a plan such as 2, svarita, 4, svarita, by position from 1; the last mark of a position counts."""
     pattern = "([0-9]+)([\\x{331}\\x{30d}\\x{30e}\\x{2ce}·])"
     both = F.arrays_zip(F.transform(F.regexp_extract_all(plan, F.lit(pattern), 1), lambda p: p.cast("int")).alias("pos"), F.regexp_extract_all(plan, F.lit(pattern), 2).alias("mark"))
-    last = F.filter(both, lambda e, i: (e["pos"] > 0) & ~F.exists(F.slice(both, i + 2, F.size(both)), lambda later: later["pos"] == e["pos"]))
-    return F.array_sort(last)
+    last = lambda b: F.filter(b, lambda e, i: (e["pos"] > 0) & ~F.exists(F.slice(b, i + 2, F.size(b)), lambda later: later["pos"] == e["pos"]))
+    # The list is bound by a lambda, so that it is made once.
+    return F.get(F.transform(F.array(both), lambda b: F.array_sort(last(b))), F.lit(0))
 
 
 # Metres, as syllables of the two halves and the plan of marks.

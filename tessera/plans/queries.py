@@ -16,6 +16,7 @@ from ..functions import phonology as P
 from ..functions import text as T
 from ..operators import alignment as A
 from ..operators import catalog as K
+from ..operators import formats
 from ..operators import intervals as I
 from ..operators import verses as L
 from ..sources import container, docx, documents, html
@@ -89,10 +90,19 @@ on("escape_html", PAGES, "page_id", lambda: F.md5(T.escape_html(F.col("html"))),
 STYLE_ROWS = [(1, '{"doc-title":{"color":"red","fontSize":"12pt"},"other":{"color":"blue"}}'), (2, '{"doc-section":{"textAlign":"center"},"doc-title":{}}'), (3, None)]
 fixed("style_css", STYLE_ROWS, "id int, styles string", lambda t: t.select("id", F.coalesce(documents.style_css(F.from_json("styles", f"map<string,{documents.STYLE}>")), F.lit("")).alias("value")),
       "SELECT id, " + " || ".join(f"coalesce('.ql-{k} {{ ' || nullif(concat_ws('; ', " + ", ".join(f"'{css}: ' || nullif(styles ->> '$.\"{k}\".{field}', '')" for css, field in documents.PROPERTIES) + f"), '') || '; }}' || chr(10), '')" for k in documents.STYLE_KEYS) + " AS value FROM fx")
+PAGE_SQL = [f"'{x}'".replace("\n", "' || chr(10) || '") for x in documents.PAGE]
 add("to_html", lambda s, d: _pages(table(s, d, DOCS)).select("doc_id", F.md5("page").alias("value")),
-    """SELECT doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html lang="en" data-theme="light">' || chr(10) || '<head>' || chr(10) || '<meta charset="UTF-8">' || chr(10) || '<title>' || source || '</title>' || chr(10) || '<style>' || chr(10) || '</style>' || chr(10)
-       || '</head>' || chr(10) || '<body>' || chr(10) || '<div class="ql-editor">' || text || '</div>' || chr(10) || '</body>' || chr(10) || '</html>') AS value FROM documents""")
-add("from_html", lambda s, d: _pages(table(s, d, DOCS)).select("doc_id", documents.from_html(F.col("page")).alias("d")).select("doc_id", F.md5("d.content").alias("content"), "d.title", "d.theme"), "SELECT doc_id, md5(text) AS content, source AS title, 'light' AS theme FROM documents")
+    f"SELECT doc_id, md5({PAGE_SQL[0]} || source || {PAGE_SQL[1]} || chr(10) || chr(10) || chr(10) || {PAGE_SQL[2]} || 'light' || {PAGE_SQL[3]} || text || {PAGE_SQL[4]}) AS value FROM documents")
+# Pages in that form, whose parts are known: nested blocks, a second editor block, a script that shows one, attachments of which two in three lack an id or a source.
+ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+SOUNDS = """CASE doc_id % 3 WHEN 0 THEN '<div title="a > b" class="x ql-audio-attachment" data-audio-id="a' || doc_id || '" data-audio-label="&quot;' || source || '&quot;" data-start-time="1.5s" data-duration=' || doc_id || '><div><audio src="data:' || lang || '"></audio></div></div>'
+    WHEN 1 THEN '<div class="ql-audio-attachment" data-audio-src="x"></div>' ELSE '<span class="ql-audio-attachment" data-audio-id="b"></span>' END"""
+CONTENT = f"""'<p>' || {ESCAPED} || '</p><DIV class="box"><div>' || source || '</div><!-- </div> --></DIV>' || {SOUNDS} || '<br/>'"""
+SECOND = """'</div><div class="ql-editor"><p>second</p>'"""
+WHOLE = f"""{PAGE_SQL[0]} || 'T &amp; ' || source || {PAGE_SQL[1]} || '</style><script>x = "<div class=ql-editor>no</div>"</script><style>' || {PAGE_SQL[2]} || lang || {PAGE_SQL[3]} || '  ' || {CONTENT} || chr(10) || {SECOND} || {PAGE_SQL[4]}"""
+add("from_html", lambda s, d: table(s, d, DOCS).select("doc_id", documents.from_html(F.expr(WHOLE.replace("chr(10)", "'\n'"))).alias("d")).select("doc_id", F.md5("d.content").alias("content"), "d.title", "d.theme", F.explode_outer("d.attachments").alias("a")).select("doc_id", "content", "title", "theme", "a.id", "a.label", "a.src", "a.startTime", "a.endTime", "a.duration"),
+    f"""SELECT doc_id, md5({CONTENT}) AS content, 'T & ' || source AS title, lang AS theme, CASE WHEN doc_id % 3 = 0 THEN 'a' || doc_id END AS id, CASE WHEN doc_id % 3 = 0 THEN '"' || source || '"' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'data:' || lang END AS src,
+        CASE WHEN doc_id % 3 = 0 THEN 1.5::DOUBLE END AS startTime, NULL::DOUBLE AS endTime, CASE WHEN doc_id % 3 = 0 THEN doc_id::DOUBLE END AS duration FROM documents""")
 
 
 def _pages(docs: DataFrame) -> DataFrame:
@@ -303,18 +313,13 @@ _own_recents = lambda s, d: table(s, d, "orders").select(F.col("o_custkey").alia
 add("recents_rank", lambda s, d: K.recents_rank(_own_recents(s, d), "owner").select("owner", "ord", "rank"), "SELECT o_custkey AS owner, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY greatest(o_orderkey * 37 % 101, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey * 53 % 89 ELSE 0 END) DESC, o_orderkey) AS rank FROM orders")
 # ---- sorts, limits, top-k ----------------------------------------------------------------------------------------------------
 add("recents_topk", lambda s, d: K.recents_topk(_recents(s, d)).select("ord", "path", "seen"), f"SELECT ord, path, greatest(last_accessed, last_saved) AS seen FROM {RECENTS_SQL} ORDER BY seen DESC, ord LIMIT 20")
-add("recents_cap", lambda s, d: K.recents_upsert(_recents(s, d), "Customer#000000003", "open", 1000).select("path", "last_accessed", "last_saved"),
-    f"SELECT path, last_accessed, last_saved FROM (SELECT -1 AS ord, 'Customer#000000003' AS path, 1000 AS last_accessed, coalesce(max(last_saved), 0) AS last_saved FROM {RECENTS_SQL} WHERE lower(path) = 'customer#000000003' UNION ALL SELECT * FROM {RECENTS_SQL} WHERE lower(path) <> 'customer#000000003') ORDER BY ord LIMIT 50")
+add("recents_cap", lambda s, d: K.recents_upsert(_recents(s, d), "/Customer#000000003", "open", 1000).select("path", "last_accessed", "last_saved"),
+    f"SELECT path, last_accessed, last_saved FROM (SELECT -1 AS ord, '/Customer#000000003' AS path, 1000 AS last_accessed, coalesce(max(last_saved), 0) AS last_saved FROM {RECENTS_SQL} WHERE path = 'Customer#000000003' UNION ALL SELECT * FROM {RECENTS_SQL} WHERE path <> 'Customer#000000003') ORDER BY ord LIMIT 50")
 add("media_sort", lambda s, d: K.media_sort(table(s, d, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey")
 add("library_order", lambda s, d: K.library_order(K.library_tree(table(s, d, DOCS).select(path().alias("path")))).select("path", "is_folder"), f"SELECT path, f AS is_folder FROM (SELECT DISTINCT array_to_string(p[1:i], '/') AS path, p[i] AS name, i < len(p) AS f FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT string_split(substr({PATHS_SQL}, 2), '/') AS p FROM documents)))")
 fixed("region_sort", *FX, lambda t: I.region_sort(t).select("id"), "SELECT id FROM fx ORDER BY start, id")
 PLANS = [(n, p[2]) for n, p in K.METRES.items()] + [("last wins", "4̍2̱4̱0̍"), ("empty", "")]
 fixed("plan_sort", PLANS, "id string, plan string", lambda t: t.select("id", F.posexplode(K.svara_plan(F.col("plan"))).alias("n", "p")).select("id", "n", "p.pos", "p.mark"), "SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS n, pos, mark FROM (SELECT id, CAST(p AS INTEGER) AS pos, arg_max(m, k) AS mark FROM (SELECT id, generate_subscripts(a, 1) AS k, unnest(a) AS p, unnest(b) AS m FROM (SELECT id, regexp_extract_all(plan, '([0-9]+)([^0-9])', 1) AS a, regexp_extract_all(plan, '([0-9]+)([^0-9])', 2) AS b FROM fx)) WHERE p <> '0' GROUP BY 1, 2)")
-# Positions and marks put together at random, more than one for some positions.
-PLAN_TEXT = "array_join(transform(sequence(1, 1 + id % 9), j -> concat((id * j * 7 + j) % 23, element_at(array('\u030d', '\u0331', '\u030e', '\u02ce', '·', '?'), cast((id + j * j) % 6 AS int) + 1))), '')"
-add("auto_svara_plan", lambda s, d: s.range(2000).select("id", K.svara_plan(F.expr(PLAN_TEXT)).alias("p")).select("id", F.posexplode("p").alias("n", "p")).select("id", "n", "p.pos", "p.mark"),
-    """WITH m AS (SELECT id, j, (id * j * 7 + j) % 23 AS pos, (['\u030d', '\u0331', '\u030e', '\u02ce', '·', '?'])[(id + j * j) % 6 + 1] AS mark FROM (SELECT unnest(range(2000)) AS id) CROSS JOIN (SELECT unnest(range(1, 10)) AS j) WHERE j <= 1 + id % 9),
-       l AS (SELECT id, pos, arg_max(mark, j) AS mark FROM m WHERE pos > 0 AND mark <> '?' GROUP BY 1, 2) SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS n, CAST(pos AS INTEGER) AS pos, mark FROM l""")
 add("result_limit", lambda s, d: K.search(_catalog(s, d).withColumnsRenamed({"category": "romanized"}).withColumn("title", F.lit("")), "src").orderBy("pos").limit(50).select("pos"), "SELECT doc_id AS pos FROM documents WHERE source LIKE '%src%' ORDER BY doc_id LIMIT 50")
 on("preview_limit", DOCS, "doc_id", lambda: K.preview(F.split("text", " ")), "array_to_string(string_split(text, ' ')[1:3], '|') || CASE WHEN len(string_split(text, ' ')) > 3 THEN ' +' || (len(string_split(text, ' ')) - 3) ELSE '' END")
 on("timeline_step", "events", "event_id", lambda: K.timeline_step(F.col("value")), "coalesce((SELECT min(s) FROM (SELECT unnest([0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0]::DOUBLE[]) AS s) WHERE s >= value), 600.0::DOUBLE)")
@@ -325,20 +330,47 @@ fixed("vowel_union", [(1,)], "id int", lambda t: t.select(F.explode(F.array_unio
 fixed("invert_selection", [(1, 2.0, 3.0, 5.0), (2, 0.02, 4.0, 5.0), (3, 0.0, 5.0, 5.0)], "id int, a double, b double, d double", lambda t: t.select("id", F.explode(I.invert_selection(F.col("a"), F.col("b"), F.col("d"))).alias("p")).select("id", "p.start", F.col("p.end").alias("stop")), "SELECT id, 0.0::DOUBLE AS start, a AS stop FROM fx WHERE a > 0.05 UNION ALL SELECT id, b, d FROM fx WHERE d - b > 0.05")
 add("recents_remove", lambda s, d: K.recents_remove(_recents(s, d), table(s, d, "customer").filter("c_nationkey = 3").select(F.upper("c_name").alias("path"))).select("ord"), "SELECT c_custkey AS ord FROM customer WHERE c_nationkey <> 3")
 fixed("remove_selected", *FX, lambda t: K.remove_selected(t, t.filter("id IN (2, 5)").select("id")).select("id"), "SELECT id FROM fx EXCEPT SELECT unnest([2, 5])")
-# ---- texts made of every kind of sign, from a range --------------------------------------------------------------------------
+# ---- texts made of every kind of sign: each word of each document stands for one ----------------------------------------------
 SIGNS = [*C.VOWELS, *C.CONSONANTS, *"ḥṁrmaiāsśvy", " ", " ", " ", " ", "oṁ ", "\n", "|", "।", "॥", *C.SVARA, "\u0306", "m̐", "m̐g", "m̐gṁ", "̐", "jñ", "kṣ", "sv", "vy", "x"]
-SIGN_AT = f"(id * 7919 + j * j * 104729 + id * j * 31 + (id * j) % 97) % 1000003 % {len(SIGNS)}"
 TRADITIONS = ("yajurveda", "rigveda", "smriti")
+STRETCH = "(?:[^ \n]+[ \n]+){0,17}[^ \n]+"
+
+
+def word_at(n: int) -> str:
+    """Which of n things the word w stands for, from 0; reads alike in both dialects."""
+    return f"(ascii(w) * 31 + ascii(substr(w, 2)) * 7 + ascii(reverse(w)) * 131 + length(w)) % {n}"
+
+
+def stretches(s: SparkSession, d: str) -> DataFrame:
+    """(id, words): every document in stretches of up to 18 words."""
+    parts = table(s, d, DOCS).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(STRETCH), F.lit(0))).alias("k", "p"))
+    return parts.select((F.col("doc_id") * 100000 + F.col("k")).alias("id"), F.filter(F.split("p", "[ \n]+"), lambda w: w != "").alias("words"))
+
+
+STRETCHES = f"""sp AS (SELECT doc_id * 100000 + k - 1 AS id, list_filter(regexp_split_to_array(p, '[ \n]+'), lambda w: w <> '') AS words FROM (
+    SELECT doc_id, generate_subscripts(a, 1) AS k, unnest(a) AS p FROM (SELECT doc_id, regexp_extract_all(text, '{STRETCH}') AS a FROM documents)))"""
+
+
+def written(values: list[str]) -> tuple[str, str]:
+    """The text that a list of words stands for, in Spark's SQL and in DuckDB's."""
+    return (f"array_join(transform(words, w -> element_at(array({in_list(values)}), cast({word_at(len(values))} AS int) + 1)), '')", f"array_to_string(list_transform(words, lambda w: ([{in_list(values)}])[CAST({word_at(len(values))} AS INTEGER) + 1]), '')")
+
+
+# Positions and marks by the words of documents, more than one for some positions.
+MARKS = ("\u030d", "\u0331", "\u030e", "\u02ce", "·", "?")
+_planned = f"array_join(transform(words, w -> concat(length(w) * 7 % 23, element_at(array({in_list(MARKS)}), cast({word_at(6)} AS int) + 1))), '')"
+add("auto_svara_plan", lambda s, d: stretches(s, d).select("id", K.svara_plan(F.expr(_planned)).alias("p")).select("id", F.posexplode("p").alias("n", "p")).select("id", "n", "p.pos", "p.mark"),
+    f"""WITH {STRETCHES}, m AS (SELECT id, j, length(w) * 7 % 23 AS pos, ([{in_list(MARKS)}])[CAST({word_at(6)} AS INTEGER) + 1] AS mark FROM (SELECT id, generate_subscripts(words, 1) AS j, unnest(words) AS w FROM sp)),
+       l AS (SELECT id, pos, arg_max(mark, j) AS mark FROM m WHERE pos > 0 AND mark <> '?' GROUP BY 1, 2) SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS n, CAST(pos AS INTEGER) AS pos, mark FROM l""")
 
 
 def signs(s: SparkSession, d: str) -> DataFrame:
-    """(id, source, t): texts of 1 to 18 signs."""
-    word = f"array_join(transform(sequence(1, 1 + id % 18), j -> element_at(array({in_list(SIGNS)}), cast({SIGN_AT} AS int) + 1)), '')"
-    return s.range(6000).select("id", F.expr(f"element_at(array({in_list(TRADITIONS)}), cast(id % 3 AS int) + 1)").alias("source"), F.expr(word).alias("t"))
+    """(id, source, t): texts of up to 18 signs."""
+    return stretches(s, d).select("id", F.expr(f"element_at(array({in_list(TRADITIONS)}), cast(id % 3 AS int) + 1)").alias("source"), F.expr(written(SIGNS)[0]).alias("t"))
 
 
 # The same in SQL: texts; their characters with flags; what stands before and after each. Annotations are shown as U+E001 in t2.
-SIGNS_SQL = f"""fx AS (SELECT id, ([{in_list(TRADITIONS)}])[id % 3 + 1] AS source, array_to_string(list_transform(range(1, id % 18 + 2), lambda j: ([{in_list(SIGNS)}])[CAST({SIGN_AT} AS INTEGER) + 1]), '') AS t FROM (SELECT unnest(range(6000)) AS id)),
+SIGNS_SQL = f"""{STRETCHES}, fx AS (SELECT id, ([{in_list(TRADITIONS)}])[id % 3 + 1] AS source, {written(SIGNS)[1]} AS t FROM sp),
     t2 AS (SELECT *, replace(replace(replace(replace(t, 'm̐gṁ', repeat(chr(57345), 4)), 'm̐g', repeat(chr(57345), 3)), 'm̐', repeat(chr(57345), 2)), '̐', chr(57345)) AS t2 FROM fx),
     ch AS (SELECT id, source, t, t2, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS c, unnest(b) AS c2 FROM (SELECT *, string_split(t, '') AS a, string_split(t2, '') AS b FROM t2)),
     fl AS (SELECT *, NOT regexp_full_match(c2, '{WS}|[\\x{{300}}-\\x{{36f}}{C.SVARA}\\x{{e001}}]') AS letter FROM ch),
@@ -415,20 +447,7 @@ DEVA = [("अग्नि", "agni"), ("राम", "rāma"), ("पु॒", "pu̱
 _letters = {p["iast"]: p["devanagari"] for p in C.phonemes()}
 _marks = {v: x["devanagari"] for v, x in C.vowel_signs().items()}
 SYLLABLES = [(_letters[c] + mark, c + v) for c in _letters if c in C.CONSONANTS and c not in "ṁṃḥ" for v, mark in _marks.items()] + [(_letters[c] + C.VIRAMA["devanagari"] + " ", c + " ") for c in _letters if c in C.CONSONANTS and c not in "ṁṃḥ"] + [(_letters[v], v) for v in C.VOWELS] + [("ं", "ṁ"), ("ः", "ḥ"), ("ऽ", "'"), ("॒", "̱"), ("॑", "̍"), ("१२ ", "12 "), (" । ", " | "), ("ॐ ", "oṁ "), ("[abc]", "[abc]")]
-SYLLABLE_AT = f"(id * 7919 + j * j * 104729 + id * j * 31) % 1000003 % {len(SYLLABLES)}"
-add("deva_to_iast", lambda s, d: s.range(4000).select("id", V.deva_to_iast(F.expr(f"array_join(transform(sequence(1, 8), j -> element_at(array({in_list(x for x, _ in SYLLABLES)}), cast({SYLLABLE_AT} AS int) + 1)), '')")).alias("value")),
-    f"SELECT id, array_to_string(list_transform(range(1, 9), lambda j: ([{in_list(x for _, x in SYLLABLES)}])[CAST({SYLLABLE_AT} AS INTEGER) + 1]), '') AS value FROM (SELECT unnest(range(4000)) AS id)")
-fixed("annotation_to_deva", [*((c, _letters.get(c), None) for c in ("g", "u", "i", "r", "ś", "ṣ", "s", "ṅ", "ñ", "ṇ", "n", "m")), ("ग", None, "ग"), ("x", None, "x"), ("", None, "")], "a string, own string, same string", lambda t: t.select("a", V.annotation_to_deva(F.col("a")).alias("value")), "SELECT a, coalesce(same, CASE WHEN a IN ('g', 'u', 'i', 'r') THEN own ELSE own || chr(2381) END) AS value FROM fx")
-on("clean_filename", DOCS, "doc_id", lambda: F.md5(T.clean_filename(F.col(text))), "md5(translate(text, '<>:\"/\\|?*', '_________'))")
-on("clean_media_name", DOCS, "doc_id", lambda: F.md5(T.clean_media_name(F.col(text))), "md5(regexp_replace(text, '[^A-Za-z0-9_.-]', '_', 'g'))")
-on("clean_doc_name", DOCS, "doc_id", lambda: F.md5(T.clean_doc_name(F.col(text))), "md5(array_to_string(regexp_extract_all(text, '[a-zA-Z0-9_-]+'), ''))")
-add("dedup_filename", lambda s, d: K.dedup_filename(table(s, d, DOCS).select("doc_id", F.concat("source", F.lit(".txt")).alias("name")), "name", "doc_id").select("doc_id", "unique_name"), "SELECT doc_id, CASE WHEN k = 0 THEN source || '.txt' ELSE source || '_' || k || '.txt' END AS unique_name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)")
-on("clone_name", DOCS, "doc_id", lambda: T.clone_name(T.basename(path())), f"CASE WHEN regexp_matches(n, '(?i)[.](smdoc|html?)$') THEN regexp_replace(n, '(?i)([.](smdoc|html?))$', ' copy\\1') ELSE n || ' copy' END".replace("n,", f"(list_last(string_split({PATHS_SQL}, '/'))),").replace("ELSE n ||", f"ELSE (list_last(string_split({PATHS_SQL}, '/'))) ||"))
-on("basename", DOCS, "doc_id", lambda: T.basename(path()), f"list_last(string_split({PATHS_SQL}, '/'))")
-on("dirname", DOCS, "doc_id", lambda: T.dirname(path()), "'/Library/' || source")
-on("norm_path", DOCS, "doc_id", lambda: T.norm_path(F.concat(F.lit("C:\\\\X//"), path())), f"lower(regexp_replace(replace('C:' || chr(92) || chr(92) || 'X//' || {PATHS_SQL}, chr(92), '/'), '/+', '/', 'g'))")
-on("elide_path", DOCS, "doc_id", lambda: T.elide_path(F.col(text)), "CASE WHEN length(text) <= 72 THEN text ELSE substr(text, 1, 18) || '…' || right(text, 53) END")
-on("format_size", DOCS, "doc_id", lambda: T.format_size(F.length("text") * F.col("doc_id")), "CASE WHEN n = 0 THEN '' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) ELSE printf('%.1f MB', round(n / 1048576, 1)) END".replace("n ", "(length(text) * doc_id) "))
+add("deva_to_iast", lambda s, d: stretches(s, d).select("id", V.deva_to_iast(F.expr(written([x for x, _ in SYLLABLES])[0])).alias("value")), f"WITH {STRETCHES} SELECT id, {written([x for _, x in SYLLABLES])[1]} AS value FROM sp")
 on("format_ago", DOCS, "doc_id", lambda: T.format_ago(F.lit(1700000000) - F.col("doc_id") * 977, F.lit(1700000000)), "CASE WHEN a < 60 THEN 'Just now' WHEN a < 3600 THEN (a // 60) || ' min ago' WHEN a < 86400 THEN (a // 3600) || ' hours ago' WHEN a < 604800 THEN (a // 86400) || ' days ago' ELSE strftime(make_timestamp((1700000000 - a) * 1000000), '%Y-%m-%d') END".replace("a ", "(doc_id * 977) ").replace("- a)", "- doc_id * 977)"))
 REFERENCES = "<p>&eacute; &#233; &#xE9 &copyright &notin; &notit; &#128; &bogus; &amp;amp; &#1114112; & x &#39;</p>"
 on("html_to_text", PAGES, "page_id", lambda: F.md5(T.html_to_text(F.concat("html", F.lit(REFERENCES)))))
@@ -480,6 +499,13 @@ on_signs("visarga", lambda t: _edit_rows(t, P.visarga_edits(F.col("t"))).drop("s
 on_signs("rigveda_svarita", lambda t: t.select("id", T.rigveda_svarita(F.regexp_replace("t", "(..)", f"$1{C.SVARITA}")).alias("value")),
          f"""SELECT id, string_agg(CASE WHEN c = '{C.SVARITA}' AND (substr(y, pos, 1) IN ({in_list(v for v in C.LONG_VOWELS if len(v) == 1)}) OR pos > 1 AND substr(y, pos - 1, 2) IN ('ai', 'au', 'aṁ', 'iṁ', 'uṁ', 'ṛṁ', 'ḷṁ')) THEN '{C.UDATTA}' ELSE c END, '' ORDER BY pos) AS value
              FROM (SELECT id, y, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS c FROM (SELECT *, string_split(y, '') AS a FROM (SELECT id, regexp_replace(t, '(..)', '\\1{C.SVARITA}', 'g') AS y FROM fx))) GROUP BY id""")
+on_signs("rigveda_formats", lambda t: formats.giving_way(formats.svarita_formats(t, "id", text="t"), t.select("id", F.explode(P.clusters_of(F.col("t"))).alias("c")).select("id", "c.position"), "id"),
+    f"""SELECT id, CAST(pos AS INTEGER) AS position, 1 AS length, 'dirgha-char' AS format FROM (
+            SELECT id, pos, lead(c) OVER w AS mark, lag(c) OVER w AS back, c, (SELECT min(o.pos) FROM ch o WHERE o.id = ch.id AND o.pos > ch.pos + 1 AND NOT regexp_matches(o.c, '[\\x{{300}}-\\x{{36f}}]')) AS after FROM ch WINDOW w AS (PARTITION BY id ORDER BY pos)) v
+        WHERE c IN ('a', 'i', 'u', 'ṛ', 'ḷ') AND mark = '\u030d' AND NOT (c IN ('i', 'u') AND coalesce(back, '') = 'a') AND NOT EXISTS (SELECT 1 FROM hk WHERE hk.id = v.id AND hk.start = v.after)""", CLUSTERS_SQL)
+# Marks of accent that lie in a cluster, up to the consonant that is held.
+on_signs("format_spans", lambda t: formats.meeting(t.select("id", F.posexplode(F.split("t", "")).alias("position", "c")).filter(T.is_svara(F.col("c"))).select("id", "position", F.lit(1).alias("length")), t.select("id", F.explode(P.clusters_of(F.col("t"))).alias("c")).select("id", F.col("c.position").alias("position"), (F.col("c.held") + F.col("c.length") - F.col("c.position")).alias("length")), "id"),
+    "SELECT id, CAST(pos AS INTEGER) AS position, 1 AS length, (SELECT CAST(max(start) AS INTEGER) FROM hold WHERE hold.id = ch.id AND start <= pos AND held + hold.length > pos) AS span FROM ch WHERE unicode(c) IN (817, 781, 782, 718, 183)", CLUSTERS_SQL)
 on_signs("final_m_tick", lambda t: t.select("id", T.final_m_tick(F.col("t")).alias("value")),
          """SELECT id, string_agg(CASE WHEN tick THEN c || 'ˎ' ELSE c END, '' ORDER BY pos) AS value FROM (SELECT *, regexp_matches(left(t, pos + 1), 'm[\\x{300}-\\x{36f}]*$') AND NOT regexp_matches(substr(t, pos + 2), '^[\\x{300}-\\x{36f}]') AND regexp_matches(substr(t, pos + 2), '^[ \\t\\n\\x0b\\f\\r]*([\\n।॥]|$)') AS tick FROM ch) GROUP BY id""")
 on("syllable_count", DOCS, "doc_id", lambda: T.syllable_count(text), "length(regexp_replace(regexp_replace(lower(text), 'ai|au', 'a', 'g'), '[^aāiīuūṛṝḷḹeo]', '', 'g'))")
@@ -540,9 +566,15 @@ fixed("install_regions", *FX, lambda t: I.install_regions(_end(t), F.lit(2.5)).s
 fixed("uniform_confidence", RT, RT_SCHEMA, lambda t: K.uniform_confidence(_targets(t), _regions(t), "audio_id").select("audio_id", "ord", "status", F.col("confidence").alias("c")), "SELECT audio_id, ord, CASE WHEN m THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN m THEN 0.52::DOUBLE END AS c FROM (SELECT *, EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) AS m FROM fx t WHERE kind = 't')")
 # ---- catalog and streams -----------------------------------------------------------------------------------------------------
 add("library_tree", lambda s, d: K.library_tree(table(s, d, DOCS).select(path().alias("path"))).groupBy("depth", "is_folder").agg(F.count("*").alias("n")), "SELECT 1 AS depth, true AS is_folder, 1 AS n UNION ALL SELECT 2, true, count(DISTINCT source) FROM documents UNION ALL SELECT 3, false, count(*) FROM documents")
-add("recents_upsert", lambda s, d: K.recents_upsert(_recents(s, d), "CUSTOMER#000000005", "save", 2000, 1 << 30).select("path", "last_accessed", "last_saved"),
-    f"SELECT 'CUSTOMER#000000005' AS path, coalesce(max(last_accessed), 0) AS last_accessed, 2000 AS last_saved FROM {RECENTS_SQL} WHERE lower(path) = 'customer#000000005' UNION ALL SELECT path, last_accessed, last_saved FROM {RECENTS_SQL} WHERE lower(path) <> 'customer#000000005'")
-fixed("recents_clean", [(1, "a", 5, None), (2, "b", None, None), (3, None, None, 7)], "ord int, path string, last_accessed bigint, last_saved bigint", K.recents_clean, "SELECT ord, path, ifnull(last_accessed, 0) AS last_accessed, ifnull(last_saved, 0) AS last_saved FROM fx WHERE path IS NOT NULL")
+# Paths of one file in several spellings, and names that differ in case alone.
+SPELLED = "CASE c_custkey % 4 WHEN 0 THEN '/a/' || c_name WHEN 1 THEN '/a/b/../' || c_name WHEN 2 THEN '/a//./' || c_name ELSE '/A/' || c_name END"
+_spelled = lambda s, d: _recents(s, d).withColumn("path", F.expr(SPELLED.replace("c_custkey", "ord").replace("c_name", "path")))
+add("recents_upsert", lambda s, d: K.recents_upsert(_spelled(s, d), "/a/c/.././Customer#000000005", "save", 2000, None).select("path", "last_accessed", "last_saved").unionByName(K.recents_upsert(_spelled(s, d), "/a/Customer#000000007", "open", 3000, None).select("path", "last_accessed", "last_saved")),
+    f"""WITH r AS (SELECT *, {SPELLED.replace('c_custkey', 'ord').replace('c_name', 'path')} AS p FROM {RECENTS_SQL})
+        SELECT '/a/Customer#000000005' AS path, (SELECT last_accessed FROM r WHERE ord = 5) AS last_accessed, 2000 AS last_saved UNION ALL SELECT p, last_accessed, last_saved FROM r WHERE ord <> 5
+        UNION ALL SELECT '/a/Customer#000000007', 3000, 0 UNION ALL SELECT p, last_accessed, last_saved FROM r""")
+BLANKED = "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE c_name END AS path, CASE WHEN c_custkey % 3 > 0 THEN c_custkey END AS last_accessed, CASE WHEN c_custkey % 2 > 0 THEN c_custkey END AS last_saved"
+add("recents_clean", lambda s, d: K.recents_clean(table(s, d, "customer").selectExpr("c_custkey AS ord", *BLANKED.split(", "))), f"SELECT ord, path, ifnull(last_accessed, 0) AS last_accessed, ifnull(last_saved, 0) AS last_saved FROM (SELECT c_custkey AS ord, {BLANKED} FROM customer) WHERE trim(path) <> ''")
 _actions = lambda s, d: table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
 add("recent_item", lambda s, d: K.recents_topk(_recents(s, d), 10).alias("r").join(table(s, d, "customer").alias("c"), F.expr("r.path = c.c_name"), "left").select("ord", "c_acctbal"), f"SELECT ord, c_acctbal FROM (SELECT * FROM {RECENTS_SQL} ORDER BY greatest(last_accessed, last_saved) DESC, ord LIMIT 10) JOIN customer ON c_name = path")
 add("stream_debounce", lambda s, d: S.debounce(_actions(s, d), "user_id", quiet="3600 seconds").groupBy("user_id").agg(F.count("*").alias("n_saves"), F.sum("n").alias("n")),

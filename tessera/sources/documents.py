@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import pages
 
 STYLE = "struct<color:string,fontSize:string,fontWeight:string,fontStyle:string,textAlign:string>"
 ATTACHMENT = "struct<id:string,label:string,src:string,startTime:double,endTime:double,fadeIn:double,fadeOut:double,duration:double,size:double>"
@@ -58,18 +59,25 @@ def style_css(styles: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*[rule(k) for k in STYLE_KEYS])), "")
 
 
-def to_html(document: Column) -> Column:
-    """A page of its own from a parsed document."""
-    return F.concat(
-        F.lit('<!DOCTYPE html>\n<html lang="en" data-theme="'), document["styles"]["theme"], F.lit('">\n<head>\n<meta charset="UTF-8">\n<title>'), T.escape_html(document["meta"]["title"]),
-        F.lit("</title>\n<style>\n"), F.coalesce(style_css(document["styles"]["paragraphStyles"]), F.lit("")), document["styles"]["customCSS"], F.lit('</style>\n</head>\n<body>\n<div class="ql-editor">'), document["content"], F.lit("</div>\n</body>\n</html>"),
-    )
+# The form of a page; the title, style sheets, theme and content go between its parts.
+PAGE = (
+    '<!DOCTYPE html>\n<html lang="en">\n<head>\n    <meta charset="UTF-8">\n    <meta name="viewport" content="width=device-width, initial-scale=1.0">\n    <title>',
+    "</title>\n    <style>\n",
+    '    </style>\n</head>\n<body data-theme="',
+    '">\n    <div class="paper">\n        <div class="content">\n            <div class="ql-editor">',
+    "</div>\n        </div>\n    </div>\n</body>\n</html>",
+)
+
+
+def to_html(document: Column, default_css: str = "") -> Column:
+    """A page of its own from a parsed document: the theme is the body's, the content lies in the paper's editor block. default_css comes before the document's own style sheets."""
+    css = F.concat(F.lit(default_css + "\n"), F.coalesce(style_css(document["styles"]["paragraphStyles"]), F.lit("")), F.lit("\n"), document["styles"]["customCSS"], F.lit("\n"))
+    parts = (T.escape_html(document["meta"]["title"]), css, T.escape_html(document["styles"]["theme"]), document["content"])
+    return F.concat(*[x for fixed, part in zip(PAGE, parts) for x in (F.lit(fixed), part)], F.lit(PAGE[-1]))
 
 
 def from_html(page: Column) -> Column:
-    """struct<content, title, theme> of a page; the content ends at the editor block's last closing tag before </body>."""
-    content = F.regexp_extract(page, r'(?s)<div class="ql-editor"[^>]*>(.*)</div>\s*</body>', 1)
-    return F.struct(F.when(content != "", content).otherwise(T.import_html_body(page)).alias("content"), F.coalesce(F.nullif(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce(F.nullif(F.regexp_extract(page, r'data-theme="([^"]*)"', 1), F.lit("")), F.lit("light")).alias("theme"))
+    return pages.from_html(page)
 
 
 def valid_attachments(attachments: Column) -> Column:
