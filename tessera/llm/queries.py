@@ -37,7 +37,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"), exact=1)
     return kept.select("doc_id", F.col("removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -151,8 +151,8 @@ def oracle_sql() -> dict[str, str]:
         "op9_line_dedup": r"""
             WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
                        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-                 u AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS place FROM l WHERE length(line) >= 20 GROUP BY 1, 2),
-                 c AS (SELECT a.line, b.line AS other FROM u a JOIN u b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.place < a.place
+                 u AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS place FROM l WHERE length(line) >= 20 OR regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY 1, 2),
+                 c AS (SELECT a.line, b.line AS other FROM u a JOIN u b ON least(a.n, b.n) >= 20 AND b.n BETWEEN a.n - 1 AND a.n + 1 AND b.place < a.place
                        WHERE left(a.line, (a.n - 1) // 2) = left(b.line, (a.n - 1) // 2) OR right(a.line, (a.n - 1) // 2) = right(b.line, (a.n - 1) // 2)),
                  z AS (SELECT DISTINCT line FROM c WHERE levenshtein(line, other) <= 1),
                  k AS (SELECT l.*, u.line IS NULL OR (u.place = (l.doc_id, l.pos) AND z.line IS NULL) AS stays
