@@ -105,6 +105,19 @@ def recents_upsert(recents: DataFrame, path: str, event: str, now: int, most: in
     return out if most is None else out.orderBy("ord").limit(most)
 
 
+def recents_apply(recents: DataFrame, events: DataFrame) -> DataFrame:
+    """recents (ord, path, last_accessed, last_saved) after many events (path, event, at, seq), as if each had been put in by recents_upsert() in the order of seq: the path of the
+    last event comes first, and each time is that of the path's last event of its kind, else what the first entry of the path had. One aggregate by path; nothing is sorted as a whole."""
+    form = T.path_form(F.col("path"))
+    last = lambda kind: F.max_by(F.when(F.col("event") == kind, F.col("at")), F.when(F.col("event") == kind, F.col("seq")))
+    new = events.groupBy(form.alias("_form")).agg(F.max("seq").alias("_seq"), last("open").alias("_open"), last("save").alias("_save"))
+    old = recents.withColumn("_form", form)
+    firsts = old.groupBy("_form").agg(F.min_by(F.struct("last_accessed", "last_saved"), "ord").alias("_o"))
+    time = lambda now, before: F.coalesce(now, F.col(f"_o.{before}"), F.lit(0)).cast("bigint").alias(before)
+    heads = new.join(firsts, "_form", "left").select((-F.col("_seq") - 1).cast("bigint").alias("ord"), F.col("_form").alias("path"), time(F.col("_open"), "last_accessed"), time(F.col("_save"), "last_saved"))
+    return heads.unionByName(old.join(new.select("_form"), "_form", "left_anti").select(F.col("ord").cast("bigint").alias("ord"), "path", "last_accessed", "last_saved"))
+
+
 def library_order(nodes: DataFrame) -> DataFrame:
     """Folders first, then by name in either case."""
     return nodes.orderBy(F.desc("is_folder"), F.lower("name"), "path")
@@ -118,6 +131,12 @@ def library_tree(files: DataFrame) -> DataFrame:
     return up.select(path(F.col("depth")).alias("path"), path(F.col("depth") - 1).alias("parent"), F.get("parts", F.col("depth") - 1).alias("name"), "depth", (F.col("depth") < F.size("parts")).alias("is_folder")).distinct()
 
 
+def library_nodes(listing: DataFrame) -> DataFrame:
+    """listing (path, name, is_folder, ...) with parent and depth: the tree of a folder as its files and folders lie there, empty ones included."""
+    parts = F.split("path", "/")
+    return listing.withColumn("parent", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")).withColumn("depth", F.size(parts))
+
+
 def dedup_filename(rows: DataFrame, name: str, order: str) -> DataFrame:
     """rows with unique_name: _1, _2, ... put before the extension of repeated names."""
     k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1

@@ -316,7 +316,6 @@ add("recents_topk", lambda s, d: K.recents_topk(_recents(s, d)).select("ord", "p
 add("recents_cap", lambda s, d: K.recents_upsert(_recents(s, d), "/Customer#000000003", "open", 1000).select("path", "last_accessed", "last_saved"),
     f"SELECT path, last_accessed, last_saved FROM (SELECT -1 AS ord, '/Customer#000000003' AS path, 1000 AS last_accessed, coalesce(max(last_saved), 0) AS last_saved FROM {RECENTS_SQL} WHERE path = 'Customer#000000003' UNION ALL SELECT * FROM {RECENTS_SQL} WHERE path <> 'Customer#000000003') ORDER BY ord LIMIT 50")
 add("media_sort", lambda s, d: K.media_sort(table(s, d, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey")
-add("library_order", lambda s, d: K.library_order(K.library_tree(table(s, d, DOCS).select(path().alias("path")))).select("path", "is_folder"), f"SELECT path, f AS is_folder FROM (SELECT DISTINCT array_to_string(p[1:i], '/') AS path, p[i] AS name, i < len(p) AS f FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT string_split(substr({PATHS_SQL}, 2), '/') AS p FROM documents)))")
 fixed("region_sort", *FX, lambda t: I.region_sort(t).select("id"), "SELECT id FROM fx ORDER BY start, id")
 PLANS = [(n, p[2]) for n, p in K.METRES.items()] + [("last wins", "4̍2̱4̱0̍"), ("empty", "")]
 fixed("plan_sort", PLANS, "id string, plan string", lambda t: t.select("id", F.posexplode(K.svara_plan(F.col("plan"))).alias("n", "p")).select("id", "n", "p.pos", "p.mark"), "SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS n, pos, mark FROM (SELECT id, CAST(p AS INTEGER) AS pos, arg_max(m, k) AS mark FROM (SELECT id, generate_subscripts(a, 1) AS k, unnest(a) AS p, unnest(b) AS m FROM (SELECT id, regexp_extract_all(plan, '([0-9]+)([^0-9])', 1) AS a, regexp_extract_all(plan, '([0-9]+)([^0-9])', 2) AS b FROM fx)) WHERE p <> '0' GROUP BY 1, 2)")
@@ -565,7 +564,6 @@ add("pick_boundaries", lambda s, d: A.boundaries(_audio(s, d), _lines(s, d)))
 fixed("install_regions", *FX, lambda t: I.install_regions(_end(t), F.lit(2.5)).select("id", "start", F.col("end").alias("stop")), "SELECT id, start, least(2.5, stop) AS stop FROM fx WHERE least(2.5, stop) - start > 0.01")
 fixed("uniform_confidence", RT, RT_SCHEMA, lambda t: K.uniform_confidence(_targets(t), _regions(t), "audio_id").select("audio_id", "ord", "status", F.col("confidence").alias("c")), "SELECT audio_id, ord, CASE WHEN m THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN m THEN 0.52::DOUBLE END AS c FROM (SELECT *, EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) AS m FROM fx t WHERE kind = 't')")
 # ---- catalog and streams -----------------------------------------------------------------------------------------------------
-add("library_tree", lambda s, d: K.library_tree(table(s, d, DOCS).select(path().alias("path"))).groupBy("depth", "is_folder").agg(F.count("*").alias("n")), "SELECT 1 AS depth, true AS is_folder, 1 AS n UNION ALL SELECT 2, true, count(DISTINCT source) FROM documents UNION ALL SELECT 3, false, count(*) FROM documents")
 # Paths of one file in several spellings, and names that differ in case alone.
 SPELLED = "CASE c_custkey % 4 WHEN 0 THEN '/a/' || c_name WHEN 1 THEN '/a/b/../' || c_name WHEN 2 THEN '/a//./' || c_name ELSE '/A/' || c_name END"
 _spelled = lambda s, d: _recents(s, d).withColumn("path", F.expr(SPELLED.replace("c_custkey", "ord").replace("c_name", "path")))
@@ -576,7 +574,6 @@ add("recents_upsert", lambda s, d: K.recents_upsert(_spelled(s, d), "/a/c/.././C
 BLANKED = "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE c_name END AS path, CASE WHEN c_custkey % 3 > 0 THEN c_custkey END AS last_accessed, CASE WHEN c_custkey % 2 > 0 THEN c_custkey END AS last_saved"
 add("recents_clean", lambda s, d: K.recents_clean(table(s, d, "customer").selectExpr("c_custkey AS ord", *BLANKED.split(", "))), f"SELECT ord, path, ifnull(last_accessed, 0) AS last_accessed, ifnull(last_saved, 0) AS last_saved FROM (SELECT c_custkey AS ord, {BLANKED} FROM customer) WHERE trim(path) <> ''")
 _actions = lambda s, d: table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
-add("recent_item", lambda s, d: K.recents_topk(_recents(s, d), 10).alias("r").join(table(s, d, "customer").alias("c"), F.expr("r.path = c.c_name"), "left").select("ord", "c_acctbal"), f"SELECT ord, c_acctbal FROM (SELECT * FROM {RECENTS_SQL} ORDER BY greatest(last_accessed, last_saved) DESC, ord LIMIT 10) JOIN customer ON c_name = path")
 add("stream_debounce", lambda s, d: S.debounce(_actions(s, d), "user_id", quiet="3600 seconds").groupBy("user_id").agg(F.count("*").alias("n_saves"), F.sum("n").alias("n")),
     "SELECT user_id, count(*) FILTER (WHERE fresh) AS n_saves, count(*) AS n FROM (SELECT user_id, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3600 SECOND, true) AS fresh FROM events) GROUP BY user_id")
 add("stream_flush", lambda s, d: S.flush(_actions(s, d), "payload", every="1 day").select("payload", F.unix_timestamp("flushed_at").alias("flushed_at"), "n"), "SELECT event_type AS payload, (floor(epoch(ts))::BIGINT // 86400 + 1) * 86400 AS flushed_at, count(*) AS n FROM events GROUP BY 1, 2")
@@ -589,3 +586,5 @@ def _drained(s: SparkSession, d: str) -> DataFrame:
 
 
 add("queue_drain", _drained, "SELECT event_id AS seq, event_type AS type, event_id % 2 + 1 AS run FROM events")
+
+from . import file_queries  # noqa: E402, F401  (adds its own)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # The marks.
 LZMA_MARK, ZLIB_MARK = b"SMDI", b"SMDC"
+EXTENSION = ".smdoc"
 
 
 def opened(data: bytes) -> str:
