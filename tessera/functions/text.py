@@ -83,12 +83,17 @@ DROPPED = (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>")
 LINE_END, TAG = r"(?i)<br\s*/?\s*>|</p>|</div>", r"<[^>]+>"
 
 
-def html_to_text(html: Column) -> Column:
-    """Text of a page: scripts and styles dropped, line ends for <br>, </p> and </div>, other tags dropped, character references resolved."""
+def tagless(html: Column) -> Column:
+    """Scripts and styles dropped, line ends for <br>, </p> and </div>, other tags dropped."""
     out = html
     for pattern in DROPPED:
         out = F.regexp_replace(out, pattern, "")
-    return unescape(F.regexp_replace(F.regexp_replace(out, LINE_END, "\n"), TAG, ""))
+    return F.regexp_replace(F.regexp_replace(out, LINE_END, "\n"), TAG, "")
+
+
+def html_to_text(html: Column) -> Column:
+    """Text of a page: what tagless() leaves, character references resolved."""
+    return unescape(tagless(html))
 
 
 # The title and the body of a page.

@@ -587,4 +587,4 @@ def _drained(s: SparkSession, d: str) -> DataFrame:
 
 add("queue_drain", _drained, "SELECT event_id AS seq, event_type AS type, event_id % 2 + 1 AS run FROM events")
 
-from . import file_queries, state_queries  # noqa: E402, F401  (they add their own)
+from . import file_queries, sql_queries, state_queries  # noqa: E402, F401  (they add their own)
