@@ -10,7 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .segments import islands, order_statistics
 
 INTERVALS = "array<struct<start:double,end:double>>"
 REGION = "start double, end double, target_index int, confidence double, method string"
@@ -77,24 +78,29 @@ def energy_table(samples: DataFrame, *key: str, rate: int, index: str = "i", val
     return sums.filter(F.col("_n") == win).select(*key, "frame", F.sqrt(F.col("_sum") / win).alias("energy"))
 
 
+# Shares of frames, and what their energies are multiplied with for the threshold.
+LOUD_SHARES = {"p05": (0.05, 3.5), "p15": (0.15, 1.5), "p50": (0.5, 0.2)}
+
+
 def loud_frames(energies: DataFrame, *key: str) -> DataFrame:
     """energies with `loud`: above the threshold that three order statistics of the recording give."""
-    at = F.row_number().over(Window.partitionBy(*key).orderBy("energy", "frame")) - 1
-    ranked = energies.withColumn("_at", at).withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
-    # Shares of frames, and what their energies are multiplied with.
-    parts = [F.max(F.when(F.col("_at") == F.floor(F.col("_n") * share), F.col("energy") * times)).over(Window.partitionBy(*key)) for share, times in ((0.05, 3.5), (0.15, 1.5), (0.5, 0.2))]
-    return ranked.withColumn("loud", F.col("energy") > F.greatest(*parts, F.lit(0.005))).drop("_at", "_n")
+    marks = order_statistics(energies, *key, value="energy", shares={name: share for name, (share, _) in LOUD_SHARES.items()})
+    least = F.greatest(*[F.col(name) * times for name, (_, times) in LOUD_SHARES.items()], F.lit(0.005))
+    marks = marks.select(*key, least.alias("_least"))
+    return energies.join(marks, list(key)).withColumn("loud", F.col("energy") > F.col("_least")).drop("_least")
+
+
+#: Frames that one task looks at: eleven minutes.
+FRAMES = 1 << 16
 
 
-def vad_intervals(frames: DataFrame, *key: str, min_speech_ms: int = 200, min_gap_ms: int = 250) -> DataFrame:
+def vad_intervals(frames: DataFrame, *key: str, min_speech_ms: int = 200, min_gap_ms: int = 250, width: int = FRAMES) -> DataFrame:
     """(key, start, end) of stretches of loud frames (key, frame, loud): silence of min_gap_ms closes one at its last loud frame; one still open at the end
-    of the signal ends there; shorter ones than min_speech_ms go."""
+    of the signal ends there; shorter ones than min_speech_ms go. A recording is cut into chunks of `width` frames."""
     gap, least = round(min_gap_ms / 10), round(min_speech_ms / 10)
-    w = Window.partitionBy(*key).orderBy("frame")
-    t = frames.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).filter("loud")
-    new = F.coalesce(F.col("frame") - F.lag("frame").over(w) > gap, F.lit(True)).cast("int")
-    t = t.withColumn("_new", new).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.groupBy(*key, "_part").agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"), F.max("_n").alias("_n"))
+    size = frames.groupBy(*key).agg(F.count("*").alias("_n"))
+    found = islands(frames.filter("loud").select(*key, "frame"), *key, width=width, start="frame", end="frame", gap=gap)
+    t = found.groupBy(*key, "island").agg(F.min("frame").alias("_a"), F.max("frame").alias("_b")).join(size, list(key))
     t = t.withColumn("_b", F.when(F.col("_n") - 1 - F.col("_b") < gap, F.col("_n")).otherwise(F.col("_b")))
     return t.filter(F.col("_b") - F.col("_a") >= least).select(*key, (F.col("_a") * 0.01).alias("start"), (F.col("_b") * 0.01).alias("end"))
 
@@ -124,6 +130,11 @@ def peaks(samples: DataFrame, *key: str, index: str = "i", value: str = "v", poi
     return samples.join(n, list(key)).groupBy(*key, F.floor(F.col(index) / width).alias("bucket")).agg(F.max(F.abs(value)).alias("peak"))
 
 
+def mono_table(samples: DataFrame, *key: str, index: str = "i", value: str = "v") -> DataFrame:
+    """(key, i, v) of signals given as a row for each sample and channel: the mean of a sample's channels."""
+    return samples.groupBy(*key, index).agg(F.avg(value).alias(value))
+
+
 def mono_mix(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, b: (a + b) / 2)
 
@@ -147,42 +158,79 @@ class Costs:
         after = np.append(before[1:], 0.0)
         mean = self.duration.mean()
         expected = weights / (weights.sum() or len(weights)) * span
-        expected = np.maximum(0.03, np.where(expected > 0, expected, mean or 0.3))
-        size = np.abs(np.log((self.duration[None, :] + 0.04) / (expected[:, None] + 0.04)))
-        place = np.abs((start + end)[None, :] / 2 - (edges[:-1] + edges[1:])[:, None] / 2) / span
-        pause = np.where(hints[:, None], np.where(after[None, :] >= 0.16, -0.18, 0.24), 0.0)
-        self.match = np.maximum(0, 1.35 * size + 0.95 * place + pause - np.where(np.maximum(before, after) >= 0.2, 0.1, 0.0)[None, :])
+        self.expected = np.maximum(0.03, np.where(expected > 0, expected, mean or 0.3))
+        self.mid, self.place, self.span, self.hints = (start + end) / 2, (edges[:-1] + edges[1:]) / 2, span, np.asarray(hints, bool)
+        self.pause, self.wide = np.where(after >= 0.16, -0.18, 0.24), np.where(np.maximum(before, after) >= 0.2, 0.1, 0.0)
         self.skip_target = 0.62 + np.minimum(1.45, np.where(weights > 0, weights, 1) * 0.25)
         self.skip_interval = 0.45 + np.minimum(0.9, self.duration / (mean + 0.03) * 0.4)
 
+    def match(self, i: np.ndarray | int, j: np.ndarray | int) -> np.ndarray | float:
+        """The costs of matching targets i with intervals j, pair by pair."""
+        size = np.abs(np.log((self.duration[j] + 0.04) / (self.expected[i] + 0.04)))
+        place = np.abs(self.mid[j] - self.place[i]) / self.span
+        return np.maximum(0, 1.35 * size + 0.95 * place + np.where(self.hints[i], self.pause[j], 0.0) - self.wide[j])
+
+
+class Table:
+    """The table of least costs, by its diagonals: each follows from the two before it. Every few hundredth pair is kept, so that any stretch of diagonals can be worked out
+    again, to the same numbers: memory grows with the root of the table's size times its side, and ties fall as in a table held whole."""
+
+    def __init__(self, cost: Costs, n: int, m: int):
+        self.cost, self.n, self.m = cost, n, m
+        self.rows, self.columns = np.append(0.0, np.cumsum(cost.skip_target)), np.append(0.0, np.cumsum(cost.skip_interval))
+        self.every = max(2, math.isqrt(n + m))
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        two, one = np.zeros(n + 1), np.zeros(n + 1)
+        for d in range(1, n + m + 1):
+            if (d - 1) % self.every == 0:
+                self.kept[d - 1] = two, one
+            two, one = one, self.following(d, two, one)[0]
+
+    def following(self, d: int, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+        """Diagonal d (by row), from the two before it; its first row inside the table, and the steps from there on: 0 a match, 1 a target left out, 2 an interval."""
+        low, high = max(1, d - self.m), min(self.n, d - 1)
+        out, steps = np.empty(self.n + 1), np.zeros(0, np.int8)
+        if low <= high:
+            i = np.arange(low, high + 1)
+            j = d - i
+            ways = np.stack([two[low - 1 : high] + self.cost.match(i - 1, j - 1), one[low - 1 : high] + self.cost.skip_target[i - 1], one[low : high + 1] + self.cost.skip_interval[j - 1]])
+            steps = ways.argmin(0).astype(np.int8)
+            out[low : high + 1] = ways[steps, np.arange(len(i))]
+        if d <= self.m:
+            out[0] = self.columns[d]
+        if d <= self.n:
+            out[d] = self.rows[d]
+        return out, low, steps
+
+    def path(self) -> list[tuple[int, int]]:
+        """The matches (row, column) on the way back from the last cell, in order."""
+        out, i, j = [], self.n, self.m
+        for start in sorted(self.kept, reverse=True):
+            two, one = self.kept.pop(start)
+            found = []
+            for d in range(start + 1, min(start + self.every, self.n + self.m) + 1):
+                new, low, steps = self.following(d, two, one)
+                two, one = one, new
+                found.append((low, steps))
+            while i + j > start:
+                low, steps = found[i + j - start - 1]
+                k = 2 if i == 0 else 1 if j == 0 else steps[i - low]
+                if k == 0:
+                    out.append((i - 1, j - 1))
+                i, j = i - (k != 2), j - (k != 1)
+        return out[::-1]
+
 
 def align(weights: np.ndarray, hints: np.ndarray, intervals: list[tuple[float, float]]) -> list[tuple[int, int, float]]:
     """(target, interval, cost) of the cheapest alignment in order; of equal costs a match goes before leaving out a target, that before an interval.
     Neighbours are then swapped where that is clearly cheaper."""
-    n, m = len(weights), len(intervals)
-    if not n or not m:
+    if not len(weights) or not len(intervals):
         return []
     cost = Costs(weights, hints, intervals)
-    best, step = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
-    best[0, 1:], step[0, 1:] = np.cumsum(cost.skip_interval), 2
-    best[1:, 0], step[1:, 0] = np.cumsum(cost.skip_target), 1
-    for d in range(2, n + m + 1):
-        # The cells (i, d - i) depend on the two diagonals before alone.
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        ways = np.stack([best[i - 1, j - 1] + cost.match[i - 1, j - 1], best[i - 1, j] + cost.skip_target[i - 1], best[i, j - 1] + cost.skip_interval[j - 1]])
-        step[i, j] = k = ways.argmin(0)
-        best[i, j] = ways[k, np.arange(len(i))]
-    out, i, j = [], n, m
-    while i or j:
-        k = step[i, j]
-        if k == 0:
-            out.append([i - 1, j - 1, cost.match[i - 1, j - 1]])
-        i, j = i - (k != 2), j - (k != 1)
-    out.reverse()
+    out = [[i, j, float(cost.match(i, j))] for i, j in Table(cost, len(weights), len(intervals)).path()]
     for a, b in zip(out, out[1:], strict=False):
         if abs(a[0] - b[0]) == 1:
-            first, second = cost.match[b[0], a[1]], cost.match[a[0], b[1]] + 0.12
+            first, second = float(cost.match(b[0], a[1])), float(cost.match(a[0], b[1])) + 0.12
             if first + second + 0.1 < a[2] + b[2]:
                 a[0], b[0], a[2], b[2] = b[0], a[0], first, second
     return [tuple(x) for x in out]
@@ -216,6 +264,17 @@ def boundary_times(duration: float, intervals: list[tuple[float, float]] | None,
     return [(a[1] + b[0]) / 2 for a, b in zip(intervals, intervals[1:], strict=False)], intervals[0][0] + share * (intervals[-1][1] - intervals[0][0])
 
 
+def joined(intervals: list[tuple[float, float]], gap: float = 0.12) -> list[tuple[float, float]]:
+    """Intervals in order, those at most `gap` apart made one: merge_nearby() for the list of one recording."""
+    out: list[tuple[float, float]] = []
+    for a, b in sorted(intervals):
+        if out and a - out[-1][1] <= gap:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def regions_of(duration: float, intervals: list[tuple[float, float]] | None, weights: np.ndarray, syllables: np.ndarray, hints: np.ndarray) -> list[tuple]:
     """(start, end, target, confidence, method): in proportion where there is no signal or no speech; else aligned, or by boundaries near the expected ones."""
     n = len(weights)
@@ -223,6 +282,7 @@ def regions_of(duration: float, intervals: list[tuple[float, float]] | None, wei
     if not intervals:
         level, method = (0.34, "no signal") if intervals is None else (0.30, "no speech")
         return [(a * duration, b * duration, i, level, method) for i, (a, b) in enumerate(zip(share, share[1:], strict=False))]
+    intervals = joined(intervals)
     found = [(intervals[j][0], intervals[j][1], i, min(0.98, max(0.05, 1 - c / 3)), "aligned") for i, j, c in align(weights, hints, intervals) if intervals[j][1] > intervals[j][0] + 0.01]
     if found:
         return sorted(found)

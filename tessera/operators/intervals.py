@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .segments import islands
 
-def merge_nearby(intervals: DataFrame, *key: str, gap: float = 0.12) -> DataFrame:
-    """(key, start, end): intervals at most `gap` apart are one."""
-    w = Window.partitionBy(*key).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") - reach > gap), 1).otherwise(0)
-    islands = intervals.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+#: Seconds of a recording (or of a user's time) that one task looks at.
+CHUNK = 3600.0
+
+
+def merge_nearby(intervals: DataFrame, *key: str, gap: float = 0.12, width: float = CHUNK) -> DataFrame:
+    """(key, start, end): intervals at most `gap` apart are one. A key is cut into chunks of `width`, so that a long one is the work of many tasks."""
+    return islands(intervals, *key, width=width, gap=gap).groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def merge_to_count(intervals: DataFrame, count: int | Column, *key: str) -> DataFrame:

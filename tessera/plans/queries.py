@@ -19,6 +19,7 @@ from ..operators import catalog as K
 from ..operators import formats
 from ..operators import intervals as I
 from ..operators import verses as L
+from ..operators.segments import order_statistics
 from ..sources import container, docx, documents, html
 from ..sources.shared import scratch
 from ..streaming import actions as S
@@ -219,7 +220,7 @@ for _name, _column_name, _sql in (("matched", "matched", "m"), ("avg_confidence"
     fixed(_name, FIGURES, FIGURE_SCHEMA, lambda t, c=_column_name: _figures(t).select("audio_id", F.round(c, 9).alias(c)), _FIGURES_SQL.format(_sql, _column_name))
 add("total_weight", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.round(F.sum(I.target_weight(F.when(F.col("value") > 50, F.col("value")), F.col("event_id").cast("int") % 3)), 3).alias("total")), "SELECT user_id, round(sum(CASE WHEN value > 50 THEN value WHEN event_id % 3 > 0 THEN event_id % 3 ELSE 1 END), 3) AS total FROM events GROUP BY user_id")
 add("interval_totals", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most")), f"SELECT event_type, {EVENT_AGG} FROM events GROUP BY event_type")
-add("energy_percentiles", lambda s, d: table(s, d, "events").groupBy("user_id").agg(A.energy_percentiles(F.collect_list("value")).alias("p")).select("user_id", "p.p05", "p.p15", "p.p50"), "SELECT user_id, v[CAST(floor(len(v) * 0.05) AS INTEGER) + 1] AS p05, v[CAST(floor(len(v) * 0.15) AS INTEGER) + 1] AS p15, v[CAST(floor(len(v) * 0.5) AS INTEGER) + 1] AS p50 FROM (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY user_id)")
+add("energy_percentiles", lambda s, d: order_statistics(table(s, d, "events"), "user_id", value="value", shares={"p05": 0.05, "p15": 0.15, "p50": 0.5}).drop("n"), "SELECT user_id, v[CAST(floor(len(v) * 0.05) AS INTEGER) + 1] AS p05, v[CAST(floor(len(v) * 0.15) AS INTEGER) + 1] AS p15, v[CAST(floor(len(v) * 0.5) AS INTEGER) + 1] AS p50 FROM (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY user_id)")
 
 
 def _signals(s: SparkSession, d: str) -> DataFrame:
@@ -240,8 +241,8 @@ STRETCHES_SQL = """SELECT user_id, round(a * 0.01::DOUBLE, 6) AS start, round(b
 add("rms_energy", lambda s, d: A.energy_table(_signals(s, d), "user_id", rate=1000).select("user_id", "frame", F.round("energy", 6).alias("energy")),
     f"WITH {SIGNALS_SQL} SELECT user_id, i // 10 AS frame, round(e, 6) AS energy FROM (SELECT user_id, i, sqrt(avg(v * v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)) AS e, count(*) OVER (PARTITION BY user_id) AS n FROM v) WHERE i % 10 = 0 AND i + 30 <= n")
 add("peaks", lambda s, d: A.peaks(_signals(s, d), "user_id", points=50), f"WITH {SIGNALS_SQL}, m AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM v) SELECT user_id, i // greatest(1, n // 50) AS bucket, max(abs(v)) AS peak FROM m GROUP BY 1, 2")
-add("mono_mix", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("e")).select("user_id", F.posexplode(A.mono_mix(F.transform("e", lambda e: e["value"]), F.transform("e", lambda e: -e["event_id"] / 7.0))).alias("i", "v")).select("user_id", "i", F.round("v", 6).alias("v")),
-    "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, round((value - event_id / 7.0::DOUBLE) / 2, 6) AS v FROM events")
+_channels = lambda s, d: _signals(s, d).unionByName(_signals(s, d).withColumn("v", F.col("i") / 8 - F.col("v")))
+add("mono_mix", lambda s, d: A.mono_table(_channels(s, d), "user_id").select("user_id", "i", F.round("v", 6).alias("v")), f"WITH {SIGNALS_SQL} SELECT user_id, i, round(i / 16::DOUBLE, 6) AS v FROM v")
 add("first_wins_distinct", lambda s, d: K.first_wins(table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey"), "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
 CATALOG = "SELECT lang AS category, source AS filename, doc_id AS pos FROM documents"
 _catalog = lambda s, d: table(s, d, DOCS).select(F.col("lang").alias("category"), F.col("source").alias("filename"), F.col("doc_id").alias("pos"))
@@ -535,9 +536,9 @@ on("now_seconds", "events", "event_id", lambda: F.unix_timestamp(F.col("ts").cas
 
 add("detect_speech", lambda s, d: A.speech_table(_signals(s, d), "user_id", rate=100).select("user_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop")), f"WITH {SIGNALS_SQL} {STRETCHES_SQL.replace('{loud}', '(SELECT * FROM h WHERE loud)')}")
 add("detect_speech_arrays", lambda s, d: _signals(s, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("pcm")).select("user_id", F.explode(A.detect_speech("pcm", F.lit(100))).alias("x")).select("user_id", F.round("x.start", 6).alias("start"), F.round("x.end", 6).alias("stop")), SQL["detect_speech"])
-# Loudness given: a frame is loud where its event's value is above 40.
-add("vad_intervals", lambda s, d: A.vad_intervals(table(s, d, "events").select((F.col("event_id") % 7).alias("user_id"), F.floor(F.col("event_id") / 7).alias("frame"), (F.col("value") > 40).alias("loud")), "user_id", min_gap_ms=30, min_speech_ms=50).select("user_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop")),
-    "WITH g AS (SELECT event_id % 7 AS user_id, event_id // 7 AS frame, value > 40 AS loud, count(*) OVER (PARTITION BY event_id % 7) AS n FROM events) " + STRETCHES_SQL.replace("{loud}", "(SELECT * FROM g WHERE loud)").replace("25", "3").replace("20", "5"))
+# Loudness given: a frame is loud where its event's value is above 40. All events are one recording, which is many tasks' work all the same.
+add("vad_intervals", lambda s, d: A.vad_intervals(table(s, d, "events").select(F.lit(0).alias("user_id"), F.col("event_id").alias("frame"), (F.col("value") > 40).alias("loud")), "user_id", min_gap_ms=30, min_speech_ms=50, width=997).select("user_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop")),
+    "WITH g AS (SELECT 0 AS user_id, event_id AS frame, value > 40 AS loud, count(*) OVER () AS n FROM events) " + STRETCHES_SQL.replace("{loud}", "(SELECT * FROM g WHERE loud)").replace("25", "3").replace("20", "5"))
 # In whole hundredths, so that equal gaps are equal.
 add("auto_split", lambda s, d: I.merge_to_count(A.speech_table(_signals(s, d), "user_id", rate=100).select("user_id", F.round(F.col("start") * 100).alias("start"), F.round(F.col("end") * 100).alias("end")), 2, "user_id").select("user_id", "start", F.col("end").alias("stop")),
     f"""WITH {SIGNALS_SQL}, st AS ({STRETCHES_SQL.replace('{loud}', '(SELECT * FROM h WHERE loud)').replace('round(a * 0.01::DOUBLE, 6)', 'a').replace('round(b * 0.01::DOUBLE, 6)', 'b')}), w AS (SELECT *, lead(start) OVER o - stop AS gap, row_number() OVER o AS i, count(*) OVER (PARTITION BY user_id) AS n FROM st WINDOW o AS (PARTITION BY user_id ORDER BY start)),

@@ -112,10 +112,10 @@ def test_alignment_is_cheapest(n, m, seed):
             return cost.skip_interval[j:].sum()
         if j == m:
             return cost.skip_target[i:].sum()
-        return min(cost.match[i, j] + least(i + 1, j + 1), cost.skip_target[i] + least(i + 1, j), cost.skip_interval[j] + least(i, j + 1))
+        return min(cost.match(i, j) + least(i + 1, j + 1), cost.skip_target[i] + least(i + 1, j), cost.skip_interval[j] + least(i, j + 1))
 
     got = A.align(weights, hints, intervals)
-    total = sum(cost.match[i, j] for i, j, _ in got) + cost.skip_target.sum() + cost.skip_interval.sum() - sum(cost.skip_target[i] + cost.skip_interval[j] for i, j, _ in got)
+    total = sum(cost.match(i, j) for i, j, _ in got) + cost.skip_target.sum() + cost.skip_interval.sum() - sum(cost.skip_target[i] + cost.skip_interval[j] for i, j, _ in got)
     assert [j for _, j, _ in got] == sorted({j for _, j, _ in got})
     assert total <= least(0, 0) + 0.5 * len(got) + 1e-9 and len({i for i, _, _ in got}) == len(got)
 
@@ -201,7 +201,7 @@ def test_alignment_by_diagonals_is_that_by_cells(n, m, seed):
     best[1:, 0], step[1:, 0] = np.cumsum(cost.skip_target), 1
     for i in range(1, n + 1):
         for j in range(1, m + 1):
-            ways = (best[i - 1, j - 1] + cost.match[i - 1, j - 1], best[i - 1, j] + cost.skip_target[i - 1], best[i, j - 1] + cost.skip_interval[j - 1])
+            ways = (best[i - 1, j - 1] + cost.match(i - 1, j - 1), best[i - 1, j] + cost.skip_target[i - 1], best[i, j - 1] + cost.skip_interval[j - 1])
             step[i, j] = ways.index(min(ways))
             best[i, j] = min(ways)
     want, i, j = set(), n, m
