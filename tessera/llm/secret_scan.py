@@ -5,7 +5,8 @@ A text is the first layer. Each layer is searched for secrets; then what it hold
 appears. Base64 may hold UTF-8, UTF-16 or Latin-1, may follow other signs of its alphabet (a path) and is also read across the lines that it is wrapped in. Compressed data, from base64 or from escapes, is inflated with all
 its members, and again for as long as the output is itself compressed. A layer met before (same content from the same place) is not taken up again, so cycles end. Every layer
 carries, for each of its characters, the range of the original text that it comes from; spans are reported in code points of the original,
-end exclusive. Base64 of fewer than 12 characters isn't taken up.
+end exclusive. Base64 of fewer than 12 characters isn't taken up. Escapes of escapes are unwrapped pass by pass, each a layer; what three passes leave is resolved to
+its end in one run, in linear time, so nesting without end does no harm.
 
 Defined results. A null text counts as empty and has no spans. Repeated rows give repeated results; an empty table an
 empty table. Columns other than the id and the text are not read. What compressed data hold is searched to its end; past `most` bytes it
@@ -89,6 +90,13 @@ class Layer:
         """whole: one range that all characters come from (of inflated data), in place of lo and hi."""
         self.text, self.lo, self.hi, self.how, self.whole = text, lo, hi, how, whole
 
+    def passes(self) -> int:
+        """How many passes of escapes have led here since the text was something else; -1 if nothing is left for another."""
+        steps = self.how.split(">")
+        if steps[-1] == "escapes":
+            return -1
+        return next((k for k, x in enumerate(reversed(steps)) if x not in ("escape", "form")), len(steps))
+
     def decoded(self) -> bool:
         return self.lo is not None or self.whole is not None
 
@@ -164,6 +172,78 @@ def unescaped(layer: Layer, form: bool = False) -> Layer | None:
     return layer.within("".join(parts), lo, hi, "form" if form else "escape")
 
 
+#: One escape that a text ends with, as ESCAPE has them, but for the byte that %XX and \\xXX stand for.
+LAST_ESCAPE = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|(&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};))\Z")
+#: The same for U+; the signs that an escape can end with; its greatest length.
+LAST_PLUS = re.compile(r"U\+([0-9A-Fa-f]{4,6})\Z")
+ENDS, LONGEST = frozenset("0123456789abcdefABCDEF};"), 11
+#: Where bytes that aren't characters by themselves are kept meanwhile: 0x80 to 0xFF from here on.
+RAW = 0xF780
+#: Passes of escapes that each make a layer of their own; what is nested deeper is resolved to the end in one.
+PASSES = 3
+
+
+def _of_code(digits: str) -> str:
+    code = int(digits, 16)
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+
+def resolved(layer: Layer, form: bool = False) -> Layer:
+    """The layer with its escapes resolved until none is left, in one run from the left: a character that comes out may complete or begin another escape. Each step makes the
+    text shorter, so time grows with its length, however deep escapes are nested."""
+    out: list[str] = []
+    lo: list[int] = []
+    hi: list[int] = []
+
+    def fold(m: re.Match, new: str) -> None:
+        n = m.end() - m.start()
+        first, last = min(lo[-n:]), max(hi[-n:])
+        del out[-n:], lo[-n:], hi[-n:]
+        out.append(new)
+        lo.append(first)
+        hi.append(last)
+
+    def settle() -> None:
+        while out and out[-1] in ENDS and (m := LAST_ESCAPE.search("".join(out[-LONGEST:]))):
+            byte, code = m[1] or m[2], m[3] or m[4] or m[5]
+            if byte:
+                fold(m, chr(int(byte, 16)) if int(byte, 16) < 0x80 else chr(RAW - 0x80 + int(byte, 16)))
+            else:
+                fold(m, _of_code(code) if code else html.unescape(m[6])[:1] or " ")
+
+    text = layer.text.replace("+", " ") if form else layer.text
+    for at, c in enumerate(text):
+        # U+ takes as many digits as follow, so it ends where a word does.
+        while out and not (c.isalnum() or c == "_") and out[-1] in ENDS and (m := LAST_PLUS.search("".join(out[-LONGEST:]))):
+            fold(m, _of_code(m[1]))
+            settle()
+        out.append(c)
+        lo.append(at)
+        hi.append(at + 1)
+        settle()
+    while out and (m := LAST_PLUS.search("".join(out[-LONGEST:]))):
+        fold(m, _of_code(m[1]))
+        settle()
+    # Runs of bytes beyond ASCII are characters of UTF-8, else of Latin-1.
+    new, starts, ends, k = [], [], [], 0
+    while k < len(out):
+        j = k
+        while j < len(out) and RAW <= ord(out[j]) < RAW + 0x80:
+            j += 1
+        if j == k:
+            new.append(out[k])
+            starts.append(lo[k])
+            ends.append(hi[k])
+            k += 1
+            continue
+        for c, n in zip(*_chars(bytes(ord(x) - RAW + 0x80 for x in out[k:j])), strict=True):
+            new.append(c)
+            starts.append(min(lo[k : k + n]))
+            ends.append(max(hi[k : k + n]))
+            k += n
+    return layer.within("".join(new), np.array(starts, int), np.array(ends, int), "escapes")
+
+
 def signature(raw: bytes) -> str | None:
     if raw[:2] == b"\x1f\x8b":
         return "gzip"
@@ -335,6 +415,8 @@ def _mapped(layer: Layer, text: str, sizes: list[int], at: np.ndarray, skipped:
     return layer.within(text, at[(ends - np.array(sizes, int)) * 8 // 6], at[-(-ends * 8 // 6) - 1] + 1, "base64")
 
 
+#: Base64 signs of the shortest secret that can be assigned ("token=" and six characters); out of step at least one stands before them.
+LEAST_TOKEN = 16
 #: Text among bytes that are otherwise none.
 TEXT_RUN = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 #: Where compressed data may begin among bytes.
@@ -396,7 +478,7 @@ def unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
                 if x.group() != m.group():
                     yield from one(x, m.start())
         # What came out, if anything, may be chance.
-        if len(m.group()) >= 20:
+        if len(m.group()) > LEAST_TOKEN:
             yield from _out_of_step(layer, m.group(), m.start(), most)
     yield from _wrapped(layer, most)
 
@@ -451,11 +533,13 @@ def scan(text: str, most: int = MOST) -> tuple[list[tuple], dict[tuple, str], in
                     have.add(span)
                     added[span] = layer.how[1:]
         n += 1
-        if (x := unescaped(layer)) is not None:
-            work.append(x)
+        passes = layer.passes()
+        for form in (False, True):
+            if passes < 0 or (x := unescaped(layer, form)) is None:
+                continue
+            work.append(x if passes < PASSES else resolved(layer, form))
+        if passes >= 0:
             work.extend(escaped_data(layer, most))
-        if (x := unescaped(layer, form=True)) is not None:
-            work.append(x)
         work.extend(unwrapped(layer, most))
     return base, added, n
 
