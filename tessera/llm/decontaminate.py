@@ -97,13 +97,13 @@ def tiles(doc: np.ndarray, item: np.ndarray, shortest: int, apart: np.ndarray |
 
 
 def _items(k: int) -> Callable:
-    """Rows (item_id, text) -> (item_id, th, words, seeds, shortest)."""
+    """Rows (item_id, text) -> (item_id, th, words, the seed at each place, shortest)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             words = [word_hashes(t, known) for t in batch.column(2).to_pylist()]
-            seeds = [np.unique(runs(w, k)).view(np.int64) for w in words]
+            seeds = [runs(w, k).view(np.int64) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(seeds, pa.list_(pa.int64())), pa.array([min(k, len(w)) for w in words], pa.int32())], names=["item_id", "ih", "item", "seeds", "shortest"])
 
     return f
@@ -175,8 +175,9 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(share, pa.float64())], names=["id", "th", "item_id", "coverage"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, most_bits: int = MOST_BITS) -> DataFrame:
-    """(id, th, item_id, coverage) for each document (see keyed()) and item with a seed in common."""
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, most_bits: int = MOST_BITS, matters: float | None = None) -> DataFrame:
+    """(id, th, item_id, coverage) for each document (see keyed()) and item with a seed in common. Given `matters`, only for those whose shared seeds could cover
+    so much of the item, and for what a document's best item is told by: a phrase that many items and documents share costs a row for each pair of them, no tiling."""
     spark, rows = docs.sparkSession, keyed(docs, id_col, text_col)
     kind, item_kind = dict(rows.dtypes)["id"], dict(benchmark.dtypes)[item_col]
     items = keyed(benchmark, item_col, item_text).select(F.col("id").alias("item_id"), F.col("th").alias("ih"), "text").distinct()
@@ -191,19 +192,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     lengths = sorted(r[0] for r in items.select("shortest").distinct().collect())
     hits = materialize(arrow_map(rows, _search(shipped, lengths), f"id {kind}, th bigint, doc binary, seeds array<bigint>"), "hits")
     shipped.unpersist()
-    seeds = broadcast_if_small(items.select("item_id", "ih", F.explode("seeds").alias("seed")), 24)
-    pairs = materialize(hits.select("id", "th", F.explode("seeds").alias("seed")).join(seeds, "seed").select("id", "th", "item_id", "ih").distinct(), "pairs")
+    seeds = broadcast_if_small(items.select("item_id", "ih", F.posexplode("seeds").alias("at", "seed")), 28)
+    pairs = hits.select("id", "th", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("id", "th", "item_id", "ih").agg(F.array_sort(F.collect_set("at")).alias("at"))
     known = broadcast_if_small(items.select(F.col("item_id").alias("own_id"), F.col("ih").alias("own_ih"), "item", "shortest"), F.length("item") + 32)
+    sizes = broadcast_if_small(items.select(F.col("item_id").alias("own_id"), F.col("ih").alias("own_ih"), "shortest", (F.length("item") / 8).alias("words")), 40)
+    # What the shared seeds cover of the item: each its own words, less those that the one before it has. Tiles are made of them, so they can't cover more.
+    state = F.struct(F.lit(0).alias("sum"), F.lit(None).cast("int").alias("last"))
+    covered = F.aggregate("at", state, lambda s, x: F.struct((s["sum"] + F.least(F.col("shortest"), F.coalesce(x - s["last"], F.col("shortest")))).alias("sum"), x.alias("last")), lambda s: s["sum"])
+    pairs = pairs.join(sizes, pairs["item_id"].eqNullSafe(sizes["own_id"]) & (pairs["ih"] == sizes["own_ih"])).select("id", "th", "item_id", "ih", (covered / F.col("words")).alias("most"))
+    pairs = materialize(pairs, "pairs")
     once = hits.select("id", "th", "doc").dropDuplicates(["id", "th"])
-    met = pairs.join(known, pairs["item_id"].eqNullSafe(known["own_id"]) & (pairs["ih"] == known["own_ih"]))
-    met = met.join(once, same_row(met, once)).select(met["id"], met["th"], "item_id", "doc", "item", "shortest")
-    return arrow_map(met, _tiled, f"id {kind}, th bigint, item_id {item_kind}, coverage double")
+
+    def tile(some: DataFrame) -> DataFrame:
+        met = some.join(known, some["item_id"].eqNullSafe(known["own_id"]) & (some["ih"] == known["own_ih"]))
+        met = met.join(once, same_row(met, once)).select(met["id"], met["th"], "item_id", "doc", "item", "shortest")
+        return arrow_map(met, _tiled, f"id {kind}, th bigint, item_id {item_kind}, coverage double")
+
+    if matters is None:
+        return tile(pairs)
+    # The item that may cover most first; others only where they may cover more (or as much, and come before it), or enough to matter.
+    rank = F.struct((-F.col("most")).alias("c"), "item_id")
+    best = pairs.groupBy("id", "th").agg(F.min(F.struct((-F.col("most")).alias("c"), "item_id", "ih")).alias("b")).select("id", "th", "b.item_id", "b.ih")
+    first = materialize(tile(best), "first")
+    done = first.select(F.col("id").alias("d_id"), F.col("th").alias("d_th"), F.struct((-F.col("coverage")).alias("c"), "item_id").alias("best"))
+    side = best.select(F.col("id").alias("b_id"), F.col("th").alias("b_th"), F.col("item_id").alias("b_item"), F.col("ih").alias("b_ih"))
+    rest = pairs.join(done, pairs["id"].eqNullSafe(done["d_id"]) & (pairs["th"] == done["d_th"])).filter((F.col("most") >= matters - 1e-9) | (rank < F.col("best")))
+    rest = rest.join(side, rest["id"].eqNullSafe(side["b_id"]) & (rest["th"] == side["b_th"]) & rest["item_id"].eqNullSafe(side["b_item"]) & (rest["ih"] == side["b_ih"]), "left_anti")
+    return first.unionByName(tile(rest.select("id", "th", "item_id", "ih")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, **options: object) -> DataFrame:
     """One row per row of docs: id, th, coverage (the most of any item's words in tiles), item_id (the first such item, if any), n_items leaked, leaked."""
     rows = keyed(docs, options.get("id_col", "doc_id"), options.get("text_col", "text")).select("id", "th")
-    found = leaks(docs, benchmark, **options).groupBy(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "item_id").agg(F.max("coverage").alias("coverage"))
+    found = leaks(docs, benchmark, matters=threshold, **options).groupBy(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "item_id").agg(F.max("coverage").alias("coverage"))
     best = found.groupBy("hit_id", "hit_th").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "item_id")).alias("best"), F.sum((F.col("coverage") >= threshold - 1e-9).cast("bigint")).alias("n"))
     best = materialize(best, "leaks")
     small = broadcast_if_small(best, 64)

@@ -706,6 +706,20 @@ def test_coverage_of_whole_texts_by_brute_force(spark):
         assert got[d].item_id == (share.index(best) if best else None)
 
 
+def test_a_phrase_in_all_rows_is_tiled_once_a_document(spark):
+    """60 documents and 40 items share a phrase that can't make a leak; one item leaks besides, another has more of the phrase's words."""
+    rng = random.Random(73)
+    phrase, leaked = prose(rng, 8), prose(rng, 30)
+    items = [f"{prose(rng, 15)} {phrase} {prose(rng, 15)}" for _ in range(38)] + [leaked, f"{prose(rng, 8)} {phrase} {prose(rng, 6)}"]
+    texts = [f"{prose(rng, 50)} {phrase} {prose(rng, 40)}" + (f" {leaked}" if k == 7 else "") for k in range(60)]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert decontaminate.leaks(docs, bench).count() == 60 * 39 + 1
+    assert decontaminate.leaks(docs, bench, matters=0.5).count() == 60
+    got = {r.id: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert [k for k, r in got.items() if r.leaked] == [7] and (got[7].item_id, got[7].coverage, got[7].n_items) == (38, 1.0, 1)
+    assert all((r.item_id, r.coverage) == (39, 8 / 22) for k, r in got.items() if k != 7)
+
+
 def test_repetitive_texts_take_memory_in_proportion():
     import tracemalloc
 
