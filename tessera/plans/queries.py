@@ -49,11 +49,21 @@ def literal(v: object) -> str:
     return "NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
 
 
-def fixed(name: str, rows: list[tuple], schema: str, query: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    """A query over rows given here. sql: the same over a table `fx` of these rows."""
-    columns = ", ".join(c.strip().split(" ")[0] for c in schema.split(","))
-    values = ", ".join(f"({', '.join(map(literal, r))})" for r in rows)
-    add(name, lambda s, d: query(s.createDataFrame(rows, schema)), sql and f"WITH fx({columns}) AS (VALUES {values}) {sql}")
+Part = tuple[str, ...]
+
+
+def derived(name: str, parts: list[Part], query: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    """A query over rows made of the given tables: each part is a table and the columns taken of it, in words that both dialects read alike. sql: the same over a table `fx` of these rows."""
+
+    def rows(s: SparkSession, d: str) -> DataFrame:
+        made = [table(s, d, source).selectExpr(*columns) for source, *columns in parts]
+        out = made[0]
+        for more in made[1:]:
+            out = out.unionByName(more)
+        return query(out)
+
+    source = " UNION ALL ".join(f"SELECT {', '.join(columns)} FROM {name_}" for name_, *columns in parts)
+    add(name, rows, sql and f"WITH fx AS ({source}) {sql}")
 
 
 WS = C.WS
@@ -75,11 +85,12 @@ case = lambda groups, other: "CASE " + " ".join(f"WHEN {EXT} IN ({in_list(v)}) T
 on("file_kind", DOCS, "doc_id", lambda: T.file_kind(path()), case(T.KINDS, "other"))
 on("viewer_dispatch", DOCS, "doc_id", lambda: T.viewer(path()), case(T.VIEWERS, "default"))
 on("open_by_extension", DOCS, "doc_id", lambda: T.open_mode(path()), case({"html": ("html", "htm"), "json": ("json",), "markdown": ("md", "markdown")}, "text"))
-JSON_ROWS = [
-    (1, '{"version":1,"content":"<p>x</p>","meta":{"title":"A","created":5}}'), (2, '"{\\"content\\":\\"<p>y</p>\\"}"'), (3, "{}"), (4, "not json"),
-    (5, '{"version":2,"content":"z","meta":{"title":"","author":"me"},"styles":{"theme":"dark"}}'),
-]
-fixed("parse_document", JSON_ROWS, "id int, json string", lambda t: t.withColumn("d", documents.parse_document(F.col("json"))).select("id", "d.version", "d.content", "d.meta.title", "d.meta.created", "d.meta.author", "d.styles.theme"),
+BACK, QUOTE = "chr(92)", "chr(34)"
+#: A text as JSON writes it.
+IN_JSON = f"replace(replace(replace(replace(replace(text, {BACK}, {BACK} || {BACK}), {QUOTE}, {BACK} || {QUOTE}), chr(10), {BACK} || 'n'), chr(9), {BACK} || 't'), chr(13), {BACK} || 'r')"
+JSONS = [("documents", "doc_id AS id", f"""CASE doc_id % 6 WHEN 0 THEN '{{"version":1,"content":"' || {IN_JSON} || '","meta":{{"title":"' || source || '","created":' || doc_id || '}}}}' WHEN 1 THEN '"{{' || {BACK} || '"content' || {BACK} || '":' || {BACK} || '"' || lang || {BACK} || '"}}"'
+    WHEN 2 THEN '{{}}' WHEN 3 THEN 'not json: ' || text WHEN 4 THEN '{{"version":2,"content":"z","meta":{{"title":"","author":"' || source || '"}},"styles":{{"theme":"dark"}}}}' ELSE '{{"content":"' || {IN_JSON} || '"}}' END AS json""")]
+derived("parse_document", JSONS, lambda t: t.withColumn("d", documents.parse_document(F.col("json"))).select("id", "d.version", "d.content", "d.meta.title", "d.meta.created", "d.meta.author", "d.styles.theme"),
       """, j AS (SELECT id, CASE WHEN json_valid(json) THEN CASE WHEN json_type(json) = 'VARCHAR' THEN json ->> '$' ELSE json END END AS j FROM fx)
       SELECT id, CASE WHEN j IS NOT NULL THEN coalesce(CAST(j ->> '$.version' AS INTEGER), 1) END AS version, CASE WHEN j IS NOT NULL THEN coalesce(j ->> '$.content', '') END AS content,
              CASE WHEN j IS NOT NULL THEN coalesce(nullif(j ->> '$.meta.title', ''), 'Untitled') END AS title, CASE WHEN j IS NOT NULL THEN coalesce(CAST(j ->> '$.meta.created' AS BIGINT), 0) END AS created,
@@ -88,8 +99,8 @@ add("create_document", lambda s, d: table(s, d, DOCS).select("doc_id", documents
     f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '>{WS}{{2,}}<', '> <', 'g'), '\\n{WS}*\\n', chr(10), 'g'), '^{WS}+|{WS}+$', '', 'g') AS content, source AS title, lang AS theme FROM documents")
 on("compress_content", PAGES, "page_id", lambda: F.md5(T.compress_content(F.col("html"))), f"md5(regexp_replace(regexp_replace(regexp_replace(html, '>{WS}{{2,}}<', '> <', 'g'), '\\n{WS}*\\n', chr(10), 'g'), '^{WS}+|{WS}+$', '', 'g'))")
 on("escape_html", PAGES, "page_id", lambda: F.md5(T.escape_html(F.col("html"))), "md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;'))")
-STYLE_ROWS = [(1, '{"doc-title":{"color":"red","fontSize":"12pt"},"other":{"color":"blue"}}'), (2, '{"doc-section":{"textAlign":"center"},"doc-title":{}}'), (3, None)]
-fixed("style_css", STYLE_ROWS, "id int, styles string", lambda t: t.select("id", F.coalesce(documents.style_css(F.from_json("styles", f"map<string,{documents.STYLE}>")), F.lit("")).alias("value")),
+STYLED = [("documents", "doc_id AS id", """CASE doc_id % 3 WHEN 0 THEN '{"doc-title":{"color":"' || lang || '","fontSize":"' || doc_id || 'pt"},"other":{"color":"blue"}}' WHEN 1 THEN '{"doc-section":{"textAlign":"' || source || '"},"doc-title":{}}' END AS styles""")]
+derived("style_css", STYLED, lambda t: t.select("id", F.coalesce(documents.style_css(F.from_json("styles", f"map<string,{documents.STYLE}>")), F.lit("")).alias("value")),
       "SELECT id, " + " || ".join(f"coalesce('.ql-{k} {{ ' || nullif(concat_ws('; ', " + ", ".join(f"'{css}: ' || nullif(styles ->> '$.\"{k}\".{field}', '')" for css, field in documents.PROPERTIES) + f"), '') || '; }}' || chr(10), '')" for k in documents.STYLE_KEYS) + " AS value FROM fx")
 PAGE_SQL = [f"'{x}'".replace("\n", "' || chr(10) || '") for x in documents.PAGE]
 add("to_html", lambda s, d: _pages(table(s, d, DOCS)).select("doc_id", F.md5("page").alias("value")),
@@ -112,7 +123,7 @@ def _pages(docs: DataFrame) -> DataFrame:
 
 
 on("import_html_body", PAGES, "page_id", lambda: F.md5(T.import_html_body(F.col("html"))), "md5(CASE WHEN regexp_matches(html, '(?is)<body[^>]*>.*?</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END)")
-fixed("import_json_content", JSON_ROWS, "id int, json string", lambda t: t.select("id", T.import_json_content(F.col("json")).alias("value")), "SELECT id, coalesce(nullif(CASE WHEN json_valid(json) THEN json ->> '$.content' END, ''), json) AS value FROM fx")
+derived("import_json_content", JSONS, lambda t: t.select("id", T.import_json_content(F.col("json")).alias("value")), "SELECT id, coalesce(nullif(CASE WHEN json_valid(json) THEN json ->> '$.content' END, ''), json) AS value FROM fx")
 on("import_markdown", DOCS, "doc_id", lambda: F.md5(T.import_markdown(F.concat(F.lit("# T\n**b** *i*\n## U\n"), text))), "md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('# T' || chr(10) || '**b** *i*' || chr(10) || '## U' || chr(10) || text, '(?m)^### (.*)$', '<h3>\\1</h3>', 'g'), '(?m)^## (.*)$', '<h2>\\1</h2>', 'g'), '(?m)^# (.*)$', '<h1>\\1</h1>', 'g'), '\\*\\*(.*?)\\*\\*', '<strong>\\1</strong>', 'g'), '\\*(.*?)\\*', '<em>\\1</em>', 'g'), '\\n', '<br>', 'g'))")
 add("html_paragraphs", lambda s, d: html.paragraphs(table(s, d, PAGES), "page_id", "html").select("page_id", "para_no", F.size("classes").alias("n_classes"), F.md5("inner").alias("inner")),
     """SELECT page_id, generate_subscripts(p, 1) - 1 AS para_no, coalesce(len(list_filter(regexp_split_to_array(coalesce(unnest(c), ''), '[ \\t\\n]+'), lambda x: x <> '')), 0) AS n_classes, md5(unnest(p)) AS inner FROM (
@@ -125,21 +136,24 @@ def _runs(spark: SparkSession, paragraphs: DataFrame) -> DataFrame:
     return paragraphs.drop("classes").lateralJoin(html.InlineRuns(F.col("inner").outer())).select("page_id", "para_no", "run_no", "text", "bold", "italic", "underline", "superscript", "subscript", "classes")
 
 
-RUNS = [(0, 0, "ag", None, None, False), (0, 1, "̌", "Hold", None, False), (0, 2, "ni ", None, None, False), (0, 3, "x", "Phonetic", None, False), (0, 4, "g", "Insert", 8.0, True), (0, 5, "mi", "Svara", None, False), (0, 6, "le", None, None, False), (1, 0, "͂", "2Hold", None, False), (1, 1, "  ", None, None, False), (1, 2, "pu<", None, None, False), (1, 3, "s", None, 7.0, False)]
-RUN_SCHEMA = "para_no int, run_no int, text string, char_style string, size_pt double, superscript boolean"
+RUNS = [
+    ("documents", "CAST(doc_id AS INTEGER) AS para_no", f"{k} AS run_no", f"{what} AS text", f"CASE (doc_id + {k}) % 6 WHEN 1 THEN 'Hold' WHEN 2 THEN 'Phonetic' WHEN 3 THEN 'Insert' WHEN 4 THEN 'Svara' WHEN 5 THEN '2Hold' END AS char_style",
+     f"CASE WHEN (doc_id + {k}) % 5 < 2 THEN CAST(7 + (doc_id + {k}) % 5 * 4 AS DOUBLE) END AS size_pt", f"(doc_id + {k}) % 7 = 3 AS superscript")
+    for k, what in enumerate(("text", "lang || ' & '", "'  '", "source"))
+]
 _more = lambda t: t.withColumns({c: F.lit(False) for c in ("bold", "italic", "underline", "has_border")}).withColumn("border_sz", F.lit(0))
-fixed("docx_runs_to_html", RUNS, RUN_SCHEMA, lambda t: docx.runs_to_html(_more(t)))
-fixed("docx_format_run", RUNS, RUN_SCHEMA, lambda t: _more(t).select("para_no", "run_no", docx.format_run().alias("value")),
+derived("docx_runs_to_html", RUNS, lambda t: docx.runs_to_html(_more(t)))
+derived("docx_format_run", RUNS, lambda t: _more(t).select("para_no", "run_no", docx.format_run().alias("value")),
       """SELECT para_no, run_no, CASE WHEN char_style LIKE 'Insert%' OR coalesce(char_style, '') NOT IN (SELECT k FROM st) AND (coalesce(size_pt, 99) <= 9 OR superscript) THEN CASE WHEN superscript THEN '<sup>' ELSE '' END || '<span class="ql-change-style">' || x || '</span>' || CASE WHEN superscript THEN '</sup>' ELSE '' END
              WHEN c IS NOT NULL AND trim(text) <> '' THEN '<span class="' || c || '">' || x || '</span>' ELSE x END AS value
          FROM (SELECT fx.*, st.v AS c, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM fx LEFT JOIN st ON st.k = char_style)""".replace("st ", f"(VALUES {', '.join(f'({literal(k)}, {literal(v)})' for k, v in docx.STYLE_CLASS.items())}) AS st(k, v) ").replace("FROM st)", f"FROM (VALUES {', '.join(f'({literal(k)}, {literal(v)})' for k, v in docx.STYLE_CLASS.items())}) AS st(k, v))"))
-fixed("docx_title_detect", [(0, 24.0, False), (1, 12.0, True), (2, None, None), (3, 30.0, True)], "para_no int, size_pt double, centred boolean", lambda t: t.select("para_no", docx.is_title(F.col("para_no"), F.col("size_pt"), F.col("centred")).alias("value")), "SELECT para_no, para_no <= 2 AND (coalesce(size_pt, 0) >= 24 OR coalesce(centred, false)) AS value FROM fx")
-fixed("docx_hanging", [(1, 10.0, -5.0, None, None), (2, None, -5.0, 4.0, None), (3, 0.0, -5.0, 9.0, -1.0), (4, None, None, None, None)], "id int, l double, f double, sl double, sf double", lambda t: t.select("id", docx.is_hanging(F.col("l"), F.col("f"), F.col("sl"), F.col("sf")).alias("value")), "SELECT id, coalesce(coalesce(l, sl) > 0 AND coalesce(f, sf) < 0, false) AS value FROM fx")
-PARAGRAPHS = [(i, "word%d" % i, "é & <%d>" % (i * i), i % 3 == 0, i % 4 == 0) for i in range(40)]
-fixed("import_docx", PARAGRAPHS, "id int, a string, b string, bold boolean, raised boolean", lambda t: docx.import_docx(t.select("id", docx.written(F.col("a"), F.col("b"), F.col("bold"), F.col("raised")).alias("content")), "id"),
+derived("docx_title_detect", [("events", "CAST(event_id % 5 AS INTEGER) AS para_no", "CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 40 AS DOUBLE) END AS size_pt", "CASE WHEN event_id % 4 > 0 THEN event_id % 4 = 1 END AS centred")], lambda t: t.select("para_no", docx.is_title(F.col("para_no"), F.col("size_pt"), F.col("centred")).alias("value")), "SELECT para_no, para_no <= 2 AND (coalesce(size_pt, 0) >= 24 OR coalesce(centred, false)) AS value FROM fx")
+derived("docx_hanging", [("events", "event_id AS id", *(f"CASE WHEN event_id % {n} > 0 THEN CAST(event_id % {m} AS DOUBLE) - 3 END AS {c}" for c, n, m in (("l", 2, 7), ("f", 3, 6), ("sl", 5, 9), ("sf", 4, 5))))], lambda t: t.select("id", docx.is_hanging(F.col("l"), F.col("f"), F.col("sl"), F.col("sf")).alias("value")), "SELECT id, coalesce(coalesce(l, sl) > 0 AND coalesce(f, sf) < 0, false) AS value FROM fx")
+PARAGRAPHS = [("documents", "doc_id AS id", "source || doc_id AS a", "'é & <' || doc_id || '> ' || replace(text, chr(10), ' ') AS b", "doc_id % 3 = 0 AS bold", "doc_id % 4 = 0 AS raised")]
+derived("import_docx", PARAGRAPHS, lambda t: docx.import_docx(t.select("id", docx.written(F.col("a"), F.col("b"), F.col("bold"), F.col("raised")).alias("content")), "id"),
       """SELECT id, unnest([0, 2]) AS para_no, unnest([CASE WHEN bold THEN '<strong>' || a || '</strong>' ELSE a END || CASE WHEN raised THEN '<sup><span class="ql-change-style">' || e || '</span></sup>' ELSE e END, 'end ' || a]) AS html
          FROM (SELECT *, replace(replace(replace(b, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM fx)""")
-fixed("style_lookup", [("Heading 1",), ("Heading 1 Char",), ("Body",), ("Title",)], "style string", lambda t: t.select("style", docx.style_lookup(F.col("style"), {"Title": "ql-doc-title", "Heading 1": "ql-doc-section"}).alias("value")), "SELECT style, CASE WHEN style LIKE 'Title%' THEN 'ql-doc-title' WHEN style LIKE 'Heading 1%' THEN 'ql-doc-section' END AS value FROM fx")
+derived("style_lookup", [("documents", "CASE doc_id % 5 WHEN 0 THEN 'Heading 1' WHEN 1 THEN 'Heading 1 Char' WHEN 2 THEN 'Title ' || lang WHEN 3 THEN source ELSE 'Body' END AS style")], lambda t: t.select("style", docx.style_lookup(F.col("style"), {"Title": "ql-doc-title", "Heading 1": "ql-doc-section"}).alias("value")), "SELECT style, CASE WHEN style LIKE 'Title%' THEN 'ql-doc-title' WHEN style LIKE 'Heading 1%' THEN 'ql-doc-section' END AS value FROM fx")
 
 
 def _text_files(s: SparkSession, d: str) -> DataFrame:
@@ -152,39 +166,35 @@ add("scan_text_file", lambda s, d: _text_files(s, d).select("doc_id", F.octet_le
 # ---- projections, filters, predicates ----------------------------------------------------------------------------------------
 add("style_filter", lambda s, d: K.style_filter(table(s, d, DOCS), ["en", "de"], "lang").groupBy("lang").count().withColumnRenamed("count", "n"), "SELECT lang, count(*) AS n FROM documents WHERE lang NOT IN ('fr', 'es') GROUP BY lang")
 add("catalog_search", lambda s, d: K.search(table(s, d, DOCS).select("doc_id", F.col("source").alias("filename"), F.col("text").alias("title"), F.col("lang").alias("romanized")), "EN the").select("doc_id"), "SELECT doc_id FROM documents WHERE len(list_filter(string_split('en the', ' '), lambda w: instr(lower(concat_ws(' ', text, lang, source)), w) = 0)) = 0")
-QUERIES_FOLDED = [("Ṛgveda Śānti",), ("puruṣa sūktaṁ",), ("Ḷ ḻ ñ ṅ ṇ",)]
-fixed("query_fold", QUERIES_FOLDED, "q string", lambda t: t.select("q", T.query_fold(F.col("q")).alias("value")), "SELECT q, replace(replace(translate(lower(q), 'āīūṛṝḷḹṁṃḥṭḍṅñṇḻ', 'aiurrllmmhtdnnnl'), 'ś', 'sh'), 'ṣ', 'sh') AS value FROM fx")
+derived("query_fold", [("documents", "'Ṛgveda Śānti puruṣa sūktaṁ Ḷ ḻ ñ ṅ ṇ ' || text AS q")], lambda t: t.select("q", T.query_fold(F.col("q")).alias("value")), "SELECT q, replace(replace(translate(lower(q), 'āīūṛṝḷḹṁṃḥṭḍṅñṇḻ', 'aiurrllmmhtdnnnl'), 'ś', 'sh'), 'ṣ', 'sh') AS value FROM fx")
 add("recents_search", lambda s, d: K.recents_search(table(s, d, DOCS).select("doc_id", path().alias("path")), " SRC1 ", "/library//SRC1/en 1.html").select("doc_id"), f"SELECT doc_id FROM documents WHERE lower({PATHS_SQL}) LIKE '%src1%' AND lower({PATHS_SQL}) <> '/library/src1/en 1.html'")
-LINES = [(1, "home | itx | pdf"), (1, "ॐ अग्निमीळे पुरोहितं"), (1, "ऋषिः मधुच्छन्दाः, छन्दः गायत्री"), (1, "अ॒ग्निमी॑ळे पु॒रोहि॑तं य॒ज्ञस्य॑ ।"), (1, "दे॒वमृ॒त्विज॑म् ॥ १ ॥"), (1, "होता॑रं रत्न॒धात॑मम् ॥ २.१ ॥"), (1, "अग्निः पूर्वेभि"), (1, "Encoded by क ख ग घ ङ च छ ज झ ञ ट ठ ड ढ"), (2, "रामो राजमणिः सदा विजयते ॥ १॥"), (2, "रामं रमेशं भजे"), (2, "x अ")]
-LINE_ROWS = [(k, n, line) for n, (k, line) in enumerate(LINES)]
-fixed("dev_line_filter", LINE_ROWS, "doc_id int, line_no int, line string", lambda t: t.filter(L.is_devanagari(F.col("line"))).select("doc_id", "line_no"), "SELECT doc_id, line_no FROM (SELECT *, len(list_filter(string_split(line, ''), lambda c: unicode(c) BETWEEN 2304 AND 2431)) AS n FROM fx) WHERE n >= 3 AND n > 0.3 * length(replace(line, ' ', ''))")
+add("dev_line_filter", lambda s, d: _deva(s, d).select("doc_id", "line_no"), "")
 FOOTER_SQL = "len(list_filter([" + ", ".join(map(literal, L.FOOTERS)) + "], lambda k: instr(lower(line), k) > 0)) > 0"
 add("footer_trim", lambda s, d: L.footer_trim(_deva(s, d), "doc_id").select("doc_id", "line_no"), "")
 add("preamble_split", lambda s, d: _body(s, d).select("doc_id", "line_no", "preamble"), "")
-fixed("shlokam_filter", [(1, "u", None, None), (2, None, "l", "page"), (3, None, None, "post"), (4, "", None, "post"), (5, "", "m", "")], "id int, url string, link string, subtype string", lambda t: K.post_filter(t).select("id", "url", "subtype"), "SELECT id, CASE WHEN length(url) > 0 THEN url ELSE link END AS url, CASE WHEN length(subtype) > 0 THEN subtype ELSE 'post' END AS subtype FROM fx WHERE length(url) > 0 OR length(link) > 0")
-fixed("attachment_filter", [(1, "a", "data:x"), (2, "", "data:x"), (3, "c", None)], "k int, id string, src string", lambda t: t.select(F.explode(documents.valid_attachments(F.array(F.struct("k", "id", "src")))).alias("a")).select("a.k"), "SELECT k FROM fx WHERE length(coalesce(id, '')) * length(coalesce(src, '')) > 0")
-REGIONS = [("a", 1, 0.0, 1.0, 0), ("a", 2, 1.1, 2.0, 1), ("a", 3, 2.2, 3.0, None), ("a", 4, 3.5, 3.505, 3), ("b", 5, 4.0, 3.0, 0), ("b", 6, 9.0, 11.0, 2)]
-REGION_SCHEMA = "audio_id string, id int, start double, end double, target_index int"
-FX = REGIONS, REGION_SCHEMA.replace(" end ", " stop ")
+derived("shlokam_filter", [("pages", "page_id AS id", "CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN '' END AS url", "CASE page_id % 4 WHEN 0 THEN 'to ' || url WHEN 1 THEN '' END AS link", "CASE page_id % 5 WHEN 0 THEN 'page' WHEN 1 THEN '' END AS subtype")], lambda t: K.post_filter(t).select("id", "url", "subtype"), "SELECT id, CASE WHEN length(url) > 0 THEN url ELSE link END AS url, CASE WHEN length(subtype) > 0 THEN subtype ELSE 'post' END AS subtype FROM fx WHERE length(url) > 0 OR length(link) > 0")
+derived("attachment_filter", [("documents", "doc_id AS k", "CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '' END AS id", "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '' WHEN 2 THEN lang END AS src")], lambda t: t.select(F.explode(documents.valid_attachments(F.array(F.struct("k", "id", "src")))).alias("a")).select("a.k"), "SELECT k FROM fx WHERE length(coalesce(id, '')) * length(coalesce(src, '')) > 0")
+# Events as regions of their user's recording, some of them empty, beyond the end or without a target.
+FX = [("events", "'u' || user_id AS audio_id", "event_id AS id", "CAST(event_id % 40 AS DOUBLE) / 4 AS start", "CAST(event_id % 40 AS DOUBLE) / 4 + CAST(event_id % 17 AS DOUBLE) / 4 - 0.5 AS stop", "CASE WHEN event_id % 7 < 5 THEN CAST(event_id % 7 AS INTEGER) END AS target_index")]
 _end = lambda t: t.withColumnRenamed("stop", "end")
-fixed("region_validity", *FX, lambda t: t.select("id", I.valid_region(F.col("start"), F.col("stop"), F.lit(10.0)).alias("value")), "SELECT id, CASE WHEN stop - start <= 0 THEN 'empty' WHEN stop - 10 > 0.05 THEN 'beyond the end' END AS value FROM fx")
-fixed("region_min_len", *FX, lambda t: I.install_regions(_end(t), F.lit(10.0)).select("id", "start", F.col("end").alias("stop")), "SELECT id, greatest(0, start) AS start, least(10, stop) AS stop FROM fx WHERE least(10, stop) - greatest(0, start) > 0.01")
-fixed("visibility_mode", *FX, lambda t: t.select("id", *[I.visible(m, F.col("id") == 2, F.col("id") > 3).alias(m) for m in ("selected", "all", "hidden", "custom")]), "SELECT id, id = 2 AS selected, true AS \"all\", false AS hidden, id <= 3 AS custom FROM fx")
+derived("region_validity", FX, lambda t: t.select("id", I.valid_region(F.col("start"), F.col("stop"), F.lit(10.0)).alias("value")), "SELECT id, CASE WHEN stop - start <= 0 THEN 'empty' WHEN stop - 10 > 0.05 THEN 'beyond the end' END AS value FROM fx")
+derived("region_min_len", FX, lambda t: I.install_regions(_end(t), F.lit(10.0)).select("id", "start", F.col("end").alias("stop")), "SELECT id, greatest(0, start) AS start, least(10, stop) AS stop FROM fx WHERE least(10, stop) - greatest(0, start) > 0.01")
+derived("visibility_mode", FX, lambda t: t.select("id", *[I.visible(m, F.col("id") == 2, F.col("id") > 3).alias(m) for m in ("selected", "all", "hidden", "custom")]), "SELECT id, id = 2 AS selected, true AS \"all\", false AS hidden, id <= 3 AS custom FROM fx")
 on("path_guard", DOCS, "doc_id", lambda: T.is_guarded(F.concat(F.lit("/"), path()), "/Library/src1"), f"{PATHS_SQL} LIKE '/Library/src1%'")
 # ---- joins -------------------------------------------------------------------------------------------------------------------
 add("audio_hydrate", lambda s, d: K.lookup(table(s, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("id")), table(s, d, "customer").select((F.col("c_custkey") % 5).alias("id"), "c_custkey", "c_name"), "id", "c_custkey").select("n_nationkey", "c_name"),
     "SELECT n_nationkey, c_name FROM nation LEFT JOIN (SELECT c_custkey % 5 AS id, c_name FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey DESC) = 1) c ON c.id = n_regionkey")
-OLD_NEW = [("old", 1, "a"), ("old", 2, "b"), ("new", 2, "B"), ("new", 3, "C")]
-fixed("audio_library_upsert", OLD_NEW, "kind string, id int, label string", lambda t: K.upsert(t.filter("kind = 'old'").select("id", "label"), t.filter("kind = 'new'").select("id", "label"), "id"), "SELECT id, label FROM fx WHERE kind = 'new' OR id NOT IN (SELECT id FROM fx WHERE kind = 'new')")
-TARGETS = [("a", 0, "one"), ("a", 1, "two"), ("a", 2, "three"), ("a", 3, "four"), ("b", 0, "uno"), ("b", 1, "due")]
-RT = [("r", a, i, None, t) for a, i, _, _, t in REGIONS] + [("t", a, None, label, o) for a, o, label in TARGETS]
-RT_SCHEMA = "kind string, audio_id string, id int, label string, ord int"
+OLD_NEW = [("customer", "'old' AS kind", "c_custkey AS id", "c_name AS label"), ("nation", "'new' AS kind", "n_nationkey * 7 AS id", "n_name AS label")]
+derived("audio_library_upsert", OLD_NEW, lambda t: K.upsert(t.filter("kind = 'old'").select("id", "label"), t.filter("kind = 'new'").select("id", "label"), "id"), "SELECT id, label FROM fx WHERE kind = 'new' OR id NOT IN (SELECT id FROM fx WHERE kind = 'new')")
+# Turns of conversations as targets, events as the regions of some of them.
+RT = [("events", "'r' AS kind", "'a' || event_id % 97 AS audio_id", "event_id AS id", "CAST(NULL AS STRING) AS label", "CASE WHEN event_id % 11 > 0 THEN CAST(event_id % 13 AS INTEGER) END AS ord"),
+      ("conversations", "'t' AS kind", "'a' || conv_id AS audio_id", "CAST(NULL AS BIGINT) AS id", "text AS label", "CAST(turn AS INTEGER) AS ord")]
 _regions = lambda t: t.filter("kind = 'r'").select("audio_id", "id", F.col("ord").alias("target_index"))
 _targets = lambda t: t.filter("kind = 't'").select("audio_id", "ord", "label")
-fixed("region_target", RT, RT_SCHEMA, lambda t: K.region_target(_regions(t), _targets(t), "audio_id").select("id", "label"), "SELECT id, (SELECT label FROM fx t WHERE t.kind = 't' AND t.audio_id = r.audio_id AND t.ord = r.ord) AS label FROM fx r WHERE kind = 'r'")
-fixed("next_unassigned_target", RT, RT_SCHEMA, lambda t: K.next_unassigned(_targets(t), _regions(t), "audio_id"), "SELECT audio_id, min(ord) AS ord FROM fx t WHERE kind = 't' AND NOT EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) GROUP BY audio_id")
-fixed("target_has_region", RT, RT_SCHEMA, lambda t: K.with_region(_targets(t), _regions(t), "audio_id").select("audio_id", "ord"), "SELECT audio_id, ord FROM fx t WHERE kind = 't' AND EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord)")
-fixed("remove_target", *FX, lambda t: K.remove_target(t, 1).select("id", "target_index"), "SELECT id, CASE WHEN target_index <> 1 THEN target_index - CAST(target_index > 1 AS INTEGER) END AS target_index FROM fx")
+derived("region_target", RT, lambda t: K.region_target(_regions(t), _targets(t), "audio_id").select("id", "label"), "SELECT id, (SELECT label FROM fx t WHERE t.kind = 't' AND t.audio_id = r.audio_id AND t.ord = r.ord) AS label FROM fx r WHERE kind = 'r'")
+derived("next_unassigned_target", RT, lambda t: K.next_unassigned(_targets(t), _regions(t), "audio_id"), "SELECT audio_id, min(ord) AS ord FROM fx t WHERE kind = 't' AND NOT EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) GROUP BY audio_id")
+derived("target_has_region", RT, lambda t: K.with_region(_targets(t), _regions(t), "audio_id").select("audio_id", "ord"), "SELECT audio_id, ord FROM fx t WHERE kind = 't' AND EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord)")
+derived("remove_target", FX, lambda t: K.remove_target(t, 1).select("id", "target_index"), "SELECT id, CASE WHEN target_index <> 1 THEN target_index - CAST(target_index > 1 AS INTEGER) END AS target_index FROM fx")
 add("verse_zip", lambda s, d: table(s, d, DOCS).select("doc_id", F.posexplode(L.verse_zip(F.split("text", "\n"), F.array("lang", "source"), F.array(F.lit("")))).alias("n", "v")).select("doc_id", "v.devanagari", "v.transliteration", "v.translation"),
     """WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS x, [lang, source] AS y FROM documents), n AS (SELECT doc_id, x, y, unnest(range(1, greatest(len(x), 2) + 1)) AS i FROM a)
        SELECT doc_id, coalesce(x[i], '') AS devanagari, coalesce(y[i], '') AS transliteration, '' AS translation FROM n WHERE coalesce(x[i], '') <> '' OR coalesce(y[i], '') <> ''""")
@@ -212,12 +222,11 @@ add("text_stats", lambda s, d: table(s, d, DOCS).select("doc_id", F.length("text
     f"SELECT doc_id, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS words, len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_full_match(l, '{WS}*'))) AS paragraphs FROM documents")
 on("paragraph_count", PAGES, "page_id", lambda: T.p_tag_count(F.col("html")), "(length(html) - length(replace(html, '<p', ''))) // 2")
 EVENT_AGG = "count(*) AS n, round(sum(value), 3) AS total, round(avg(value), 6) AS mean, max(value) AS most"
-FIGURES = [("a", 0.0, 1.0, 0.5, 1), ("a", 2.0, 4.5, None, 1), ("a", 6.0, 6.0, None, 0), ("a", 7.0, 8.0, None, 0), ("b", 0.0, 2.0, 0.9, 1), ("c", 1.0, 2.0, None, 0), ("d", 3.0, 3.5, 0.25, 1), ("d", 4.0, 4.5, 0.75, 2)]
-FIGURE_SCHEMA = "audio_id string, start double, stop double, confidence double, n_regions int"
+FIGURES = [("events", "'u' || user_id AS audio_id", "CAST(event_id AS DOUBLE) AS start", "CAST(event_id AS DOUBLE) + CAST(event_id % 5 AS DOUBLE) / 4 AS stop", "CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 64 AS DOUBLE) / 64 END AS confidence", "CAST(greatest(0, event_id % 5 - 2) AS INTEGER) AS n_regions")]
 _figures = lambda t: A.alignment_figures(_end(t).filter("n_regions > 0").withColumn("x", F.explode(F.sequence(F.lit(1), "n_regions"))), _end(t), "audio_id")
 _FIGURES_SQL = "SELECT audio_id, {} AS {} FROM (SELECT audio_id, sum(n_regions) AS m, sum(coalesce(confidence, 0) * n_regions) AS c, count(*) AS k, avg(greatest(0.01, stop - start)) AS d FROM fx GROUP BY audio_id) WHERE m > 0"
 for _name, _column_name, _sql in (("matched", "matched", "m"), ("avg_confidence", "avg_confidence", "round(c / m, 9)"), ("avg_duration", "avg_duration", "round(d, 9)"), ("unused_intervals", "unused_intervals", "greatest(0, k - m)")):
-    fixed(_name, FIGURES, FIGURE_SCHEMA, lambda t, c=_column_name: _figures(t).select("audio_id", F.round(c, 9).alias(c)), _FIGURES_SQL.format(_sql, _column_name))
+    derived(_name, FIGURES, lambda t, c=_column_name: _figures(t).select("audio_id", F.round(c, 9).alias(c)), _FIGURES_SQL.format(_sql, _column_name))
 add("total_weight", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.round(F.sum(I.target_weight(F.when(F.col("value") > 50, F.col("value")), F.col("event_id").cast("int") % 3)), 3).alias("total")), "SELECT user_id, round(sum(CASE WHEN value > 50 THEN value WHEN event_id % 3 > 0 THEN event_id % 3 ELSE 1 END), 3) AS total FROM events GROUP BY user_id")
 add("interval_totals", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most")), f"SELECT event_type, {EVENT_AGG} FROM events GROUP BY event_type")
 add("energy_percentiles", lambda s, d: order_statistics(table(s, d, "events"), "user_id", value="value", shares={"p05": 0.05, "p15": 0.15, "p50": 0.5}).drop("n"), "SELECT user_id, v[CAST(floor(len(v) * 0.05) AS INTEGER) + 1] AS p05, v[CAST(floor(len(v) * 0.15) AS INTEGER) + 1] AS p15, v[CAST(floor(len(v) * 0.5) AS INTEGER) + 1] AS p50 FROM (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY user_id)")
@@ -286,6 +295,7 @@ DEVA_CTE = f"""dl AS (SELECT doc_id, len(l) AS n, generate_subscripts(l, 1) - 1
     dp AS (SELECT *, coalesce(line_no < min(line_no) FILTER (WHERE regexp_matches(line, '[\\x{{951}}\\x{{952}}\\x{{1cda}}]')) OVER (PARTITION BY doc_id), false) AS pre FROM dt),
     dn AS (SELECT *, CASE WHEN pre THEN 0 ELSE 1 + coalesce(count(*) FILTER (WHERE line LIKE '% ॥ % ॥') OVER (PARTITION BY doc_id, pre ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS verse_no FROM dp)"""
 _body = lambda s, d: L.preamble_split(L.footer_trim(_deva(s, d), "doc_id"), "doc_id")
+SQL["dev_line_filter"] = f"WITH {DEVA_CTE} SELECT doc_id, line_no FROM dk"
 SQL["footer_trim"] = f"WITH {DEVA_CTE} SELECT doc_id, line_no FROM dt"
 SQL["preamble_split"] = f"WITH {DEVA_CTE} SELECT doc_id, line_no, pre AS preamble FROM dp"
 SQL["verse_split"] = f"WITH {DEVA_CTE} SELECT doc_id, max(verse_no) AS verses, count(*) AS lines FROM dn GROUP BY doc_id"
@@ -294,17 +304,18 @@ add("merge_nearby", lambda s, d: I.merge_nearby(_spans(table(s, d, "events")), "
     """WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + 60 AS b FROM events), i AS (SELECT *, coalesce(a - lag(b) OVER o > 3600, true) AS fresh FROM e WINDOW o AS (PARTITION BY user_id ORDER BY a)),
        g AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY user_id ORDER BY a, b) AS k FROM i), m AS (SELECT user_id, k, min(a) AS a, max(b) AS b FROM g GROUP BY 1, 2)
        SELECT user_id, count(*) AS n, round(sum(b - a), 2) AS total FROM m GROUP BY 1""")
-INTERVALS = [("a", 0.0, 1.0), ("a", 1.1, 2.0), ("a", 2.2, 3.0), ("b", 0.0, 1.0), ("b", 2.0, 3.0), ("b", 3.5, 4.0), ("b", 9.0, 9.5)]
-fixed("merge_to_count", INTERVALS, "audio_id string, start double, stop double", lambda t: I.merge_to_count(_end(t), 2, "audio_id").select("audio_id", "start", F.col("end").alias("stop")),
+# Intervals whose gaps all differ.
+INTERVALS = [("events", "'u' || user_id AS audio_id", "CAST(event_id AS DOUBLE) AS start", "CAST(event_id AS DOUBLE) + 0.25 + CAST(event_id AS DOUBLE) / 1048576 AS stop")]
+derived("merge_to_count", INTERVALS, lambda t: I.merge_to_count(_end(t), 2, "audio_id").select("audio_id", "start", F.col("end").alias("stop")),
       """, g AS (SELECT *, lead(start) OVER (PARTITION BY audio_id ORDER BY start) - stop AS gap FROM fx), c AS (SELECT *, gap IN (SELECT unnest(list_sort(list(h.gap), 'DESC')[1:1]) FROM g h WHERE h.audio_id = g.audio_id AND h.gap IS NOT NULL) AS cut FROM g)
       SELECT audio_id, min(start) AS start, max(stop) AS stop FROM (SELECT *, coalesce(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY audio_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c) GROUP BY audio_id, k""")
 add("gap_features", lambda s, d: I.gap_features(_spans(table(s, d, "events")), "user_id").select("event_id", F.round("mid", 3).alias("mid"), F.round("gap_before", 3).alias("gap_before"), F.round("gap_after", 3).alias("gap_after"), F.round("max_gap", 3).alias("max_gap")),
     """WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + 60 AS b FROM events), g AS (SELECT event_id, (a + b) / 2 AS mid, coalesce(greatest(0, a - lag(b) OVER o), 0) AS x, coalesce(greatest(0, lead(a) OVER o - b), 0) AS y FROM e WINDOW o AS (PARTITION BY user_id ORDER BY a, b))
        SELECT event_id, round(mid, 3) AS mid, round(x, 3) AS gap_before, round(y, 3) AS gap_after, round(greatest(x, y), 3) AS max_gap FROM g""")
-WEIGHTS = [("a", 0, 1), ("a", 1, 3), ("b", 0, 2), ("b", 1, None), ("b", 2, 5)]
-fixed("cum_weights", WEIGHTS, "audio_id string, ord int, syllables int", lambda t: I.running_share(t.withColumn("weight", F.coalesce("syllables", F.lit(1))), "audio_id").select("audio_id", "ord", F.round("share_from", 6).alias("share_from"), F.round("share_to", 6).alias("share_to")), "SELECT audio_id, ord, round(coalesce((SELECT sum(coalesce(syllables, 1)) FROM fx b WHERE b.audio_id = a.audio_id AND b.ord < a.ord), 0) / (SELECT sum(coalesce(syllables, 1)) FROM fx b WHERE b.audio_id = a.audio_id), 6) AS share_from, round((SELECT sum(coalesce(syllables, 1)) FROM fx b WHERE b.audio_id = a.audio_id AND b.ord <= a.ord) / (SELECT sum(coalesce(syllables, 1)) FROM fx b WHERE b.audio_id = a.audio_id), 6) AS share_to FROM fx a")
-fixed("proportional_split", WEIGHTS, "audio_id string, ord int, syllables int", lambda t: I.proportional_split(t, F.lit(8.0), "audio_id").select("audio_id", "ord", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop")), "SELECT audio_id, ord, round(8 * (w - s) / t, 6) AS start, round(8 * w / t, 6) AS stop FROM (SELECT audio_id, ord, coalesce(syllables, 1) AS s, sum(coalesce(syllables, 1)) OVER (PARTITION BY audio_id ORDER BY ord) AS w, sum(coalesce(syllables, 1)) OVER (PARTITION BY audio_id) AS t FROM fx)")
-fixed("gap_candidates", INTERVALS, "audio_id string, start double, stop double", lambda t: I.gap_candidates(_end(t), "audio_id").select("audio_id", F.round("time", 6).alias("time"), F.round("gap", 6).alias("gap")), "SELECT a.audio_id, round((a.stop + b.start) / 2, 6) AS time, round(b.start - a.stop, 6) AS gap FROM fx a JOIN fx b ON a.audio_id = b.audio_id AND b.start = (SELECT min(c.start) FROM fx c WHERE c.audio_id = a.audio_id AND c.start > a.start)")
+WEIGHTS = [("conversations", "'a' || conv_id AS audio_id", "CAST(turn AS INTEGER) AS ord", "CASE WHEN turn % 4 < 3 THEN CAST(1 + length(text) % 5 AS INTEGER) END AS syllables")]
+derived("cum_weights", WEIGHTS, lambda t: I.running_share(t.withColumn("weight", F.coalesce("syllables", F.lit(1))), "audio_id").select("audio_id", "ord", F.round("share_from", 6).alias("share_from"), F.round("share_to", 6).alias("share_to")), "SELECT audio_id, ord, round(coalesce((SELECT sum(coalesce(syllables, 1)) FROM fx b WHERE b.audio_id = a.audio_id AND b.ord < a.ord), 0) / (SELECT sum(coalesce(syllables, 1)) FROM fx b WHERE b.audio_id = a.audio_id), 6) AS share_from, round((SELECT sum(coalesce(syllables, 1)) FROM fx b WHERE b.audio_id = a.audio_id AND b.ord <= a.ord) / (SELECT sum(coalesce(syllables, 1)) FROM fx b WHERE b.audio_id = a.audio_id), 6) AS share_to FROM fx a")
+derived("proportional_split", WEIGHTS, lambda t: I.proportional_split(t, F.lit(8.0), "audio_id").select("audio_id", "ord", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop")), "SELECT audio_id, ord, round(8 * (w - s) / t, 6) AS start, round(8 * w / t, 6) AS stop FROM (SELECT audio_id, ord, coalesce(syllables, 1) AS s, sum(coalesce(syllables, 1)) OVER (PARTITION BY audio_id ORDER BY ord) AS w, sum(coalesce(syllables, 1)) OVER (PARTITION BY audio_id) AS t FROM fx)")
+derived("gap_candidates", INTERVALS, lambda t: I.gap_candidates(_end(t), "audio_id").select("audio_id", F.round("time", 6).alias("time"), F.round("gap", 6).alias("gap")), "SELECT a.audio_id, round((a.stop + b.start) / 2, 6) AS time, round(b.start - a.stop, 6) AS gap FROM fx a JOIN fx b ON a.audio_id = b.audio_id AND b.start = (SELECT min(c.start) FROM fx c WHERE c.audio_id = a.audio_id AND c.start > a.start)")
 add("toc", lambda s, d: table(s, d, PAGES).select("page_id", F.explode(L.headings(F.col("html"))).alias("h")).select("page_id", "h.id", "h.level", "h.text"),
     rf"""SELECT page_id, 'heading-' || (i - 1) AS id, CAST(l AS INTEGER) AS level, CASE WHEN x = '' THEN 'Untitled' ELSE x END AS text FROM (SELECT page_id, generate_subscripts(t, 1) AS i, unnest(ls) AS l, regexp_replace(regexp_replace(unnest(t), '<[^>]+>', '', 'g'), '^{WS}+|{WS}+$', '', 'g') AS x
        FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1) AS ls, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2) AS t FROM pages))""")
@@ -317,19 +328,18 @@ add("recents_topk", lambda s, d: K.recents_topk(_recents(s, d)).select("ord", "p
 add("recents_cap", lambda s, d: K.recents_upsert(_recents(s, d), "/Customer#000000003", "open", 1000).select("path", "last_accessed", "last_saved"),
     f"SELECT path, last_accessed, last_saved FROM (SELECT -1 AS ord, '/Customer#000000003' AS path, 1000 AS last_accessed, coalesce(max(last_saved), 0) AS last_saved FROM {RECENTS_SQL} WHERE path = 'Customer#000000003' UNION ALL SELECT * FROM {RECENTS_SQL} WHERE path <> 'Customer#000000003') ORDER BY ord LIMIT 50")
 add("media_sort", lambda s, d: K.media_sort(table(s, d, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey")
-fixed("region_sort", *FX, lambda t: I.region_sort(t).select("id"), "SELECT id FROM fx ORDER BY start, id")
-PLANS = [(n, p[2]) for n, p in K.METRES.items()] + [("last wins", "4̍2̱4̱0̍"), ("empty", "")]
-fixed("plan_sort", PLANS, "id string, plan string", lambda t: t.select("id", F.posexplode(K.svara_plan(F.col("plan"))).alias("n", "p")).select("id", "n", "p.pos", "p.mark"), "SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS n, pos, mark FROM (SELECT id, CAST(p AS INTEGER) AS pos, arg_max(m, k) AS mark FROM (SELECT id, generate_subscripts(a, 1) AS k, unnest(a) AS p, unnest(b) AS m FROM (SELECT id, regexp_extract_all(plan, '([0-9]+)([^0-9])', 1) AS a, regexp_extract_all(plan, '([0-9]+)([^0-9])', 2) AS b FROM fx)) WHERE p <> '0' GROUP BY 1, 2)")
+derived("region_sort", FX, lambda t: I.region_sort(t).select("id"), "SELECT id FROM fx ORDER BY start, id")
+PLANS = [("documents", "doc_id AS id", f"CASE doc_id % {len(K.METRES) + 2} {' '.join(f'WHEN {k} THEN {literal(p[2])}' for k, p in enumerate(K.METRES.values()))} WHEN {len(K.METRES)} THEN '' ELSE '4\u030d2\u03314\u03310\u030d' END || doc_id % 30 || '\u030e' AS plan")]
+derived("plan_sort", PLANS, lambda t: t.select("id", F.posexplode(K.svara_plan(F.col("plan"))).alias("n", "p")).select("id", "n", "p.pos", "p.mark"), "SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS n, pos, mark FROM (SELECT id, CAST(p AS INTEGER) AS pos, arg_max(m, k) AS mark FROM (SELECT id, generate_subscripts(a, 1) AS k, unnest(a) AS p, unnest(b) AS m FROM (SELECT id, regexp_extract_all(plan, '([0-9]+)([^0-9])', 1) AS a, regexp_extract_all(plan, '([0-9]+)([^0-9])', 2) AS b FROM fx)) WHERE p <> '0' GROUP BY 1, 2)")
 add("result_limit", lambda s, d: K.search(_catalog(s, d).withColumnsRenamed({"category": "romanized"}).withColumn("title", F.lit("")), "src").orderBy("pos").limit(50).select("pos"), "SELECT doc_id AS pos FROM documents WHERE source LIKE '%src%' ORDER BY doc_id LIMIT 50")
 on("preview_limit", DOCS, "doc_id", lambda: K.preview(F.split("text", " ")), "array_to_string(string_split(text, ' ')[1:3], '|') || CASE WHEN len(string_split(text, ' ')) > 3 THEN ' +' || (len(string_split(text, ' ')) - 3) ELSE '' END")
 on("timeline_step", "events", "event_id", lambda: K.timeline_step(F.col("value")), "coalesce((SELECT min(s) FROM (SELECT unnest([0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0]::DOUBLE[]) AS s) WHERE s >= value), 600.0::DOUBLE)")
 
 # ---- set operations ----------------------------------------------------------------------------------------------------------
 add("union_categories", lambda s, d: K.first_wins(_catalog(s, d), ["filename"], ["category", "pos"]).select("category", "filename", "pos"), f"SELECT (arg_min(category, (category, pos))) AS category, filename, arg_min(pos, (category, pos)) AS pos FROM ({CATALOG}) GROUP BY filename")
-fixed("vowel_union", [(1,)], "id int", lambda t: t.select(F.explode(F.array_union(F.array(*map(F.lit, C.SHORT_VOWELS)), F.array(*map(F.lit, C.LONG_VOWELS)))).alias("v")), "SELECT unnest(string_split('a i u ṛ ḷ ā ī ū ṝ ḹ e ai o au', ' ')) AS v FROM fx")
-fixed("invert_selection", [(1, 2.0, 3.0, 5.0), (2, 0.02, 4.0, 5.0), (3, 0.0, 5.0, 5.0)], "id int, a double, b double, d double", lambda t: t.select("id", F.explode(I.invert_selection(F.col("a"), F.col("b"), F.col("d"))).alias("p")).select("id", "p.start", F.col("p.end").alias("stop")), "SELECT id, 0.0::DOUBLE AS start, a AS stop FROM fx WHERE a > 0.05 UNION ALL SELECT id, b, d FROM fx WHERE d - b > 0.05")
+derived("invert_selection", [("events", "event_id AS id", "CAST(event_id % 20 AS DOUBLE) / 4 AS a", "CAST(event_id % 20 + event_id % 9 AS DOUBLE) / 4 AS b", "CAST(5 AS DOUBLE) AS d")], lambda t: t.select("id", F.explode(I.invert_selection(F.col("a"), F.col("b"), F.col("d"))).alias("p")).select("id", "p.start", F.col("p.end").alias("stop")), "SELECT id, 0.0::DOUBLE AS start, a AS stop FROM fx WHERE a > 0.05 UNION ALL SELECT id, b, d FROM fx WHERE d - b > 0.05")
 add("recents_remove", lambda s, d: K.recents_remove(_recents(s, d), table(s, d, "customer").filter("c_nationkey = 3").select(F.upper("c_name").alias("path"))).select("ord"), "SELECT c_custkey AS ord FROM customer WHERE c_nationkey <> 3")
-fixed("remove_selected", *FX, lambda t: K.remove_selected(t, t.filter("id IN (2, 5)").select("id")).select("id"), "SELECT id FROM fx EXCEPT SELECT unnest([2, 5])")
+derived("remove_selected", FX, lambda t: K.remove_selected(t, t.filter("id IN (2, 5)").select("id")).select("id"), "SELECT id FROM fx EXCEPT SELECT unnest([2, 5])")
 # ---- texts made of every kind of sign: each word of each document stands for one ----------------------------------------------
 SIGNS = [*C.VOWELS, *C.CONSONANTS, *"ḥṁrmaiāsśvy", " ", " ", " ", " ", "oṁ ", "\n", "|", "।", "॥", *C.SVARA, "\u0306", "m̐", "m̐g", "m̐gṁ", "̐", "jñ", "kṣ", "sv", "vy", "x"]
 TRADITIONS = ("yajurveda", "rigveda", "smriti")
@@ -420,8 +430,8 @@ def on_signs(name: str, query: Callable[[DataFrame], DataFrame], sql: str, *part
 # ---- strings -----------------------------------------------------------------------------------------------------------------
 NORMALIZE_SQL = f"replace(regexp_replace(replace(replace(replace(replace(translate(lower(text), '{C.STANDARD_FROM}', '{C.STANDARD_TO}'), '(g)m', 'ṁ'), '(g)ṁ', 'ṁ'), '(g̱)ṁ', 'ṁ'), '(g̱)m', 'ṁ'), '\\.{WS}*\\.', '॥', 'g'), '.', '।')"
 on("normalize_text", DOCS, "doc_id", lambda: F.md5(T.normalize_text(text)), f"md5({NORMALIZE_SQL})")
-ANNOTATED = [(1, "tam̐gṁ śatru"), (2, "tam̐g"), (3, "tam̐ggṁ"), (4, "a̐b"), (5, "m̐ m̐gg g")]
-fixed("normalize_anusvara", ANNOTATED, "id int, t string", lambda t: t.select("id", T.normalize_anusvara(F.col("t")).alias("value"), T.normalize_anusvara(F.col("t"), True).alias("rigveda")), "SELECT id, replace(regexp_replace(t, 'm̐(gg?ṁ?)?', 'ṁ', 'g'), '̐', '') AS value, replace(replace(regexp_replace(t, 'm̐(gg?ṁ?)?', '\u0001', 'g'), '̐', ''), '\u0001', 'm̐') AS rigveda FROM fx")
+on_signs("normalize_anusvara", lambda t: t.select("id", T.normalize_anusvara(F.col("t")).alias("value"), T.normalize_anusvara(F.col("t"), True).alias("rigveda")), "SELECT id, replace(regexp_replace(t, 'm̐(gg?ṁ?)?', 'ṁ', 'g'), '̐', '') AS value, replace(replace(regexp_replace(t, 'm̐(gg?ṁ?)?', '\u0001', 'g'), '̐', ''), '\u0001', 'm̐') AS rigveda FROM fx")
+on_signs("vowel_union", lambda t: t.select("id", F.explode(F.filter(F.array_union(F.array(*map(F.lit, C.SHORT_VOWELS)), F.array(*map(F.lit, C.LONG_VOWELS))), lambda v: F.contains("t", v))).alias("v")), "SELECT id, v FROM fx CROSS JOIN (SELECT unnest(string_split('a i u ṛ ḷ ā ī ū ṝ ḹ e ai o au', ' ')) AS v) WHERE instr(t, v) > 0")
 on_signs("is_combining", lambda t: t.select("id", F.posexplode(F.split("t", "")).alias("pos", "c")).filter(T.is_combining(F.col("c"))).select("id", "pos"), "SELECT id, pos FROM ch WHERE unicode(c) BETWEEN 768 AND 879")
 on_signs("is_annotation", lambda t: t.select("id", F.array_join(T.annotations(F.col("t")), "").alias("value")), "SELECT id, coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE c2 = chr(57345)), '') AS value FROM ch GROUP BY id")
 on_signs("is_candrabindu_superscript", lambda t: t.select("id", F.array_join(T.superscripts(F.col("t")), "").alias("value")), "SELECT id, coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE c2 = chr(57345) AND c <> '̐'), '') AS value FROM ch GROUP BY id")
@@ -430,18 +440,32 @@ on_signs("consonant_at", lambda t: t.select("id", F.explode(F.sequence(F.lit(0),
 on_signs("vowel_at", lambda t: t.select("id", F.explode(F.sequence(F.lit(0), F.length("t") - 1)).alias("pos"), "t").select("id", "pos", T.vowel_at(F.col("t"), F.col("pos")).alias("value")), f"SELECT id, pos, CASE WHEN substr(t, pos + 1, 2) IN ({in_list(v for v in C.VOWELS if len(v) == 2)}) THEN substr(t, pos + 1, 2) WHEN c IN ({in_list(v for v in C.VOWELS if len(v) == 1)}) THEN c ELSE '' END AS value FROM ch")
 add("tokenize_phonemes", lambda s, d: table(s, d, DOCS).select("doc_id", F.size(T.tokenize_phonemes(F.lower("text"))).alias("n")), f"SELECT doc_id, length(regexp_replace(lower(text), '{'|'.join(v for v in C.VOWELS + C.CONSONANTS if len(v) == 2)}', '#', 'g')) AS n FROM documents")
 PHONEME_ROWS = [(p["iast"], p["devanagari"], p["telugu"], p["tamil"], p["tamil_approx"], p["itrans"], p["kind"]) for p in C.phonemes()]
-PHONEME_SCHEMA = "iast string, devanagari string, telugu string, tamil string, tamil_approx string, itrans string, kind string"
-fixed("phoneme_lookup", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.join(V.phoneme_table(t.sparkSession).select("iast", F.col("kind").alias("found")), "iast", "left").select("iast", "found"), "SELECT iast, kind AS found FROM fx")
-fixed("bija_lookup", [("oṁ",), (" hrīṁ ",), ("taṁ",), ("PHAṬ",), ("",)], "w string", lambda t: t.select("w", T.is_bija(F.col("w")).alias("value")), f"SELECT w, list_contains([{in_list(C.BIJA)}], lower(trim(w))) AS value FROM fx")
-fixed("convert_phoneme", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.select("iast", *[V.convert_phoneme(F.col("iast"), s).alias(f"to_{s}") for s in V.SCRIPTS]), "SELECT iast, devanagari AS to_devanagari, telugu AS to_telugu, coalesce(tamil, tamil_approx) AS to_tamil, itrans AS to_itrans FROM fx")
-fixed("has_equivalent", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.select("iast", V.has_equivalent(F.col("iast"), "tamil").alias("value")), "SELECT iast, tamil IS NOT NULL AS value FROM fx")
-fixed("approximation", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.select("iast", V.approximation(F.col("iast"), "tamil").alias("value")), "SELECT iast, tamil_approx AS value FROM fx")
-fixed("convert_syllable", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.filter("kind = 'consonant'").select("iast", V.convert_syllable(F.col("iast"), F.lit("ā"), "devanagari").alias("aa"), V.convert_syllable(F.col("iast"), F.lit("a"), "devanagari").alias("a"), V.convert_syllable(F.col("iast"), F.lit("ṛ"), "tamil").alias("none")), "SELECT iast, devanagari || 'ा' AS aa, devanagari AS a, NULL::VARCHAR AS none FROM fx WHERE kind = 'consonant'")
-fixed("convert_bare", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.filter("kind = 'consonant'").select("iast", V.convert_bare(F.col("iast"), "devanagari").alias("value")), "SELECT iast, devanagari || '्' AS value FROM fx WHERE kind = 'consonant'")
-WORDS = [("ka",), ("kha rāma",), ("agnim īḷe",), ("xyz 1",)]
-fixed("convert_string", WORDS, "w string", lambda t: t.select("w", V.convert_string(F.col("w"), "devanagari").alias("value")), f"SELECT w, list_reduce(list_prepend('', list_transform(regexp_extract_all(w, '({'|'.join(p['iast'] for p in C.phonemes() if len(p['iast']) == 2)}|.)'), lambda t: coalesce(map {{{', '.join(f'{literal(p['iast'])}: {literal(p['devanagari'])}' for p in C.phonemes())}}}[t], t))), lambda a, b: a || b) AS value FROM fx")
-fixed("script_name", [("tamil",), ("iast",), ("grantha",)], "s string", lambda t: t.select("s", V.script_name(F.col("s")).alias("value")), "SELECT s, CASE s WHEN 'iast' THEN 'IAST' WHEN 'itrans' THEN 'ITRANS' WHEN 'tamil' THEN 'Tamil' ELSE s END AS value FROM fx")
-fixed("phonemes_by_type", PHONEME_ROWS, PHONEME_SCHEMA, lambda t: t.groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM fx GROUP BY kind")
+PHONEME_COLUMNS = "iast, devanagari, telugu, tamil, tamil_approx, itrans, kind"
+
+
+def on_phonemes(name: str, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query over a phoneme (iast, kind) for each word of each document; sql: the same over the whole rows of their table."""
+    n = len(PHONEME_ROWS)
+    pick = lambda k: f"element_at(array({in_list(r[k] for r in PHONEME_ROWS)}), cast({word_at(n)} AS int) + 1)"
+    rows = lambda s, d: stretches(s, d).select(F.explode("words").alias("w")).select(F.expr(pick(0)).alias("iast"), F.expr(pick(6)).alias("kind"))
+    values = ", ".join(f"({k}, {', '.join(map(literal, r))})" for k, r in enumerate(PHONEME_ROWS))
+    add(name, lambda s, d: query(rows(s, d)), f"WITH {STRETCHES}, fx AS (SELECT ph.* FROM (SELECT unnest(words) AS w FROM sp) JOIN (VALUES {values}) AS ph(k, {PHONEME_COLUMNS}) ON k = {word_at(n)}) {sql}")
+
+
+on_phonemes("phoneme_lookup", lambda t: t.join(V.phoneme_table(t.sparkSession).select("iast", F.col("kind").alias("found")), "iast", "left").select("iast", "found"), "SELECT iast, kind AS found FROM fx")
+BIJA_LIKE = ["oṁ", " hrīṁ ", "taṁ", "PHAṬ", "", "x", *C.BIJA]
+add("bija_lookup", lambda s, d: stretches(s, d).select(F.explode("words").alias("w")).select(F.expr(f"element_at(array({in_list(BIJA_LIKE)}), cast({word_at(len(BIJA_LIKE))} AS int) + 1)").alias("w")).select("w", T.is_bija(F.col("w")).alias("value")),
+    f"WITH {STRETCHES}, fx AS (SELECT ([{in_list(BIJA_LIKE)}])[CAST({word_at(len(BIJA_LIKE))} AS INTEGER) + 1] AS w FROM (SELECT unnest(words) AS w FROM sp)) SELECT w, list_contains([{in_list(C.BIJA)}], lower(trim(w))) AS value FROM fx")
+on_phonemes("convert_phoneme", lambda t: t.select("iast", *[V.convert_phoneme(F.col("iast"), s).alias(f"to_{s}") for s in V.SCRIPTS]), "SELECT iast, devanagari AS to_devanagari, telugu AS to_telugu, coalesce(tamil, tamil_approx) AS to_tamil, itrans AS to_itrans FROM fx")
+on_phonemes("has_equivalent", lambda t: t.select("iast", V.has_equivalent(F.col("iast"), "tamil").alias("value")), "SELECT iast, tamil IS NOT NULL AS value FROM fx")
+on_phonemes("approximation", lambda t: t.select("iast", V.approximation(F.col("iast"), "tamil").alias("value")), "SELECT iast, tamil_approx AS value FROM fx")
+on_phonemes("convert_syllable", lambda t: t.filter("kind = 'consonant'").select("iast", V.convert_syllable(F.col("iast"), F.lit("ā"), "devanagari").alias("aa"), V.convert_syllable(F.col("iast"), F.lit("a"), "devanagari").alias("a"), V.convert_syllable(F.col("iast"), F.lit("ṛ"), "tamil").alias("none")), "SELECT iast, devanagari || 'ा' AS aa, devanagari AS a, NULL::VARCHAR AS none FROM fx WHERE kind = 'consonant'")
+on_phonemes("convert_bare", lambda t: t.filter("kind = 'consonant'").select("iast", V.convert_bare(F.col("iast"), "devanagari").alias("value")), "SELECT iast, devanagari || '्' AS value FROM fx WHERE kind = 'consonant'")
+_spelled_out = written([*(p["iast"] for p in C.phonemes()), " ", "x", "1"])
+add("convert_string", lambda s, d: stretches(s, d).select(F.expr(_spelled_out[0]).alias("w")).select("w", V.convert_string(F.col("w"), "devanagari").alias("value")),
+    f"WITH {STRETCHES}, fx AS (SELECT {_spelled_out[1]} AS w FROM sp) SELECT w, list_reduce(list_prepend('', list_transform(regexp_extract_all(w, '({'|'.join(p['iast'] for p in C.phonemes() if len(p['iast']) == 2)}|.)'), lambda t: coalesce(map {{{', '.join(f'{literal(p['iast'])}: {literal(p['devanagari'])}' for p in C.phonemes())}}}[t], t))), lambda a, b: a || b) AS value FROM fx")
+derived("script_name", [("events", "CASE event_id % 5 WHEN 0 THEN 'tamil' WHEN 1 THEN 'iast' WHEN 2 THEN 'grantha' WHEN 3 THEN 'itrans' ELSE event_type END AS s")], lambda t: t.select("s", V.script_name(F.col("s")).alias("value")), "SELECT s, CASE s WHEN 'iast' THEN 'IAST' WHEN 'itrans' THEN 'ITRANS' WHEN 'tamil' THEN 'Tamil' ELSE s END AS value FROM fx")
+on_phonemes("phonemes_by_type", lambda t: t.groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM fx GROUP BY kind")
 DEVA = [("अग्नि", "agni"), ("राम", "rāma"), ("पु॒", "pu̱"), ("कृष्णः", "kṛṣṇaḥ"), ("ॐ", "oṁ"), ("१२", "12"), ("[abc]क", "[abc]ka"), ("धर्मं", "dharmaṁ")]
 # Syllables as the table of phonemes and the vowel signs give them, in both scripts; texts of eight of them.
 _letters = {p["iast"]: p["devanagari"] for p in C.phonemes()}
@@ -514,7 +538,7 @@ on_signs("apply_edits", lambda t: t.select("id", P.apply_edits(F.col("t"), P.vis
 add("rule_pipeline", lambda s, d: pipelines.rule_pipeline(table(s, d, DOCS).crossJoin(F.broadcast(s.createDataFrame([(x,) for x in TRADITIONS], "tradition string"))).select("doc_id", "tradition", F.concat(F.lit("agniḥ atra taṁ śatruṁ jñāna svar vyoma darśana agnim\n"), "text").alias("text")), source=F.col("tradition")).select("doc_id", "tradition", F.md5("text").alias("value")))
 # ---- date, math, array, map and JSON scalars ---------------------------------------------------------------------------------
 on("format_time", "events", "event_id", lambda: T.format_time(F.col("value") - 30), "CASE WHEN v < 0 THEN '-' ELSE '' END || CAST(floor(abs(v) / 60) AS BIGINT) || ':' || printf('%02d', CAST(floor(abs(v) % 60) AS BIGINT)) || '.' || printf('%03d', CAST(floor((abs(v) % 1) * 1000) AS BIGINT))".replace("v)", "value - 30)").replace("v <", "value - 30 <"))
-fixed("parse_time", [("1:01.500",), ("0:00",), ("x",), ("1:2:3",), ("-1:30",), (":5",)], "t string", lambda t: t.select("t", F.round(T.parse_time(F.col("t")), 6).alias("value")), "SELECT t, CASE WHEN len(string_split(t, ':')) = 2 THEN round(try_cast(split_part(t, ':', 1) AS DOUBLE) * 60 + coalesce(try_cast(split_part(t, ':', 2) AS DOUBLE), 0), 6) END AS value FROM fx")
+derived("parse_time", [("events", "CASE event_id % 6 WHEN 0 THEN (event_id % 70) || ':' || (event_id % 61) || '.5' WHEN 1 THEN ':' || (event_id % 60) WHEN 2 THEN '-' || (event_id % 9) || ':30' WHEN 3 THEN event_type WHEN 4 THEN '1:2:' || event_id ELSE (event_id % 80) || ':0' || (event_id % 10) END AS t")], lambda t: t.select("t", F.round(T.parse_time(F.col("t")), 6).alias("value")), "SELECT t, CASE WHEN len(string_split(t, ':')) = 2 THEN round(try_cast(split_part(t, ':', 1) AS DOUBLE) * 60 + coalesce(try_cast(split_part(t, ':', 2) AS DOUBLE), 0), 6) END AS value FROM fx")
 on("format_duration", "events", "event_id", lambda: T.format_duration(F.floor(F.col("value") * 10)), "CASE WHEN floor(value * 10) = 0 THEN '—' ELSE CAST(floor(floor(value * 10) / 60) AS BIGINT) || ':' || printf('%02d', CAST(floor(value * 10) % 60 AS BIGINT)) END")
 on("clamp", "events", "event_id", lambda: T.clamp(F.col("value"), F.lit(10.0), F.lit(50.0)), "CASE WHEN value < 10 THEN 10 WHEN value > 50 THEN 50 ELSE value END")
 on("confidence", "events", "event_id", lambda: F.concat(F.format_string("%.4f", T.confidence(F.col("value") / 20)), F.lit(" "), T.confidence_label(T.confidence(F.col("value") / 20))), "printf('%.4f', c) || ' ' || CASE WHEN c >= 0.75 THEN 'high' WHEN c >= 0.5 THEN 'medium' ELSE 'low' END".replace("c)", "greatest(0.05, least(0.98, 1 - value / 60)))").replace("c >=", "greatest(0.05, least(0.98, 1 - value / 60)) >="))
@@ -529,7 +553,7 @@ on("format_audio_size", DOCS, "doc_id", lambda: T.format_audio_size(F.length("te
 on("array_ops", DOCS, "doc_id", lambda: F.md5(F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 3))), ",")), "md5(array_to_string(list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 3))), ','))")
 on("map_ops", DOCS, "doc_id", lambda: F.element_at(F.map_from_arrays(F.array(F.lit("lang"), F.lit("source")), F.array("lang", "source")), "source"), "map(['lang', 'source'], [lang, source])['source']")
 on("json_ops", "events", "event_id", lambda: F.get_json_object(F.to_json(F.struct("event_type", "value")), "$.event_type"), "json_object('event_type', event_type) ->> '$.event_type'")
-fixed("data_uri", [("data:audio/mp3;base64,aGVsbG8=",), ("d2F2",)], "src string", lambda t: t.select("src", F.decode(documents.audio_bytes(F.col("src")), "utf-8").alias("value")), "SELECT src, decode(from_base64(list_last(string_split(src, ',')))) AS value FROM fx")
+add("data_uri", lambda s, d: table(s, d, DOCS).select("doc_id", F.md5(F.decode(documents.audio_bytes(F.concat(F.when(F.col("doc_id") % 3 > 0, F.lit("data:audio/mp3;base64,")).otherwise(F.lit("")), F.base64(F.encode("text", "utf-8")))), "utf-8")).alias("value")), "SELECT doc_id, md5(text) AS value FROM documents")
 on("now_seconds", "events", "event_id", lambda: F.unix_timestamp(F.col("ts").cast("timestamp")), "floor(epoch(ts))::BIGINT")
 
 # ---- alignment ---------------------------------------------------------------------------------------------------------------
@@ -562,8 +586,8 @@ def _recordings(s: SparkSession, d: str) -> DataFrame:
 add("auto_align", lambda s, d: A.auto_align(_audio(s, d), _lines(s, d)).withColumnRenamed("end", "stop"))
 add("align_dp", lambda s, d: A.auto_align(_audio(s, d), _lines(s, d)).filter("method = 'aligned'").withColumnRenamed("end", "stop"))
 add("pick_boundaries", lambda s, d: A.boundaries(_audio(s, d), _lines(s, d)))
-fixed("install_regions", *FX, lambda t: I.install_regions(_end(t), F.lit(2.5)).select("id", "start", F.col("end").alias("stop")), "SELECT id, start, least(2.5, stop) AS stop FROM fx WHERE least(2.5, stop) - start > 0.01")
-fixed("uniform_confidence", RT, RT_SCHEMA, lambda t: K.uniform_confidence(_targets(t), _regions(t), "audio_id").select("audio_id", "ord", "status", F.col("confidence").alias("c")), "SELECT audio_id, ord, CASE WHEN m THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN m THEN 0.52::DOUBLE END AS c FROM (SELECT *, EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) AS m FROM fx t WHERE kind = 't')")
+derived("install_regions", FX, lambda t: I.install_regions(_end(t), F.lit(2.5)).select("id", "start", F.col("end").alias("stop")), "SELECT id, start, least(2.5, stop) AS stop FROM fx WHERE least(2.5, stop) - start > 0.01")
+derived("uniform_confidence", RT, lambda t: K.uniform_confidence(_targets(t), _regions(t), "audio_id").select("audio_id", "ord", "status", F.col("confidence").alias("c")), "SELECT audio_id, ord, CASE WHEN m THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN m THEN 0.52::DOUBLE END AS c FROM (SELECT *, EXISTS (SELECT 1 FROM fx r WHERE r.kind = 'r' AND r.audio_id = t.audio_id AND r.ord = t.ord) AS m FROM fx t WHERE kind = 't')")
 # ---- catalog and streams -----------------------------------------------------------------------------------------------------
 # Paths of one file in several spellings, and names that differ in case alone.
 SPELLED = "CASE c_custkey % 4 WHEN 0 THEN '/a/' || c_name WHEN 1 THEN '/a/b/../' || c_name WHEN 2 THEN '/a//./' || c_name ELSE '/A/' || c_name END"
