@@ -3,7 +3,8 @@
 Each input task feeds an index: a memtable takes digests, a full memtable is flushed as a run sorted by digest with a Bloom
 filter, and many runs are compacted into one; compaction adds up counts and keeps the smallest identifier. A digest that is
 found again is a hit only after its bytes are compared. The groups of all tasks are then dealt out by digest and merged by the
-same index, so that a group of copies sends one row per input task, however large it is.
+same index, so that a group of copies sends one row per input task, however large it is; the ids of its copies stay where they were
+read, and the answer is sent back to each such row.
 
 Defined results. A null text counts as empty; empty texts are equal to each other. Of equal texts the one with the most code
 points stays, then the one with the smallest id (null last), then the first read; of rows repeated in full one is kept. An empty table
@@ -15,7 +16,7 @@ from __future__ import annotations
 import tempfile
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import merge
 from itertools import groupby
 
@@ -30,8 +31,10 @@ from .common import arrow_map, materialize
 BLANKS = " \t\n\x0b\x0c\r"
 LAST = 2**63 - 1
 
-ENTRY = pa.schema([("digest", pa.binary()), ("body", pa.binary()), ("best_len", pa.int64()), ("best_id", pa.int64()), ("best_row", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64()))])
-MERGED = pa.schema([("kind", pa.int32()), ("digest", pa.binary()), ("ref", pa.int64()), ("best_id", pa.int64()), ("best_row", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64()))])
+ENTRY = pa.schema([("entry", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("best_len", pa.int64()), ("best_id", pa.int64()), ("best_row", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64()))])
+#: What goes to the merge: no more than one of these for each distinct text and input task.
+SENT = [f.name for f in ENTRY if f.name not in ("ids", "rows")]
+MERGED = pa.schema([("kind", pa.int32()), ("entry", pa.int64()), ("digest", pa.binary()), ("ref", pa.int64()), ("best_id", pa.int64()), ("best_row", pa.int64()), ("n", pa.int64())])
 
 
 class Bloom:
@@ -67,11 +70,16 @@ class Run:
                 k += 1
 
 
+def same(a: bytes, b: bytes) -> bool:
+    """Whether two bodies hold equal bytes; machines may compress them differently."""
+    return a == b or zlib.decompress(a) == zlib.decompress(b)
+
+
 class LsmIndex:
     """put() groups equal texts; groups() gives each group once. Bodies lie in a spool file, not in memory."""
 
-    def __init__(self, memtable: int = 20_000, fanout: int = 6):
-        self.memtable, self.fanout = memtable, fanout
+    def __init__(self, memtable: int = 20_000, fanout: int = 6, equal: Callable[[bytes, bytes], bool] = bytes.__eq__):
+        self.memtable, self.fanout, self.equal = memtable, fanout, equal
         self.table: dict[tuple[bytes, int], tuple] = {}
         self.fresh: dict[bytes, list[int]] = {}
         self.runs: list[Run] = []
@@ -87,7 +95,7 @@ class LsmIndex:
         seen = set()
         for refs in (self.fresh.get(digest, ()), *(r.refs(digest) for r in self.runs)):
             for ref in refs:
-                if ref not in seen and (seen.add(ref) or self.body(ref) == body):
+                if ref not in seen and (seen.add(ref) or self.equal(self.body(ref), body)):
                     return ref
         at = self.spool.seek(0, 2)
         self.spool.write(body)
@@ -126,7 +134,7 @@ class LsmIndex:
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The groups of one input task."""
-    index, members, task, row = LsmIndex(), {}, TaskContext.get().partitionId() << 33, 0
+    index, members, task, row = LsmIndex(equal=same), {}, TaskContext.get().partitionId() << 33, 0
     for batch in batches:
         for i, n, digest, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = task + row
@@ -138,23 +146,22 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entries = index.groups()
     for k in range(0, len(entries), 500):
         part = entries[k : k + 500]
-        cols = [[e[0] for e in part], [index.body(e[1]) for e in part], [e[2][0] for e in part], [e[2][1] for e in part], [e[2][2] for e in part], [e[3] for e in part], [members[e[1]][0] for e in part], [members[e[1]][1] for e in part]]
+        cols = [[members[e[1]][1][0] for e in part], [e[0] for e in part], [index.body(e[1]) for e in part], [e[2][0] for e in part], [e[2][1] for e in part], [e[2][2] for e in part], [e[3] for e in part], [members[e[1]][0] for e in part], [members[e[1]][1] for e in part]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ENTRY, strict=True)], schema=ENTRY)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The groups of all tasks for the digests of one partition: what came in, with the group's ref (kind 0), then each group (kind 1)."""
-    index = LsmIndex()
+    index = LsmIndex(equal=same)
     for batch in batches:
-        c = {f.name: batch.column(k).to_pylist() for k, f in enumerate(ENTRY) if f.name not in ("ids", "rows")}
+        c = {name: batch.column(k).to_pylist() for k, name in enumerate(SENT)}
         refs = [index.put(d, b, (ln, i, r), n) for d, b, ln, i, r, n in zip(c["digest"], c["body"], c["best_len"], c["best_id"], c["best_row"], c["n"], strict=True)]
-        m = len(refs)
-        none = pa.nulls(m, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), pa.array(refs, pa.int64()), none, none, none, batch.column(6).cast(MERGED.field("ids").type), batch.column(7).cast(MERGED.field("rows").type)], schema=MERGED)
+        none = pa.nulls(len(refs), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(refs), pa.int32()), batch.column(0), batch.column(1), pa.array(refs, pa.int64()), none, none, none], schema=MERGED)
     entries = index.groups()
     for k in range(0, len(entries), 5000):
         part = entries[k : k + 5000]
-        cols = [[1] * len(part), [e[0] for e in part], [e[1] for e in part], [e[2][1] for e in part], [e[2][2] for e in part], [e[3] for e in part], [None] * len(part), [None] * len(part)]
+        cols = [[1] * len(part), [None] * len(part), [e[0] for e in part], [e[1] for e in part], [e[2][1] for e in part], [e[2][2] for e in part], [e[3] for e in part]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, MERGED, strict=True)], schema=MERGED)
 
 
@@ -173,11 +180,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     body = F.translate(text, BLANKS, "")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.char_length(text).cast("bigint").alias("len"), body.alias("body"))
     rows = rows.select("id", "len", F.substring(F.unhex(F.sha2("body", 256)), 1, digest_bytes).alias("digest"), "body")
-    entries = arrow_map(rows, _collect, ddl(ENTRY))
-    merged = materialize(arrow_map(entries.repartition("digest"), _merge, ddl(MERGED)), "exact")
+    # Written, so that the numbers of rows that entries are known by stay what they are.
+    entries = materialize(arrow_map(rows, _collect, ddl(ENTRY)), "entries")
+    merged = materialize(arrow_map(entries.select(*SENT).repartition("digest"), _merge, ddl(MERGED)), "exact")
     groups = merged.filter("kind = 1").select("digest", "ref", F.col("best_id").alias("keep_id"), "best_row", F.col("n").alias("group_size"))
-    members = merged.filter("kind = 0").select("digest", "ref", "ids", "rows")
-    one = members.join(groups, ["digest", "ref"]).select("keep_id", "group_size", "best_row", "digest", F.explode(F.arrays_zip("ids", "rows")).alias("m"))
+    found = merged.filter("kind = 0").select("digest", "ref", "entry").join(groups, ["digest", "ref"]).drop("ref")
+    # Ids of copies stay with the task that read them; the answer goes to each entry.
+    one = entries.select("entry", "ids", "rows").join(found, "entry").select("keep_id", "group_size", "best_row", "digest", F.explode(F.arrays_zip("ids", "rows")).alias("m"))
     return one.select(
         F.col("m.ids").alias("doc_id"), F.when(F.col("keep_id") != LAST, F.col("keep_id")).alias("keep_id"), "group_size",
         (F.col("m.rows") == F.col("best_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),

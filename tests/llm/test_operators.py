@@ -105,6 +105,17 @@ def test_long_texts(spark):
     assert line_dedup.line_dedup(docs_of(spark, ["z" * 50_000, "z" * 50_001, "\n" * 300_000])).select(F.sum("removed_lines")).first()[0] == 1
 
 
+def test_a_hot_text_sends_a_row_for_each_task(spark):
+    """Nine in ten rows are copies: what moves by digest is one row for each task and text, and no ids go along."""
+    texts = ["" if k % 10 else f"text {k}" for k in range(2000)]
+    rows = docs_of(spark, texts).repartition(6)
+    got = exact_dedup.exact_dedup(rows)
+    assert got.filter("group_size = 1800").count() == 1800 and got.filter("kept").count() == 201
+    assert {r.keep_id for r in got.filter("group_size = 1800").collect()} == {1}
+    assert not {"ids", "rows"} & set(exact_dedup.SENT)
+    assert exact_dedup.same(zlib.compress(b"abc" * 99, 1), zlib.compress(b"abc" * 99, 9)) and not exact_dedup.same(zlib.compress(b"a"), zlib.compress(b"b"))
+
+
 def test_tables_are_cleared(spark):
     from tessera.llm import common
 
