@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_std
+import re
 from collections.abc import Callable
 from html.entities import html5
 
@@ -536,6 +537,30 @@ on("syllable_count", DOCS, "doc_id", lambda: T.syllable_count(text), "length(reg
 on_signs("apply_edits", lambda t: t.select("id", P.apply_edits(F.col("t"), P.visarga_edits(F.col("t"))).alias("value")), "SELECT id, string_agg(coalesce(replace(replace(shown, '[', ''), ']', ''), c), '' ORDER BY pos) AS value FROM ch LEFT JOIN (SELECT id, pos, shown FROM vi) USING (id, pos) GROUP BY id", VISARGA_SQL)
 # All rules, in their order, for every tradition and every document; the rules one by one have SQL above.
 add("rule_pipeline", lambda s, d: pipelines.rule_pipeline(table(s, d, DOCS).crossJoin(F.broadcast(s.createDataFrame([(x,) for x in TRADITIONS], "tradition string"))).select("doc_id", "tradition", F.concat(F.lit("agniḥ atra taṁ śatruṁ jñāna svar vyoma darśana agnim\n"), "text").alias("text")), source=F.col("tradition")).select("doc_id", "tradition", F.md5("text").alias("value")))
+
+
+def composed_sql() -> str:
+    """The rules one after another, each as its own SQL has it over the texts that the rule before it made: tables are numbered by stage."""
+    names = re.compile(r"\b(fx|t2|ch|fl|pl|nx|sb|an|vi)\b")
+    at = lambda k, sql: names.sub(rf"\1_{k}", sql)
+    letters = SIGNS_SQL[SIGNS_SQL.index("t2 AS (SELECT *, replace") :]
+    first = SIGNS_SQL[: SIGNS_SQL.index("t2 AS (SELECT *, replace")].rstrip(", \n")
+    plain = NORMALIZE_SQL.replace("lower(text)", "lower(t)")
+    shown = "replace(replace(shown, '[', ''), ']', '')"
+    stages = [
+        first, f"fx_1 AS MATERIALIZED (SELECT id, source, replace(replace(replace({plain}, 'jñ', 'jgñ'), 'sv', 'suv'), 'vy', 'vuy') AS t FROM fx)", at(1, letters), at(1, SVARABHAKTI_SQL),
+        "fx_2 AS MATERIALIZED (SELECT f.id, any_value(f.source) AS source, string_agg(CASE WHEN s.place IS NULL THEN '' ELSE '·' END || c, '' ORDER BY pos) || CASE WHEN any_value(f.id) IN (SELECT b.id FROM sb_1 b JOIN fx_1 g ON g.id = b.id WHERE b.place = length(g.t)) THEN '·' ELSE '' END AS t FROM fx_1 f JOIN ch_1 h ON h.id = f.id LEFT JOIN sb_1 s ON s.id = h.id AND s.place = h.pos GROUP BY f.id)",
+        at(2, letters), at(2, ANUSVARA_SQL),
+        f"fx_3 AS MATERIALIZED (SELECT h.id, any_value(h.source) AS source, string_agg(coalesce({shown}, c), '' ORDER BY h.pos) AS t FROM ch_2 h LEFT JOIN an_2 a ON a.id = h.id AND a.pos = h.pos WHERE NOT EXISTS (SELECT 1 FROM an_2 x WHERE x.id = h.id AND x.pos = h.pos - 1 AND x.del = 2) GROUP BY h.id)",
+        at(3, letters), at(3, VISARGA_SQL), f"fx_4 AS MATERIALIZED (SELECT h.id, any_value(h.source) AS source, string_agg(coalesce({shown}, c), '' ORDER BY h.pos) AS t FROM ch_3 h LEFT JOIN vi_3 a ON a.id = h.id AND a.pos = h.pos GROUP BY h.id)", at(4, letters),
+        f"""fx_5 AS MATERIALIZED (SELECT id, any_value(source) AS source, string_agg(CASE WHEN source = 'rigveda' AND c = '{C.SVARITA}' AND pos > 0 AND (substr(t, pos, 1) IN ({in_list(v for v in C.LONG_VOWELS if len(v) == 1)}) OR pos > 1 AND substr(t, pos - 1, 2) IN ('ai', 'au', 'aṁ', 'iṁ', 'uṁ', 'ṛṁ', 'ḷṁ')) THEN '{C.UDATTA}' ELSE c END, '' ORDER BY pos) AS t FROM ch_4 GROUP BY id)""",
+        at(5, letters),
+    ]
+    tick = SQL["final_m_tick"][SQL["final_m_tick"].rindex("SELECT id, string_agg(CASE WHEN tick") :]
+    return f"WITH {', '.join(stages)} {at(5, tick)}"
+
+
+add("rule_composition", lambda s, d: pipelines.rule_pipeline(signs(s, d), text="t", source=F.col("source")).select("id", F.col("t").alias("value")), composed_sql())
 # ---- date, math, array, map and JSON scalars ---------------------------------------------------------------------------------
 on("format_time", "events", "event_id", lambda: T.format_time(F.col("value") - 30), "CASE WHEN v < 0 THEN '-' ELSE '' END || CAST(floor(abs(v) / 60) AS BIGINT) || ':' || printf('%02d', CAST(floor(abs(v) % 60) AS BIGINT)) || '.' || printf('%03d', CAST(floor((abs(v) % 1) * 1000) AS BIGINT))".replace("v)", "value - 30)").replace("v <", "value - 30 <"))
 derived("parse_time", [("events", "CASE event_id % 6 WHEN 0 THEN (event_id % 70) || ':' || (event_id % 61) || '.5' WHEN 1 THEN ':' || (event_id % 60) WHEN 2 THEN '-' || (event_id % 9) || ':30' WHEN 3 THEN event_type WHEN 4 THEN '1:2:' || event_id ELSE (event_id % 80) || ':0' || (event_id % 10) END AS t")], lambda t: t.select("t", F.round(T.parse_time(F.col("t")), 6).alias("value")), "SELECT t, CASE WHEN len(string_split(t, ':')) = 2 THEN round(try_cast(split_part(t, ':', 1) AS DOUBLE) * 60 + coalesce(try_cast(split_part(t, ':', 2) AS DOUBLE), 0), 6) END AS value FROM fx")
