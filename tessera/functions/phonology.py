@@ -6,7 +6,6 @@ Texts without annotations go by compiled patterns; others are scanned once for t
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -55,13 +54,16 @@ def is_mark(c: str) -> bool:
     return "\u0300" <= c <= "\u036f"
 
 
+#: What the rule for anusvara looks at: a nasalised m, or the sign itself.
+_NASAL = re.compile(f"m{C.CANDRABINDU}|[ṁṃ]")
+
+
 class Scan:
     """What stands around each position of a text."""
 
     def __init__(self, text: str):
         self.text, n = text, len(text)
-        self.annotation = [False] * n
-        self.superscript = [False] * n
+        self.annotation, self.superscript = bytearray(n), bytearray(n)
         at = text.find("m" + C.CANDRABINDU)
         while at >= 0:
             for k, c in enumerate(("m", C.CANDRABINDU, "g", "ṁ")):
@@ -74,19 +76,28 @@ class Scan:
         while at >= 0:
             self.annotation[at] = True
             at = text.find(C.CANDRABINDU, at + 1)
-        plain = [i for i, c in enumerate(text) if not (c in _WS or is_mark(c) or c in _SVARA or self.annotation[i])]
-        self.before, self.after = plain, [i for i in plain if text[i] not in _ZERO_WIDTH]
+
+    def letter(self, i: int) -> bool:
+        c = self.text[i]
+        return not (c in _WS or is_mark(c) or c in _SVARA or self.annotation[i])
 
     def following(self, i: int, count: int = 1) -> list[int]:
-        k = bisect_left(self.after, i + 1)
-        return self.after[k : k + count]
+        """The places of the next letters after i; looked for from there, so that a rule pays for the places it looks at."""
+        out, k = [], i + 1
+        while k < len(self.text) and len(out) < count:
+            if self.letter(k) and self.text[k] not in _ZERO_WIDTH:
+                out.append(k)
+            k += 1
+        return out
 
     def next(self, i: int) -> str:
         return "".join(self.text[k] for k in self.following(i))
 
     def previous(self, i: int) -> str:
-        k = bisect_left(self.before, i)
-        return self.text[self.before[k - 1]] if k else ""
+        k = i - 1
+        while k >= 0 and not self.letter(k):
+            k -= 1
+        return self.text[k] if k >= 0 else ""
 
     def is_gap(self, i: int) -> bool:
         """Marks and annotations, which clusters run across."""
@@ -224,15 +235,14 @@ def _yajurveda(s: Scan, i: int) -> list[tuple]:
 
 def anusvara(text: str, source: str | None, skip_bija: bool = True) -> list[tuple]:
     """Edits of anusvara by tradition: yajurveda and kṛṣṇayajurveda, rigveda, or any other (restyled only)."""
-    s, out, i = Scan(text), [], -1
-    while (i := i + 1) < len(text):
-        c = text[i]
-        if source == "rigveda" and c == "m" and text[i + 1 : i + 2] == C.CANDRABINDU:
-            if s.next(i + 1) in C.BEFORE_G_FORMS and s.next(i + 1):
+    s, out = Scan(text), []
+    for m in _NASAL.finditer(text):
+        i, c = m.start(), m.group()
+        if len(c) > 1:
+            if source == "rigveda" and s.next(i + 1) in C.BEFORE_G_FORMS and s.next(i + 1):
                 out.append((i, 2, [part("m"), part(C.CANDRABINDU)], True))
-            i += 1
             continue
-        if c not in "ṁṃ" or s.superscript[i]:
+        if s.superscript[i]:
             continue
         if skip_bija and text[text.rfind("\n", 0, i) + 1 : i + 1].strip(C.PY_WS).lower() in C.BIJA:
             continue
@@ -250,9 +260,7 @@ def anusvara(text: str, source: str | None, skip_bija: bool = True) -> list[tupl
 def visarga(text: str) -> list[tuple]:
     """Edits of visarga by what follows; where no rule applies, an edit without parts."""
     s, out = Scan(text), []
-    for i, c in enumerate(text):
-        if c != "ḥ":
-            continue
+    for i in (m.start() for m in re.finditer("ḥ", text)):
         letters, prev = "".join(text[k] for k in s.following(i, 2)), s.previous(i)
         first, parts = letters[:1], []
         if first == "p":
@@ -350,6 +358,43 @@ def clusters_of(text: Column) -> Column:
     return _column(CLUSTERS, _cluster, clusters, text)
 
 
+def rewritten(text: str, edits: list[tuple]) -> str:
+    """The text with its edits (place, length, parts, changed) done: it is cut at them once."""
+    out, end = [], 0
+    for at, size, parts, changed in sorted(edits, key=lambda e: e[:2]):
+        if changed:
+            out += [text[end:at], *(p[0] for p in parts)]
+            end = max(end, at + size)
+    return "".join([*out, text[end:]])
+
+
+def _texts(rule: Callable[..., list[tuple]], *columns: Column) -> Column:
+    """The texts of the first column as a rule's edits leave them, over Arrow batches; null gives null."""
+    if len(columns) == 1:
+
+        def one(text: pa.Array) -> pa.Array:
+            return pa.array([None if t is None else rewritten(t, rule(t)) for t in text.to_pylist()], pa.string())
+
+        return F.arrow_udf(one, "string")(*columns)
+
+    def two(text: pa.Array, other: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else rewritten(t, rule(t, o)) for t, o in zip(text.to_pylist(), other.to_pylist(), strict=True)], pa.string())
+
+    return F.arrow_udf(two, "string")(*columns)
+
+
+def svarabhakti_applied(text: Column) -> Column:
+    return _texts(svarabhakti, text)
+
+
+def anusvara_applied(text: Column, source: Column, skip_bija: bool = True) -> Column:
+    return _texts(lambda t, s: anusvara(t, s, skip_bija), text, source)
+
+
+def visarga_applied(text: Column) -> Column:
+    return _texts(visarga, text)
+
+
 def apply_edits(text: Column, edits: Column) -> Column:
     """The text with its edits done, in built-in functions: the characters are cut at the edits once, so time grows with the text and the edits. An edit without parts
     leaves the text alone; of edits that overlap the later one goes on where the earlier ends."""
@@ -362,7 +407,10 @@ def apply_edits(text: Column, edits: Column) -> Column:
         between = lambda start, stop: F.array_join(F.slice(chars, start + 1, F.greatest(F.lit(0), stop - start)), "")
         return F.concat(between(F.lit(0), upto(F.lit(0))), F.array_join(F.transform(order, lambda e, i: F.concat(joined(e), between(end(e), upto(i + 1)))), ""))
 
-    changed = F.array_sort(F.filter(edits, lambda e: e["changed"]))
-    # Bound by a lambda, so that the characters and the order are made once.
-    cut = F.transform(F.array(F.struct(F.split(text, "").alias("chars"), changed.alias("edits"))), done)
-    return F.when(F.size(F.filter(edits, lambda e: e["changed"])) > 0, F.get(cut, F.lit(0))).otherwise(text)
+    # Bound by lambdas, so that text and edits stand here once, and the characters and the order are made once.
+    def whole(s: Column) -> Column:
+        order = F.array_sort(F.filter(s["edits"], lambda e: e["changed"]))
+        cut = F.transform(F.array(F.struct(F.split(s["text"], "").alias("chars"), order.alias("edits"))), done)
+        return F.when(F.exists(s["edits"], lambda e: e["changed"]), F.get(cut, F.lit(0))).otherwise(s["text"])
+
+    return F.get(F.transform(F.array(F.struct(text.alias("text"), edits.alias("edits"))), whole), F.lit(0))

@@ -31,8 +31,7 @@ def rule_pipeline(rows: DataFrame, text: str = "text", source: str | Column | No
     of = source if isinstance(source, Column) else F.lit(source).cast("string")
     step = {
         "normalize": T.normalize_text, "jna": T.insert_jna, "sv": T.insert_sv, "vy": T.insert_vy, "final_m": T.final_m_tick,
-        "svarabhakti": lambda t: P.apply_edits(t, P.svarabhakti_edits(t)), "visarga": lambda t: P.apply_edits(t, P.visarga_edits(t)),
-        "anusvara": lambda t: P.apply_edits(t, P.anusvara_edits(t, of, skip_bija)),
+        "svarabhakti": P.svarabhakti_applied, "visarga": P.visarga_applied, "anusvara": lambda t: P.anusvara_applied(t, of, skip_bija),
         "svarita": lambda t: F.when(of == "rigveda", T.rigveda_svarita(t)).otherwise(t),
     }
     out = rows
