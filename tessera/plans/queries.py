@@ -170,7 +170,6 @@ add("catalog_search", lambda s, d: K.search(table(s, d, DOCS).select("doc_id", F
 derived("query_fold", [("documents", "'Ṛgveda Śānti puruṣa sūktaṁ Ḷ ḻ ñ ṅ ṇ ' || text AS q")], lambda t: t.select("q", T.query_fold(F.col("q")).alias("value")), "SELECT q, replace(replace(translate(lower(q), 'āīūṛṝḷḹṁṃḥṭḍṅñṇḻ', 'aiurrllmmhtdnnnl'), 'ś', 'sh'), 'ṣ', 'sh') AS value FROM fx")
 add("recents_search", lambda s, d: K.recents_search(table(s, d, DOCS).select("doc_id", path().alias("path")), " SRC1 ", "/library//SRC1/en 1.html").select("doc_id"), f"SELECT doc_id FROM documents WHERE lower({PATHS_SQL}) LIKE '%src1%' AND lower({PATHS_SQL}) <> '/library/src1/en 1.html'")
 add("dev_line_filter", lambda s, d: _deva(s, d).select("doc_id", "line_no"), "")
-FOOTER_SQL = "len(list_filter([" + ", ".join(map(literal, L.FOOTERS)) + "], lambda k: instr(lower(line), k) > 0)) > 0"
 add("footer_trim", lambda s, d: L.footer_trim(_deva(s, d), "doc_id").select("doc_id", "line_no"), "")
 add("preamble_split", lambda s, d: _body(s, d).select("doc_id", "line_no", "preamble"), "")
 derived("shlokam_filter", [("pages", "page_id AS id", "CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN '' END AS url", "CASE page_id % 4 WHEN 0 THEN 'to ' || url WHEN 1 THEN '' END AS link", "CASE page_id % 5 WHEN 0 THEN 'page' WHEN 1 THEN '' END AS subtype")], lambda t: K.post_filter(t).select("id", "url", "subtype"), "SELECT id, CASE WHEN length(url) > 0 THEN url ELSE link END AS url, CASE WHEN length(subtype) > 0 THEN subtype ELSE 'post' END AS subtype FROM fx WHERE length(url) > 0 OR length(link) > 0")
@@ -467,7 +466,6 @@ add("convert_string", lambda s, d: stretches(s, d).select(F.expr(_spelled_out[0]
     f"WITH {STRETCHES}, fx AS (SELECT {_spelled_out[1]} AS w FROM sp) SELECT w, list_reduce(list_prepend('', list_transform(regexp_extract_all(w, '({'|'.join(p['iast'] for p in C.phonemes() if len(p['iast']) == 2)}|.)'), lambda t: coalesce(map {{{', '.join(f'{literal(p['iast'])}: {literal(p['devanagari'])}' for p in C.phonemes())}}}[t], t))), lambda a, b: a || b) AS value FROM fx")
 derived("script_name", [("events", "CASE event_id % 5 WHEN 0 THEN 'tamil' WHEN 1 THEN 'iast' WHEN 2 THEN 'grantha' WHEN 3 THEN 'itrans' ELSE event_type END AS s")], lambda t: t.select("s", V.script_name(F.col("s")).alias("value")), "SELECT s, CASE s WHEN 'iast' THEN 'IAST' WHEN 'itrans' THEN 'ITRANS' WHEN 'tamil' THEN 'Tamil' ELSE s END AS value FROM fx")
 on_phonemes("phonemes_by_type", lambda t: t.groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM fx GROUP BY kind")
-DEVA = [("अग्नि", "agni"), ("राम", "rāma"), ("पु॒", "pu̱"), ("कृष्णः", "kṛṣṇaḥ"), ("ॐ", "oṁ"), ("१२", "12"), ("[abc]क", "[abc]ka"), ("धर्मं", "dharmaṁ")]
 # Syllables as the table of phonemes and the vowel signs give them, in both scripts; texts of eight of them.
 _letters = {p["iast"]: p["devanagari"] for p in C.phonemes()}
 _marks = {v: x["devanagari"] for v, x in C.vowel_signs().items()}

@@ -6,7 +6,6 @@ import os
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import catalog as K
 from tessera.sources import files
