@@ -16,7 +16,7 @@ from tessera.llm.common import materialize, shared_dir, without
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling doesn't draw go; rows equal in id and text go or stay together. Texts without a word are judged by the prior alone."""
+    """Documents that importance resampling doesn't draw go; rows equal in id and text go or stay together. Empty texts weigh 1."""
     scored = quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return without(docs, scored.filter("NOT kept"))
 
