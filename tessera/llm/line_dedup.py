@@ -7,6 +7,9 @@ character of the segment deleted. Equal variants at one position are replacement
 insertion. Variants meet in aggregates that keep the earliest line, never in pairs, and what they suggest is verified by the edit
 distance of the lines themselves. Long lines are cut into few segments first, and those that are shared are cut again.
 
+Nothing that grows with the input is broadcast: joins shuffle (but for that of documents with up to a megabyte of places), and of the
+shared keys only a bitmap of fixed size goes to all tasks.
+
 Defined results. A null text counts as empty. Lines end at a newline. Lines under `shortest` characters have no near match; those under
 `exact` characters, and blank ones under `shortest`, always stay. Null
 ids come last in order; rows equal in id and text count as one row and get the same result. A document without removed lines is
@@ -25,6 +28,10 @@ SHORTEST, SEGMENT = 20, 192
 PARTS = 32
 #: Up to this many characters the library's edit distance is taken; its time grows with the square of the length.
 MEASURED = 1000
+#: The bitmap of shared keys has at most this many blocks (a power of two) of 4 KB.
+BLOCKS = 1024
+#: Bytes, as held in memory, of places that are broadcast to documents; beyond it documents are shuffled.
+SENT = 1 << 20
 
 
 def _lines(rows: DataFrame, shortest: int, exact: int) -> DataFrame:
@@ -46,22 +53,34 @@ def _cuts(length: str, segment: int) -> str:
 
 def _anchors(lines: DataFrame, segment: int) -> DataFrame:
     """A row for each class (own length, or one more) and segment: key of the class and all the line but the segment, long (own length), seg (the segment)."""
-    out = lines.withColumn("at", F.expr(f"explode(concat({_cuts('n', segment)}, {_cuts('(n + 1)', segment)}))"))
-    key = F.expr("xxhash64(at.c, at.b, substring(line, 1, at.b), substring(line, n - (at.c - at.e) + 1))")
-    return out.withColumn("key", key).withColumn("long", F.col("at.c") == F.col("n")).withColumn("seg", F.expr("substring(line, at.b + 1, n - at.b - (at.c - at.e))")).drop("at")
+    out = lines.withColumn("single", F.expr("if(octet_length(line) = n, cast(line as binary), NULL)")).withColumn("at", F.expr(f"explode(concat({_cuts('n', segment)}, {_cuts('(n + 1)', segment)}))"))
+    # In a line of single bytes places are found without counting characters.
+    part = lambda start, n: f"if(single IS NULL, cast(substring(line, {start}, {n}) as binary), substring(single, {start}, {n}))"
+    key = F.expr(f"xxhash64(at.c, at.b, {part('1', 'at.b')}, {part('n - (at.c - at.e) + 1', 'at.c - at.e')})")
+    return out.withColumn("key", key).withColumn("long", F.col("at.c") == F.col("n")).withColumn("seg", F.expr("substring(line, at.b + 1, n - at.b - (at.c - at.e))")).drop("at", "single")
+
+
+def _sieved(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be in keys, a materialised table: all that is, and a share of the others that grows with the number of keys over the bits of the bitmap."""
+    block, word, bit = f"cast(key & {BLOCKS - 1} as int)", "cast(shiftright(key, 16) & 511 as int)", "cast(shiftright(key, 32) & 63 as int)"
+    bits = keys.selectExpr(f"{block} AS block", f"{word} AS word", f"shiftleft(1L, {bit}) AS bits")
+    zeros = bits.select("block").distinct().selectExpr("block", "explode(sequence(0, 511)) AS word", "0L AS bits")
+    words = bits.unionByName(zeros).groupBy("block", "word").agg(F.bit_or("bits").alias("bits"))
+    sieve = words.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words")).selectExpr("block", "transform(words, x -> x.bits) AS sieve")
+    return rows.join(F.broadcast(sieve), F.expr(f"{block} = block AND getbit(sieve[{word}], {bit}) = 1")).drop("block", "sieve")
 
 
 def _finer(near: DataFrame, segment: int) -> DataFrame:
     """Rows of near with their segments cut again, where different lines still share the key. Lines that share several keys (those of one sign, say) go on with one."""
     own = F.xxhash64("h1", "h2", "long").cast("decimal(38,0)")
     groups = near.groupBy("key").agg(F.count("*").alias("n"), F.sum(own).alias("s"), F.min(own).alias("lo"), F.max(own).alias("hi"))
-    near = near.join(groups.groupBy("n", "s", "lo", "hi").agg(F.min("key").alias("key")).select("key"), "key")
+    near = near.join(groups.groupBy("n", "s", "lo", "hi").agg(F.min("key").alias("key")).select("key").hint("merge"), "key")
     t = near.withColumn("m", F.length("seg")).withColumn("at", F.expr(f"explode({_cuts('(length(seg) + if(long, 0, 1))', segment)})"))
     key = F.expr("xxhash64(key, at.c, at.b, substring(seg, 1, at.b), substring(seg, m - (at.c - at.e) + 1))")
     t = t.select(key.alias("key"), "h1", "h2", "place", F.expr("substring(seg, at.b + 1, m - at.b - (at.c - at.e))").alias("seg"), "long").dropDuplicates(["key", "h1", "h2"])
     t = materialize(t, "finer")
     shared = t.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("long").alias("long")).filter("lo <> hi AND long").select("key")
-    return t.join(shared, "key")
+    return t.join(shared.hint("merge"), "key")
 
 
 def _within_one_edit(a: str, b: str) -> Column:
@@ -76,8 +95,8 @@ def near_lines(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(h1, h2) of each line that has an earlier one at an edit distance of exactly one."""
     keys = _anchors(lines, segment).groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("long").alias("long"))
     keys = materialize(keys.filter("lo <> hi AND long").select("key"), "anchors")
-    near = _anchors(lines, segment).join(broadcast_if_small(keys, 8), "key").groupBy("key", "h1", "h2").agg(F.min(_place()).alias("place"), F.any_value("line").alias("line"), F.any_value("seg").alias("seg"), F.any_value("long").alias("long"))
-    near = materialize(near, "near")
+    near = _sieved(_anchors(lines, segment), keys).groupBy("key", "h1", "h2").agg(F.min(_place()).alias("place"), F.any_value("line").alias("line"), F.any_value("seg").alias("seg"), F.any_value("long").alias("long"))
+    near = materialize(near.join(keys.hint("merge"), "key"), "near")
     whole = near.groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
     coarse = near = near.drop("line")
     # Both sides of an insertion are cut again, or neither.
@@ -95,23 +114,23 @@ def near_lines(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     by_kind = [F.min(F.when(F.col("kind") == k, F.col("own"))).alias(f"first{k}") for k in (1, 2, 3)]
     firsts = made.groupBy("v").agg(*by_kind, F.count("*").alias("n")).filter("n > 1").drop("n")
     earlier = F.expr("CASE kind WHEN 1 THEN first1 WHEN 2 THEN first3 ELSE first2 END")
-    pairs = made.join(firsts, "v").withColumn("other", earlier).filter("other.place < own.place").select("own.h1", "own.h2", F.col("other.h1").alias("g1"), F.col("other.h2").alias("g2")).distinct()
+    pairs = made.join(firsts.hint("merge"), "v").withColumn("other", earlier).filter("other.place < own.place").select("own.h1", "own.h2", F.col("other.h1").alias("g1"), F.col("other.h2").alias("g2")).distinct()
     other = whole.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other"))
-    checked = pairs.join(whole, ["h1", "h2"]).join(other, ["g1", "g2"]).filter(_within_one_edit("line", "other"))
+    checked = pairs.join(whole.hint("merge"), ["h1", "h2"]).join(other.hint("merge"), ["g1", "g2"]).filter(_within_one_edit("line", "other"))
     return checked.select("h1", "h2").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, segment: int = SEGMENT, exact: int = SHORTEST) -> DataFrame:
     """The rows of docs, the text without the lines that go, and `removed_lines`, their number (in place of a column of docs that is so named)."""
     lines = _lines(keyed(docs, id_col, text_col), shortest, exact)
-    seen = materialize(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "lines")
-    near = materialize(near_lines(lines.filter(F.col("n") >= shortest), segment), "nearlines").withColumn("near", F.lit(True))
-    marks = materialize(seen.join(near, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "marks")
-    gone = lines.select("h1", "h2", _place().alias("place")).join(broadcast_if_small(marks, 56), ["h1", "h2"]).filter("near OR place <> first")
+    repeated = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    # All lines without a first go; a line that is both repeated and near has two marks.
+    marks = materialize(repeated.unionByName(near_lines(lines.filter(F.col("n") >= shortest), segment), allowMissingColumns=True), "marks")
+    gone = lines.select("h1", "h2", _place().alias("place")).join(marks.hint("shuffle_hash"), ["h1", "h2"]).filter("first IS NULL OR place <> first")
     gid, gth, pos = (fresh(docs, x) for x in ("gone_id", "gone_th", "gone_pos"))
     gone = materialize(gone.groupBy(F.col("place.id").alias(gid), F.col("place.th").alias(gth)).agg(F.collect_set("place.pos").alias(pos)), "gone")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.join(broadcast_if_small(gone, F.size(pos) * 4 + 40), docs[id_col].eqNullSafe(F.col(gid)) & (F.xxhash64(text) == F.col(gth)), "left")
+    out = docs.join(broadcast_if_small(gone.hint("shuffle_hash"), F.size(pos) * 4 + 200, SENT), docs[id_col].eqNullSafe(F.col(gid)) & (F.xxhash64(text) == F.col(gth)), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col(pos), i)), "\n")
     columns = [F.when(F.col(pos).isNotNull(), kept).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns if c.lower() != "removed_lines"]
     return out.select(*columns, F.when(F.col(pos).isNull(), F.lit(0)).otherwise(F.size(pos)).cast("bigint").alias("removed_lines"))

@@ -678,6 +678,24 @@ def test_short_lines_that_repeat_go(spark):
     assert got == {0: "short\n\n \n" + long, 1: "", 2: "\nshor", 3: "", 4: "x"}
 
 
+@pytest.mark.parametrize("blocks", [2, 1024])
+def test_line_dedup_broadcasts_no_more_for_more_lines(spark, monkeypatch, blocks):
+    """What goes to all tasks is a bitmap of at most that many blocks, though thousands of lines repeat or are near others; what a small bitmap lets through does no harm."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    monkeypatch.setattr(line_dedup, "BLOCKS", blocks, raising=False)
+    monkeypatch.setattr(line_dedup, "SENT", 20_000, raising=False)
+    rng = random.Random(71)
+    lines = [f"{prose(rng, 12)} ü {k}" if k % 3 else f"{prose(rng, 12)} {k}" for k in range(1500)]
+    texts = ["\n".join(lines[k : k + 5]) for k in range(0, 1500, 5)]
+    texts += texts + [line[:20] + "Q" + line[20:] for line in lines] + [line[:-1] + "é" for line in lines[:200]] + [f"own {k} {prose(rng, 9)}" for k in range(300)]
+    out = line_dedup.line_dedup(docs_of(spark, texts), exact=1)
+    want = {i: 0 if i < 300 or i >= 2300 else 5 if i < 600 else 1 for i in range(len(texts))}
+    assert {r.doc_id: r.removed_lines for r in out.select("doc_id", "removed_lines").collect()} == want
+    assert sum(sent) <= blocks
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- decontamination ---------------------------------------------------------------------------------------------------------
 def test_leaks_and_reordered_leaks(spark):
     rng = random.Random(17)
