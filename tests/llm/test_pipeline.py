@@ -45,6 +45,20 @@ def test_lines_of_any_length(spark):
     assert [(r.text, r.n_chars) for r in got] == [("short\nother", 11), ("new", 3)]
 
 
+def test_line_stage_sends_no_list_of_lines(spark, monkeypatch):
+    """Thousands of repeated lines, each document with some: only the bitmap and at most SENT bytes of places are broadcast."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    monkeypatch.setattr("tessera.llm.line_dedup.SENT", 10_000, raising=False)
+    texts = ["\n".join(f"line {k} of text {i % 400}, which comes twice" for k in range(5)) + f"\n{i} alone" for i in range(800)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_deduplication(spark, docs, SF).collect()}
+    want = {i: t if i < 400 else f"{i} alone" for i, t in enumerate(texts)}
+    # Within a text, and in texts of numbers one sign apart, lines are near each other: those of the first stay.
+    assert set(got) == set(want) and all(got[i] == (want[i], len(want[i])) for i in range(400, 800)) and got[0][0].startswith(texts[0].split("\n")[0])
+    assert sum(sent) <= 1024
+
+
 def test_every_operator_has_a_query():
     assert sorted({int(n[2:].split("_")[0]) for n in queries()}) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
