@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured size is below this; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
+#: A list of rows that go is broadcast up to this many bytes, as held in memory (without()).
+LIST_BYTES, LIST_ROW = 4 << 20, 170
+#: The bitmap of a longer list has at most this many blocks (a power of two) of 4 KB.
+BLOCKS = 1024
 #: Arrow batches sent to Python hold at most this many bytes, and rows.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
@@ -97,9 +101,35 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bitmap(keys: DataFrame, blocks: int) -> DataFrame:
+    """(block, sieve): the bits of keys (key: bigint), a materialised table, in at most `blocks` blocks (a power of two) of 4 KB, however many they are."""
+    bits = keys.selectExpr(f"cast(key & {blocks - 1} as int) AS block", "cast(shiftright(key, 16) & 511 as int) AS word", "shiftleft(1L, cast(shiftright(key, 32) & 63 as int)) AS bits")
+    zeros = bits.select("block").distinct().selectExpr("block", "explode(sequence(0, 511)) AS word", "0L AS bits")
+    words = bits.unionByName(zeros).groupBy("block", "word").agg(F.bit_or("bits").alias("bits"))
+    return words.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words")).selectExpr("block", "transform(words, x -> x.bits) AS sieve")
+
+
+def in_bitmap(key: str, blocks: int, block: str = "block", sieve: str = "sieve") -> tuple[Column, Column]:
+    """Conditions: that a key belongs to a block of bitmap(), and that its bit is set there."""
+    return F.expr(f"cast({key} & {blocks - 1} as int) = {block}"), F.expr(f"getbit({sieve}[cast(shiftright({key}, 16) & 511 as int)], cast(shiftright({key}, 32) & 63 as int)) = 1")
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose (id, th) isn't in gone, a materialised table, with all columns as they are."""
+    """The rows of docs whose (id, th) isn't in gone, a materialised table, with all columns as they are. Beyond LIST_BYTES a bitmap of
+    gone goes to all tasks in its place; only the rows that it holds (all that go, and few others) are shuffled."""
     a, b = fresh(docs, "gone_id"), fresh(docs, "gone_th")
-    gone = broadcast_if_small(gone.select(F.col("id").alias(a), F.col("th").alias(b)), 32)
+    listed = gone.select(F.col("id").alias(a), F.col("th").alias(b))
+
+    def left(rows: DataFrame, listed: DataFrame) -> DataFrame:
+        th = F.xxhash64(F.coalesce(rows[text_col].cast("string"), F.lit("")))
+        return rows.join(listed, rows[id_col].eqNullSafe(F.col(a)) & (th == F.col(b)), "left_anti")
+
+    if gone.count() * LIST_ROW <= LIST_BYTES:
+        return left(docs, F.broadcast(listed))
+    key, block, sieve, held = (fresh(docs, f"gone_{x}") for x in ("key", "block", "sieve", "held"))
+    bits = materialize(bitmap(gone.select(F.xxhash64("id", "th").alias("key")), BLOCKS), "bitmap").toDF(block, sieve)
+    there, bit = in_bitmap(key, BLOCKS, block, sieve)
     th = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col(a)) & (th == F.col(b)), "left_anti")
+    marked = docs.withColumn(key, F.xxhash64(docs[id_col], th)).join(F.broadcast(bits), there, "left").withColumn(held, F.coalesce(bit, F.lit(False)))
+    asked = left(marked.filter(held).select(*docs.columns), listed.hint("shuffle_hash"))
+    return marked.filter(~F.col(held)).select(*docs.columns).unionByName(asked)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh, keyed, materialize
+from .common import bitmap, broadcast_if_small, fresh, in_bitmap, keyed, materialize
 
 SHORTEST, SEGMENT = 20, 192
 #: A line is cut into at most this many segments; those of long lines are cut again, so that keys cost time in proportion to a line's length.
@@ -62,12 +62,8 @@ def _anchors(lines: DataFrame, segment: int) -> DataFrame:
 
 def _sieved(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose key may be in keys, a materialised table: all that is, and a share of the others that grows with the number of keys over the bits of the bitmap."""
-    block, word, bit = f"cast(key & {BLOCKS - 1} as int)", "cast(shiftright(key, 16) & 511 as int)", "cast(shiftright(key, 32) & 63 as int)"
-    bits = keys.selectExpr(f"{block} AS block", f"{word} AS word", f"shiftleft(1L, {bit}) AS bits")
-    zeros = bits.select("block").distinct().selectExpr("block", "explode(sequence(0, 511)) AS word", "0L AS bits")
-    words = bits.unionByName(zeros).groupBy("block", "word").agg(F.bit_or("bits").alias("bits"))
-    sieve = words.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words")).selectExpr("block", "transform(words, x -> x.bits) AS sieve")
-    return rows.join(F.broadcast(sieve), F.expr(f"{block} = block AND getbit(sieve[{word}], {bit}) = 1")).drop("block", "sieve")
+    there, bit = in_bitmap("key", BLOCKS)
+    return rows.join(F.broadcast(bitmap(keys, BLOCKS)), there & bit).drop("block", "sieve")
 
 
 def _finer(near: DataFrame, segment: int) -> DataFrame:

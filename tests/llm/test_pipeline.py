@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from test_operators import greedy_tiles, prose, shingles
 
 from tessera.llm import packing, quality
+from tessera.llm.common import keyed, materialize, without
 from tessera.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +60,19 @@ def test_line_stage_sends_no_list_of_lines(spark, monkeypatch):
     assert sum(sent) <= 1024
 
 
+def test_stages_send_no_list_of_rows_that_go(spark, monkeypatch):
+    """40,000 rows go, which is more than a list that is broadcast may hold: a bitmap at most is sent, and all that should go does, with null and repeated ids and columns of any name."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    docs = spark.range(60_000).selectExpr("if(id % 1000 = 0, NULL, id - id % 2) AS doc_id", "if(id % 7 = 0, NULL, concat('text ', id)) AS text", "id AS block", "id AS sieve", "id AS `key`", "id AS gone_id")
+    gone = materialize(keyed(docs).filter("pmod(th, 3) > 0").select("id", "th"), "gone")
+    got = without(docs, gone)
+    assert got.columns == docs.columns and sum(sent) <= 1024 < gone.count()
+    listed = {(r.id, r.th) for r in gone.collect()}
+    want = [tuple(r)[:-1] for r in docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).collect() if (r.doc_id, r.th) not in listed]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and 10_000 < len(want) < 30_000
+
+
 def test_every_operator_has_a_query():
     assert sorted({int(n[2:].split("_")[0]) for n in queries()}) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
