@@ -74,7 +74,14 @@ DOCS, PAGES = "documents", "pages"
 text = "text"
 
 # ---- sources and sinks -------------------------------------------------------------------------------------------------------
-add("scan_container", lambda s, d: table(s, d, DOCS).select("doc_id", F.md5(container.decompress(F.when(F.col("doc_id") % 3 == 0, F.encode("text", "utf-8")).when(F.col("doc_id") % 3 == 1, container.compress("text")).otherwise(container.compress_zlib("text")))).alias("value")), "SELECT doc_id, md5(text) AS value FROM documents")
+def scan_container(s: SparkSession, d: str) -> DataFrame:
+    """Plain texts and both kinds of container, opened. Each text is sealed in its own kind alone."""
+    docs = table(s, d, DOCS).withColumn("kind", F.pmod("doc_id", F.lit(3)))
+    sealed = [container.compress(F.when(F.col("kind") == 1, F.col("text"))), container.compress_zlib(F.when(F.coalesce("kind", F.lit(2)) == 2, F.col("text")))]
+    return docs.select("doc_id", F.md5(container.decompress(F.coalesce(F.when(F.col("kind") == 0, F.encode("text", "utf-8")), *sealed))).alias("value"))
+
+
+add("scan_container", scan_container, "SELECT doc_id, md5(text) AS value FROM documents")
 add("sink_container", lambda s, d: table(s, d, DOCS).select("doc_id", container.compress("text").alias("c")).select("doc_id", F.decode(F.substring("c", 1, 4), "utf-8").alias("mark"), F.md5(container.decompress("c")).alias("restored")), "SELECT doc_id, 'SMDI' AS mark, md5(text) AS restored FROM documents")
 PATHS = "concat('/Library/', source, '/', lang, ' ', doc_id, element_at(array('.smdoc', '.HTML', '.json', '.md', '.SMDOC', '.png', '.mp3', '.tar.gz'), cast(doc_id % 8 AS int) + 1))"
 PATHS_SQL = "('/Library/' || source || '/' || lang || ' ' || doc_id || (['.smdoc', '.HTML', '.json', '.md', '.SMDOC', '.png', '.mp3', '.tar.gz'])[doc_id % 8 + 1])"

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # The marks.
 LZMA_MARK, ZLIB_MARK = b"SMDI", b"SMDC"
 EXTENSION = ".smdoc"
+# Fixed values of LZMA: the dictionary of each preset as a power of two, and the smallest one.
+DICTIONARIES, LEAST_DICTIONARY = (18, 20, 21, 22, 22, 23, 23, 24, 25, 26), 4096
 
 
 def opened(data: bytes) -> str:
@@ -22,10 +24,15 @@ def opened(data: bytes) -> str:
 
 
 def sealed(text: str, preset: int = 9 | lzma.PRESET_EXTREME) -> bytes:
-    return LZMA_MARK + lzma.compress(text.encode(), preset=preset)
+    """The dictionary is no larger than the text, beyond which no match reaches: the preset's own would take up to 64 MB of fresh memory, and 60 ms, for each text."""
+    data = text.encode()
+    own = 1 << DICTIONARIES[preset & ~lzma.PRESET_EXTREME]
+    return LZMA_MARK + lzma.compress(data, filters=[{"id": lzma.FILTER_LZMA2, "preset": preset, "dict_size": min(own, max(LEAST_DICTIONARY, len(data)))}])
 
 
 def _each(kind: str, one: Callable, column: Column | str) -> Column:
+    """Spark works out such a column for every row, also within a branch of a condition: what isn't wanted must be null on the way in."""
+
     def f(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else one(v))
 

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import io
+import lzma
+import os
 import zipfile
 import zlib
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -15,6 +18,7 @@ from tessera.operators import alignment as A
 from tessera.operators import catalog as K
 from tessera.operators import intervals as I
 from tessera.plans import pipelines
+from tessera.plans.queries import QUERIES
 from tessera.sources import container, documents, docx, html
 from tessera.streaming import actions as S
 
@@ -25,6 +29,45 @@ def test_container_round_trip(text):
     assert container.opened(b"SMDC" + zlib.compress(text.encode())) == text
 
 
+@pytest.mark.parametrize("preset", [*range(10), 9 | lzma.PRESET_EXTREME])
+def test_container_takes_memory_by_its_text(preset):
+    """The dictionary is the text's, or the preset's where that is less; no match reaches back further."""
+    for text in ("", "x", "words and signs é🙂 " * 300, "".join(f"{k} {k * k}, " for k in range(40_000))):
+        data = container.sealed(text, preset)
+        whole = b"SMDI" + lzma.compress(text.encode(), preset=preset)
+        assert container.opened(data) == text and len(data) <= 1.001 * len(whole)
+        room = 400_000 + 2 * len(text.encode())
+        assert lzma.LZMADecompressor(memlimit=room).decompress(data[4:]) == text.encode()
+
+
+def sealings(spark, tmp_path, monkeypatch, query):
+    """The rows of a query on the smallest tables, and how often it seals a text."""
+    log, seal = str(tmp_path / "sealed"), container.sealed
+    open(log, "w").close()
+
+    def noted(text):
+        at = os.open(log, os.O_WRONLY | os.O_APPEND)
+        os.write(at, b".")
+        os.close(at)
+        return seal(text, 1)
+
+    monkeypatch.setattr(container, "sealed", noted)
+    rows = QUERIES[query](spark, "/root/testdata/sf0.001").collect()
+    return rows, os.path.getsize(log)
+
+
+def test_scan_seals_what_it_opens(spark, tmp_path, monkeypatch):
+    rows, n = sealings(spark, tmp_path, monkeypatch, "scan_container")
+    assert n == sum(r.doc_id % 3 == 1 for r in rows)
+
+
+def test_scan_of_odd_rows(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(["a", "", None, "é🙂" * 5000, "b\n", None, None, None, ""])] + [(-1, "c"), (-2, "d"), (-3, "e"), (None, "f"), (None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(k, None if t is None else md5(t.encode()).hexdigest()) for k, t in rows]
+    assert sorted(map(repr, map(tuple, QUERIES["scan_container"](spark, str(tmp_path)).collect()))) == sorted(map(repr, want))
+
+
 def test_read_containers(spark, tmp_path):
     (tmp_path / "a.smdoc").write_bytes(container.sealed('{"content":"x"}', 1))
     (tmp_path / "b.smdoc").write_bytes(b'{"content":"y"}')
