@@ -30,14 +30,16 @@ def sealed(text: str, preset: int = 9 | lzma.PRESET_EXTREME) -> bytes:
     return LZMA_MARK + lzma.compress(data, filters=[{"id": lzma.FILTER_LZMA2, "preset": preset, "dict_size": min(own, max(LEAST_DICTIONARY, len(data)))}])
 
 
-def _each(kind: str, one: Callable, column: Column | str) -> Column:
-    """Spark works out such a column for every row, also within a branch of a condition: what isn't wanted must be null on the way in."""
+def _each(kind: str, one: Callable, column: Column | str, once: bool = False) -> Column:
+    """Spark works out such a column for every row, also within a branch of a condition: what isn't wanted must be null on the way in.
+    once: it isn't worked out again for each column made of it."""
 
     def f(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else one(v))
 
     f.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(f, kind)(column)
+    udf = F.pandas_udf(f, kind)
+    return (udf.asNondeterministic() if once else udf)(column)
 
 
 def decompress(data: Column | str) -> Column:
@@ -45,7 +47,7 @@ def decompress(data: Column | str) -> Column:
 
 
 def compress(text: Column | str) -> Column:
-    return _each("binary", sealed, text)
+    return _each("binary", sealed, text, once=True)
 
 
 def compress_zlib(text: Column | str) -> Column:

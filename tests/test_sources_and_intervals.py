@@ -61,11 +61,17 @@ def test_scan_seals_what_it_opens(spark, tmp_path, monkeypatch):
     assert n == sum(r.doc_id % 3 == 1 for r in rows)
 
 
-def test_scan_of_odd_rows(spark, tmp_path):
+def test_sink_seals_once(spark, tmp_path, monkeypatch):
+    rows, n = sealings(spark, tmp_path, monkeypatch, "sink_container")
+    assert n == len(rows) and {r.mark for r in rows} == {"SMDI"}
+
+
+@pytest.mark.parametrize("query", ["scan_container", "sink_container"])
+def test_containers_of_odd_rows(spark, tmp_path, query):
     rows = [(k, t) for k, t in enumerate(["a", "", None, "é🙂" * 5000, "b\n", None, None, None, ""])] + [(-1, "c"), (-2, "d"), (-3, "e"), (None, "f"), (None, None)]
     spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    want = [(k, None if t is None else md5(t.encode()).hexdigest()) for k, t in rows]
-    assert sorted(map(repr, map(tuple, QUERIES["scan_container"](spark, str(tmp_path)).collect()))) == sorted(map(repr, want))
+    got = QUERIES[query](spark, str(tmp_path)).collect()
+    assert sorted(repr((r[0], r[-1])) for r in got) == sorted(repr((k, None if t is None else md5(t.encode()).hexdigest())) for k, t in rows)
 
 
 def test_read_containers(spark, tmp_path):
