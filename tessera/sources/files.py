@@ -26,6 +26,8 @@ from . import container
 LISTING = "path string, name string, is_folder boolean, size bigint, modified double"
 #: Folders of a save in progress; like other names with an underscore in front they aren't listed.
 SAVING, MANIFEST = "_saving-", "manifest.json"
+#: Characters of text that a reading task holds before it passes them on, and the file beyond.
+READ_AT_ONCE = 1 << 22
 
 
 def opened(top: str) -> tuple[pafs.FileSystem, str]:
@@ -113,11 +115,11 @@ class ListingReader(DataSourceReader):
 
     def partitions(self) -> list[Folder]:
         fs, top = opened(self.top)
-        level, plan = [""], []
+        base, level, plan = top.rstrip("/"), [""], []
         for _ in range(self.depth):
             plan += [Folder(p, False) for p in level]
-            below = [x for p in level for x in fs.get_file_info(pafs.FileSelector(f"{top}/{p}" if p else top, allow_not_found=True)) if x.type == pafs.FileType.Directory and shown(x.base_name)]
-            level = [x.path[len(top.rstrip("/")) + 1 :] for x in below]
+            below = [x for p in level for x in fs.get_file_info(pafs.FileSelector(f"{base}/{p}" if p else base, allow_not_found=True)) if x.type == pafs.FileType.Directory and shown(x.base_name)]
+            level = [x.path[len(base) + 1 :] for x in below]
         return plan + [Folder(p, True) for p in level]
 
     def read(self, folder: Folder) -> Iterator[pa.RecordBatch]:
@@ -202,13 +204,34 @@ def save_files(documents: DataFrame, top: str, path: str = "path", content: str
 
 
 def read_files(spark: SparkSession, top: str) -> DataFrame:
-    """(path, content) of all files below a folder, containers opened; paths are relative."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top)
-    start = F.length(F.regexp_replace(F.lit(opened(top)[1].rstrip("/")), "^/*", "/"))
-    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    out = found.select(plain.substr(start + 2, F.length(plain)).alias("path"), container.decompress("content").alias("content"))
-    # Spark's reader passes over files without a byte.
-    return out.unionByName(listing(spark, top).filter("NOT is_folder AND size = 0").select("path", F.lit("").alias("content")))
+    """(path, content) of all files below a folder, containers opened; paths are relative, names with _ or . in front are left out.
+    Tasks list the folders and tasks read the files, dealt out evenly by number: Spark's own reader would hold an entry for each file in the driver."""
+    fs, base = opened(top)
+    if fs.get_file_info(base).type == pafs.FileType.NotFound:
+        raise FileNotFoundError(top)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = listing(spark, top, depth=2).filter("NOT is_folder").select("path").repartition(tasks)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = opened(top)
+        base = base.rstrip("/")
+        for batch in batches:
+            rows, size = [], 0
+            for path in batch.column(0).to_pylist():
+                # The bytes as they are, whatever the name ends in.
+                with fs.open_input_stream(f"{base}/{path}", compression=None) as f:
+                    rows.append((path, container.opened(f.read())))
+                size += len(rows[-1][1])
+                if size >= READ_AT_ONCE:
+                    yield _texts(rows)
+                    rows, size = [], 0
+            yield _texts(rows)
+
+    return names.mapInArrow(read, "path string, content string")
+
+
+def _texts(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in (0, 1)], names=["path", "content"])
 
 
 def with_files(recents: DataFrame, files: DataFrame, library: str) -> DataFrame:

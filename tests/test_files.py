@@ -26,6 +26,29 @@ def test_saved_and_read(spark, tmp_path):
     assert (tmp_path / "one/a/b/x.smdoc").read_bytes()[:4] == b"SMDI"
 
 
+def test_reading_leaves_no_files_with_the_driver(spark, tmp_path):
+    """Spark's own reader holds an entry for each file in the driver, and made a task of at most some tens of them."""
+    rows = [(f"s{k % 3}/l{k % 2}/doc {k}.txt", f"é {k}") for k in range(1500)]
+    files.save_files(spark.createDataFrame(rows, SCHEMA).repartition(4), str(tmp_path))
+    read = files.read_files(spark, str(tmp_path))
+    assert read.inputFiles() == [] and read.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, read.collect())) == sorted(rows)
+
+
+def test_reading_in_parts(spark, tmp_path, monkeypatch):
+    """Names of all kinds, deep and at the top; texts passed on by some characters at a time; bytes as they are."""
+    monkeypatch.setattr(files, "READ_AT_ONCE", 7)
+    rows = [("x.gz", "not packed"), ("a/b/c/d/e 100%.txt", "deep"), ("a/[b]*?{c}.html", "signs"), ("a/é🙂.smdoc", "z" * 50), ("e.bz2", ""), ("a/k=v.txt", "k")] + [(f"f/{k}", "12345"[: k % 6]) for k in range(40)]
+    files.save_files(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "top"))
+    (tmp_path / "top/a/_hidden.txt").write_text("no")
+    (tmp_path / "top/empty").mkdir()
+    for top in (str(tmp_path / "top"), f"{tmp_path}/top/", f"file://{tmp_path}/top"):
+        assert sorted(map(tuple, files.read_files(spark, top).collect())) == sorted(rows)
+    assert files.read_files(spark, str(tmp_path / "top/empty")).collect() == []
+    with pytest.raises(FileNotFoundError):
+        files.read_files(spark, str(tmp_path / "none"))
+
+
 def test_saving_again_puts_new_for_old(spark, tmp_path):
     for k in range(2):
         files.save_files(spark.createDataFrame([("a.txt", f"v{k}"), (f"only{k}.txt", "x")], SCHEMA), str(tmp_path))
